@@ -8,6 +8,7 @@ import importlib
 _MODULES = {
     "op2_quality_rules": "quality_rules",
     "op4_sharding": "sharding",
+    "op8_packing": "packing",
     "op9_bpe": "bpe",
     "op10_chat_formatting": "chat_formatting",
 }
