@@ -6,7 +6,9 @@ import importlib
 
 #: Query name and the module that holds it.
 _MODULES = {
+    "op1_quality_model": "quality_model",
     "op2_quality_rules": "quality_rules",
+    "op3_toxicity": "toxicity",
     "op4_sharding": "sharding",
     "op8_packing": "packing",
     "op9_bpe": "bpe",
