@@ -37,9 +37,10 @@ class Options:
     max_features: int = 8_192
     min_count: int = 4
     min_lift: float = 2.0
-    steps: int = 400
+    min_excess: float = 5.0
+    steps: int = 600
     rate: float = 0.05
-    decay: float = 1e-4
+    decay: float = 3e-6
     prior: float | None = None
     threshold: float = 0.7
 
@@ -98,7 +99,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     count = lambda sets: np.bincount(np.concatenate(sets), minlength=options.buckets)
     in_p, in_u = count(positive), count(unlabelled)
     lift = (in_p / len(positive)) / ((in_u + 1) / len(unlabelled))
-    able = np.flatnonzero((in_p >= options.min_count) & (lift >= options.min_lift))
+    chance = len(positive) * (in_u / len(unlabelled))
+    excess = (in_p - chance) / np.sqrt(chance + 1)  # in standard deviations of a count by chance
+    able = np.flatnonzero((in_p >= options.min_count) & (lift >= options.min_lift) & (excess >= options.min_excess))
     able = able[np.argsort(-(lift[able] * np.sqrt(in_p[able])), kind="stable")][: options.max_features]
     if not len(able):
         return empty
