@@ -38,9 +38,9 @@ class Options:
     min_count: int = 4
     min_lift: float = 2.0
     min_excess: float = 5.0
-    steps: int = 600
-    rate: float = 0.05
-    decay: float = 3e-6
+    steps: int = 800
+    rate: float = 0.1
+    decay: float = 1e-6
     prior: float | None = None
     threshold: float = 0.7
 
@@ -114,7 +114,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return rows[cols >= 0], cols[cols >= 0], len(sets)
 
     p, u = matrix(positive), matrix(unlabelled)
-    w, bias = np.zeros(len(able)), -1.0
+    # all chosen features speak for toxicity: weights begin at their evidence and stay at or above zero, as the sigmoid
+    # loss is flat for texts that it has given up, and would leave a feature there
+    w, bias = 2 * np.log(lift[able]), -3.0
     m, v = np.zeros(len(able) + 1), np.zeros(len(able) + 1)
     for step in range(1, options.steps + 1):
         forward = lambda s: 1 / (1 + np.exp(-np.clip(np.bincount(s[0], w[s[1]], s[2]) + bias, -30, 30)))
@@ -129,7 +131,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         grad[:-1] += options.decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         change = options.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w -= change[:-1]
+        w = np.maximum(w - change[:-1], 0.0)
         bias -= change[-1]
     weights = np.zeros(options.buckets)
     weights[able] = w
