@@ -245,6 +245,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, partitions: int | None = No
     spark = found.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = ["length", "doc_id", "piece"]
+    found = settle(found, "pieces")  # range partitioning reads its input twice
     placed = found.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
     placed = settle(placed, "pack-order")
     counts = {r["length"]: r["n"] for r in placed.groupBy("length").agg(F.count("*").alias("n")).collect()}
