@@ -10,6 +10,7 @@ _MODULES = {
     "op2_quality_rules": "quality_rules",
     "op3_toxicity": "toxicity",
     "op4_sharding": "sharding",
+    "op5_jaccard_join": "jaccard_join",
     "op6_substring_dedup": "substring_dedup",
     "op8_packing": "packing",
     "op9_bpe": "bpe",
