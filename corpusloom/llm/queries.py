@@ -12,6 +12,7 @@ _MODULES = {
     "op4_sharding": "sharding",
     "op5_jaccard_join": "jaccard_join",
     "op6_substring_dedup": "substring_dedup",
+    "op7_embedding_dedup": "embedding_dedup",
     "op8_packing": "packing",
     "op9_bpe": "bpe",
     "op10_chat_formatting": "chat_formatting",
