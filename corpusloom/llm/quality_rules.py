@@ -181,7 +181,9 @@ def score(docs: DataFrame, options: Options = Options()) -> DataFrame:
 def keep(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """The documents that are kept, with the columns that came in."""
     columns = docs.columns
-    return judge(docs, options).filter("_q_kept").select(*[F.col(f"`{c}`") for c in columns])
+    # a filter isn't moved below a projection that numbers rows: moved down, it would repeat every expression inside
+    judged = judge(docs, options).withColumn("_q_row", F.monotonically_increasing_id())
+    return judged.filter("_q_kept AND _q_row >= 0").select(*[F.col(f"`{c}`") for c in columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
