@@ -240,12 +240,12 @@ def dedup_documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """All documents with the columns that came in; the text of those that lose words is the kept words, joined by a
     space (empty if none is kept), and n_chars, where there is one, follows."""
     marked, lost = find_repeats(docs, options, text=True)
-    changed = marked.filter(_is_copy(options)).select("doc_id", F.lit("").alias("_kept")).dropDuplicates(["doc_id"])
+    changed = marked.filter(_is_copy(options)).select("doc_id", F.lit("").alias("_substring_kept")).dropDuplicates(["doc_id"])
     changed = changed.union(lost.select("doc_id", "kept"))
-    out = docs.join(changed, "doc_id", "left").withColumn("text", F.coalesce("_kept", "text"))
+    out = docs.join(changed, "doc_id", "left").withColumn("text", F.coalesce("_substring_kept", "text"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_substring_kept").isNotNull(), F.char_length("_substring_kept").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
