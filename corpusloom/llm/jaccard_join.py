@@ -383,3 +383,18 @@ def keep_first(docs: DataFrame, options: Options = Options()) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, CASE WHEN trim(t, c) = '' THEN [] ELSE regexp_split_to_array(trim(t, c), '[ \t-\r]+') END AS w
+  FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS c FROM documents)
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS k FROM w WHERE len(w) > 0)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), e AS MATERIALIZED (
+  SELECT c.a, c.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) c
+  JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * o >= 75 * (x.n + y.n - o)
+), r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)
+"""

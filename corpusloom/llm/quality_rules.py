@@ -187,4 +187,47 @@ def keep(docs: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    d = score(table(spark, sf_dir, "documents"))
+    return d.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+def _oracle() -> str:
+    options, vocab = Options(), vocabulary()
+    gone = lambda p: f"length(rest) - length(regexp_replace(rest, '{p}', '', 'g'))"
+    classes = ", ".join(gone(p.replace("'", "''")) for p in CHAR_CLASSES.values())
+    words = "[" + ", ".join(f"'{w}'" for w in vocab) + "]"
+    capitals = "[" + ", ".join(f"'{w.capitalize()}'" for w in vocab) + "]"
+    langs = ", ".join(f"'{x}'" for x in COMMON_WORDS)
+    term = "CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+
+    def distance(name: str, n: int) -> str:
+        both = " + ".join(term.format(a=a, b=b) for a, b in ((f"d.{name}[i] / greatest(d.{name}_n, 1)", f"r.{name}[i] / r.{name}_n"), (f"r.{name}[i] / r.{name}_n", f"d.{name}[i] / greatest(d.{name}_n, 1)")))
+        return f"min(sqrt(greatest(list_sum(list_transform(range(1, {n + 1}), lambda i: {both})) / 2, 0)))"
+
+    n_chars, n_words = len(CHAR_CLASSES) + 3, len(vocab) + 1
+    sums = ", ".join(f"[{', '.join(f'sum({c}[{k}])::DOUBLE' for k in range(1, n + 1))}] AS {c}" for c, n in (("chars", n_chars), ("common", n_words)))
+    return rf"""
+WITH a AS (SELECT doc_id, lang, coalesce(text, '') AS t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS c FROM documents),
+b AS MATERIALIZED (
+  SELECT doc_id, lang, t, CASE WHEN trim(t, c) = '' THEN [] ELSE regexp_split_to_array(trim(t, c), '[ \t-\r]+') END AS w,
+    regexp_replace(t, '[\p{{Ll}} \t-\r]+', '', 'g') AS rest, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS lines FROM a),
+win AS (SELECT doc_id, k, array_to_string(w[k:k + 4], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM b WHERE len(w) >= 5)),
+again AS (SELECT doc_id, unnest(range(k, k + 5)) AS p FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, h) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM again GROUP BY 1),
+f AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, ({gone(CHAR_CLASSES['symbol'])})::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, length(t) AS n_t, length(rest) AS n_rest, [{classes}] AS cls,
+    list_transform(range(1, {n_words}), lambda k: len(list_filter(w, lambda x: x = {words}[k] OR x = {capitals}[k]))) AS hits FROM b),
+g AS MATERIALIZED (SELECT doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    list_concat([word_chars - n_rest, n_t - word_chars], list_concat(cls, [n_rest - list_sum(cls)]))::DOUBLE[] AS chars,
+    list_concat(hits, [n_words - list_sum(hits)])::DOUBLE[] AS common FROM f LEFT JOIN rep USING (doc_id)),
+d AS (SELECT *, list_sum(chars) AS chars_n, list_sum(common) AS common_n FROM g),
+r AS (SELECT *, list_sum(chars) AS chars_n, list_sum(common) AS common_n FROM (SELECT lang, {sums} FROM g WHERE lang IN ({langs}) GROUP BY lang)),
+m AS (SELECT d.doc_id, {distance('chars', n_chars)} AS cd, {distance('common', n_words)} AS wd FROM d, r GROUP BY d.doc_id),
+j AS (SELECT d.*, cd, wd, n_words < {options.base_words} OR 100 * n_repeat_words > {options.base_repeat_percent} * n_words AS base_failed FROM d JOIN m USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance, base_failed,
+  NOT base_failed AND NOT (cd + wd / 2 > {options.max_distance} + {options.slack} / sqrt(greatest(n_words, 1)) AND chars_n >= {options.min_chars} AND n_words >= {options.min_words}) AS kept
+FROM j
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -251,3 +251,15 @@ def dedup_documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN trim(t, c) = '' THEN [] ELSE regexp_split_to_array(trim(t, c), '[ \t-\r]+') END AS w
+  FROM (SELECT doc_id, coalesce(text, '') AS t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS c FROM documents)
+), win AS MATERIALIZED (SELECT doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM w WHERE len(w) >= 50)),
+first AS (SELECT h, min(doc_id) AS f FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS k FROM win JOIN first USING (h) WHERE doc_id > f),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS t, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM w) ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
