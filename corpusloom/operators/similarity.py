@@ -55,3 +55,26 @@ def markov(matrix: DataFrame, threshold: float | None = None) -> DataFrame:
     m = matrix if threshold is None else matrix.filter(F.col("sim") > threshold).withColumn("sim", F.lit(1.0))
     total = m.groupBy("doc_id", "i").agg(F.sum("sim").alias("total"))
     return m.join(total, ["doc_id", "i"]).select("doc_id", "i", "j", (F.col("sim") / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))).alias("p"))
+
+
+def sentence_vectors(weighted: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(doc_id, sent_ix, v): the sum of tf * idf * vector over a sentence's words; weighted (.., term, w), vectors (term,
+    embedding). Sums are taken per component before vectors are put together, so aggregation stays map-side."""
+    x = weighted.join(vectors, "term").select("doc_id", "sent_ix", "w", F.posexplode("embedding").alias("k", "e"))
+    sums = x.groupBy("doc_id", "sent_ix", "k").agg(F.sum(F.col("w") * F.col("e").cast("double")).alias("s"))
+    return sums.groupBy("doc_id", "sent_ix").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "s"))), lambda y: y["s"]).alias("v"))
+
+
+def word_vector_edges(weighted: DataFrame, vectors: DataFrame, at_least: float = 0.0) -> DataFrame:
+    """(doc_id, i, j, sim): cosine of the sentences' weighted word vectors."""
+    return vector_edges(sentence_vectors(weighted, vectors), "doc_id", "sent_ix", "v", at_least)
+
+
+def pair_similarity(pairs: DataFrame, idf: DataFrame, default: float) -> DataFrame:
+    """pairs (id, a, b: token arrays) -> (id, sim): idf-modified cosine of two sentences each."""
+    tf = lambda c, n: pairs.select("id", F.explode(c).alias("term")).groupBy("id", "term").agg(F.count("*").alias(n))
+    both = tf("a", "x").join(tf("b", "y"), ["id", "term"], "full").join(idf.select("term", "idf"), "term", "left")
+    w = F.coalesce("idf", F.lit(float(default)))
+    x, y = F.coalesce("x", F.lit(0)) * w, F.coalesce("y", F.lit(0)) * w
+    sums = both.groupBy("id").agg(F.sum(x * y).alias("o"), F.sum(x * x).alias("p"), F.sum(y * y).alias("q"))
+    return pairs.select("id").join(sums, "id", "left").select("id", F.when((F.col("o") > 0), F.col("o") / F.sqrt(F.col("p") * F.col("q"))).otherwise(0.0).alias("sim"))

@@ -117,3 +117,8 @@ def zip_equal(rows: DataFrame, columns: list[str]) -> DataFrame:
         same &= F.size(c) == F.size(columns[0])
     checked = F.when(same, F.arrays_zip(*columns)).otherwise(F.raise_error(F.lit("lists of unequal length")))
     return rows.select(*[c for c in rows.columns if c not in columns], F.explode(checked).alias("_z")).select("*", "_z.*").drop("_z")
+
+
+def cluster_vocabulary(rows: DataFrame, column: str, tokens: str, n: int = 1) -> DataFrame:
+    """(category, gram): the distinct n-grams of each category, as rows, so no category's vocabulary is one value."""
+    return rows.select(F.col(column).alias("category"), F.explode(T.ngrams(F.col(tokens), n)).alias("gram")).distinct()

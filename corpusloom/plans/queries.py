@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import centrality, fragments, neighbours, pages, rouge, select, similarity, tables, terms
+from corpusloom.operators import centrality, fragments, neighbours, pages, rouge, select, similarity, stem, tables, terms
 from corpusloom.plans import summarize as programs
 from corpusloom.runtime import table
 
@@ -400,9 +400,9 @@ def _gram_sql(n: int) -> str:
     )
 
 
-def _prf_sql(source: str, keys: str) -> str:
+def _prf_sql(source: str, keys: str, digits: int = 6) -> str:
     return (
-        f"SELECT {keys}, overlap, evaluated, reference, round(p, 6) AS p, round(r, 6) AS r, round(CASE WHEN p > 0 AND r > 0 THEN p * r / (0.5 * p + 0.5 * r) ELSE 0 END, 6) AS f FROM "
+        f"SELECT {keys}, overlap, evaluated, reference, round(p, {digits}) AS p, round(r, {digits}) AS r, round(CASE WHEN p > 0 AND r > 0 THEN p * r / (0.5 * p + 0.5 * r) ELSE 0 END, {digits}) AS f FROM "
         f"(SELECT *, CASE WHEN evaluated > 0 THEN overlap::DOUBLE / evaluated ELSE 0 END AS p, CASE WHEN reference > 0 THEN overlap::DOUBLE / reference ELSE 0 END AS r FROM {source})"
     )
 
@@ -445,14 +445,14 @@ def rouge_best(spark, d):
 
 
 @query(
-    f"WITH {_PAIRS}, {_gram_sql(1)}, {_gram_sql(2)}, s AS (SELECT 'rouge-1' AS metric, * FROM ({_prf_sql('c1', 'pair_id')}) UNION ALL SELECT 'rouge-2', * FROM ({_prf_sql('c2', 'pair_id')})) "
-    "SELECT metric, " + ", ".join(f"round({f}({c}), 5) AS {a}_{c}" for c in "prf" for a, f in (("mean", "avg"), ("std", "stddev_pop"))) + " FROM s GROUP BY metric"
+    f"WITH {_PAIRS}, {_gram_sql(1)}, {_gram_sql(2)}, s AS (SELECT 'rouge-1' AS metric, * FROM ({_prf_sql('c1', 'pair_id', 12)}) UNION ALL SELECT 'rouge-2', * FROM ({_prf_sql('c2', 'pair_id', 12)})) "
+    "SELECT metric, " + ", ".join(f"round({f}({c}), 7) AS {a}_{c}" for c in "prf" for a, f in (("mean", "avg"), ("std", "stddev_pop"))) + " FROM s GROUP BY metric"
 )
 def rouge_corpus_stats(spark, d):
     pairs = _pairs(spark, d)
     both = rouge.rouge_n(pairs, 1).unionByName(rouge.rouge_n(pairs, 2))
-    out = rouge.corpus_stats(both.select("metric", *[F.round(c, 6).alias(c) for c in "prf"]))
-    return out.select("metric", *[F.round(c, 5).alias(c) for c in out.columns if c != "metric"])
+    out = rouge.corpus_stats(both.select("metric", *[F.round(c, 12).alias(c) for c in "prf"]))
+    return out.select("metric", *[F.round(c, 7).alias(c) for c in out.columns if c != "metric"])
 
 
 def _lcs_pairs(spark, d):
@@ -504,6 +504,46 @@ def novel_words(spark, d):
     return tables.novel_words(rows, "a", "b").select("doc_id", F.array_join("novel", " ").alias("novel"))
 
 
+@query(
+    f"WITH t AS (SELECT source AS category, doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}]+')) AS term FROM documents) "
+    "SELECT category, count(DISTINCT term) AS terms FROM t GROUP BY category"
+)
+def cluster_vocabulary(spark, d):
+    rows = docs(spark, d).select("source", T.words(F.col("text")).alias("tokens"))
+    return tables.cluster_vocabulary(rows, "source", "tokens", 1).groupBy("category").agg(F.count("*").alias("terms"))
+
+
+@query()
+def rouge_1_stemmed(spark, d):
+    pairs = _pairs(spark, d)
+    return _rounded(rouge.rouge_n(stem.stem_columns(pairs, ["hyp", "ref"]), 1), ["pair_id", "ref_id"])
+
+
+@query()
+def stemmed_terms(spark, d):
+    return stem.stem_terms(terms.document_frequency(_tf(spark, d)).select("term"))
+
+
+@query(
+    f"WITH {_IDF}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), r AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS vec_id FROM idf WHERE idf > 0), "
+    "tv AS (SELECT term, e FROM r JOIN v USING (vec_id)), x AS (SELECT doc_id, sent_ix, tf * idf AS w, e FROM tf JOIN idf USING (term) JOIN tv USING (term)), "
+    "c AS (SELECT doc_id, sent_ix, i, sum(w * e[i]) AS s FROM x, range(1, 65) g(i) GROUP BY ALL), "
+    "n AS (SELECT doc_id, sent_ix, sqrt(sum(s * s)) AS n FROM c GROUP BY ALL) "
+    "SELECT doc_id, sent_ix, round(n, 4) AS norm FROM n".replace(", n AS (SELECT doc_id, sent_ix, sqrt", ", nn AS (SELECT doc_id, sent_ix, sqrt").replace("FROM n\"", "FROM nn\"").replace("AS norm FROM n", "AS norm FROM nn")
+)
+def sentence_vectors(spark, d):
+    sents, tf, _ = programs.weights(docs(spark, d))
+    idf = terms.idf_table(tf)
+    some = idf.filter("idf > 0").orderBy(F.desc("df"), "term").limit(table(spark, d, "embeddings").count())
+    from pyspark.sql import Window
+
+    ranked = some.withColumn("vec_id", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).cast("long"))
+    vectors = ranked.join(table(spark, d, "embeddings"), "vec_id").select("term", "embedding")
+    found = similarity.sentence_vectors(terms.with_idf(tf, idf), vectors)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return found.select("doc_id", "sent_ix", F.round(norm, 4).alias("norm"))
+
+
 @query()
 def near_duplicates(spark, d):
     return neighbours.near_duplicates(docs(spark, d), "source", "doc_id")

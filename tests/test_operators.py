@@ -156,3 +156,32 @@ def test_idf_defaults(spark):
     tf = terms.term_frequency(terms.sentence_rows(docs))
     assert {r.term: round(r.idf, 6) for r in terms.idf_table(tf).collect()} == {"one": 0.693147, "two": 0.693147}
     assert round(terms.default_idf(tf).first()[0], 6) == round(float(np.log(3)), 6)
+
+
+def test_porter_examples():
+    from corpusloom.operators.stem import porter, stem_token
+
+    pairs = "caresses caress,ponies poni,feed feed,agreed agre,hopping hop,filing file,happy happi,sky sky,relational relat,vietnamization vietnam,electriciti electr,adjustment adjust,adoption adopt,cease ceas,controll control"
+    assert all(porter(a) == b for a, b in (p.split() for p in pairs.split(",")))
+    assert stem_token("dogs", {"dogs": "hound"}) == "hound" and stem_token("its") == "its"
+
+
+def test_pair_similarity(spark):
+    from corpusloom.operators import similarity
+
+    pairs = spark.createDataFrame([(1, ["a", "b"], ["b", "a"]), (2, ["a"], ["c"]), (3, [], ["a"])], "id int, a array<string>, b array<string>")
+    idf = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "term string, idf double")
+    got = {r.id: round(r.sim, 9) for r in similarity.pair_similarity(pairs, idf, 3.0).collect()}
+    assert got == {1: 1.0, 2: 0.0, 3: 0.0}
+
+
+def test_link_stream_gives_each_link_once(spark, tmp_path):
+    from corpusloom.streaming.links import new_links
+
+    rows = spark.createDataFrame([("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 01:00:00"), ("v", "2024-01-01 02:00:00")], "url string, t string")
+    rows.select("url", F.to_timestamp("t").alias("ts")).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("url string, ts timestamp").parquet(f"{tmp_path}/in")
+    q = new_links(stream).writeStream.format("memory").queryName("seen_links").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.url for r in spark.table("seen_links").collect()) == ["u", "v"]
