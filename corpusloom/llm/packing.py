@@ -66,31 +66,33 @@ class WordTokens:
         if not new:
             return
         new = list(new)
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)] if len(new) < 64 else self._together(new)
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(new))
+        flat, sizes = self._together(new)
         at = len(self.place)
         self.place.update(zip(new, range(at, at + len(new))))
         self.start = np.concatenate([self.start, len(self.table) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
-        self.table = np.concatenate([self.table, np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))])
+        self.table = np.concatenate([self.table, flat])
 
-    def _together(self, words: list[str]) -> list[list[int]]:
-        """Ids of words encoded in lines of many; a line whose words can't be told apart again goes word by word."""
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words encoded in lines of many, and each word's number of ids; a line whose words can't be told apart
+        again goes word by word."""
         if not hasattr(self, "ends"):
             self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
             for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
                 self.ends[i] = token.endswith("</w>")
-        out: list[list[int]] = []
-        for k in range(0, len(words), 256):
-            line = words[k : k + 256]
-            ids = self.tokenizer.encode(" ".join(line), add_special_tokens=False).ids
+        flat, sizes = [], []
+        for k in range(0, len(words), 1024):
+            line = words[k : k + 1024]
+            ids = np.array(self.tokenizer.encode(" ".join(line), add_special_tokens=False).ids, dtype=np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(line) and (not ids or cuts[-1] == len(ids)):
-                cuts = [0, *cuts.tolist()]
-                out += [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+            if len(cuts) == len(line) and cuts[-1] == len(ids):
+                flat.append(ids)
+                sizes.append(np.diff(cuts, prepend=0))
             else:
-                out += [e.ids for e in self.tokenizer.encode_batch_fast(line, add_special_tokens=False)]
-        return out
+                own = [e.ids for e in self.tokenizer.encode_batch_fast(line, add_special_tokens=False)]
+                flat.append(np.array(list(chain.from_iterable(own)), dtype=np.uint32))
+                sizes.append(np.array([len(x) for x in own], dtype=np.int64))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         whole = [k for k, t in enumerate(texts) if not self.simple.fullmatch(t) or "<|" in t]
