@@ -123,14 +123,18 @@ class FingerprintIndex:
 
 
 def shared_prints(entries: DataFrame, options: Options) -> DataFrame:
-    """Prints that occur in two documents or more: entries (doc_id, prints) go through the index in batches by id."""
+    """Prints that occur in two documents or more: entries (doc_id, prints) go through the index in batches, by ranges of
+    whole-number ids, else by a hash of the id (which documents are shared doesn't depend on the batches)."""
     low, high = entries.agg(F.min("doc_id"), F.max("doc_id")).first()
     index, found = FingerprintIndex(), None
     if low is None:
         return entries.select(F.explode("prints").alias("print")).limit(0)
-    width = (high - low) // options.batches + 1
     for k in range(options.batches):
-        batch = entries.filter(F.col("doc_id").between(low + k * width, low + (k + 1) * width - 1))
+        if isinstance(low, int):
+            width = (high - low) // options.batches + 1
+            batch = entries.filter(F.col("doc_id").between(low + k * width, low + (k + 1) * width - 1))
+        else:
+            batch = entries.filter(F.pmod(F.xxhash64("doc_id"), F.lit(options.batches)) == k)
         shared = index.add(batch.select("doc_id", F.explode("prints").alias("print")))
         found = shared if found is None else found.union(shared)
     return found.distinct()

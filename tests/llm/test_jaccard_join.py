@@ -81,3 +81,9 @@ def test_light_keys_meet_whenever_sets_link():
         if J.links(len(a), len(b), len(np.intersect1d(a, b)), 75) and not np.array_equal(a, b):
             for limit in (0, 10, 30, 64):
                 assert len(np.intersect1d(J.keys_of(a, limit, o), J.keys_of(b, limit, o)))
+
+
+def test_ids_that_are_text(make_docs):
+    docs = make_docs(*corpus(2, 40)).selectExpr("lpad(cast(doc_id as string), 4, '0') as doc_id", "text")
+    got = sorted((int(r.doc_id), r.n_shingles, int(r.component_id)) for r in J.link(docs, J.Options(block=3)).collect())
+    assert got == brute(corpus(2, 40))

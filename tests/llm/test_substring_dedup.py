@@ -72,3 +72,8 @@ def test_index_compacts_and_finds_what_meets(spark):
     assert found == [[2], [1], [3], []]
     assert [level for level, _ in index.runs] == [2]
     assert {(r.print, r.first, r.last) for r in index.runs[0][1].collect()} == {(1, 10, 20), (2, 10, 11), (3, 20, 30), (9, 40, 40)}
+
+
+def test_ids_that_are_text(make_docs):
+    docs = make_docs(*texts()).selectExpr("lpad(cast(doc_id as string), 4, '0') as doc_id", "text")
+    assert [(int(i), *r) for i, *r in result(docs)] == brute(texts())
