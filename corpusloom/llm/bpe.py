@@ -24,7 +24,7 @@ import pyarrow as pa
 from corpusloom.llm.kernels import text_bytes
 from corpusloom.runtime import ship, table
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 SLICE_BYTES = 2 << 20
 #: White space as the tokenizer's pattern understands it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -160,12 +160,18 @@ class Vocabulary:
         return fine
 
     def merge_exactly(self, word: bytes) -> list[int]:
+        """Merge the earliest pair, leftmost first, until none is left; only the pairs beside a merge are looked up anew."""
+        merged, none = self.merge.get, 1 << 30
         parts = list(word)
-        while len(parts) > 1:
-            best, at = min((self.merge.get((parts[k], parts[k + 1]), 1 << 30), k) for k in range(len(parts) - 1))
-            if best == 1 << 30:
-                break
-            parts[at : at + 2] = [best]
+        pairs = [merged(p, none) for p in zip(parts, parts[1:])]
+        while pairs and (token := min(pairs)) != none:
+            at = pairs.index(token)
+            parts[at : at + 2] = [token]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = merged((parts[at - 1], token), none)
+            if at < len(pairs):
+                pairs[at] = merged((token, parts[at + 1]), none)
         return parts
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
