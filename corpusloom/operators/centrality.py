@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusloom.runtime import ship
 
@@ -17,8 +17,8 @@ from corpusloom.runtime import ship
 def row_sums(unit: DataFrame, sents: DataFrame) -> DataFrame:
     """(doc_id, sent_ix, total): sum of a sentence's cosines to all sentences of its document, itself included; a sentence
     without weights has its edge to itself."""
-    by_term = unit.groupBy("doc_id", "term").agg(F.sum("x").alias("s"))
-    total = unit.join(by_term, ["doc_id", "term"]).groupBy("doc_id", "sent_ix").agg(F.sum(F.col("x") * F.col("s")).alias("t"))
+    together = F.sum("x").over(Window.partitionBy("doc_id", "term"))
+    total = unit.withColumn("s", together).groupBy("doc_id", "sent_ix").agg(F.sum(F.col("x") * F.col("s")).alias("t"))
     return sents.select("doc_id", "sent_ix").join(total, ["doc_id", "sent_ix"], "left").select("doc_id", "sent_ix", F.coalesce("t", F.lit(1.0)).alias("total"))
 
 
@@ -27,8 +27,9 @@ def undamped(unit: DataFrame, sents: DataFrame) -> DataFrame:
 
     Exact inside one connected component; components of a document are not scaled apart (`undamped_by_component` does)."""
     rows = row_sums(unit, sents)
-    whole = rows.groupBy("doc_id").agg(F.sum("total").alias("all"), F.count("*").alias("n"))
-    return rows.join(whole, "doc_id").select("doc_id", "sent_ix", (F.col("total") * F.col("n") / F.col("all")).alias("score"))
+    of_doc = Window.partitionBy("doc_id")
+    share = F.col("total") * F.count("*").over(of_doc) / F.sum("total").over(of_doc)
+    return rows.select("doc_id", "sent_ix", share.alias("score"))
 
 
 def power_iteration(p: np.ndarray, teleport: np.ndarray, damping: float = 0.85, steps: int = 50, tolerance: float = 0.0) -> np.ndarray:

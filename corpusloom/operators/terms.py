@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import text as T
 
@@ -18,9 +18,27 @@ def term_frequency(sents: DataFrame, tokens: Column | None = None, stopwords: It
     """(doc_id, sent_ix, term, tf) for each word of each sentence."""
     words = T.words(F.col("sent")) if tokens is None else tokens
     stop = list(stopwords)
-    rows = sents.select("doc_id", "sent_ix", F.explode(words).alias("term"))
-    rows = rows.filter(~F.col("term").isin(stop)) if stop else rows
-    return rows.groupBy("doc_id", "sent_ix", "term").agg(F.count("*").alias("tf"))
+    if stop:
+        words = F.filter(words, lambda w: ~w.isin(stop))
+    # a sentence is one row: its sorted words are counted in place, by where a new word begins, so nothing is shuffled
+    rows = sents.select("doc_id", "sent_ix", F.array_sort(words).alias("w")).filter(F.size("w") > 0)
+    begins = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    rows = rows.withColumn("b", begins).withColumn("e", F.concat(F.slice("b", F.lit(2), F.size("b") - 1), F.array(F.size("w"))))
+    rows = rows.select("doc_id", "sent_ix", "w", F.explode(F.arrays_zip("b", "e")).alias("x"))
+    return rows.select("doc_id", "sent_ix", F.get("w", F.col("x.b")).alias("term"), (F.col("x.e") - F.col("x.b")).cast("long").alias("tf"))
+
+
+def idf_of_documents(docs: DataFrame, stopwords: Iterable[str] = ()) -> DataFrame:
+    """(term, df, idf) straight from (doc_id, text), equal to `idf_table` of their sentences. Each document gives its
+    distinct words once, and an empty word that counts documents with any; only partial counts are shuffled."""
+    stop = list(stopwords)
+    words = F.array_distinct(T.words(F.col("text")))
+    if stop:
+        words = F.filter(words, lambda w: ~w.isin(stop))
+    rows = docs.select(words.alias("w")).filter(F.size("w") > 0).select(F.explode(F.concat("w", F.array(F.lit("")))).alias("term"))
+    counts = rows.groupBy("term").agg(F.count("*").alias("df"))
+    n = counts.filter("term = ''").select(F.col("df").alias("n"))
+    return counts.filter("term <> ''").join(F.broadcast(n)).select("term", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 
 def document_frequency(tf: DataFrame) -> DataFrame:
@@ -47,7 +65,10 @@ def with_idf(tf: DataFrame, idf: DataFrame, default: float | None = None) -> Dat
 
 
 def unit_vectors(weighted: DataFrame) -> DataFrame:
-    """(doc_id, sent_ix, term, x): weights divided by the sentence's norm; zero weights go."""
-    some = weighted.filter("w > 0")
-    norms = some.groupBy("doc_id", "sent_ix").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return some.join(norms, ["doc_id", "sent_ix"]).select("doc_id", "sent_ix", "term", (F.col("w") / F.col("norm")).alias("x"))
+    """(doc_id, sent_ix, term, x): weights divided by the sentence's norm; zero weights go.
+
+    Rows are dealt out by document once; the sums by sentence here, and by term of a document later, need no further
+    exchange, as rows of a document are together already."""
+    some = weighted.filter("w > 0").repartition("doc_id")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id", "sent_ix")))
+    return some.select("doc_id", "sent_ix", "term", (F.col("w") / norm).alias("x"))

@@ -251,7 +251,7 @@ def document_frequency(spark, d):
 
 @query(f"WITH {_IDF} SELECT term, df, round(idf, 9) AS idf FROM idf")
 def idf_table(spark, d):
-    return terms.idf_table(_tf(spark, d)).withColumn("idf", F.round("idf", 9))
+    return terms.idf_of_documents(docs(spark, d)).withColumn("idf", F.round("idf", 9))
 
 
 @query(f"WITH {_TF} SELECT round(ln(count(DISTINCT doc_id) + 1), 9) AS idf_default FROM tf")

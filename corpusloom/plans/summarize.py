@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import centrality, rouge, select, similarity, tables, terms
+from corpusloom.runtime import settle
+
+
+#: About 100 MB of terms and weights at most.
+BROADCAST_TERMS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -23,10 +28,13 @@ class SummaryOptions:
 
 
 def weights(docs: DataFrame, stopwords: tuple[str, ...] = (), idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sentence rows, term frequencies, unit vectors)."""
+    """(sentence rows, term frequencies, unit vectors). Texts are tokenised once: the term table is written to the shared
+    folder and read by all that follows. The IDF table is broadcast up to BROADCAST_TERMS terms and else joined by term."""
     sents = terms.sentence_rows(docs)
-    tf = terms.term_frequency(sents, stopwords=stopwords)
-    return sents, tf, terms.unit_vectors(terms.with_idf(tf, terms.idf_table(tf) if idf is None else idf))
+    tf = settle(terms.term_frequency(sents, stopwords=stopwords), "term-table")
+    idf = settle(terms.idf_of_documents(docs, stopwords), "idf-table") if idf is None else idf
+    idf = F.broadcast(idf) if idf.count() <= BROADCAST_TERMS else idf
+    return sents, tf, terms.unit_vectors(terms.with_idf(tf, idf))
 
 
 def summarize(docs: DataFrame, options: SummaryOptions = SummaryOptions(), idf: DataFrame | None = None) -> DataFrame:

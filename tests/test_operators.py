@@ -185,3 +185,11 @@ def test_link_stream_gives_each_link_once(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.url for r in spark.table("seen_links").collect()) == ["u", "v"]
+
+
+def test_idf_straight_from_documents(spark):
+    docs = spark.createDataFrame([(1, "a b. a c!"), (2, "b\nB d"), (3, "12 ."), (4, None)], "doc_id int, text string")
+    tf = terms.term_frequency(terms.sentence_rows(docs))
+    both = [sorted((r.term, r.df, round(r.idf, 9)) for r in t.collect()) for t in (terms.idf_table(tf), terms.idf_of_documents(docs))]
+    assert both[0] == both[1] and ("b", 2, 0.0) in both[0]
+    assert {(r.doc_id, r.sent_ix, r.term, r.tf) for r in tf.filter("doc_id = 2").collect()} == {(2, 0, "b", 1), (2, 1, "b", 1), (2, 1, "d", 1)}
