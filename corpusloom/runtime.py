@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,13 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 
 
+def _own_folder() -> str:
+    """A temporary folder of the driver that goes when it ends."""
+    path = tempfile.mkdtemp(prefix="corpusloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that Arrow functions can be imported there."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(), "corpusloom.zip")
+    target = os.path.join(_own_folder(), "corpusloom.zip")
     with zipfile.ZipFile(target, "w") as z:
         for folder, _, names in os.walk(root):
             for name in names:
@@ -35,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = getattr(spark.sparkContext, "_corpusloom_dir", None)
         if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+            base = "file://" + _own_folder()
             spark.sparkContext._corpusloom_dir = base
     return base.rstrip("/")
 
