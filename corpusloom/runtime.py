@@ -12,6 +12,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SCRATCH: set[str] = set()
 
 
 def _own_folder() -> str:
@@ -49,10 +50,35 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this application has settled; frames that still read them can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _scratch(spark: SparkSession) -> str:
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_dir(spark)}/corpusloom-{app}"
+    if app not in _SCRATCH:
+        _SCRATCH.add(app)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+        def drop() -> None:
+            try:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
+            except Exception:  # the JVM may have gone first; the folder then stays
+                pass
+
+        atexit.register(drop)
+    return folder
+
+
 def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors, runs the plan once."""
+    """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors, runs the plan once.
+    The tables of an application share one folder, which goes when the driver ends in order."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
