@@ -3,8 +3,10 @@
 Rotations for balanced binary codes are learned on at most `sample` vectors (chosen by a hash of the id): principal
 directions, then in turns the signs of the rotated vectors and the rotation that fits the signs best. Every vector is
 coded with each rotation. Codes are cut into substrings, one hash table for each; the substring's length follows the
-logarithm of the number of vectors, so buckets keep their mean size as the input grows. Vectors of one bucket whose
-codes differ in few bits are candidates, and candidates are reranked by cosine in double precision.
+logarithm of the number of vectors, so buckets keep their mean size as the input grows. A longer substring is equal less
+often, so the number of rotations follows the length: a pair at the wanted cosine shares a bucket with the chance `recall`
+at every size. Vectors of one bucket whose codes differ in few bits are candidates, and candidates are reranked by cosine
+in double precision.
 
 Equal vectors form a class and are indexed once. Large buckets are cut into blocks; each two blocks meet in a cell, where
 links are counted and only the sums and one edge per vector leave, never the pairs. A pair that meets in several
@@ -18,7 +20,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,12 @@ from corpusloom.runtime import settle, ship, table
 class Options:
     cosine: float = 0.9
     sample: int = 20_000
+    #: The least number; more are learned where `recall` needs more tables.
     rotations: int = 8
+    recall: float = 0.99
+    #: Mean size of a bucket, which sets the substring's length, unless a length is given.
+    bucket: int = 8
+    length: int | None = None
     bits: int = 64
     turns: int = 30
     #: Largest share of differing bits of a candidate; 0.144 is expected at a cosine of 0.9.
@@ -40,6 +47,12 @@ class Options:
     block: int = 512
 
 
+def tables_needed(length: int, cosine: float, recall: float) -> int:
+    """Tables of substrings of this length in one of which a pair at the cosine meets with the chance `recall`."""
+    equal = (1 - math.acos(min(max(cosine, -1.0), 1.0)) / math.pi) ** length
+    return 1 if equal >= recall else math.ceil(math.log(1 - recall) / math.log1p(-max(equal, 1e-9)))
+
+
 def learn_rotations(x: np.ndarray, options: Options) -> list[np.ndarray]:
     """Projections (dimension by bits) of unit vectors, each from another random start."""
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -81,6 +94,15 @@ def substrings(codes: np.ndarray, bits: int, length: int) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
+def substring_masks(bits: int, length: int) -> np.ndarray:
+    """The bits of a code that each of its substrings reads."""
+    starts = list(range(0, bits - length + 1, length)) or [0]
+    on = np.zeros((len(starts), 64), dtype=np.uint8)
+    for k, s in enumerate(starts):
+        on[k, s : s + length] = 1
+    return np.packbits(on, axis=1).view(np.uint64)[:, 0]
+
+
 def _matrix(column: pa.Array, dtype) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = np.asarray(column.flatten())
@@ -146,25 +168,35 @@ def link(vectors: DataFrame, options: Options = Options(), partitions: int | Non
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     classes = classes.filter(F.size("embedding") == usual["d"])
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(options.sample).select("embedding").toArrow()
-    rotations = learn_rotations(_matrix(sample["embedding"], np.float64), options)
-    bits = rotations[0].shape[1]
-    length = min(bits, max(8, math.ceil(math.log2(usual["n"] + 1))))
-    most = int(options.max_bits_apart * bits * len(rotations))
-    n_tables = len(rotations) * max(1, bits // length)
+    x = _matrix(sample["embedding"], np.float64)
+    bits = min(options.bits, x.shape[1])
+    length = min(bits, 48, options.length or max(8, math.ceil(math.log2((usual["n"] + 1) / options.bucket))))
+    masks = substring_masks(bits, length)
+    wanted = math.ceil(tables_needed(length, options.cosine, options.recall) / len(masks))
+    rotations = learn_rotations(x, replace(options, rotations=max(options.rotations, wanted)))
+    judges = options.rotations  # the codes that candidates are judged by
+    most = int(options.max_bits_apart * bits * judges)
 
     def encode(batches):
         for batch in batches:
-            x = _matrix(batch.column(0), np.float64)
-            codes = codes_of(x, rotations)
-            keys = substrings(codes, bits, length) + (np.arange(n_tables, dtype=np.int64) << 32 if length <= 32 else 0)
+            codes = codes_of(_matrix(batch.column(0), np.float64), rotations)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), batch.column(0), pa.array(list(codes.view(np.int64)), type=pa.list_(pa.int64())), pa.array(list(keys), type=pa.list_(pa.int64()))],
-                names=["rep", "mult", "embedding", "codes", "keys"],
+                [batch.column(1), batch.column(2), batch.column(0), pa.array(list(codes.view(np.int64)), type=pa.list_(pa.int64()))], names=["rep", "mult", "embedding", "codes"]
             )
 
-    coded = classes.select("embedding", "rep", "mult").mapInArrow(encode, f"rep {kind}, mult bigint, embedding array<double>, codes array<bigint>, keys array<bigint>")
+    coded = classes.select("embedding", "rep", "mult").mapInArrow(encode, f"rep {kind}, mult bigint, embedding array<double>, codes array<bigint>")
     coded = settle(coded, "coded")
 
+    def keyed(batches):
+        for batch in batches:
+            codes = _matrix(batch.column(1), np.int64).view(np.uint64)
+            few = pa.array(list(codes[:, :judges].view(np.int64)), type=pa.list_(pa.int64()))
+            for k in range(codes.shape[1]):
+                keys = substrings(codes[:, k : k + 1], bits, length)
+                for j in range(keys.shape[1]):
+                    key = keys[:, j] | np.int64(k * len(masks) + j) << 48
+                    yield pa.RecordBatch.from_arrays([batch.column(0), few, pa.array(key)], names=["rep", "codes", "key"])
+
     def any_near(batches):
         for t in _whole_cells(batches):
             codes = _matrix(t["codes"], np.int64).view(np.uint64)
@@ -173,28 +205,27 @@ def link(vectors: DataFrame, options: Options = Options(), partitions: int | Non
                 near = _near(codes, a, b, most)
                 on[a[near]] = True
                 on[b[near]] = True
-            yield pa.RecordBatch.from_arrays([t["rep"].combine_chunks().filter(pa.array(on))], names=["rep"])
+            yield pa.RecordBatch.from_arrays([t[c].combine_chunks().filter(pa.array(on)) for c in ("rep", "key")], names=["rep", "key"])
 
-    keys = coded.select("rep", "codes", F.explode("keys").alias("key"))
-    active = settle(_cells(keys, n_parts, options).mapInArrow(any_near, f"rep {kind}").distinct(), "active")
+    keys = coded.select("rep", "codes").mapInArrow(keyed, f"rep {kind}, codes array<bigint>, key bigint")
+    active = settle(_cells(keys, n_parts, options).mapInArrow(any_near, f"rep {kind}, key bigint").distinct(), "active")
 
     def count_links(batches):
         for t in _whole_cells(batches):
             codes = _matrix(t["codes"], np.int64).view(np.uint64)
-            subs = _matrix(t["keys"], np.int64)
             x = _matrix(t["embedding"], np.float64)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             mult, rep = t["mult"].to_numpy(), t["rep"].to_numpy()
             key = t["key"].to_numpy()
-            column = np.argmax(subs == key[:, None], axis=1)
             links, linked = np.zeros(t.num_rows, dtype=np.int64), []
             for a, b in _meetings(key, *(t[c].to_numpy() for c in ("lo", "hi", "i"))):
-                near = _near(codes, a, b, most)
+                near = _near(codes[:, :judges], a, b, most)
                 a, b = a[near], b[near]
-                first = np.argmax(subs[a] == subs[b], axis=1) == column[a]
-                a, b = a[first], b[first]
                 good = np.einsum("ij,ij->i", x[a], x[b]) >= options.cosine
                 a, b = a[good], b[good]
+                met = ((codes[a] ^ codes[b])[:, :, None] & masks == 0).reshape(len(a), len(rotations) * len(masks))
+                first = np.argmax(met, axis=1) == key[a] >> 48
+                a, b = a[first], b[first]
                 links += np.bincount(a, mult[b], t.num_rows).astype(np.int64) + np.bincount(b, mult[a], t.num_rows).astype(np.int64)
                 if len(a):
                     linked.append((a, b))
@@ -216,9 +247,7 @@ def link(vectors: DataFrame, options: Options = Options(), partitions: int | Non
             on = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(rep[on], type=t["rep"].type), pa.array(links[on]), pa.array(rep[root][on], type=t["rep"].type)], names=["rep", "links", "root"])
 
-    wanted = coded.join(active, "rep")
-    found = wanted.select("rep", "mult", "embedding", "codes", "keys", F.explode("keys").alias("key"))
-    found = settle(_cells(found, n_parts, options).mapInArrow(count_links, f"rep {kind}, links bigint, root {kind}"), "links")
+    found = settle(_cells(coded.join(active, "rep"), n_parts, options).mapInArrow(count_links, f"rep {kind}, links bigint, root {kind}"), "links")
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of_class = coded.select("rep", "mult", "embedding").join(totals, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")

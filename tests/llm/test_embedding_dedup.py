@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from corpusloom.llm import embedding_dedup as E
 
@@ -56,3 +57,22 @@ def test_codes_are_balanced_and_near_vectors_agree():
     assert (abs(ones - 0.5) < 0.15).all()
     y = E.codes_of(x + rng.normal(size=x.shape) * 0.05, rotations)
     assert np.bitwise_count(codes ^ y).sum(1).mean() < 10
+
+
+@pytest.mark.parametrize("length", (20, 24))
+def test_recall_at_the_threshold_with_the_substrings_of_large_tables(spark, length):
+    rng = np.random.default_rng(2)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    a = unit(rng.normal(size=(600, 64)))
+    side = rng.normal(size=a.shape)
+    side = unit(side - (side * a).sum(1, keepdims=True) * a)
+    c = rng.uniform(0.9005, 0.93, size=(600, 1))
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * side]).astype(np.float32).astype(float).tolist()
+    rows = E.link(frame(spark, list(range(1200)), x), E.Options(length=length), 3).collect()
+    assert sum(r.n_links for r in rows) >= 0.98 * 1200
+
+
+def test_tables_follow_the_substring_length():
+    p = np.arccos(0.9) / np.pi
+    for length in (8, 13, 17, 20, 24, 28):
+        assert 1 - (1 - (1 - p) ** length) ** E.tables_needed(length, 0.9, 0.99) >= 0.99
