@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import text as T
@@ -36,6 +36,21 @@ def score_tokens(text: Column, options: Options = Options()) -> Column:
     return F.slice(tokens, 1, options.word_limit) if options.word_limit else tokens
 
 
+def sentence_tokens(text: Column, options: Options = Options()) -> Column:
+    """Token arrays of the sentences that have any, up to the word limit, the crossing sentence cut."""
+    whole = replace(options, word_limit=0)
+    sents = F.filter(F.transform(T.sentences(text), lambda s: score_tokens(s, whole)), lambda t: F.size(t) > 0)
+    if not options.word_limit:
+        return sents
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<array<string>>").alias("out"))
+
+    def step(s, x):
+        room = F.lit(options.word_limit) - s["n"]
+        return F.when(room > 0, F.struct((s["n"] + F.size(x)).alias("n"), F.concat(s["out"], F.array(F.slice(x, F.lit(1), room))).alias("out"))).otherwise(s)
+
+    return F.aggregate(sents, start, step, lambda s: s["out"])
+
+
 def truncate_chars(sents: Column, limit: int) -> Column:
     """Sentences up to `limit` characters, the crossing one cut; separators aren't counted."""
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
@@ -120,15 +135,39 @@ def lcs_table(x: list, y: list, weight: float | None = None) -> tuple[np.ndarray
 
 
 def lcs_hits(x: list, y: list, weight: float | None = None) -> np.ndarray:
-    """Which elements of x lie on the common subsequence."""
-    _, move = lcs_table(x, y, weight)
+    """Which elements of x lie on the common subsequence. The scores and moves of `lcs_table`, of which two rows of scores and a
+    byte for each move are held, so whole texts without a full stop pass too."""
     hit = np.zeros(len(x), dtype=bool)
+    n = 0
+    while n < min(len(x), len(y)) and x[-1 - n] == y[-1 - n]:  # the way back starts at the ends and takes every equal pair
+        n += 1
+    hit[len(x) - n :] = True
+    x, y = x[: len(x) - n], y[: len(y) - n]
+    if set(x).isdisjoint(y):
+        return hit
+    gain = [1 if weight is None else (k + 1) ** weight - k**weight for k in range(min(len(x), len(y)))]
+    score, run, moves = [0] * (len(y) + 1), [0] * (len(y) + 1), []
+    for a in x:
+        row, runs, move, last = [0], [0] * (len(y) + 1), bytearray(len(y)), 0
+        for j, b in enumerate(y):
+            if a == b:
+                k = run[j]
+                last = score[j] + gain[k]
+                runs[j + 1] = k + 1
+            elif score[j + 1] >= last:
+                last, move[j] = score[j + 1], 1
+            else:
+                move[j] = 2
+            row.append(last)
+        moves.append(move)
+        score, run = row, runs
     i, j = len(x), len(y)
     while i and j:
-        if move[i, j] == 0:
+        m = moves[i - 1][j - 1]
+        if m == 0:
             hit[i - 1] = True
             i, j = i - 1, j - 1
-        elif move[i, j] == 1:
+        elif m == 1:
             i -= 1
         else:
             j -= 1
@@ -173,11 +212,14 @@ def rouge_lcs(pairs: DataFrame, weighted: bool = False, options: Options = Optio
     ship(pairs.sparkSession)
     weight = options.weight if weighted else None
 
-    @F.pandas_udf("struct<overlap:double,evaluated:double,reference:double>")
-    def counted(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
-        rows = [lcs_counts([list(s) for s in h], [list(s) for s in r], weight, options.compat) for h, r in zip(hyp, ref)]
-        return pd.DataFrame(rows, columns=["overlap", "evaluated", "reference"])
+    keys = [f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("pair_id", "ref_id")]
+
+    def counted(batches):  # a row's words at a time become Python strings
+        for batch in batches:
+            rows = [lcs_counts(h.as_py() or [], r.as_py() or [], weight, options.compat) for h, r in zip(batch.column(2), batch.column(3))]
+            sums = [pa.array([float(row[k]) for row in rows], type=pa.float64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sums], names=["pair_id", "ref_id", "overlap", "evaluated", "reference"])
 
     exponent = 1 / options.weight if weighted or options.compat else 1.0
-    out = pairs.withColumn("_c", counted("hyp_sents", "ref_sents")).select("pair_id", "ref_id", "_c.*")
+    out = pairs.select("pair_id", "ref_id", "hyp_sents", "ref_sents").mapInArrow(counted, ", ".join([*keys, "overlap double, evaluated double, reference double"]))
     return with_scores(out, options.alpha, exponent).withColumn("metric", F.lit("rouge-w" if weighted else "rouge-l"))

@@ -455,10 +455,48 @@ def rouge_corpus_stats(spark, d):
     return out.select("metric", *[F.round(c, 7).alias(c) for c in out.columns if c != "metric"])
 
 
+_WHOLE = rouge.Options(word_limit=0)
+
+
 def _lcs_pairs(spark, d):
-    return _pairs(spark, d).filter("ref_id = 0").select(
-        "pair_id", "ref_id", F.array(F.slice("hyp", 1, 40)).alias("hyp_sents"), F.array(F.slice("ref", 1, 40)).alias("ref_sents")
-    )
+    """The lead against the rest of the document (reference 0) and against all of it (reference 1), all sentences of both."""
+    s = rouge.sentence_tokens(F.col("text"), _WHOLE)
+    lead = T.sentences(F.col("text"))
+    hyp = rouge.sentence_tokens(F.array_join(F.slice(lead, 1, 3), ".\n"), _WHOLE)
+    rest = rouge.sentence_tokens(F.array_join(F.slice(lead, F.lit(4), F.greatest(F.size(lead) - 3, F.lit(0))), ".\n"), _WHOLE)
+    refs = F.array(*[F.struct(F.lit(k).alias("ref_id"), c.alias("ref")) for k, c in enumerate((rest, s))])
+    t = docs(spark, d).filter("text IS NOT NULL").select(F.col("doc_id").alias("pair_id"), hyp.alias("hyp_sents"), F.explode(refs).alias("x"))
+    return t.select("pair_id", "x.ref_id", "hyp_sents", F.col("x.ref").alias("ref_sents"))
+
+
+def _whole_pairs(spark, d):
+    """The same pairs as token arrays."""
+    return _lcs_pairs(spark, d).select("pair_id", "ref_id", F.flatten("hyp_sents").alias("hyp"), F.flatten("ref_sents").alias("ref"))
+
+
+for _n in (1, 2, 3):
+    query(name=f"rouge_{_n}_whole")(lambda spark, d, n=_n: _rounded(rouge.rouge_n(_whole_pairs(spark, d), n), ["pair_id", "ref_id"]))
+
+
+@query()
+def ngram_counts_whole(spark, d):
+    return rouge.ngram_counts(_whole_pairs(spark, d), ["pair_id", "ref_id"], "ref", 2)
+
+
+@query()
+def rouge_avg_whole(spark, d):
+    return _rounded(rouge.average(rouge.rouge_n(_whole_pairs(spark, d), 1)), ["pair_id"])
+
+
+@query()
+def rouge_best_whole(spark, d):
+    return _rounded(rouge.best(rouge.rouge_n(_whole_pairs(spark, d), 1)), ["pair_id", "ref_id"])
+
+
+@query()
+def rouge_corpus_stats_whole(spark, d):
+    pairs = _whole_pairs(spark, d)
+    return rouge.corpus_stats(rouge.rouge_n(pairs, 1).unionByName(rouge.rouge_n(pairs, 2)))
 
 
 @query()
@@ -515,7 +553,7 @@ def cluster_vocabulary(spark, d):
 
 @query()
 def rouge_1_stemmed(spark, d):
-    pairs = _pairs(spark, d)
+    pairs = _whole_pairs(spark, d)
     return _rounded(rouge.rouge_n(stem.stem_columns(pairs, ["hyp", "ref"]), 1), ["pair_id", "ref_id"])
 
 
@@ -615,5 +653,10 @@ def vector_cosine_edges(spark, d):
 
 @query()
 def evaluate_all(spark, d):
-    rows = docs(spark, d).select(F.col("doc_id").alias("pair_id"), T.first_tokens(F.col("text"), 30).alias("a"), F.array_join(F.slice(F.split("text", " "), 20, 40), " ").alias("b"))
-    return programs.evaluate(rows, F.col("a"), F.col("b"))
+    s = T.sentences(F.col("text"))
+    rows = docs(spark, d).filter("text IS NOT NULL").select(
+        F.col("doc_id").alias("pair_id"),
+        F.array_join(F.slice(s, 1, 3), ".\n").alias("a"),
+        F.array_join(F.slice(s, F.lit(4), F.greatest(F.size(s) - 3, F.lit(0))), ".\n").alias("b"),
+    )
+    return programs.evaluate(rows, F.col("a"), F.col("b"), _WHOLE)

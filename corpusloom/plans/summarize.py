@@ -73,8 +73,8 @@ def evaluate(pairs: DataFrame, generated: Column, reference: Column, options: ro
     keep = ["pair_id", "ref_id", "metric", "p", "r", "f"]
     parts = [rouge.rouge_n(base, n, options).select(keep) for n in range(1, options.max_n + 1)]
     if lcs:
-        one = base.select("pair_id", "ref_id", F.array("hyp").alias("hyp_sents"), F.array("ref").alias("ref_sents"))
-        parts += [rouge.rouge_lcs(one, w, options).select(keep) for w in (False, True)]
+        sents = pairs.select("pair_id", F.lit(0).alias("ref_id"), *[rouge.sentence_tokens(c, options).alias(n) for c, n in ((generated, "hyp_sents"), (reference, "ref_sents"))])
+        parts += [rouge.rouge_lcs(sents, w, options).select(keep) for w in (False, True)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
