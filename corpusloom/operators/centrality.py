@@ -62,7 +62,7 @@ def scores_of(matrix: np.ndarray, method: str, bias: np.ndarray | None = None, d
     m = matrix if threshold is None else (matrix > threshold).astype(float)
     total = m.sum(1)
     if method == "undamped":
-        label = component_labels(m > 0)
+        label = component_labels(m != 0)
         size, mass = np.bincount(label, minlength=len(m)), np.bincount(label, total, minlength=len(m))
         return np.where(mass[label] > 0, total * size[label] / np.where(mass[label] > 0, mass[label], 1), 1.0)
     p = m / np.where(total == 0, 1.0, total)[:, None]
@@ -104,6 +104,33 @@ def per_document(unit: DataFrame, sents: DataFrame, method: str = "damped", bias
     return grouped.mapInArrow(run, f"doc_id {key}, sent_ix int, score double")
 
 
+def per_document_edges(edges: DataFrame, sents: DataFrame, method: str = "damped", bias: DataFrame | None = None, **options) -> DataFrame:
+    """As `per_document`, from edges (doc_id, i, j, sim), i <= j, of any metric; edges of a sentence to itself are given too."""
+    ship(sents.sparkSession)
+    rows = sents.select("doc_id", "sent_ix")
+    rows = rows.join(bias, ["doc_id", "sent_ix"], "left") if bias is not None else rows.withColumn("share", F.lit(0.0))
+    grouped = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sent_ix", F.coalesce("share", F.lit(0.0)).alias("share")))).alias("s"))
+    grouped = grouped.join(edges.groupBy("doc_id").agg(F.collect_list(F.struct("i", "j", "sim")).alias("e")), "doc_id", "left")
+    key = sents.schema["doc_id"].dataType.simpleString()
+    biased = bias is not None
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                inner, found = batch.column(1)[k].values, batch.column(2)[k].values
+                at = inner.field("sent_ix").to_numpy()
+                m = np.zeros((len(at), len(at)))
+                if found is not None:
+                    i, j = (np.searchsorted(at, found.field(c).to_numpy()) for c in "ij")
+                    m[i, j] = m[j, i] = found.field("sim").to_numpy()
+                score = scores_of(m, method, inner.field("share").to_numpy() if biased else None, **options)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(at), dtype=np.int64))), inner.field("sent_ix"), pa.array(score)], names=["doc_id", "sent_ix", "score"]
+                )
+
+    return grouped.mapInArrow(run, f"doc_id {key}, sent_ix int, score double")
+
+
 def bias_shares(tf: DataFrame, sents: DataFrame, bias_words: DataFrame) -> DataFrame:
     """(doc_id, sent_ix, share): counts of bias words over the sentence's words; a word listed twice counts twice.
     bias_words: (term) for all documents or (doc_id, term)."""

@@ -28,35 +28,64 @@ class SummaryOptions:
 
 
 def weights(docs: DataFrame, stopwords: tuple[str, ...] = (), idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sentence rows, term frequencies, unit vectors). Texts are tokenised once: the term table is written to the shared
+    """(sentence rows, term frequencies, unit vectors)."""
+    sents, tf, weighted = _weighted(docs, stopwords, idf)
+    return sents, tf, terms.unit_vectors(weighted)
+
+
+def _weighted(docs: DataFrame, stopwords: tuple[str, ...], idf: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sentence rows, term frequencies, weights). Texts are tokenised once: the term table is written to the shared
     folder and read by all that follows. The IDF table is broadcast up to BROADCAST_TERMS terms and else joined by term."""
     sents = terms.sentence_rows(docs)
     tf = settle(terms.term_frequency(sents, stopwords=stopwords), "term-table")
     idf = settle(terms.idf_of_documents(docs, stopwords), "idf-table") if idf is None else idf
     idf = F.broadcast(idf) if idf.count() <= BROADCAST_TERMS else idf
-    return sents, tf, terms.unit_vectors(terms.with_idf(tf, idf))
+    return sents, tf, terms.with_idf(tf, idf)
+
+
+def _edges(metric: str, tf: DataFrame, weighted: DataFrame, vectors: DataFrame | None) -> DataFrame:
+    """(doc_id, i, j, sim), i <= j, of a metric other than idf cosine; negative cosines stay."""
+    if metric == "common_words":
+        n = F.sum("tf")
+        own = tf.groupBy("doc_id", "sent_ix").agg(F.when(n == 1, F.lit(1.0)).otherwise(n / F.log10(n)).alias("sim"))
+        edges = similarity.common_word_edges(tf)
+    else:
+        v = similarity.sentence_vectors(weighted, vectors) if metric == "word2vec_sim" else vectors.select("doc_id", "sent_ix", F.col("embedding").alias("v"))
+        v = settle(v, "sentence-vectors")
+        own = v.filter(F.exists("v", lambda x: x != 0)).select("doc_id", "sent_ix", F.lit(1.0).alias("sim"))
+        edges = similarity.vector_edges(v, "doc_id", "sent_ix", "v", -2.0)  # below any cosine
+    return edges.unionByName(own.select("doc_id", F.col("sent_ix").alias("i"), F.col("sent_ix").alias("j"), "sim"))
 
 
-def summarize(docs: DataFrame, options: SummaryOptions = SummaryOptions(), idf: DataFrame | None = None) -> DataFrame:
-    """(doc_id, summary) of docs (doc_id, text, and tags for a bias by tags)."""
+def summarize(docs: DataFrame, options: SummaryOptions = SummaryOptions(), idf: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """(doc_id, summary) of docs (doc_id, text, and tags for a bias by tags). vectors: (term, embedding) for word2vec_sim,
+    (doc_id, sent_ix, embedding) for bert_sim."""
     if options.similarity not in similarity.METRICS:
         raise ValueError(f"similarity is one of {similarity.METRICS}")
+    if options.similarity in ("word2vec_sim", "bert_sim") and vectors is None and options.method != "random_sentence":
+        raise ValueError(f"{options.similarity} needs a table of vectors")
+    if options.threshold is not None and not 0 <= options.threshold < 1:
+        raise ValueError("the threshold is in [0, 1)")
     size = options.size if options.size is not None else select.DEFAULT_SIZES.get(options.method.replace("_undamped", ""))
     if options.method == "random_sentence":
         sents = terms.sentence_rows(docs)
         ranked = select.random_sentences(sents, int(size), options.seed).select("doc_id", "sent_ix", F.lit(0.0).alias("score"), "rn")
     else:
-        sents, tf, unit = weights(docs, options.stopwords, idf)
+        sents, tf, weighted = _weighted(docs, options.stopwords, idf)
+        cosine = options.similarity == "idf_mod_cosine"
+        graph = terms.unit_vectors(weighted) if cosine else _edges(options.similarity, tf, weighted, vectors)
+        score = centrality.per_document if cosine else centrality.per_document_edges
         if options.method == "lexrank_undamped":
-            scores = centrality.undamped(unit, sents)
+            plain = cosine and options.threshold is None
+            scores = centrality.undamped(graph, sents) if plain else score(graph, sents, "undamped", threshold=options.threshold)
         elif options.method == "biased_lexrank":
             if options.bias_words is None:
                 words = docs.select("doc_id", F.explode(F.split(F.lower("tags"), ",")).alias("term"))
             else:
                 words = docs.sparkSession.createDataFrame([(w,) for w in options.bias_words], "term string")
-            scores = centrality.per_document(unit, sents, bias=centrality.bias_shares(tf, sents, words), threshold=options.threshold)
+            scores = score(graph, sents, bias=centrality.bias_shares(tf, sents, words), threshold=options.threshold)
         elif options.method == "lexrank":
-            scores = centrality.per_document(unit, sents, threshold=options.threshold)
+            scores = score(graph, sents, threshold=options.threshold)
         else:
             raise ValueError(f"unknown method {options.method}")
         ranked = select.rank_sentences(scores)
