@@ -12,8 +12,10 @@ Equal vectors form a class and are indexed once. Large buckets are cut into bloc
 links are counted and only the sums and one edge per vector leave, never the pairs. A pair that meets in several
 tables counts in the first one.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components, and those of another dimension than
-most have, link with nothing; ties and repeated rows link as equal vectors do; an empty table gives an empty result;
+Vectors of each dimension are linked among themselves; a dimension of few vectors is one bucket, all of whose pairs are
+compared.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; ties and repeated rows link as equal vectors do; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -152,30 +155,20 @@ def _near(codes: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndar
     return np.bitwise_count(codes[a] ^ codes[b]).sum(1, dtype=np.int64) <= most
 
 
-def link(vectors: DataFrame, options: Options = Options(), partitions: int | None = None) -> DataFrame:
-    """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
-    ship(spark)
-    n_parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    kind = vectors.schema["vec_id"].dataType.simpleString()
-    e = F.col("embedding")
-    fine = e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = vectors.select("vec_id", e.cast("array<double>").alias("embedding")).withColumn("fine", F.coalesce(fine, F.lit(False)))
-    classes = rows.filter("fine and vec_id is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
-    classes = settle(classes, "classes")
-    usual = classes.groupBy(F.size("embedding").alias("d")).agg(F.sum("mult").alias("c"), F.count("*").alias("n")).orderBy(F.desc("c"), "d").first()
-    if usual is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    classes = classes.filter(F.size("embedding") == usual["d"])
+def _link_classes(classes: DataFrame, n: int, kind: str, n_parts: int, options: Options) -> DataFrame:
+    """(embedding, links, component) of n classes (embedding, rep, mult) of one dimension."""
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(options.sample).select("embedding").toArrow()
     x = _matrix(sample["embedding"], np.float64)
     bits = min(options.bits, x.shape[1])
-    length = min(bits, 48, options.length or max(8, math.ceil(math.log2((usual["n"] + 1) / options.bucket))))
+    alone = n <= options.block and options.length is None
+    length = min(bits, 48, options.length or max(8, math.ceil(math.log2((n + 1) / options.bucket))))
     masks = substring_masks(bits, length)
     wanted = math.ceil(tables_needed(length, options.cosine, options.recall) / len(masks))
-    rotations = learn_rotations(x, replace(options, rotations=max(options.rotations, wanted)))
+    rotations = learn_rotations(x, replace(options, rotations=1 if alone else max(options.rotations, wanted)))
     judges = options.rotations  # the codes that candidates are judged by
-    most = int(options.max_bits_apart * bits * judges)
+    most = 64 * judges if alone else int(options.max_bits_apart * bits * judges)
+    if alone:
+        masks = np.zeros(1, dtype=np.uint64)
 
     def encode(batches):
         for batch in batches:
@@ -192,7 +185,7 @@ def link(vectors: DataFrame, options: Options = Options(), partitions: int | Non
             codes = _matrix(batch.column(1), np.int64).view(np.uint64)
             few = pa.array(list(codes[:, :judges].view(np.int64)), type=pa.list_(pa.int64()))
             for k in range(codes.shape[1]):
-                keys = substrings(codes[:, k : k + 1], bits, length)
+                keys = np.zeros((len(codes), 1), dtype=np.int64) if alone else substrings(codes[:, k : k + 1], bits, length)
                 for j in range(keys.shape[1]):
                     key = keys[:, j] | np.int64(k * len(masks) + j) << 48
                     yield pa.RecordBatch.from_arrays([batch.column(0), few, pa.array(key)], names=["rep", "codes", "key"])
@@ -251,10 +244,28 @@ def link(vectors: DataFrame, options: Options = Options(), partitions: int | Non
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of_class = coded.select("rep", "mult", "embedding").join(totals, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = settle(
+    return settle(
         of_class.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component")),
         "class-links",
     )
+
+
+def link(vectors: DataFrame, options: Options = Options(), partitions: int | None = None) -> DataFrame:
+    """One row per row of vectors (vec_id, embedding): vec_id, n_links, component_id, kept."""
+    spark = vectors.sparkSession
+    ship(spark)
+    n_parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    e = F.col("embedding")
+    fine = e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
+    rows = vectors.select("vec_id", e.cast("array<double>").alias("embedding")).withColumn("fine", F.coalesce(fine, F.lit(False)))
+    classes = rows.filter("fine and vec_id is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
+    classes = settle(classes, "classes")
+    sizes = classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
+    if not sizes:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    linked = [_link_classes(classes.filter(F.size("embedding") == one["d"]), one["n"], kind, n_parts, options) for one in sizes]
+    of_class = reduce(DataFrame.unionByName, linked)
     out = rows.join(of_class.withColumn("fine", F.lit(True)), ["embedding", "fine"], "left")
     alone = F.col("links").isNull() | F.col("vec_id").isNull()
     component = F.when(alone, F.col("vec_id")).otherwise(F.col("component"))

@@ -76,3 +76,14 @@ def test_tables_follow_the_substring_length():
     p = np.arccos(0.9) / np.pi
     for length in (8, 13, 17, 20, 24, 28):
         assert 1 - (1 - (1 - p) ** length) ** E.tables_needed(length, 0.9, 0.99) >= 0.99
+
+
+def test_each_dimension_links_its_own(spark):
+    rng = np.random.default_rng(6)
+    x = []
+    for d, n in ((32, 60), (2, 9), (24, 20), (1, 3)):
+        base = rng.normal(size=(n, d))
+        x += np.concatenate([base, base[: n // 2] + rng.normal(size=(n // 2, d)) * 0.05, base[:2]]).astype(np.float32).astype(float).tolist()
+    ids = list(range(len(x)))
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.link(frame(spark, ids, x), E.Options(), 3).collect())
+    assert got == brute(ids, x)
