@@ -1,22 +1,31 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives; all other texts of the training folds, whatever their label, are unlabelled.
-A text is the set of its hashed words and word beginnings. Features are chosen by how much commoner they are among
-positives than among unlabelled texts, then a linear classifier is trained in numpy on the risk
-prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]); where the second term falls below zero its gradient is
-reversed, so that the model can't gain by overfitting the unlabelled rows. The prior is the share of label 1 among
-the training labels unless it is given.
-
-The model is fitted on at most `Options.positives` and `Options.unlabelled` texts, chosen by a hash of the id. Every
-whole text is scored.
-
-Defined results: null and empty texts have no features and get the score of the bias alone; ties and repeated rows
-are scored alike; without positives the score is 0; an empty table gives an empty result; `filter_documents` keeps
-the columns that came in.
+A text is the set of its hashed words and word beginnings. Features are the commonest ones by frequency (the shares of
+positives and of unlabelled texts that have them, added up), without those that most unlabelled texts have. A linear
+model with signed weights that begin at zero is trained in numpy on the risk
+prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]) with the logistic loss and a lasso; where the second
+term falls below zero its gradient is reversed, so that the model can't gain by overfitting the unlabelled rows.
+
+The prior is estimated from positives and unlabelled texts, not from labels: three models, each fitted on two thirds of
+both, give scores to the third they have not seen, and the least ratio of the unlabelled share to the positive share
+above any score, with a bound for chance, is the prior. The same scores give the cut that best weighs positives caught
+against negatives flagged (`false_alarm` times). The model is the mean of the three, moved so that the cut lies at the
+threshold.
+
+The model is fitted on at most `Options.positives` and `Options.unlabelled` texts, chosen by a hash of the id; of those
+only the chosen features (`max_features` at most) come to the driver. Every whole text is scored.
+
+Defined results: null and empty texts have no features and get the score of the bias alone; rows with a null id are
+scored and never learned from; ties and repeated rows are scored alike; without positives, or where no feature is common
+enough among them, there is a warning and every score is near 0; an empty table gives an empty result;
+`filter_documents` keeps the columns that came in.
 """
 
 from __future__ import annotations
 
+import hashlib
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.kernels import _BASE, _BYTE, _power_tables, Slice, mix, slices
 from corpusloom.llm.labels import chosen, held_out, sample_ids
-from corpusloom.runtime import ship, table
+from corpusloom.runtime import settle, ship, table
 
 
 @dataclass(frozen=True)
@@ -35,13 +44,23 @@ class Options:
     buckets: int = 1 << 19
     beginnings: tuple[int, ...] = (4, 5, 6)
     max_features: int = 8_192
-    min_count: int = 4
-    min_lift: float = 2.0
-    min_excess: float = 5.0
-    steps: int = 800
-    rate: float = 0.1
-    decay: float = 1e-6
+    #: Positives that must have a feature, and the largest share of unlabelled texts that may.
+    min_count: int = 5
+    max_share: float = 0.5
+    steps: int = 300
+    rate: float = 0.05
+    #: Shrinking by a step of `rate`, for `lasso_positives` positives or more; with fewer it grows by the root.
+    lasso: float = 0.1
+    lasso_positives: int = 300
+    #: The share of toxic texts among the unlabelled ones; None: estimated, from this start.
     prior: float | None = None
+    start_prior: float = 0.1
+    #: What a negative that is flagged costs, against a positive that is missed.
+    false_alarm: float = 5.0
+    #: Models, each fitted without its share of the texts; the result is their mean.
+    folds: int = 3
+    #: Positives that an estimate of the prior and the cut needs.
+    least_for_estimate: int = 12
     threshold: float = 0.7
 
 
@@ -78,6 +97,7 @@ class Model:
     options: Options
     weights: np.ndarray  # by bucket, zero for those not chosen
     bias: float
+    prior: float | None = None
 
     def score(self, column) -> np.ndarray:
         out = []
@@ -91,64 +111,141 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, options: Options = Options()) -> Model:
-    """From sets of buckets."""
+class Rows:
+    """Texts as rows of a sparse matrix of ones."""
+
+    def __init__(self, sets: list[np.ndarray], columns: int):
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        self.n, self.columns = len(sets), columns
+        self.c = np.concatenate(sets).astype(np.int64) if len(sets) else np.zeros(0, dtype=np.int64)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        self.full = np.flatnonzero(sizes)
+        self.starts = (np.cumsum(sizes) - sizes)[self.full]
+        order = np.argsort(self.c, kind="stable")
+        self.by_column = row[order]
+        self.used, self.column_starts = np.unique(self.c[order], return_index=True)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        if len(self.full):
+            out[self.full] = np.add.reduceat(w[self.c], self.starts)
+        return out
+
+    def turned_times(self, a: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.columns)
+        if len(self.used):
+            out[self.used] = np.add.reduceat(a[self.by_column], self.column_starts)
+        return out
+
+
+def risk(w: np.ndarray, bias: float, p: Rows, u: Rows, prior: float, corrected: bool = True) -> tuple[float, float, np.ndarray, float]:
+    """(risk, its second term, gradient of the step for w and for the bias). With the second term below zero the step
+    undoes what lowered it; `corrected=False` takes unlabelled texts for negatives."""
+    zp, zu = p.times(w) + bias, u.times(w) + bias
+    gp, gu = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
+    as_positive, as_negative, others = np.logaddexp(0, -zp).mean(), np.logaddexp(0, zp).mean(), np.logaddexp(0, zu).mean()
+    second = others - prior * as_negative if corrected else others
+    over_p, over_u = prior * (gp - 1) / p.n, gu / u.n
+    if corrected and second >= 0:
+        over_p = over_p - prior * gp / p.n
+    elif corrected:
+        over_p, over_u = prior * gp / p.n, -over_u
+    return prior * as_positive + max(second, 0.0), second, p.turned_times(over_p) + u.turned_times(over_u), float(over_p.sum() + over_u.sum())
+
+
+def descend(p: Rows, u: Rows, prior: float, options: Options, corrected: bool = True) -> tuple[np.ndarray, float]:
+    """Weights from zero by Adam steps of falling size on the risk, each followed by the lasso's shrinking."""
+    w, bias = np.zeros(p.columns), 0.0
+    shrink = options.lasso * max(1.0, float(np.sqrt(options.lasso_positives / max(p.n, 1))))
+    m, v = np.zeros(p.columns + 1), np.zeros(p.columns + 1)
+    for step in range(1, options.steps + 1):
+        _, _, over_w, over_bias = risk(w, bias, p, u, prior, corrected)
+        grad = np.append(over_w, over_bias)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        rate = options.rate * (1 - (step - 1) / options.steps)
+        change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, bias = w - change[:-1], bias - change[-1]
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * shrink, 0.0)
+    return w, float(bias)
+
+
+def estimated_prior(zp: np.ndarray, zu: np.ndarray, chance: float = 0.1) -> float:
+    """The share of positives among unlabelled texts, from scores of both that the model was not fitted on."""
+    cuts = np.sort(zp)
+    in_p = 1 - np.arange(len(cuts)) / len(cuts)
+    in_u = 1 - np.searchsorted(np.sort(zu), cuts) / len(zu)
+    error = np.sqrt(np.log(4 / chance) / 2) * (1 / np.sqrt(len(zu)) + 1 / np.sqrt(len(zp)))
+    k = int(np.argmin((in_u + error) / in_p))
+    return float(np.clip(in_u[k] / in_p[k], 0.005, 0.5))
+
+
+def best_cut(zp: np.ndarray, zu: np.ndarray, prior: float, false_alarm: float) -> float:
+    """A score from which on positives caught, less `false_alarm` times negatives flagged, are most: half-way between the
+    highest such score of a positive and the next score below it."""
+    cuts = np.unique(zp)[::-1]
+    caught = 1 - np.searchsorted(np.sort(zp), cuts) / len(zp)
+    flagged = 1 - np.searchsorted(np.sort(zu), cuts) / len(zu)
+    least = min(prior, float((flagged / caught)[caught >= 0.2].min(initial=1.0)))  # so that no cut looks better than free of error
+    wrong = np.maximum(flagged - least * caught, 0) / (1 - least)
+    cut = cuts[np.argmax(caught - false_alarm * wrong)]
+    below = max((z[z < cut].max() for z in (zp, zu) if (z < cut).any()), default=cut)
+    return float((cut + below) / 2)
+
+
+def common_buckets(positive: list[np.ndarray], unlabelled: list[np.ndarray], options: Options) -> np.ndarray:
+    """The features: buckets by frequency."""
+    in_p, in_u = (np.bincount(np.concatenate(s), minlength=options.buckets) for s in (positive, unlabelled))
+    able = np.flatnonzero((in_p >= options.min_count) & (in_u <= options.max_share * len(unlabelled)))
+    frequency = in_p[able] / len(positive) + in_u[able] / len(unlabelled)
+    return able[np.argsort(-frequency, kind="stable")][: options.max_features]
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], options: Options = Options(), chosen_buckets: np.ndarray | None = None, corrected: bool = True) -> Model:
+    """From sets of buckets; texts are dealt out to the folds in the given order."""
     empty = Model(options, np.zeros(options.buckets), -30.0)
     if not positive or not unlabelled:
+        warnings.warn("no positive or no unlabelled texts: no text will score as toxic", stacklevel=2)
         return empty
-    count = lambda sets: np.bincount(np.concatenate(sets), minlength=options.buckets)
-    in_p, in_u = count(positive), count(unlabelled)
-    lift = (in_p / len(positive)) / ((in_u + 1) / len(unlabelled))
-    chance = len(positive) * (in_u / len(unlabelled))
-    excess = (in_p - chance) / np.sqrt(chance + 1)  # in standard deviations of a count by chance
-    able = np.flatnonzero((in_p >= options.min_count) & (lift >= options.min_lift) & (excess >= options.min_excess))
-    able = able[np.argsort(-(lift[able] * np.sqrt(in_p[able])), kind="stable")][: options.max_features]
+    able = common_buckets(positive, unlabelled, options) if chosen_buckets is None else chosen_buckets
     if not len(able):
+        warnings.warn("no word is common enough among the positives: no text will score as toxic", stacklevel=2)
         return empty
     index = np.full(options.buckets, -1)
     index[able] = np.arange(len(able))
-
-    def matrix(sets):
-        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        cols = index[np.concatenate(sets)] if sets else np.zeros(0, dtype=np.int64)
-        return rows[cols >= 0], cols[cols >= 0], len(sets)
-
-    p, u = matrix(positive), matrix(unlabelled)
-    # all chosen features speak for toxicity: weights begin at their evidence and stay at or above zero, as the sigmoid
-    # loss is flat for texts that it has given up, and would leave a feature there
-    w, bias = 2 * np.log(lift[able]), -3.0
-    m, v = np.zeros(len(able) + 1), np.zeros(len(able) + 1)
-    for step in range(1, options.steps + 1):
-        forward = lambda s: 1 / (1 + np.exp(-np.clip(np.bincount(s[0], w[s[1]], s[2]) + bias, -30, 30)))
-        gp, gu = forward(p), forward(u)
-        # sigmoid loss: loss(+) = 1 - g, loss(-) = g; both have the slope g(1 - g)
-        slope_p, slope_u = gp * (1 - gp) / p[2], gu * (1 - gu) / u[2]
-        negative = gu.mean() - prior * gp.mean()
-        sign = 1.0 if negative >= 0 else -1.0
-        over_p = -prior * slope_p * (1.0 if sign > 0 else 0.0) - sign * prior * slope_p
-        over_u = sign * slope_u
-        grad = np.append(np.bincount(p[0] * 0 + p[1], over_p[p[0]], len(able)) + np.bincount(u[1], over_u[u[0]], len(able)), over_p.sum() + over_u.sum())
-        grad[:-1] += options.decay * w
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        change = options.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w = np.maximum(w - change[:-1], 0.0)
-        bias -= change[-1]
+    columns = lambda sets: [c[c >= 0] for c in (index[s] for s in sets)]
+    positive, unlabelled = columns(positive), columns(unlabelled)
+    rows = lambda sets: Rows(sets, len(able))
+    prior = options.start_prior if options.prior is None else options.prior
+    shift = 0.0
+
+    def out_of_fold(prior: float):
+        """The mean of the folds' models, and scores of all texts by the model that didn't learn from them."""
+        models, zp, zu = [], np.zeros(len(positive)), np.zeros(len(unlabelled))
+        for k in range(options.folds):
+            rest = lambda sets: rows([s for j, s in enumerate(sets) if j % options.folds != k])  # noqa: B023, E731
+            w, bias = descend(rest(positive), rest(unlabelled), prior, options, corrected)
+            zp[k :: options.folds], zu[k :: options.folds] = (rows(s[k :: options.folds]).times(w) + bias for s in (positive, unlabelled))
+            models.append((w, bias))
+        return np.mean([w for w, _ in models], axis=0), float(np.mean([b for _, b in models])), zp, zu
+
+    if len(positive) >= options.least_for_estimate and len(unlabelled) >= options.least_for_estimate:
+        w, bias, zp, zu = out_of_fold(prior)
+        if options.prior is None:
+            found = estimated_prior(zp, zu)
+            if abs(found - prior) > 0.25 * prior:
+                w, bias, zp, zu = out_of_fold(found)
+            prior = found
+        shift = float(np.log(options.threshold / (1 - options.threshold))) - best_cut(zp, zu, prior, options.false_alarm)
+    else:
+        w, bias = descend(rows(positive), rows(unlabelled), prior, options, corrected)
+    bias += shift
     weights = np.zeros(options.buckets)
     weights[able] = w
-    return Model(options, weights, float(bias))
+    return Model(options, weights, float(bias), prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", options: Options = Options()) -> Model:
-    spark = docs.sparkSession
-    ship(spark)
-    usable = labels.filter(F.col(target).isin(0, 1) & ~held_out(F.col("doc_id")))
-    prior = options.prior
-    if prior is None:
-        n, k = usable.agg(F.count("*"), F.sum(target)).first()
-        prior = min(max((k or 0) / max(n, 1), 0.01), 0.5)
-    positive = sample_ids(usable.filter(F.col(target) == 1), options.positives)
-    others = sample_ids(docs.filter(~held_out(F.col("doc_id"))), options.unlabelled)
-    toxic = set(positive)
+def _sample_sets(docs: DataFrame, wanted: list, options: Options) -> DataFrame:
+    """(doc_id, x): the buckets of each wanted text."""
 
     def run(batches):
         for batch in batches:
@@ -161,12 +258,45 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", options: Op
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=pa.list_(pa.int32()))], names=["doc_id", "x"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    wanted = list(dict.fromkeys([*positive, *others]))
-    rows = chosen(docs, wanted).mapInArrow(run, f"doc_id {key}, x array<int>").toArrow()
-    sets = dict(zip(rows["doc_id"].to_pylist(), (np.asarray(x.values) for x in rows["x"])))
-    by_id = sorted(sets)
-    other = set(others)
-    return fit([sets[i] for i in by_id if i in toxic], [sets[i] for i in by_id if i in other], prior, options)
+    return chosen(docs, wanted).mapInArrow(run, f"doc_id {key}, x array<int>")
+
+
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", options: Options = Options(), corrected: bool = True) -> Model:
+    """The features of the sampled texts are counted in Spark; the driver gets those of the chosen columns alone."""
+    spark = docs.sparkSession
+    ship(spark)
+    usable = labels.filter(F.col(target).isin(0, 1) & ~held_out(F.col("doc_id")))
+    positive = sample_ids(usable.filter(F.col(target) == 1), options.positives)
+    others = sample_ids(docs.filter(~held_out(F.col("doc_id"))), options.unlabelled)
+    if not positive or not others:
+        return fit([], [], options)
+    ids = docs.select("doc_id").schema
+    side = lambda found, name: F.broadcast(spark.createDataFrame([(i,) for i in found], ids)).withColumn(name, F.lit(1))
+    sample = settle(_sample_sets(docs, list(dict.fromkeys([*positive, *others])), options), "toxicity-sample")
+    sample = sample.dropDuplicates(["doc_id"]).join(side(positive, "p"), "doc_id", "left").join(side(others, "u"), "doc_id", "left").fillna(0, ["p", "u"])
+    n_p, n_u = sample.agg(F.sum("p"), F.sum("u")).first()
+    if not n_p or not n_u:
+        return fit([], [], options)
+    counts = sample.select(F.explode("x").alias("b"), "p", "u").groupBy("b").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    able = counts.filter((F.col("p") >= options.min_count) & (F.col("u") <= options.max_share * n_u))
+    able = able.orderBy(F.desc(F.col("p") / n_p + F.col("u") / n_u), "b").limit(options.max_features)
+    buckets = np.array([r["b"] for r in able.select("b").collect()], dtype=np.int64)
+    sent = spark.sparkContext.broadcast(np.sort(buckets))
+
+    def only_chosen(batches):
+        for batch in batches:
+            x = batch.column(3)
+            kept = [v[np.isin(v, sent.value)] for v in (np.asarray(s.values) if s.values is not None else np.zeros(0, dtype=np.int32) for s in x)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(kept, type=pa.list_(pa.int32()))], names=["doc_id", "p", "u", "x"])
+
+    key = docs.schema["doc_id"].dataType.simpleString()
+    rows = sample.select("doc_id", "p", "u", "x").mapInArrow(only_chosen, f"doc_id {key}, p int, u int, x array<int>").toArrow()
+    # the order of the sample, by a hash, deals texts out to the thirds
+    order = rows.append_column("h", pa.array([hashlib.blake2b(repr(i).encode(), digest_size=8).hexdigest() for i in rows["doc_id"].to_pylist()])).sort_by("h")
+    sets = [np.asarray(s.values, dtype=np.int64) for s in order["x"]]
+    is_p, is_u = (order[c].to_numpy() == 1 for c in ("p", "u"))
+    pick = lambda on: [s for s, k in zip(sets, on) if k]
+    return fit(pick(is_p), pick(is_u), options, buckets, corrected)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
