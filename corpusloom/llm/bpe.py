@@ -3,10 +3,12 @@
 A text is cut into words by the vocabulary's pattern. Words not met before are encoded together: greedy longest match
 proposes tokens (a vectorised walk of the vocabulary's trie), then every adjacent pair of proposed tokens is tested at
 once for compatibility. A proposal all of whose pairs are compatible is what merging would give; only the words that
-fail undergo exact merging. Encoded words are remembered per Python worker, in a table that is emptied when it grows
-beyond CACHE_WORDS, so memory stays bounded.
+fail undergo exact merging (of long words over a heap of pairs, so that the work grows as n log n). Encoded words are
+remembered per Python worker, in a table that is emptied when it grows beyond CACHE_WORDS words or CACHE_TOKENS tokens, so
+memory stays bounded. Decoding gathers the bytes of many texts' ids from one table at once.
 
-Defined results: a null or empty text has no ids and decodes to the empty text; the special token's string in a text
+Defined results: a null or empty text has no ids and decodes to the empty text; ids that the vocabulary lacks decode to
+nothing, and bytes that are not UTF-8 to the replacement sign; the special token's string in a text
 is that token; each row is encoded alone, so ties and repeated rows need nothing; an empty table gives an empty
 result; other columns are ignored by the query and kept by `encode_documents` where they are named.
 """
@@ -14,17 +16,24 @@ result; other columns are ignored by the query and kept by `encode_documents` wh
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import functions as F
 
 from corpusloom.llm.kernels import text_bytes
 from corpusloom.runtime import ship, table
 
 CACHE_WORDS = 400_000
+CACHE_TOKENS = 4_000_000
+#: Words of this many bytes or more are matched at all places at once, and merged over a heap.
+LONG = 96
 SLICE_BYTES = 2 << 20
 #: White space as the tokenizer's pattern understands it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -49,6 +58,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+class Pieces:
+    """A byte string for each id, and the joined strings of many ids at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+        self.size = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+        self.start = np.cumsum(self.size) - self.size
+
+    def join(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """One string for each row: rows of `counts` ids follow one another in `ids`. Unknown ids give nothing."""
+        known = (ids >= 0) & (ids < len(self.size))
+        ids = np.where(known, ids, 0)
+        size = np.where(known, self.size[ids], 0)
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        joined = self.data[np.repeat(self.start[ids] - (ends - size), size) + np.arange(total)].tobytes()
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        return [joined[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 class Vocabulary:
     """Tokens numbered in the order in which merging makes them: bytes first, then one for each merge."""
 
@@ -74,6 +103,16 @@ class Vocabulary:
             self.left.append(number[a])
             self.right.append(number[b])
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        size = max([*self.ids, *self.special.values()]) + 1
+        raw_of = [b""] * size
+        for t, i in enumerate(self.ids):
+            raw_of[i] = self.bytes[t]
+        for mark, i in self.special.items():
+            raw_of[i] = mark.encode()
+        self.raw = Pieces(raw_of)
+        self.decimal = Pieces([b"%d," % i for i in range(size)])
+        self.longest = max(map(len, self.bytes))
+        self.ids_of = np.array(self.ids, dtype=np.int64)
         self.left_of, self.right_of = np.array(self.left), np.array(self.right)
         keys = np.array([(a << 20) | b for a, b in self.merge], dtype=np.int64)
         order = np.argsort(keys)
@@ -106,8 +145,12 @@ class Vocabulary:
     def propose(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest match of all words at once: (word, token) in the order of each word."""
         words, tokens = [], []
+        for k in np.flatnonzero(end - begin >= LONG).tolist():
+            found = self._propose_long(data[begin[k] : end[k]])
+            words.append(np.full(len(found), k))
+            tokens.append(found)
         live, at = np.arange(len(begin)), begin.copy()
-        live = live[at < end]
+        live = live[(at < end) & (end - begin < LONG)]
         while len(live):
             start, stop = at[live], end[live]
             node = self.from_root[data[start]]
@@ -134,6 +177,34 @@ class Vocabulary:
         order = np.argsort(w, kind="stable")
         return w[order], t[order]
 
+    def _propose_long(self, word: np.ndarray) -> np.ndarray:
+        """The same for one long word: the longest match at every place at once, then the places that the walk meets."""
+        out: list[np.ndarray] = []
+        at, step = 0, 1 << 18
+        while at < len(word):
+            part = word[at : at + step + self.longest]
+            node = self.from_root[part]
+            best, size = self.token_at[node], np.ones(len(part), dtype=np.int64)
+            walk, depth = np.arange(max(len(part) - 1, 0)), 1
+            while len(walk):
+                key = (node[walk] << 8) | part[walk + depth]
+                k = np.minimum(np.searchsorted(self.edge_keys, key), len(self.edge_keys) - 1)
+                found = self.edge_keys[k] == key
+                walk, to = walk[found], self.edge_to[k[found]]
+                node[walk] = to
+                depth += 1
+                token = self.token_at[to]
+                whole = token >= 0
+                best[walk[whole]], size[walk[whole]] = token[whole], depth
+                walk = walk[walk + depth < len(part)]
+            sizes, places, i, stop = size.tolist(), [], 0, min(step, len(part))
+            while i < stop:
+                places.append(i)
+                i += sizes[i]
+            out.append(best[places])
+            at += i
+        return np.concatenate(out)
+
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token that a and b merge to; a number above all tokens where they don't."""
         key = (a << 20) | b
@@ -161,6 +232,8 @@ class Vocabulary:
 
     def merge_exactly(self, word: bytes) -> list[int]:
         """Merge the earliest pair, leftmost first, until none is left; only the pairs beside a merge are looked up anew."""
+        if len(word) >= LONG:
+            return self._merge_long(word)
         merged, none = self.merge.get, 1 << 30
         parts = list(word)
         pairs = [merged(p, none) for p in zip(parts, parts[1:])]
@@ -174,6 +247,29 @@ class Vocabulary:
                 pairs[at] = merged((token, parts[at + 1]), none)
         return parts
 
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same over a heap of (token, place); parts are linked, and a pair whose parts have changed is passed over."""
+        merged = self.merge.get
+        parts, n = list(word), len(word)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(t, i) for i, t in enumerate(map(merged, zip(parts, parts[1:]))) if t is not None]
+        heapq.heapify(heap)
+        while heap:
+            token, i = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] < 0 or j >= n or merged((parts[i], parts[j])) != token:
+                continue
+            parts[i], parts[j] = token, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (t := merged((token, parts[k]))) is not None:
+                    heapq.heappush(heap, (t, i))
+            h = before[i]
+            if h >= 0 and (t := merged((parts[h], token))) is not None:
+                heapq.heappush(heap, (t, h))
+        return [t for t in parts if t >= 0]
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Tokens (in this class's numbers) of each word."""
         if not words:
@@ -216,11 +312,13 @@ class Encoder:
         return _LOADED[path]
 
     def forget(self) -> None:
-        self.text_of = {m: f"{i}," for m, i in self.marks.items()}
-        self.bytes_of = {m: m.encode() for m in self.marks}
+        """Only the special strings are known; a word's place is its row of `start` and `size` in the table of ids."""
+        self.place = {m: k for k, m in enumerate(self.marks)}
+        self.table = np.array(list(self.marks.values()), dtype=np.int64)
+        self.start, self.size = np.arange(len(self.marks)), np.ones(len(self.marks), dtype=np.int64)
 
     def words(self, text: str) -> list[str]:
-        if self.split and "<|" in text:
+        if any(m in text for m in self.marks):
             out = []
             for k, part in enumerate(self.split.split(text)):
                 out += [part] if k % 2 else self._plain(part)
@@ -231,26 +329,44 @@ class Encoder:
         return (self.fast if self.simple.fullmatch(text) else self.full).findall(text)
 
     def learn(self, texts: list[list[str]]) -> None:
-        new = set().union(*texts).difference(self.text_of) if texts else set()
-        if len(self.text_of) + len(new) > CACHE_WORDS:
+        words = set(chain.from_iterable(texts))
+        new = words.difference(self.place)
+        if len(self.place) + len(new) > CACHE_WORDS or len(self.table) > CACHE_TOKENS:
             self.forget()
-            new = set().union(*texts).difference(self.text_of)
-        new = list(new)
-        v = self.vocabulary
-        for word, tokens in zip(new, v.encode_words([w.encode("utf-8", "surrogatepass") for w in new])):
-            self.text_of[word] = "".join([f"{v.ids[t]}," for t in tokens])
-            self.bytes_of[word] = b"".join([v.bytes[t] for t in tokens])
-
-    def encode_batch(self, texts: list[str]) -> list[tuple[str, str]]:
-        """For each text its ids in decimal, joined by commas, and the text decoded from them."""
+            new = words.difference(self.place)
+        if not new:
+            return
+        new, v = list(new), self.vocabulary
+        tokens = v.encode_words([w.encode("utf-8", "surrogatepass") for w in new])
+        sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+        at = len(self.place)
+        self.place.update(zip(new, range(at, at + len(new))))
+        self.start = np.concatenate([self.start, len(self.table) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        flat = np.fromiter(chain.from_iterable(tokens), dtype=np.int64, count=int(sizes.sum()))
+        self.table = np.concatenate([self.table, v.ids_of[flat]])
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text)."""
         words = [self.words(t) for t in texts]
         self.learn(words)
-        ids, raw = self.text_of.__getitem__, self.bytes_of.__getitem__
-        return [("".join(map(ids, w))[:-1], b"".join(map(raw, w)).decode("utf-8", "replace")) for w in words]
+        counts = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), dtype=np.int64, count=int(counts.sum()))
+        size = self.size[at]
+        ends = np.cumsum(size)
+        ids = self.table[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.diff(bounds)
+
+    def decode_batch(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of rows of ids, from the ids alone."""
+        return [raw.decode("utf-8", "replace") for raw in self.vocabulary.raw.join(ids, counts)]
 
     def encode(self, text: str) -> list[int]:
-        ids = self.encode_batch([text])[0][0]
-        return [int(x) for x in ids.split(",")] if ids else []
+        return self.encode_batch([text])[0].tolist()
+
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_batch(np.array(ids, dtype=np.int64), np.array([len(ids)]))[0]
 
 
 def text_slices(column, size: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:
@@ -275,23 +391,41 @@ def encode_documents(docs, path: str, columns: tuple[str, ...] = ("doc_id",), id
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("_text"))
             for first, texts in text_slices(text):
-                found = encoder.encode_batch(texts)
+                flat, counts = encoder.encode_batch(texts)
+                decoded = encoder.decode_batch(flat, counts)
                 arrays = [batch.column(k).slice(first, len(texts)) for k in range(len(columns))]
-                arrays.append(pa.array([s.count(",") + 1 if s else 0 for s, _ in found], type=pa.int64()))
+                arrays.append(pa.array(counts, type=pa.int64()))
                 if ids:
-                    arrays.append(pa.array([[int(x) for x in s.split(",")] if s else [] for s, _ in found], type=pa.list_(pa.int32())))
-                    arrays.append(pa.array([d for _, d in found], type=pa.string()))
+                    offsets = np.concatenate([[0], np.cumsum(counts)])
+                    arrays.append(pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(flat, type=pa.int32())))
+                    arrays.append(pa.array(decoded, type=pa.string()))
                 if digests:
-                    for k in (0, 1):
-                        arrays.append(pa.array([hashlib.sha256(x[k].encode("utf-8")).hexdigest() for x in found], type=pa.string()))
+                    decimals = [x[:-1] for x in encoder.vocabulary.decimal.join(flat, counts)]
+                    for raw in (decimals, [d.encode("utf-8") for d in decoded]):
+                        arrays.append(pa.array([hashlib.sha256(x).hexdigest() for x in raw], type=pa.string()))
                 names = [*columns, "n_tokens"] + ["ids", "decoded"] * ids + ["ids_sha256", "decoded_sha256"] * digests
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    from pyspark.sql import functions as F
-
     return docs.select(*columns, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
+def decode_documents(docs, path: str, column: str = "ids", decoded: str = "decoded"):
+    """All columns of the rows and the text of the array of ids; null ids are none."""
+    ship(docs.sparkSession)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{decoded}` string"
+    at = docs.columns.index(column)
+
+    def run(batches):
+        encoder = Encoder.load(path)
+        for batch in batches:
+            lists = batch.column(at)
+            counts = np.array([n or 0 for n in pc.list_value_length(lists).to_pylist()], dtype=np.int64)
+            flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(encoder.decode_batch(flat, counts), type=pa.string())], names=[*batch.schema.names, decoded])
+
+    return docs.mapInArrow(run, schema)
+
+
 def query(spark, sf_dir: str):
     import public_tokenizers
 

@@ -48,6 +48,8 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.simple = re.compile(f"[{SIMPLE}]*")
+        #: A special string is looked for in lower case as well, as the tokenizer may do either.
+        self.marks = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.word = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
         self.forget()
 
@@ -95,8 +97,9 @@ class WordTokens:
         return np.concatenate(flat), np.concatenate(sizes)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [k for k, t in enumerate(texts) if not self.simple.fullmatch(t) or "<|" in t]
-        words = [self.word.findall(t.lower()) for t in texts]
+        lower = [t.lower() for t in texts]
+        whole = [k for k, t in enumerate(texts) if not self.simple.fullmatch(t) or any(m in lower[k] for m in self.marks)]
+        words = [self.word.findall(t) for t in lower]
         for k in whole:
             words[k] = []
         self.learn(words)
