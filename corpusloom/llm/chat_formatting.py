@@ -76,14 +76,35 @@ def format_conversations(turns: DataFrame, trained: str = TRAINED) -> DataFrame:
             ),
         ),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    d = d.withColumn("starts", prefix_sums("sizes", lambda x: x["lead"] + x["len"]))
+    spans = F.zip_with("sizes", "starts", lambda x, at: F.struct((at + x["lead"]).alias("start"), x["len"].alias("length"), x["on"].alias("on")))
+    d = d.withColumn("all_spans", spans)
+    trained_spans = F.transform(F.filter("all_spans", lambda x: x["on"]), lambda x: F.struct(x["start"], x["length"]))
+    return d.select("conv_id", "formatted", trained_spans.alias("spans"))
 
-    def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + x["lead"]
-        span = F.array(F.struct(begin.alias("start"), x["len"].alias("length")))
-        return F.struct((begin + x["len"]).alias("at"), F.when(x["on"], F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
 
-    return d.select("conv_id", "formatted", F.aggregate(F.col("sizes"), start, step, lambda s: s["spans"]).alias("spans"))
+def _runs(array: str) -> tuple[Column, Column]:
+    """(size of a run, numbers of the runs): an array of n entries is cut in about sqrt(n) runs, so that work within a
+    run that is quadratic, and work that is done for each run over all, both stay below n to the power 1.5."""
+    size = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(array))).cast("int"))
+    return size, F.sequence(F.lit(0), F.ceil(F.size(array) / size).cast("int") - 1)
+
+
+def prefix_sums(array: str, value) -> Column:
+    """For each entry of an array column, the sum of the values of the entries before it."""
+    size, numbers = _runs(array)
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+
+    def sums(entries: Column, first: Column, add) -> Column:
+        start = F.struct(first.alias("at"), none.alias("out"))
+        step = lambda s, x: F.struct((s["at"] + add(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+        return F.aggregate(entries, start, step, lambda s: s["out"])
+
+    run = lambda k: F.slice(F.col(array), k * size + 1, size)
+    totals = F.transform(numbers, lambda k: F.aggregate(run(k), zero, lambda s, x: s + value(x)))
+    first_of = sums(totals, zero, lambda x: x)
+    found = F.transform(F.arrays_zip(numbers.alias("k"), first_of.alias("first")), lambda r: sums(run(r["k"]), r["first"], value))
+    return F.when(F.size(array) > 0, F.flatten(found)).otherwise(none)
 
 
 def read_turns(formatted: Column) -> Column:
@@ -98,13 +119,26 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, parts))
 
 
-def read_loss(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+def read_loss(formatted: Column, spans: str = "spans") -> Column:
+    """All text under the loss mask, unescaped. The text is cut by runs of spans first, so that a span is looked for in
+    its run's part alone."""
+    size, numbers = _runs(spans)
+    texts = lambda run, part, at: F.transform(
+        run, lambda s: unescape(F.substring(part, (s["start"] - at + 1).cast("int"), s["length"].cast("int")))
+    )
+
+    def of_run(k: Column) -> Column:
+        run = F.slice(F.col(spans), k * size + 1, size)
+        first, last = F.get(run, F.lit(0))["start"], F.element_at(run, -1)
+        part = F.substring(formatted, (first + 1).cast("int"), (last["start"] + last["length"] - first).cast("int"))
+        # an array of one part names it, so that it is cut once for all spans of the run
+        return F.array_join(F.flatten(F.transform(F.array(F.struct(part.alias("part"), run.alias("run"))), lambda p: texts(p["run"], p["part"], first))), "")
+
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(numbers, of_run), "")).otherwise("")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    d = formatted.withColumns({"turns": read_turns(F.col("formatted")), "loss": read_loss(F.col("formatted"), F.col("spans"))})
+    d = formatted.withColumns({"turns": read_turns(F.col("formatted")), "loss": read_loss(F.col("formatted"))})
     lines = F.array_join(F.transform(F.col("turns"), lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return d.select(
         "conv_id",

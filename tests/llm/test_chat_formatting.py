@@ -1,3 +1,5 @@
+import time
+
 from hypothesis import given, settings, strategies as st
 
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ def frame(spark, rows):
 
 
 def check(spark, rows):
-    out = C.format_conversations(frame(spark, rows)).select("conv_id", "formatted", "spans", C.read_turns(F.col("formatted")).alias("t"), C.read_loss(F.col("formatted"), F.col("spans")).alias("loss"))
+    out = C.format_conversations(frame(spark, rows)).select("conv_id", "formatted", "spans", C.read_turns(F.col("formatted")).alias("t"), C.read_loss(F.col("formatted")).alias("loss"))
     for r in out.collect():
         own = sorted([((-1 if x[1] is None else x[1]), x[2] or "", x[3] or "") for x in rows if x[0] == r.conv_id])
         assert [(t.role, t.text) for t in r.t] == [(a, b) for _, a, b in own]
@@ -37,6 +39,18 @@ def test_neighbours_of_one_role_share_a_marker(spark):
     assert [row.formatted[s.start : s.start + s.length] for s in row.spans] == ["c", "c"]
 
 
+def test_a_long_conversation_takes_seconds(spark):
+    rows = [(k // 30_000, k % 30_000, "assistant" if k % 2 else "user", f"turn {k} <|end|>") for k in range(30_007)]
+    began = time.time()
+    check(spark, rows)
+    assert time.time() - began < 40
+
+
+def test_clashing_names(spark):
+    turns = frame(spark, [(1, 0, "assistant", "a")]).selectExpr("*", "1 as turns", "2 as spans", "3 as starts", "4 as sizes")
+    assert C.digest(C.format_conversations(turns)).count() == 1
+
+
 def test_empty_table(spark):
     assert C.format_conversations(frame(spark, [])).count() == 0
 
