@@ -3,12 +3,20 @@
 A document is rejected when its base counts fail (too few words, too many repeated windows) or when its histogram of
 character classes and of common words lie too far, by Jensen-Shannon distance, from every language reference: the
 first distance plus half the second may be at most max_distance + slack / sqrt(words), as chance alone moves a short
-text's histogram. References are sums over all documents of the input, by language. Below a minimum of characters or
-words a text is not judged by distance.
+text's histogram. Below a minimum of characters or words a text is not judged by distance.
+
+References are sums of histograms by language over all documents that pass the base rules, in which one document weighs
+as `bound_chars` characters and `bound_words` words at most. They can be saved, loaded and passed in, so that a document's
+verdict needn't depend on the batch it came with; without given ones they are made of the input itself. Common words are
+known for four languages; a document that names another language is judged by its character classes alone.
+
+Texts are read once: the counts of each document are written to the shared folder, and references and verdicts are made
+from those.
 
 Defined results: null and empty texts have zero counts and fail the base rule; rows are judged one by one, so ties,
 repeated rows and repeated ids keep one result each; an empty table gives an empty result; without any reference
-(no document in a known language) only the base rule decides. Extra columns of the input are ignored by `score` and kept by `keep`.
+(no document in a known language) only the base rule decides; a null language, or a table without the column, is judged
+by both histograms. Extra columns of the input, whatever their names, are ignored by `score` and kept by `keep`.
 """
 
 from __future__ import annotations
@@ -17,7 +25,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.runtime import table
+from corpusloom.llm.names import free_prefix
+from corpusloom.runtime import settle, table
 
 #: Frequent short words of four languages, ten each.
 COMMON_WORDS = {
@@ -46,6 +55,8 @@ class Options:
     min_words: int = 20
     max_distance: float = 0.25
     slack: float = 0.4
+    bound_chars: int = 2_000
+    bound_words: int = 400
     base_words: int = 10
     base_repeat_percent: int = 20
 
@@ -122,13 +133,33 @@ def with_counts(docs: DataFrame, prefix: str = "_q_") -> DataFrame:
     return d.drop(*[p + x for x in ("text", "core", "words", "rest", "lines", "hashes", "codes", "windows", "sorted", "again", *CHAR_CLASSES)])
 
 
-def references(docs: DataFrame, languages: tuple[str, ...] = tuple(COMMON_WORDS)) -> dict[str, tuple[list[int], list[int]]]:
-    """Sums of both histograms over all documents, by language: at most one row for each known language."""
+def counted(docs: DataFrame, options: Options = Options(), prefix: str = "_q_") -> DataFrame:
+    """`with_counts` and whether the base rules reject the document."""
+    d, c = with_counts(docs, prefix), lambda name: F.col(prefix + name)
+    failed = (c("n_words") < options.base_words) | (100 * c("n_repeat_words") > options.base_repeat_percent * c("n_words"))
+    return d.withColumn(prefix + "base_failed", failed)
+
+
+def references(counts: DataFrame, options: Options = Options(), prefix: str = "_q_", lang: str = "lang") -> DataFrame:
+    """(lang, chars, common): sums of both histograms of counted documents, one row for each known language."""
     n_chars, n_words = len(CHAR_CLASSES) + 3, len(vocabulary()) + 1
-    d = with_counts(docs.select("text", F.col("lang").alias("_q_lang")).filter(F.col("_q_lang").isin(*languages)))
-    sums = [F.sum(F.col("_q_chars")[k]).alias(f"c{k}") for k in range(n_chars)] + [F.sum(F.col("_q_common")[k]).alias(f"w{k}") for k in range(n_words)]
-    rows = d.groupBy("_q_lang").agg(*sums).orderBy("_q_lang").limit(len(languages)).collect()
-    return {r["_q_lang"]: ([r[f"c{k}"] for k in range(n_chars)], [r[f"w{k}"] for k in range(n_words)]) for r in rows}
+    some = counts.filter(F.col(lang).isin(*COMMON_WORDS) & ~F.col(prefix + "base_failed"))
+
+    def sums(name: str, n: int, bound: int) -> list[Column]:
+        total = F.aggregate(F.col(prefix + name), F.lit(0).cast("long"), lambda s, x: s + x)
+        weight = F.least(total, F.lit(bound)) / F.greatest(total, F.lit(1))
+        return [F.sum(F.col(prefix + name)[k] * weight).alias(f"{name}{k}") for k in range(n)]
+
+    rows = some.groupBy(F.col(lang).alias("lang")).agg(*sums("chars", n_chars, options.bound_chars), *sums("common", n_words, options.bound_words))
+    return rows.select("lang", F.array(*[f"chars{k}" for k in range(n_chars)]).alias("chars"), F.array(*[f"common{k}" for k in range(n_words)]).alias("common"))
+
+
+def save_references(refs: DataFrame, path: str) -> None:
+    refs.write.mode("overwrite").parquet(path)
+
+
+def load_references(spark, path: str) -> DataFrame:
+    return spark.read.schema("lang string, chars array<double>, common array<double>").parquet(path)
 
 
 def _shares(counts: Column) -> Column:
@@ -143,7 +174,7 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
-def _nearest(shares: Column, refs: list[list[int]]) -> Column:
+def _nearest(shares: Column, refs: list[list[float]]) -> Column:
     """The least distance to the references that have any count."""
     found = []
     for ref in refs:
@@ -152,38 +183,48 @@ def _nearest(shares: Column, refs: list[list[int]]) -> Column:
     return F.least(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast("double")
 
 
-def judge(docs: DataFrame, options: Options = Options(), refs: dict | None = None) -> DataFrame:
-    """Every column of the documents, with the counts, distances and verdict in columns that begin with _q_."""
-    refs = references(docs) if refs is None else refs
-    d = with_counts(docs)
-    d = d.withColumns({"_q_char_shares": _shares(F.col("_q_chars")), "_q_word_shares": _shares(F.col("_q_common"))})
+def judge(counts: DataFrame, refs: DataFrame, options: Options = Options(), prefix: str = "_q_", lang: str = "lang") -> DataFrame:
+    """Add distances and verdict to counted documents; of the references there is one row for each known language."""
+    c = lambda name: F.col(prefix + name)
+    known = refs.orderBy("lang").limit(len(COMMON_WORDS)).collect()
+    d = counts.withColumns({prefix + "char_shares": _shares(c("chars")), prefix + "word_shares": _shares(c("common"))})
     d = d.withColumns(
         {
-            "_q_char_distance": _nearest(F.col("_q_char_shares"), [r[0] for r in refs.values()]),
-            "_q_word_distance": _nearest(F.col("_q_word_shares"), [r[1] for r in refs.values()]),
+            prefix + "char_distance": _nearest(c("char_shares"), [r["chars"] for r in known]),
+            prefix + "word_distance": _nearest(c("word_shares"), [r["common"] for r in known]),
         }
     )
-    n_chars = F.aggregate(F.col("_q_chars"), F.lit(0).cast("long"), lambda s, x: s + x)
-    distance = F.coalesce(F.col("_q_char_distance"), F.lit(0.0)) + F.coalesce(F.col("_q_word_distance"), F.lit(0.0)) / 2
-    allowed = options.max_distance + options.slack / F.sqrt(F.greatest(F.col("_q_n_words"), F.lit(1)))
-    far = (distance > allowed) & (n_chars >= options.min_chars) & (F.col("_q_n_words") >= options.min_words)
-    failed = (F.col("_q_n_words") < options.base_words) | (100 * F.col("_q_n_repeat_words") > options.base_repeat_percent * F.col("_q_n_words"))
-    return d.withColumn("_q_base_failed", failed).withColumn("_q_kept", ~failed & ~far)
+    n_chars = F.aggregate(c("chars"), F.lit(0).cast("long"), lambda s, x: s + x)
+    by_words = F.coalesce(F.col(lang).isin(*COMMON_WORDS), F.lit(True))
+    distance = F.coalesce(c("char_distance"), F.lit(0.0)) + F.when(by_words, F.coalesce(c("word_distance"), F.lit(0.0)) / 2).otherwise(0.0)
+    allowed = options.max_distance + options.slack / F.sqrt(F.greatest(c("n_words"), F.lit(1)))
+    far = (distance > allowed) & (n_chars >= options.min_chars) & (c("n_words") >= options.min_words)
+    return d.withColumn(prefix + "kept", ~c("base_failed") & ~far)
+
+
+def _lang(docs: DataFrame) -> Column:
+    return F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
 
 
-def score(docs: DataFrame, options: Options = Options()) -> DataFrame:
+def score(docs: DataFrame, options: Options = Options(), refs: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, the counts, both distances, base_failed and kept."""
-    d = judge(docs, options)
+    counts = counted(docs.select("doc_id", "text", _lang(docs).alias("lang")), options).drop("text")
+    if refs is None:
+        counts = settle(counts, "quality-counts")
+        refs = references(counts, options)
+    d = judge(counts, refs, options)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept")
     return d.select("doc_id", *[F.col("_q_" + n).alias(n) for n in names])
 
 
-def keep(docs: DataFrame, options: Options = Options()) -> DataFrame:
+def keep(docs: DataFrame, options: Options = Options(), refs: DataFrame | None = None) -> DataFrame:
     """The documents that are kept, with the columns that came in."""
-    columns = docs.columns
-    # a filter isn't moved below a projection that numbers rows: moved down, it would repeat every expression inside
-    judged = judge(docs, options).withColumn("_q_row", F.monotonically_increasing_id())
-    return judged.filter("_q_kept AND _q_row >= 0").select(*[F.col(f"`{c}`") for c in columns])
+    columns, prefix = docs.columns, free_prefix(docs.columns)
+    lang = prefix + "lang"
+    # settled even with given references: a filter moved below the projection would repeat its expressions
+    counts = settle(counted(docs.withColumn(lang, _lang(docs)), options, prefix), "quality-counted")
+    refs = references(counts, options, prefix, lang) if refs is None else refs
+    return judge(counts.filter(~F.col(prefix + "base_failed")), refs, options, prefix, lang).filter(F.col(prefix + "kept")).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -205,7 +246,8 @@ def _oracle() -> str:
         return f"min(sqrt(greatest(list_sum(list_transform(range(1, {n + 1}), lambda i: {both})) / 2, 0)))"
 
     n_chars, n_words = len(CHAR_CLASSES) + 3, len(vocab) + 1
-    sums = ", ".join(f"[{', '.join(f'sum({c}[{k}])::DOUBLE' for k in range(1, n + 1))}] AS {c}" for c, n in (("chars", n_chars), ("common", n_words)))
+    weight = lambda c: f"least(list_sum({c}), {options.bound_chars if c == 'chars' else options.bound_words}) / greatest(list_sum({c}), 1)"
+    sums = ", ".join(f"[{', '.join(f'sum({c}[{k}] * {weight(c)})' for k in range(1, n + 1))}] AS {c}" for c, n in (("chars", n_chars), ("common", n_words)))
     return rf"""
 WITH a AS (SELECT doc_id, lang, coalesce(text, '') AS t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS c FROM documents),
 b AS MATERIALIZED (
@@ -220,12 +262,12 @@ f AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w,
 g AS MATERIALIZED (SELECT doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
     list_concat([word_chars - n_rest, n_t - word_chars], list_concat(cls, [n_rest - list_sum(cls)]))::DOUBLE[] AS chars,
     list_concat(hits, [n_words - list_sum(hits)])::DOUBLE[] AS common FROM f LEFT JOIN rep USING (doc_id)),
-d AS (SELECT *, list_sum(chars) AS chars_n, list_sum(common) AS common_n FROM g),
-r AS (SELECT *, list_sum(chars) AS chars_n, list_sum(common) AS common_n FROM (SELECT lang, {sums} FROM g WHERE lang IN ({langs}) GROUP BY lang)),
+d AS (SELECT *, list_sum(chars) AS chars_n, list_sum(common) AS common_n, n_words < {options.base_words} OR 100 * n_repeat_words > {options.base_repeat_percent} * n_words AS base_failed FROM g),
+r AS (SELECT *, list_sum(chars) AS chars_n, list_sum(common) AS common_n FROM (SELECT lang, {sums} FROM d WHERE lang IN ({langs}) AND NOT base_failed GROUP BY lang)),
 m AS (SELECT d.doc_id, {distance('chars', n_chars)} AS cd, {distance('common', n_words)} AS wd FROM d, r GROUP BY d.doc_id),
-j AS (SELECT d.*, cd, wd, n_words < {options.base_words} OR 100 * n_repeat_words > {options.base_repeat_percent} * n_words AS base_failed FROM d JOIN m USING (doc_id))
+j AS (SELECT d.*, cd, wd, CASE WHEN lang NOT IN ({langs}) THEN 0 ELSE wd END AS judged FROM d JOIN m USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance, base_failed,
-  NOT base_failed AND NOT (cd + wd / 2 > {options.max_distance} + {options.slack} / sqrt(greatest(n_words, 1)) AND chars_n >= {options.min_chars} AND n_words >= {options.min_words}) AS kept
+  NOT base_failed AND NOT (cd + judged / 2 > {options.max_distance} + {options.slack} / sqrt(greatest(n_words, 1)) AND chars_n >= {options.min_chars} AND n_words >= {options.min_words}) AS kept
 FROM j
 """
 
