@@ -1,18 +1,22 @@
 """Sharding along a Hilbert curve, in DataFrame expressions only.
 
-Three metadata dimensions are quantised to a grid: language and source by a hash (equal values stay together), and the
-text's size by its binary logarithm. Rows are sorted by their index on the curve, then by id, and the order is cut
-into runs of equal numbers of rows, so each shard covers a compact box in all three dimensions at once and a reader
-that filters on any of them can skip files by their minima and maxima.
-
-Law `rows`: shard sizes differ by one row at most. Nulls in a dimension share one cell; a null text has no bytes;
-repeated rows and ties take neighbouring places (an order among identical rows makes no difference); an empty table
-gives an empty result; other columns are ignored.
+Three metadata dimensions are quantised to a grid: language and source by the rank of the value among the table's values
+(up to 2**BITS values get a cell each, spread over the side; more are cut, in their order, in as many ranges), and the
+text's size by its binary logarithm. Neighbouring cells hold neighbouring values, so that the order survives which minima
+and maxima are compared in. Rows are sorted by their index on the curve, then by id, and the order is cut into runs of
+equal numbers of rows, so each shard covers a compact box in all three dimensions at once and a reader that filters on any
+of them can skip files by their minima and maxima.
+
+Texts are read once; what is sorted are their sizes, checksums and metadata, written to the shared folder.
+
+Law `rows`: shard sizes differ by one row at most. Nulls in a dimension share the first cell; a missing column is one
+cell; a null text has no bytes; repeated rows and ties take neighbouring places (an order among identical rows makes no
+difference); an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.runtime import settle, table
 
@@ -57,42 +61,58 @@ def hilbert_index(x: Column, y: Column, z: Column, bits: int = BITS) -> Column:
     return F.aggregate(planes, state, step, finish)
 
 
-def grid(docs: DataFrame, bits: int = BITS) -> list[Column]:
-    side = 1 << bits
-    cell = lambda name: F.pmod(F.xxhash64(F.coalesce(F.col(name), F.lit(""))), F.lit(side)).cast("int") if name in docs.columns else F.lit(0)
-    size = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
-    by_size = F.least(F.lit(side - 1), F.floor(F.log2(size + 1.0) * 1.5).cast("int"))
-    return [cell("lang"), cell("source"), by_size]
+def first_values(rows: DataFrame, name: str, cells: int) -> list[str]:
+    """The first value of each cell, in order: all distinct values where they are no more than the cells, else the first
+    value of each of as many ranges of them, found by a range-partitioned deal of the distinct values."""
+    values = rows.select(F.col(name).alias("v")).filter("v is not null").distinct()
+    some = values.orderBy("v").limit(cells + 1).collect()
+    if len(some) <= cells:
+        return [r["v"] for r in some]
+    ranges = values.repartitionByRange(cells, "v").groupBy(F.spark_partition_id().alias("p")).agg(F.min("v").alias("v"))
+    found = sorted(r["v"] for r in ranges.orderBy("p").collect())
+    return [found[k * len(found) // cells] for k in range(cells)] if len(found) > cells else found
+
 
+def rank_cell(name: str, firsts: list[str], cells: int) -> Column:
+    """The cell of a value: its range's number, spread over the side."""
+    if not firsts:
+        return F.lit(0)
+    at = F.size(F.filter(F.array(*map(F.lit, firsts)), lambda x: x <= F.col(name)))
+    at = F.greatest(F.when(F.col(name).isNull(), F.lit(1)).otherwise(at), F.lit(1)) - 1
+    return F.floor(at * cells / len(firsts)).cast("int")
 
-def shard(docs: DataFrame, shards: int = SHARDS, partitions: int | None = None) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, hilbert, shard and slot.
+
+def shard(docs: DataFrame, shards: int = SHARDS, partitions: int | None = None, bits: int = BITS) -> DataFrame:
+    """One row per document: doc_id, lang, source, size, text_crc32, hilbert, shard and slot.
 
     Ranks come from a range-partitioned sort: each row's place in its partition plus the rows of the partitions
     before, of which there is one count for each partition. No window over all rows is used."""
     spark = docs.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    side = 1 << bits
     text = F.coalesce(F.col("text"), F.lit(""))
+    tag = lambda name: (F.col(name) if name in docs.columns else F.lit(None)).cast("string").alias(name)
     d = docs.select(
         "doc_id",
+        tag("lang"),
+        tag("source"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        hilbert_index(*grid(docs)).alias("hilbert"),
     )
+    d = settle(d, "shard-rows")  # range partitioning reads its input twice
+    tags = [rank_cell(name, first_values(d, name, side), side) for name in ("lang", "source")]
+    by_size = F.least(F.lit(side - 1), F.floor(F.log2(F.col("size") - OVERHEAD + 1.0) * 1.5).cast("int"))
+    d = d.withColumn("hilbert", hilbert_index(*tags, by_size, bits))
     order = ["hilbert", "doc_id", "text_crc32", "size"]
     placed = d.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
-    placed = settle(placed, "shard-order")
-    part, within = F.shiftright(F.col("_place"), 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    rows, before, offsets = sum(counts.values()), 0, []
-    for p in range(max(counts, default=-1) + 1):
-        offsets.append(before)
-        before += counts.get(p, 0)
-    rows = max(rows, 1)
-    ranked = placed.withColumn("_rank", F.get(F.array(*[F.lit(x).cast("long") for x in offsets or [0]]), part.cast("int")) + within)
-    ranked = ranked.withColumn("shard", F.expr(f"cast(_rank * {shards} div {rows} as int)"))
-    first = F.expr(f"({rows}L * shard + {shards - 1}L) div {shards}L")
-    return ranked.withColumn("slot", (F.col("_rank") - first).cast("long")).drop("_rank", "_place")
+    placed = settle(placed, "shard-order").withColumn("_part", F.shiftright(F.col("_place"), 33))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row for each partition: the only rows that this window holds
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_rows"))
+    ranked = placed.join(F.broadcast(before), "_part").withColumn("_rank", F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
+    ranked = ranked.withColumn("shard", F.expr(f"cast(_rank * {shards} div _rows as int)"))
+    first = F.expr(f"(_rows * shard + {shards - 1}L) div {shards}L")
+    return ranked.withColumn("slot", (F.col("_rank") - first).cast("long")).drop("_rank", "_place", "_part", "_before", "_rows")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

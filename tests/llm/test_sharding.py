@@ -1,3 +1,4 @@
+import math
 import zlib
 from itertools import product
 
@@ -29,3 +30,67 @@ def test_counts_differ_by_one_and_slots_have_no_gaps(spark, make_docs, edge_docs
 def test_fewer_rows_than_shards_and_none(edge_docs, no_docs):
     assert len({(r.shard, r.slot) for r in S.shard(edge_docs).collect()}) == 9
     assert S.shard(no_docs).count() == 0
+
+
+def curve_place(x, y, z, bits):
+    """The place of a point, by walking the curve: of eight octants in turn, from the published rotation rules."""
+    point, m = [x, y, z], 1 << (bits - 1)
+    q = m
+    while q > 1:
+        low = q - 1
+        for k in range(3):
+            if point[k] & q:
+                point[0] ^= low
+            else:
+                t = (point[0] ^ point[k]) & low
+                point[0] ^= t
+                point[k] ^= t
+        q >>= 1
+    for k in (1, 2):
+        point[k] ^= point[k - 1]
+    t, q = 0, m
+    while q > 1:
+        if point[2] & q:
+            t ^= q - 1
+        q >>= 1
+    point = [p ^ t for p in point]
+    return int("".join(str(p >> b & 1) for b in range(bits - 1, -1, -1) for p in point), 2)
+
+
+def test_order_follows_the_curve(spark, make_docs):
+    docs = make_docs(*[(k, "word " * (k * k % 97)) for k in range(300)])
+    docs = docs.withColumns({"lang": F.element_at(F.array(F.lit("de"), F.lit("en"), F.lit("fr"), F.lit(None)), (F.col("doc_id") % 4 + 1).cast("int")), "source": F.concat(F.lit("s"), F.col("doc_id") % 7)})
+    rows = S.shard(docs, 7, partitions=3).collect()
+    langs, sources = ["de", "en", "fr"], [f"s{k}" for k in range(7)]
+
+    def place(r):
+        lang = langs.index(r.lang) * 32 // 3 if r.lang else 0
+        return curve_place(lang, sources.index(r.source) * 32 // 7, min(31, int(math.log2(r.size - 15) * 1.5)), 5)
+
+    assert all(place(r) == r.hilbert for r in rows)
+    by_slot = sorted(rows, key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in by_slot] == [r.doc_id for r in sorted(rows, key=lambda r: (place(r), r.doc_id))]
+
+
+def test_filters_on_any_dimension_skip_shards(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    d = S.shard(docs).cache()
+    for name in ("lang", "source"):
+        box = d.groupBy("shard").agg(F.min(name).alias("lo"), F.max(name).alias("hi"))
+        values = d.select(F.col(name).alias("v")).distinct()
+        met = values.join(box, F.col("v").between(F.col("lo"), F.col("hi"))).count() / values.count()
+        holding = d.select(name, "shard").distinct().count() / values.count()
+        assert met <= 20 and met <= 1.6 * holding, (name, met, holding)
+
+
+def test_many_values_share_cells_in_order(spark, make_docs):
+    docs = make_docs(*[(k, "a b") for k in range(500)]).withColumn("source", F.format_string("host%03d", F.col("doc_id")))
+    firsts = S.first_values(docs, "source", 32)
+    assert firsts == sorted(firsts) and 16 <= len(firsts) <= 32
+    cells = [r.c for r in docs.orderBy("source").select(S.rank_cell("source", firsts, 32).alias("c")).collect()]
+    assert cells == sorted(cells) and max(cells.count(c) for c in set(cells)) < 60
+
+
+def test_clashing_and_missing_columns(make_docs):
+    docs = make_docs((1, "a"), (2, None), (None, "b")).withColumns({c: F.lit(1) for c in ("hilbert", "_place", "_rank", "shard", "size", "_n")})
+    assert S.shard(docs).count() == 3 and S.shard(docs.select("doc_id", "text")).count() == 3
