@@ -40,22 +40,35 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir; where it is unset, an own one, in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = getattr(spark.sparkContext, "_corpusloom_dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + _own_folder()
             spark.sparkContext._corpusloom_dir = base
     return base.rstrip("/")
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that this application has settled; frames that still read them can't be used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has settled; frames that still read them can't be used any more."""
+    _delete(spark, _scratch(spark))
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the tables of settled frames that nothing reads any more; other frames are left alone."""
+    for df in frames:
+        if path := getattr(df, "_corpusloom_path", None):
+            _delete(df.sparkSession, path)
+
+
 def _scratch(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     folder = f"{shared_dir(spark)}/corpusloom-{app}"
@@ -76,14 +89,16 @@ def _scratch(spark: SparkSession) -> str:
 
 def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors, runs the plan once.
-    The tables of an application share one folder, which goes when the driver ends in order."""
+    `drop` deletes it; the tables of an application share one folder, which goes when the driver ends in order."""
     spark = df.sparkSession
     path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out._corpusloom_path = path
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
