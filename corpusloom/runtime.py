@@ -101,5 +101,15 @@ def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return out
 
 
+def scratch(spark: SparkSession) -> str:
+    """The application's own folder among the shared ones."""
+    return _scratch(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Ask the driver's JVM to collect garbage: only then do shuffle files of finished steps leave the executors' disks."""
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
