@@ -9,15 +9,22 @@ set costs its number of subsets, a heavy one its list entries times the cost of
 boundary enter the lists too, so that light and heavy sets meet. Prefixes are in the order of the hashes: two sets that
 link share `depth` elements among the first n - c + depth of each, c being the least overlap that a set of n needs.
 
-1. Keys go, packed, to buckets by their value; a bucket gives back the keys that two classes have in common.
+The cost of an entry is measured: from the list keys of every 64th class (by its signature), the mean length of the list
+that an entry meets.
+
+1. Keys go, packed, to buckets by their value; a bucket gives back the keys that two classes have in common. A bucket with
+   far more keys than the mean has a hot key; its keys become rows, which are made distinct and counted with map-side
+   aggregation instead.
 2. A class with fewer common keys than any link needs is out; in what is left, each class keeps the prefix of its rarest
    common keys, which is where a partner must show.
 3. Each class is compared with the class that it shares most keys with among the first ones of its lists: one exact
    comparison each, whatever the size of a group.
-4. Lists whose classes are connected by now are done. In the others, classes of different components are joined by list;
-   a bound on the overlap (from parity bits of both sets) drops most before the exact comparison.
+4. Lists whose classes are connected by now are done. In the others, classes of different components are joined by list:
+   a list is cut by set size so that only sizes that can link meet, then in blocks; a bound on the overlap (from parity
+   bits of both sets) drops most pairs before the exact comparison.
 
-No list, group or component is gathered in one task; joins on hot keys are ones that Spark can split.
+No list, group or component is gathered in one task. Tables with a row for each key join lists in two parts: keys with more
+than a small part of all entries, of which there can only be few, are broadcast, and all others are shuffled.
 
 Defined results: null and empty texts, and those without words, have no shingles and link with nothing; fewer words
 than a shingle form one shingle; repeated rows of one id are one document in each of their rows; rows without an id
@@ -28,6 +35,7 @@ have no component; an empty table gives an empty result; other columns are ignor
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,20 +43,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.components import components
+from corpusloom.llm.joins import by_key, hot_keys
 from corpusloom.llm.kernels import mix, shingle_sets
-from corpusloom.runtime import settle, ship, table
+from corpusloom.runtime import drop, settle, ship, table
 
 BITMAP_LONGS = 32
+#: One class of so many gives its list keys to measure the lists' length.
+SAMPLED = 64
 
 
 @dataclass(frozen=True)
 class Options:
     shingle: int = 5
     percent: int = 75
-    #: Cost of one entry of an inverted list against that of one subset, for its share of a scan.
-    list_cost: float = 4.0
+    #: Cost of meeting one more entry of a list, against that of making, sending and counting one key.
+    meeting_cost: float = 0.05
     largest_boundary: int = 64
     bucket_keys: int = 1_000_000
+    #: A bucket with so many keys, and so many times the mean, is taken apart.
+    hot_bucket: int = 250_000
+    hot_times: float = 4.0
     #: Rows of a list that are compared with one another in one place.
     block: int = 512
 
@@ -72,9 +86,10 @@ def links(a: int, b: int, common: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def boundary(histogram: dict[int, int], options: Options) -> int:
-    """The set size up to which enumerating subsets costs less than scanning lists."""
+def boundary(histogram: dict[int, int], options: Options, others_met: float) -> int:
+    """The set size up to which enumerating subsets costs less than scanning lists, in which an entry meets so many others."""
     best, at = None, 0
+    list_cost = 1 + options.meeting_cost * min(others_met, options.block)
     for limit in range(0, options.largest_boundary + 1):
         cost = 0.0
         for n, count in histogram.items():
@@ -82,7 +97,7 @@ def boundary(histogram: dict[int, int], options: Options) -> int:
             if n <= limit:
                 cost += count * (p + 2) * (p + 1) / 2
             if n >= least_overlap(limit + 1, options.percent):
-                cost += count * (p + depth(n, options.percent)) * options.list_cost
+                cost += count * (p + depth(n, options.percent)) * list_cost
         if best is None or cost < best:
             best, at = cost, limit
     return at
@@ -108,21 +123,38 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
 
 
 def describe(docs: DataFrame, options: Options = Options()) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2): the size and the 128-bit signature of each document's set."""
+    """(doc_id, n_shingles, s1, s2, sampled): the size and the 128-bit signature of each document's set, and the list keys
+    of those sets whose signature falls in the sample."""
     ship(docs.sparkSession)
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            sets = [(len(s), *_signature(s)) for _, s in shingle_sets(batch.column(1), options.shingle)]
-            n, s1, s2 = zip(*sets) if sets else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, type=pa.int64()) for x in (n, s1, s2)]], names=["doc_id", "n_shingles", "s1", "s2"])
+            n, marks, sampled = [], [], []
+            for _, s in shingle_sets(batch.column(1), options.shingle):
+                mark = _signature(s)
+                n.append(len(s))
+                marks.append(mark)
+                sampled.append(keys_of(s, 0, options).view(np.int64) if mark[0] % SAMPLED == 0 and len(s) else None)
+            s1, s2 = zip(*marks) if marks else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(x, type=pa.int64()) for x in (n, s1, s2)], pa.array(sampled, type=pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "s1", "s2", "sampled"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n_shingles bigint, s1 bigint, s2 bigint, sampled array<bigint>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n_shingles bigint, s1 bigint, s2 bigint")
+def others_met(classes: DataFrame) -> float:
+    """How many other entries an entry of a list meets on the mean, from the classes with sampled keys: a list of which c
+    entries are sampled has c (c - 1) sampled pairs, and SAMPLED squared as many in truth."""
+    lists = classes.filter("sampled is not null").select(F.explode("sampled").alias("key")).groupBy("key").agg(F.count("*").alias("c"))
+    entries, pairs = lists.agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1.0))).first()
+    return SAMPLED * float(pairs) / float(entries) if entries else 0.0
 
 
 def _packed_keys(docs: DataFrame, light_up_to: int, buckets: int, options: Options) -> DataFrame:
-    """(bucket, keys, owners): keys of many documents, packed by bucket; an owner is the first half of a signature.
+    """(bucket, n, keys, owners): n keys of many documents, packed by bucket; an owner is the first half of a signature.
 
     A set met before in the same task isn't packed again, so a group of copies counts once for each task."""
 
@@ -141,10 +173,11 @@ def _packed_keys(docs: DataFrame, light_up_to: int, buckets: int, options: Optio
                 return pa.RecordBatch.from_arrays(
                     [
                         pa.array(names, type=pa.int64()),
+                        pa.array([b - a for a, b in zip(cuts.tolist(), ends)], type=pa.int64()),
                         pa.array([k[a:b].tobytes() for a, b in zip(cuts, ends)], type=pa.binary()),
                         pa.array([o[a:b].tobytes() for a, b in zip(cuts, ends)], type=pa.binary()),
                     ],
-                    names=["bucket", "keys", "owners"],
+                    names=["bucket", "n", "keys", "owners"],
                 )
 
             for _, s in shingle_sets(batch.column(0), options.shingle):
@@ -166,11 +199,35 @@ def _packed_keys(docs: DataFrame, light_up_to: int, buckets: int, options: Optio
             if held:
                 yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket bigint, keys binary, owners binary")
+    return docs.select("text").mapInArrow(run, "bucket bigint, n bigint, keys binary, owners binary")
+
+
+def _common_keys(packed: DataFrame, partitions: int, options: Options) -> DataFrame:
+    """(key, owner, df): keys that two owners or more have, with the number of their owners. A bucket is worked off in one
+    place unless it is hot; a hot bucket's keys are counted as rows."""
+    buckets = packed.groupBy("bucket").agg(F.sum("n").alias("n"))
+    mean = buckets.agg(F.avg("n")).first()[0] or 0
+    hot = settle(buckets.filter(F.col("n") > max(options.hot_times * mean, options.hot_bucket)).select("bucket"), "hot-buckets")
+    if hot.isEmpty():
+        return _common_in_buckets(packed, partitions)
+
+    def rows(batches):
+        for batch in batches:
+            for k, o in zip(batch.column(0), batch.column(1)):
+                k, o = (np.frombuffer(x.as_buffer(), dtype=np.int64) for x in (k, o))
+                for i in range(0, len(k), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(k[i : i + 50_000]), pa.array(o[i : i + 50_000])], names=["key", "owner"])
+
+    taken = packed.join(F.broadcast(hot), "bucket", "left_semi").select("keys", "owners").mapInArrow(rows, "key bigint, owner bigint")
+    taken = settle(taken.distinct(), "hot-entries")
+    sizes = settle(taken.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "hot-sizes")
+    apart = by_key(taken, sizes.select("key", F.col("m").alias("df")), hot_keys(sizes, "key"), "key")
+    cold = packed.join(F.broadcast(hot), "bucket", "left_anti")
+    return _common_in_buckets(cold, partitions).unionByName(apart.select("key", "owner", "df"))
 
 
-def _common_keys(packed: DataFrame, partitions: int) -> DataFrame:
-    """(key, owner, df): keys that two owners or more have, with the number of their owners; bucket by bucket."""
+def _common_in_buckets(packed: DataFrame, partitions: int) -> DataFrame:
+    """The same for buckets of bounded size."""
 
     def emit(keys, owners):
         if not keys:
@@ -209,6 +266,7 @@ def _common_keys(packed: DataFrame, partitions: int) -> DataFrame:
                 owners.append(o.as_py())
         yield from emit(keys, owners)
 
+    packed = packed.select("bucket", "keys", "owners")
     return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key bigint, owner bigint, df bigint")
 
 
@@ -255,22 +313,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, options: Options) -> DataFrame:
     return joined.mapInArrow(run, f"a {key}, b {key}")
 
 
+def size_class(n, percent: int):
+    """Sets that link are of one class or of neighbouring ones: a class is a little wider than the largest ratio of sizes."""
+    return F.floor(F.log(n.cast("double")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
+
+
 def _near_pairs(rows: DataFrame, partitions: int, options: Options) -> DataFrame:
-    """Pairs (a, b) of one list and of different components that may link: rows (key, m, rep, n, component, bits).
+    """Pairs (a, b) of one list and of different components that may link: rows (key, c, blocks, rep, n, component, bits).
 
-    A long list (m classes) is cut into blocks, and each two of its blocks meet in a cell of their own, so a cell holds
-    two blocks of rows at most. Differing parity bits are no more than differing elements, in a part of the bits as in
-    all of them, which drops most pairs."""
+    c is the size class of a row, and `blocks` how many blocks each class of its list has. Each two blocks of a class, and of
+    neighbouring classes, meet in a cell of their own, so a cell holds two blocks of rows at most and a row is copied only
+    to cells of sizes that it can link with. Differing parity bits are no more than differing elements, in a part of the
+    bits as in all of them, which drops most pairs."""
     key = rows.schema["rep"].dataType.simpleString()
-    blocks = F.ceil(F.col("m") / options.block)
-    rows = rows.withColumn("g", blocks.cast("int")).withColumn("i", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-    cells = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    cells = cells.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "rep", "n", "component", "bits")
-
-    def compare(rep, n, comp, block, bits):
-        """All pairs of one cell; those within a block are left to the block's own cell."""
-        split = block[0] != block[-1]
-        cut = int(np.searchsorted(block, block[0], side="right")) if split else len(rep)
+    count = lambda c: F.coalesce(F.try_element_at("blocks", c), F.lit(0))
+    numbers = lambda c: F.filter(F.sequence(F.lit(0), F.greatest(count(c), F.lit(1)) - 1), lambda _: count(c) > 0)
+    cell = lambda c, across, lo, hi, side: F.struct(c.alias("c"), across.alias("across"), lo.alias("lo"), hi.alias("hi"), side.alias("side"))
+    c, i, no, yes = F.col("c"), F.col("i"), F.lit(0), F.lit(1)
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), count(c)).cast("int"))
+    own = F.transform(numbers(c), lambda j: cell(c, F.when(i == j, no).otherwise(yes), F.least(i, j), F.greatest(i, j), F.when(i <= j, no).otherwise(yes)))
+    up = F.transform(numbers(c + 1), lambda j: cell(c, F.lit(2), i, j, no))
+    down = F.transform(numbers(c - 1), lambda j: cell(c - 1, F.lit(2), j, i, yes))
+    cells = rows.withColumn("x", F.explode(F.concat(own, up, down))).select("key", "x.*", "rep", "n", "component", "bits")
+
+    def compare(rep, n, comp, across, side, bits):
+        """All pairs of one cell, or all across its two blocks."""
+        split = across[0] > 0
+        cut = int(np.searchsorted(side, 1)) if split else len(rep)
         right = np.arange(cut, len(rep)) if split else np.arange(len(rep))
         for at in range(0, cut, 256):
             x = np.arange(at, min(at + 256, cut))
@@ -294,7 +363,7 @@ def _near_pairs(rows: DataFrame, partitions: int, options: Options) -> DataFrame
         def whole(t: pa.Table):
             rep = t["rep"].to_numpy()
             bits = np.asarray(t["bits"].combine_chunks().flatten()).view(np.uint64).reshape(-1, BITMAP_LONGS)
-            for a, b in compare(rep, t["n"].to_numpy(), t["component"].to_numpy(), t["i"].to_numpy(), bits):
+            for a, b in compare(rep, t["n"].to_numpy(), t["component"].to_numpy(), t["across"].to_numpy(), t["side"].to_numpy(), bits):
                 swap = a > b
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a), type=kind), pa.array(np.where(swap, a, b), type=kind)], names=["a", "b"])
 
@@ -302,8 +371,8 @@ def _near_pairs(rows: DataFrame, partitions: int, options: Options) -> DataFrame
             t = pa.Table.from_batches([batch])
             kind = t["rep"].type
             t = pa.concat_tables([held, t]) if held is not None else t
-            k, lo, hi = (t[c].to_numpy() for c in ("key", "lo", "hi"))
-            cuts = np.flatnonzero((k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            marks = [t[name].to_numpy() for name in order]
+            cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
             begin = 0
             for end in cuts.tolist():
                 yield from whole(t.slice(begin, end - begin))
@@ -312,8 +381,8 @@ def _near_pairs(rows: DataFrame, partitions: int, options: Options) -> DataFrame
         if held is not None and held.num_rows:
             yield from whole(held)
 
-    order = ["key", "lo", "hi"]
-    return cells.repartition(partitions, *order).sortWithinPartitions(*order, "i").mapInArrow(run, f"a {key}, b {key}")
+    order = ["key", "c", "across", "lo", "hi"]
+    return cells.repartition(partitions, *order).sortWithinPartitions(*order, "side").mapInArrow(run, f"a {key}, b {key}")
 
 
 def link(docs: DataFrame, options: Options = Options(), partitions: int | None = None) -> DataFrame:
@@ -322,16 +391,18 @@ def link(docs: DataFrame, options: Options = Options(), partitions: int | None =
     percent = options.percent
     n_parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     described = settle(describe(docs, options), "described")
-    classes = described.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    classes = described.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sampled").alias("sampled"))
     classes = settle(classes, "classes")
     # the histogram has one row for each set size up to the largest that a boundary depends on; larger sets count as one
     sizes = classes.groupBy(F.least("n", F.lit(2 * options.largest_boundary + 1)).alias("n")).agg(F.count("*").alias("c"), F.sum("n").alias("total")).collect()
-    light_up_to = boundary({r["n"]: r["c"] for r in sizes}, options)
+    light_up_to = boundary({r["n"]: r["c"] for r in sizes}, options, others_met(classes))
     total_keys = sum(r["total"] for r in sizes) * (1.25 - percent / 100)
     buckets = max(8 * n_parts, int(total_keys / options.bucket_keys) + 1)
     parts = max(n_parts, buckets // 64)
-    common = settle(_common_keys(_packed_keys(docs, light_up_to, buckets, options), parts), "common-keys")
-    common = common.join(classes.select(F.col("s1").alias("owner"), "rep", "n"), "owner").select("key", "rep", "n", "df")
+    packed = settle(_packed_keys(docs, light_up_to, buckets, options), "packed-keys")
+    found = settle(_common_keys(packed, parts, options), "common-keys")
+    drop(packed)
+    common = found.join(classes.select(F.col("s1").alias("owner"), "rep", "n"), "owner").select("key", "rep", "n", "df")
     # step 2: enough common keys, then the rarest of them (a light set needs one subset alone)
     need = F.when(F.col("n") <= light_up_to, F.lit(1)).otherwise(
         F.floor(F.ceil(F.ceil(F.col("n") * percent / 100) * percent / 100) / 4) + 1
@@ -342,11 +413,14 @@ def link(docs: DataFrame, options: Options = Options(), partitions: int | None =
     held = settle(held, "held")
     # lists of the same classes are one list; a list of one class leads nowhere
     marks = held.groupBy("key").agg(F.count("*").alias("m"), *[F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
-    unlike = marks.filter("m > 1").groupBy("m", "x1", "x2").agg(F.min("key").alias("key"))
-    lists = settle(held.join(unlike.select("key", "m"), "key"), "lists")
+    marks = settle(marks.filter("m > 1"), "list-marks")
+    unlike = settle(marks.groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key", "m"), "unlike-lists")
+    hot = hot_keys(marks, "key")
+    lists = settle(by_key(held, unlike, hot, "key").select("key", "rep", "n").withColumn("c", size_class(F.col("n"), percent)), "lists")
+    drop(found, held)
     # step 3: one comparison for each class
     first = settle(lists.groupBy("key").agg(F.min("rep").alias("a")), "first-of-list")
-    votes = lists.join(first, "key").filter("a < rep").groupBy("rep", "a").agg(F.count("*").alias("v"))
+    votes = by_key(lists, first, hot, "key").filter("a < rep").groupBy("rep", "a").agg(F.count("*").alias("v"))
     pairs = votes.groupBy("rep").agg(F.max_by("a", F.struct("v", F.expr("-a") if _numeric(docs) else F.col("a"))).alias("a")).select("a", F.col("rep").alias("b"))
     pairs = settle(pairs, "pairs")
     wanted = lists.select("rep").distinct()
@@ -357,14 +431,18 @@ def link(docs: DataFrame, options: Options = Options(), partitions: int | None =
     # step 4: lists that hold more than one component
     named = lists.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = settle(named, "named-lists")
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    rest = named.join(mixed, "key").join(sets.select("rep", "bits"), "rep")
+    # one row for each list: how many blocks each of its size classes has (there are few classes)
+    sizes = named.groupBy("key", "c").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    blocks = F.map_from_entries(F.collect_list(F.struct("c", F.ceil(F.col("m") / options.block).cast("int"))))
+    mixed = sizes.groupBy("key").agg(blocks.alias("blocks"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("key", "blocks")
+    rest = by_key(named, settle(mixed, "mixed-lists"), hot, "key").join(sets.select("rep", "bits"), "rep")
     more = _near_pairs(rest, n_parts, options).distinct()
     more = more.join(pairs, ["a", "b"], "left_anti")
     edges = edges.union(settle(_verified(settle(more, "more-pairs"), sets, options), "more-edges"))
     comp = settle(components(edges), "components")
     of_class = classes.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     of_class = settle(of_class, "class-components")
+    drop(sets, lists, named)
     return described.join(of_class, ["s1", "s2"], "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

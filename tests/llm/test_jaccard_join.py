@@ -1,8 +1,9 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from corpusloom.llm import jaccard_join as J
+from corpusloom.llm import jaccard_join as J, joins
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -68,8 +69,35 @@ def test_edges(edge_docs, no_docs):
 
 
 def test_boundary_follows_cost():
-    assert J.boundary({4: 100}, J.Options(list_cost=100.0)) >= 4
-    assert J.boundary({40: 100}, J.Options(list_cost=0.01)) < 40
+    assert J.boundary({4: 100}, J.Options(meeting_cost=1.0), 100.0) >= 4
+    assert J.boundary({40: 100}, J.Options(), 0.0) < 40
+
+
+def test_mean_length_of_lists_is_measured_on_the_sample(spark):
+    rng = np.random.default_rng(7)
+    lists = [(int(k), int(rng.integers(1, 400))) for k in range(3000)]
+    truth = sum(m * (m - 1) for _, m in lists) / sum(m for _, m in lists)
+    sampled = [([k] * int(rng.binomial(m, 1 / J.SAMPLED)),) for k, m in lists]
+    found = J.others_met(spark.createDataFrame([(x or None,) for (x,) in sampled], "sampled array<bigint>"))
+    assert abs(found - truth) < 0.2 * truth
+    assert J.others_met(spark.createDataFrame([], "sampled array<bigint>")) == 0
+
+
+def test_a_shingle_that_all_documents_share(make_docs, monkeypatch):
+    settled, plain = [], J.settle
+    monkeypatch.setattr(joins, "HOT_KEYS", 5)
+    monkeypatch.setattr(J, "settle", lambda df, name: settled.append(name) or plain(df, name))
+    common = "one two three four five"
+    rows = [(k, f"{common} " + t) for k, t in corpus(4, 50)] + [(100 + k, common) for k in range(30)] + [(200 + k, f"{common} tail{k}") for k in range(30)]
+    check(make_docs(*rows), hot_bucket=5, hot_times=1.0, bucket_keys=20, block=4)
+    assert "hot-entries" in settled
+
+
+def test_sets_that_link_are_of_neighbouring_classes(spark):
+    sizes = spark.range(1, 40_000).select(F.col("id").alias("n"), F.ceil(F.col("id") * 75 / 100).alias("least"))
+    for percent in (75, 50, 90):
+        d = sizes.select(J.size_class(F.col("n"), percent).alias("a"), J.size_class(F.greatest(F.ceil(F.col("n") * percent / 100), F.lit(1)), percent).alias("b"))
+        assert d.filter("a - b not in (0, 1)").isEmpty()
 
 
 def test_light_keys_meet_whenever_sets_link():
