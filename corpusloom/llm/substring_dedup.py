@@ -5,31 +5,41 @@ in a document with a smaller id.
 
 Every window contains `window - gram + 1` runs of `gram` words; the smallest of their hashes is the window's
 fingerprint. Equal windows have equal fingerprints, and neighbouring windows mostly share one, so a document has few.
-The index keeps (fingerprint, first and last document) in immutable sorted runs. A batch of new documents is
-aggregated into a run of its own and merge-joined with each run of the history; what meets, or occurs in two
-documents of the batch, is a shared fingerprint. Two runs of one level are compacted into one of the next.
+The index (see FingerprintIndex) is a folder of immutable runs, each bucketed and sorted by its keys: fingerprints with
+their first and last document, verified windows with their first document, and hashes of whole word sequences. A batch of
+new documents is aggregated into runs of its own, which are merge-joined with the runs of the history bucket by bucket, so
+the history is neither shuffled nor sorted again. Two runs of one level are compacted into one of the next by a merge.
 
-Shared fingerprints are then verified: for documents that hold one, all windows under it are hashed to 96 bits, the
-smallest document of each window is found with map-side aggregation, and windows that start later are removed.
-Documents with the same words as an earlier one are found by a hash of the whole sequence first, so that a large
-group of copies is carried through the index once.
+A fingerprint that the batch shares with the history, or that two documents of the batch share, is verified: all windows
+under it are hashed to 96 bits, the smallest document of each window is found with map-side aggregation, and windows that
+start later are removed. Of the history only documents whose fingerprint has had no second document until now are read
+again; windows under fingerprints shared before are in the index. Documents with the same words as an earlier one are found
+by a hash of the whole sequence first, so that a large group of copies is carried through the index once.
 
 Defined results: null and empty texts have no words and lose none; a null id is never removed from and never a
 source; repeated rows of one id don't count against each other; texts shorter than a window stay whole; an empty
-table gives an empty result; `dedup_documents` keeps the columns that came in.
+table gives an empty result; `dedup_documents` keeps the columns that came in, whatever their names, and a document that
+loses every word stays as an empty text. A later batch is judged against the history; its ids should be greater, as
+nothing is removed from earlier batches.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusloom.llm.joins import by_key, hot_keys
 from corpusloom.llm.kernels import mix, slices
-from corpusloom.runtime import settle, ship, table
+from corpusloom.llm.names import free_prefix
+from corpusloom.runtime import drop, scratch, settle, ship, table, tidy
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
@@ -38,7 +48,10 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 class Options:
     window: int = 50
     gram: int = 8
+    #: Batches that one table goes through the index in.
     batches: int = 4
+    #: Documents of the history that are read again are found by broadcasting their ids up to so many, else by a shuffle.
+    broadcast_ids: int = 2_000_000
 
 
 def window_fingerprints(part, options: Options) -> tuple[np.ndarray, np.ndarray]:
@@ -96,48 +109,199 @@ def describe(docs: DataFrame, options: Options = Options()) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n_words bigint, w1 bigint, w2 bigint, sha string, prints array<bigint>")
 
 
+@contextmanager
+def _sorted_scans(spark):
+    """Lets plans rely on the order within a bucket's file."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class SortedRuns:
+    """Immutable runs of (keys, first, last), bucketed and sorted by the keys, with the smallest and largest document of
+    each key in a run. A run is an external table; `state` lists (level, folder name) of each."""
+
+    def __init__(self, spark, folder: str, keys: dict[str, str], kind: str, buckets: int, state: list):
+        self.spark, self.folder, self.keys, self.kind, self.buckets = spark, folder, keys, kind, buckets
+        self.state, self.tables = [tuple(x) for x in state], {}
+
+    def _path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
+    def read(self, name: str) -> DataFrame:
+        if name not in self.tables:
+            columns = ", ".join(f"`{k}` {t}" for k, t in {**self.keys, "first": self.kind, "last": self.kind}.items())
+            by = ", ".join(self.keys)
+            known = f"corpusloom_run_{uuid.uuid4().hex}"
+            path = self._path(name).replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE {known} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+            self.tables[name] = known
+        return self.spark.table(self.tables[name])
+
+    def write(self, rows: DataFrame) -> str:
+        """A new run of rows (keys, first, last) with one row for each key; not listed until `append`."""
+        name = f"run-{uuid.uuid4().hex}"
+        known = f"corpusloom_run_{uuid.uuid4().hex}"
+        by = list(self.keys)
+        # one task for each bucket, so a bucket is one file
+        rows.select(*by, "first", "last").write.bucketBy(self.buckets, *by).sortBy(*by).option("path", self._path(name)).format("parquet").saveAsTable(known)
+        self.tables[name] = known
+        return name
+
+    def new_run(self, rows: DataFrame) -> str:
+        """A run of rows (keys, doc_id): aggregated map-side, dealt out to the buckets, sorted."""
+        by = list(self.keys)
+        found = rows.groupBy(*by).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        return self.write(found.repartition(self.buckets, *by).sortWithinPartitions(*by))
+
+    def meet(self, name: str) -> DataFrame:
+        """(keys, first, last) of the history for the keys that a run shares with it, by merge joins with each run; a key
+        of several runs has several rows."""
+        new = self.read(name).select(*self.keys)
+        joined = [new.hint("merge").join(self.read(old).hint("merge"), list(self.keys)) for _, old in self.state]
+        if not joined:
+            return self.read(name).limit(0)
+        return reduce(DataFrame.unionByName, joined)
+
+    def append(self, name: str) -> list[str]:
+        """List a run and compact runs of one level; returns the runs that are not needed any more."""
+        gone: list[str] = []
+        self.state.append((0, name))
+        while len(self.state) > 1 and self.state[-1][0] == self.state[-2][0]:
+            gone += self._merge_last(self.state[-1][0] + 1)
+        return gone
+
+    def compact(self) -> list[str]:
+        gone: list[str] = []
+        while len(self.state) > 1:
+            gone += self._merge_last(self.state[-2][0] + 1)
+        return gone
+
+    def _merge_last(self, level: int) -> list[str]:
+        (_, a), (_, b) = self.state[-2:]
+        x, y = (self.read(n).select(*self.keys, F.col("first").alias(f"f{k}"), F.col("last").alias(f"l{k}")).hint("merge") for k, n in enumerate((a, b)))
+        merged = x.join(y, list(self.keys), "full").select(*self.keys, F.least("f0", "f1").alias("first"), F.greatest("l0", "l1").alias("last"))
+        self.state[-2:] = [(level, self.write(merged))]
+        return [a, b]
+
+    def forget(self, names: list[str]) -> None:
+        """Delete runs."""
+        for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class FingerprintIndex:
-    """Immutable runs of (print, first, last), each sorted by print, with the documents' smallest and largest id.
-
-    `add` takes a batch (print, doc_id), gives the batch's prints that are shared with the history or within the batch,
-    and keeps the batch as a run. Two runs of one level are compacted into one of the next level."""
-
-    def __init__(self):
-        self.runs: list[tuple[int, DataFrame]] = []
-
-    @staticmethod
-    def _run(rows: DataFrame) -> DataFrame:
-        return settle(rows.groupBy("print").agg(F.min("first").alias("first"), F.max("last").alias("last")).sortWithinPartitions("print"), "run")
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        new = self._run(batch.select("print", F.col("doc_id").alias("first"), F.col("doc_id").alias("last")))
-        shared = new.filter("first < last").select("print")
-        for _, old in self.runs:
-            shared = shared.union(new.join(old.select("print"), "print").select("print"))
-        shared = settle(shared.distinct(), "shared")
-        self.runs.append((0, new))
-        while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
-            (level, a), (_, b) = self.runs.pop(), self.runs.pop()
-            self.runs.append((level + 1, self._run(a.union(b))))
-        return shared
-
-
-def shared_prints(entries: DataFrame, options: Options) -> DataFrame:
-    """Prints that occur in two documents or more: entries (doc_id, prints) go through the index in batches, by ranges of
-    whole-number ids, else by a hash of the id (which documents are shared doesn't depend on the batches)."""
-    low, high = entries.agg(F.min("doc_id"), F.max("doc_id")).first()
-    index, found = FingerprintIndex(), None
-    if low is None:
-        return entries.select(F.explode("prints").alias("print")).limit(0)
-    for k in range(options.batches):
-        if isinstance(low, int):
-            width = (high - low) // options.batches + 1
-            batch = entries.filter(F.col("doc_id").between(low + k * width, low + (k + 1) * width - 1))
-        else:
-            batch = entries.filter(F.pmod(F.xxhash64("doc_id"), F.lit(options.batches)) == k)
-        shared = index.add(batch.select("doc_id", F.explode("prints").alias("print")))
-        found = shared if found is None else found.union(shared)
-    return found.distinct()
+    """What earlier batches held, in a folder that all executors share.
+
+    `open` makes the folder or finds what is in it; `dedup` judges a batch against the history and adds it; `compact`
+    merges all runs. A batch counts once its manifest is written, after all of its results: a run that fails before can
+    be repeated. Invariants: a fingerprint with one document only has first = last; all windows under the others are
+    among the verified ones."""
+
+    def __init__(self, spark, path: str, options: Options, version: int, state: dict):
+        self.spark, self.path, self.options, self.version, self.kind = spark, path, options, version, state["kind"]
+        self.buckets = state["buckets"]
+        runs = lambda name, keys: SortedRuns(spark, f"{path}/{name}", keys, self.kind, self.buckets, state.get(name, []))
+        self.prints = runs("prints", {"print": "bigint"})
+        self.windows = runs("windows", {"w1": "bigint", "w2": "int"})
+        self.wholes = runs("wholes", {"w1": "bigint", "w2": "bigint"})
+
+    @classmethod
+    def open(cls, spark, path: str, kind: str = "bigint", options: Options = Options(), buckets: int | None = None) -> FingerprintIndex:
+        """kind: the type of document ids; buckets: of a new index, by default the session's shuffle partitions."""
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = sorted(f.getPath().getName() for f in files.listStatus(where)) if files.exists(where) else []
+        names = [n for n in names if n.endswith(".json")]
+        if not names:
+            fresh = {"kind": kind, "buckets": buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "window": options.window, "gram": options.gram}
+            return cls(spark, path, options, 0, fresh)
+        state = json.loads(spark.read.text(f"{path}/manifests/{names[-1]}", wholetext=True).first()[0])
+        if (state["window"], state["gram"], state["kind"]) != (options.window, options.gram, kind):
+            raise ValueError(f"the index holds windows of {state['window']} words with runs of {state['gram']} and ids of type {state['kind']}")
+        return cls(spark, path, options, int(names[-1].split(".")[0]), state)
+
+    def _commit(self) -> None:
+        state = {"kind": self.kind, "buckets": self.buckets, "window": self.options.window, "gram": self.options.gram}
+        state |= {name: getattr(self, name).state for name in ("prints", "windows", "wholes")}
+        self.version += 1
+        conf, jvm = self.spark._jsc.hadoopConfiguration(), self.spark._jvm
+        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{self.version:08d}.json")
+        draft = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{uuid.uuid4().hex}.draft")
+        files = target.getFileSystem(conf)
+        out = files.create(draft)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not files.rename(draft, target):
+            raise OSError(f"another writer has made {target.toString()}")
+
+    def compact(self) -> None:
+        with _sorted_scans(self.spark):
+            gone = {name: getattr(self, name).compact() for name in ("prints", "windows", "wholes")}
+        self._commit()
+        for name, runs in gone.items():
+            getattr(self, name).forget(runs)
+
+    def dedup(self, batch: DataFrame, archive: DataFrame, text: bool = True) -> tuple[DataFrame, DataFrame]:
+        """The batch's (doc_id, n_words, sha, copy: whether an earlier document has the same words), and for the others
+        that lose words (doc_id, n_removed, kept: the text or its digest). archive: the documents of the history."""
+        with _sorted_scans(self.spark):
+            return self._dedup(batch.select("doc_id", "text"), archive.select("doc_id", "text"), text)
+
+    def _dedup(self, batch: DataFrame, archive: DataFrame, text: bool) -> tuple[DataFrame, DataFrame]:
+        options = self.options
+        described = settle(describe(batch, options), "described")
+        long = described.filter((F.col("n_words") >= options.window) & F.col("doc_id").isNotNull())
+        # copies of a whole text: only the first document of the batch goes on, unless the history has the words
+        wholes = self.wholes.new_run(long.select("w1", "w2", "doc_id"))
+        before = self.wholes.meet(wholes).groupBy("w1", "w2").agg(F.min("first").alias("before"))
+        firsts = long.groupBy("w1", "w2").agg(F.min_by("prints", "doc_id").alias("prints"), F.min("doc_id").alias("doc_id"))
+        firsts = firsts.join(before, ["w1", "w2"], "left").filter("before is null or before >= doc_id")
+        firsts = settle(firsts.select("doc_id", "prints"), "firsts")
+        entries = firsts.select("doc_id", F.explode("prints").alias("print"))
+        # fingerprints that are shared within the batch or with the history
+        prints = self.prints.new_run(entries.select("print", "doc_id"))
+        met = settle(self.prints.meet(prints).groupBy("print").agg(F.min("first").alias("first"), F.max("last").alias("last")), "met-prints")
+        shared = settle(self.prints.read(prints).filter("first < last").select("print").union(met.select("print")).distinct(), "shared-prints")
+        sizes = entries.groupBy("print").agg(F.count("*").alias("m"))
+        held = by_key(entries, shared, hot_keys(sizes, "print"), "print").groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
+        source = batch.filter("doc_id is not null")
+        candidates = settle(source.join(settle(held, "held"), "doc_id"), "candidates")
+        windows = settle(_windows(candidates, options), "windows")
+        # a fingerprint of one historical document was never verified: that document is read again
+        single = met.filter("first = last").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("print").alias("prints"))
+        single = settle(single, "single-prints")
+        n_single = single.count()
+        everything = windows.select("w1", "w2", "doc_id")
+        if n_single:
+            few = F.broadcast(single) if n_single <= options.broadcast_ids else single
+            again = archive.join(F.broadcast(single.select("doc_id")), "doc_id", "left_semi") if n_single <= options.broadcast_ids else archive
+            everything = everything.union(_windows(again.join(few, "doc_id"), options).select("w1", "w2", "doc_id"))
+        found = self.windows.new_run(everything)
+        earlier = self.windows.meet(found).select("w1", "w2", "first").groupBy("w1", "w2").agg(F.min("first").alias("first"))
+        first = self.windows.read(found).filter("first < last").select("w1", "w2", "first").union(earlier)
+        first = settle(first.groupBy("w1", "w2").agg(F.min("first").alias("first")), "first-windows")
+        hot = hot_keys(windows.groupBy("w1", "w2").agg(F.count("*").alias("m")), "w1", "w2")
+        later = by_key(windows, first, hot, "w1", "w2").filter("doc_id > first").select("doc_id", "start")
+        later = settle(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "later")
+        lost = settle(_kept(candidates.drop("prints").join(later, "doc_id"), options, text).dropDuplicates(["doc_id"]), "lost")
+        copy = (F.col("n_words") >= options.window) & F.col("doc_id").isNotNull() & F.col("own").isNull()
+        marked = described.select("doc_id", "n_words", "sha").join(firsts.select("doc_id", F.lit(True).alias("own")).distinct(), "doc_id", "left")
+        marked = settle(marked.select("doc_id", "n_words", "sha", copy.alias("copy")), "marked")
+        gone = {name: getattr(self, name).append(run) for name, run in (("wholes", wholes), ("prints", prints), ("windows", found))}
+        self._commit()
+        for name, runs in gone.items():
+            getattr(self, name).forget(runs)
+        drop(described, firsts, met, shared, candidates, windows, single, first, later)
+        tidy(self.spark)
+        return marked, lost
 
 
 def _windows(candidates: DataFrame, options: Options) -> DataFrame:
@@ -203,40 +367,41 @@ def _kept(candidates: DataFrame, options: Options, text: bool) -> DataFrame:
     return candidates.select("doc_id", "text", "starts").mapInArrow(run, f"doc_id {key}, n_removed bigint, kept string")
 
 
+def id_ranges(docs: DataFrame, n: int) -> list:
+    """The first ids of about n ranges of near equal numbers of rows, whatever the ids' type and spread."""
+    ranges = docs.select("doc_id").filter("doc_id is not null").repartitionByRange(n, "doc_id")
+    found = sorted(r["low"] for r in ranges.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("low")).collect())
+    return [found[k * len(found) // n] for k in range(n)] if len(found) > n else found
+
+
 def find_repeats(docs: DataFrame, options: Options = Options(), text: bool = True) -> tuple[DataFrame, DataFrame]:
-    """All documents' (doc_id, n_words, sha, first: whether no smaller id has the same words), and for those first ones
-    that lose words (doc_id, n_removed, kept)."""
-    described = settle(describe(docs, options), "described")
-    long = described.filter((F.col("n_words") >= options.window) & F.col("doc_id").isNotNull())
-    firsts = long.groupBy("w1", "w2").agg(F.min_by("prints", "doc_id").alias("prints"), F.min("doc_id").alias("doc_id"))
-    firsts = settle(firsts.select("doc_id", "prints"), "firsts")
-    shared = settle(shared_prints(firsts, options), "shared-prints")
-    entries = firsts.select("doc_id", F.explode("prints").alias("print"))
-    held = entries.join(shared, "print").groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
-    source = docs.select("doc_id", "text").filter("doc_id is not null")
-    candidates = settle(source.join(settle(held, "held"), "doc_id"), "candidates")
-    windows = _windows(candidates, options)
-    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    first = settle(first.filter("first < last").drop("last"), "first-windows")
-    later = windows.join(first, ["w1", "w2"]).filter("doc_id > first").select("doc_id", "start")
-    later = settle(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "later")
-    lost = _kept(candidates.drop("prints").join(later, "doc_id"), options, text)
-    marked = described.select("doc_id", "n_words", "sha").join(firsts.select("doc_id", F.lit(True).alias("first")), "doc_id", "left")
-    return marked, lost.dropDuplicates(["doc_id"])
-
-
-def _is_copy(options: Options):
-    return (F.col("n_words") >= options.window) & F.col("first").isNull() & F.col("doc_id").isNotNull()
+    """`FingerprintIndex.dedup` of a whole table, which goes through an index of its own in batches by ranges of ids."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    index = FingerprintIndex.open(spark, f"{scratch(spark)}/index-{uuid.uuid4().hex}", kind, options)
+    lows = id_ranges(docs, options.batches)
+    key, results = F.col("doc_id"), []
+    for k, low in enumerate(lows):
+        batch = docs.filter(key < lows[k + 1]) if k + 1 < len(lows) else docs.filter(key.isNotNull())
+        batch = batch.filter(key >= low) if k else batch
+        results.append(index.dedup(batch, docs.filter(key < low), text))
+    for runs in (index.prints, index.windows, index.wholes):
+        runs.forget([name for _, name in runs.state])
+    nameless = docs.filter(key.isNull()) if lows else docs
+    alone = describe(nameless, options).select("doc_id", "n_words", "sha", F.lit(False).alias("copy"))
+    marked = reduce(DataFrame.unionByName, [m for m, _ in results], alone)
+    none = spark.createDataFrame([], f"doc_id {kind}, n_removed bigint, kept string")
+    return marked, reduce(DataFrame.unionByName, [x for _, x in results], none)
 
 
 def digest(docs: DataFrame, options: Options = Options()) -> DataFrame:
     marked, lost = find_repeats(docs, options, text=False)
-    copy = _is_copy(options)
     return marked.join(lost, "doc_id", "left").select(
         "doc_id",
         "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("copy"), F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
     )
 
 
@@ -244,12 +409,13 @@ def dedup_documents(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """All documents with the columns that came in; the text of those that lose words is the kept words, joined by a
     space (empty if none is kept), and n_chars, where there is one, follows."""
     marked, lost = find_repeats(docs, options, text=True)
-    changed = marked.filter(_is_copy(options)).select("doc_id", F.lit("").alias("_substring_kept")).dropDuplicates(["doc_id"])
+    own = free_prefix(docs.columns, "_s_") + "kept"
+    changed = marked.filter("copy").select("doc_id", F.lit("").alias(own)).dropDuplicates(["doc_id"])
     changed = changed.union(lost.select("doc_id", "kept"))
-    out = docs.join(changed, "doc_id", "left").withColumn("text", F.coalesce("_substring_kept", "text"))
+    out = docs.join(changed, "doc_id", "left").withColumn("text", F.coalesce(own, "text"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_substring_kept").isNotNull(), F.char_length("_substring_kept").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(own).isNotNull(), F.char_length(own).cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
