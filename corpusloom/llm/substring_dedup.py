@@ -49,7 +49,7 @@ class Options:
     window: int = 50
     gram: int = 8
     #: Batches that one table goes through the index in.
-    batches: int = 4
+    batches: int = 2
     #: Documents of the history that are read again are found by broadcasting their ids up to so many, else by a shuffle.
     broadcast_ids: int = 2_000_000
 
@@ -110,15 +110,22 @@ def describe(docs: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 @contextmanager
-def _sorted_scans(spark):
-    """Lets plans rely on the order within a bucket's file."""
-    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+def _bucketed_plans(spark, buckets: int):
+    """Plans rely on the order within a bucket's file, and an exchange by a run's keys deals rows out to its buckets, so that
+    an aggregate is written as a run without a second exchange."""
+    wanted = {
+        "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": str(buckets),
+    }
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 class SortedRuns:
@@ -153,10 +160,9 @@ class SortedRuns:
         return name
 
     def new_run(self, rows: DataFrame) -> str:
-        """A run of rows (keys, doc_id): aggregated map-side, dealt out to the buckets, sorted."""
+        """A run of rows (keys, doc_id): aggregated map-side, dealt out to the buckets by the aggregate's exchange."""
         by = list(self.keys)
-        found = rows.groupBy(*by).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        return self.write(found.repartition(self.buckets, *by).sortWithinPartitions(*by))
+        return self.write(rows.groupBy(*by).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
 
     def meet(self, name: str) -> DataFrame:
         """(keys, first, last) of the history for the keys that a run shares with it, by merge joins with each run; a key
@@ -243,7 +249,7 @@ class FingerprintIndex:
             raise OSError(f"another writer has made {target.toString()}")
 
     def compact(self) -> None:
-        with _sorted_scans(self.spark):
+        with _bucketed_plans(self.spark, self.buckets):
             gone = {name: getattr(self, name).compact() for name in ("prints", "windows", "wholes")}
         self._commit()
         for name, runs in gone.items():
@@ -252,7 +258,7 @@ class FingerprintIndex:
     def dedup(self, batch: DataFrame, archive: DataFrame, text: bool = True) -> tuple[DataFrame, DataFrame]:
         """The batch's (doc_id, n_words, sha, copy: whether an earlier document has the same words), and for the others
         that lose words (doc_id, n_removed, kept: the text or its digest). archive: the documents of the history."""
-        with _sorted_scans(self.spark):
+        with _bucketed_plans(self.spark, self.buckets):
             return self._dedup(batch.select("doc_id", "text"), archive.select("doc_id", "text"), text)
 
     def _dedup(self, batch: DataFrame, archive: DataFrame, text: bool) -> tuple[DataFrame, DataFrame]:
@@ -271,9 +277,9 @@ class FingerprintIndex:
         met = settle(self.prints.meet(prints).groupBy("print").agg(F.min("first").alias("first"), F.max("last").alias("last")), "met-prints")
         shared = settle(self.prints.read(prints).filter("first < last").select("print").union(met.select("print")).distinct(), "shared-prints")
         sizes = entries.groupBy("print").agg(F.count("*").alias("m"))
-        held = by_key(entries, shared, hot_keys(sizes, "print"), "print").groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
+        held = by_key(entries, shared.hint("merge"), hot_keys(sizes, "print"), "print").groupBy("doc_id").agg(F.collect_list("print").alias("prints"))
         source = batch.filter("doc_id is not null")
-        candidates = settle(source.join(settle(held, "held"), "doc_id"), "candidates")
+        candidates = settle(source.join(settle(held, "held").hint("merge"), "doc_id"), "candidates")
         windows = settle(_windows(candidates, options), "windows")
         # a fingerprint of one historical document was never verified: that document is read again
         single = met.filter("first = last").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("print").alias("prints"))
@@ -289,9 +295,9 @@ class FingerprintIndex:
         first = self.windows.read(found).filter("first < last").select("w1", "w2", "first").union(earlier)
         first = settle(first.groupBy("w1", "w2").agg(F.min("first").alias("first")), "first-windows")
         hot = hot_keys(windows.groupBy("w1", "w2").agg(F.count("*").alias("m")), "w1", "w2")
-        later = by_key(windows, first, hot, "w1", "w2").filter("doc_id > first").select("doc_id", "start")
+        later = by_key(windows, first.hint("merge"), hot, "w1", "w2").filter("doc_id > first").select("doc_id", "start")
         later = settle(later.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "later")
-        lost = settle(_kept(candidates.drop("prints").join(later, "doc_id"), options, text).dropDuplicates(["doc_id"]), "lost")
+        lost = settle(_kept(candidates.drop("prints").join(later.hint("merge"), "doc_id"), options, text).dropDuplicates(["doc_id"]), "lost")
         copy = (F.col("n_words") >= options.window) & F.col("doc_id").isNotNull() & F.col("own").isNull()
         marked = described.select("doc_id", "n_words", "sha").join(firsts.select("doc_id", F.lit(True).alias("own")).distinct(), "doc_id", "left")
         marked = settle(marked.select("doc_id", "n_words", "sha", copy.alias("copy")), "marked")

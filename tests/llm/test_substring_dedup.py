@@ -107,11 +107,11 @@ def test_a_day_that_failed_is_repeated(spark, make_docs, tmp_path, monkeypatch):
 def test_runs_are_merged_without_moving_the_history(spark, tmp_path):
     rows = lambda *x: spark.createDataFrame(list(x), "print long, doc_id long")
     runs = S.SortedRuns(spark, str(tmp_path / "runs"), {"print": "bigint"}, "bigint", 3, [])
-    a = runs.new_run(rows((1, 10), (2, 10), (2, 11)))
+    with S._bucketed_plans(spark, 3):
+        a, b = runs.new_run(rows((1, 10), (2, 10), (2, 11))), runs.new_run(rows((1, 20), (3, 20)))
     assert runs.meet(a).count() == 0 and runs.append(a) == []
-    b = runs.new_run(rows((1, 20), (3, 20)))
     again = S.SortedRuns(spark, str(tmp_path / "runs"), {"print": "bigint"}, "bigint", 3, [(0, a)])
-    with S._sorted_scans(spark):
+    with S._bucketed_plans(spark, 3):
         met = again.meet(b)
         plan = met._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
