@@ -1,11 +1,15 @@
-"""Text columns: cleaning, sentences, tokens, n-grams. All are built-in expressions and stay in the JVM."""
+"""Text columns: cleaning, sentences, tokens, n-grams. All are built-in expressions and stay in the JVM, but for
+Unicode normal forms, which have none."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 #: White space at a text's ends that cleaning strips.
 ENDS = " \t\n\r\x0b\x0c"
@@ -13,10 +17,38 @@ SENTENCE = r"[^.!?\n]+"
 WORD = r"[\p{L}]+"
 #: Abbreviations after which a full stop doesn't end a sentence (Greek judgements).
 ABBREVIATIONS = ["παρ.", "αρ.", "αρθρ.", "Αρ.", "Αρθρ.", "κεφ.", "Κεφ.", "στοιχ.", "ν.", "Ν.", "εδ.", "περ.", "υποπερ.", "Ολ.", "Π.Κ.", "ΑΠ.", "αριθ.", "κατ."]
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+EMAIL = r"[\p{L}\d][\p{L}\d_.+\-]*[\p{L}\d_+\-]@[\p{L}\d][\p{L}\d.\-]*\.\p{L}+"
 URL = r"(?:https?://|www\.)\S+|\b[A-Za-z0-9\-]+\.(?:com|org|net|edu|gov|gr|eu|io|info)\b\S*"
-#: Signs that the tokenizer sets apart.
-SIGNS = r"([!\"#$%&'()*+,./:;<=>?@\[\]\\^_`{|}~])"
+#: Signs that the tokenizer sets apart; others, such as the apostrophe, go without a trace.
+SIGNS = r"([.,;:¡!¿?…⋯&‹›«»\"“”\[\]()⟨⟩}{/|\\])"
+#: Markers of sequence models.
+SPECIAL_TOKENS = ["[SEP]", "[MASK]", "[CLS]", "[UNK]", "[PAD]"]
+#: Where the reasoning of supreme-court judgements begins and ends.
+SUPREME_COURT_STARTS = [
+    "ΣΚΕΦΘΗΚΕ ΣΥΜΦΩΝΑ ΜΕ ΤΟ ΝΟΜΟ",
+    "ΣΚΕΦΘΗΚΕ ΣΥΜΦΩΝΑ ΜΕ ΤΟΝ ΝΟΜΟ",
+    "ΣΚΕΦΤΗΚΕ ΣΥΜΦΩΝΑ ΜΕ ΤΟ ΝΟΜΟ",
+    "Σκέφθηκε σύμφωνα με το νόμο",
+    "Σκέφθηκε σύμφωνα με στείλουν νόμο",
+    "Σ Κ Ε Φ Θ Η Κ Ε  Σ Υ Μ Φ Ω Ν Α  Μ Ε  Τ Ο  Ν Ο Μ Ο",
+]
+SUPREME_COURT_ENDS = ["Κρίθηκε και αποφασίσθηκε", "ΚΡΙΘΗΚΕ, αποφασίσθηκε", "ΚΡΙΘΗΚΕ και αποφασίσθηκε"]
+#: The same for decisions of the state council.
+STATE_COUNCIL_STARTS = [
+    "Σκεφθέν κατά τον νόμον",
+    "Α φ ο ύ\xa0μ ε λ έ τ η σ ε\xa0τ α\xa0σ χ ε τ ι κ ά\xa0έ γ γ ρ α φ α\n\nΣ κ έ φ θ η κ ε\xa0κ α τ ά\xa0τ ο ν\xa0Ν ό μ ο",
+    "Α φ ο ύ μ ε λ έ τ η σ ε τ α σ χ ε τ ι κ ά έ γ γ ρ α φ α\n\nΣ κ έ φ θ η κ ε κ α τ ά τ ο ν Ν ό μ ο",
+    "Α φ ο ύ μ ε λ έ τ η σ ε τ α σ χ ε τ ι κ ά έ γ γ ρ α φ α \nΣ κ έ φ θ η κ ε κ α τ ά τ ο ν ν ό μ ο \n",
+]
+STATE_COUNCIL_ENDS = [
+    "Η διάσκεψη έγινε",
+    "Η διάσκεψη   \nέγινε",
+    "Κρίθηκε και αποφασίσθηκε στην Αθήνα",
+    "Εκρίθη και απεφασίσθη εν Αθήναις",
+    "και η απόφαση δημοσιεύθηκε σε δημόσια",
+]
+#: Fixed value: a case number of the state council, or a line end with a carriage return.
+STATE_COUNCIL_NOISE = r"(?:Αριθμός *\d+/\d+ -\d-)|(?:\r*\n)"
 
 
 def strip(text: Column) -> Column:
@@ -51,7 +83,9 @@ def cut(text: Column, markers: Iterable[str], mode: str) -> Column:
     if mode not in ("before", "after"):
         raise ValueError(f"mode is before or after, not {mode!r}")
     step = cut_before_marker if mode == "before" else cut_after_marker
-    return reduce(step, markers, text)
+    # an array of one text names it, so that the expression grows with the markers and not with a power of their number
+    once = lambda t, marker: F.get(F.transform(F.array(t), lambda x: step(x, marker)), F.lit(0))
+    return reduce(once, markers, text)
 
 
 def clean_judgement(text: Column, starts: Iterable[str], ends: Iterable[str], noise: str | None = None) -> Column:
@@ -60,6 +94,14 @@ def clean_judgement(text: Column, starts: Iterable[str], ends: Iterable[str], no
     return F.regexp_replace(text, noise, " ") if noise else text
 
 
+def clean_supreme_court(text: Column) -> Column:
+    return clean_judgement(text, SUPREME_COURT_STARTS, SUPREME_COURT_ENDS)
+
+
+def clean_state_council(text: Column) -> Column:
+    return clean_judgement(text, STATE_COUNCIL_STARTS, STATE_COUNCIL_ENDS, STATE_COUNCIL_NOISE)
+
+
 def remove_newlines(text: Column) -> Column:
     return F.translate(text, "\n", "")
 
@@ -72,11 +114,16 @@ def move_section_first(text: Column, marker: str) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Non-empty sentences, trimmed; the full stops of known abbreviations don't end one."""
+    """Non-empty sentences, trimmed. Any full stop ends one: see `whole_sentences`."""
     found = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
     return F.filter(F.transform(found, lambda s: F.trim(s, F.lit(" \t\r"))), lambda s: s != "")
 
 
+def whole_sentences(text: Column) -> Column:
+    """`sentences`, but the full stops of known abbreviations and of initials don't end one."""
+    return F.transform(sentences(protect_abbreviations(text)), lambda s: restore_abbreviations(s))
+
+
 def protect_abbreviations(text: Column, keep: str = "․") -> Column:
     """Full stops of abbreviations and of initials become another sign, for `sentences`; `restore` puts them back."""
     for a in ABBREVIATIONS:
@@ -135,9 +182,19 @@ def remove_stopwords(text: Column, stopwords: Iterable[str]) -> Column:
 
 
 def first_tokens(text: Column, n: int | Column) -> Column:
-    """The first n white-space tokens, joined by one space."""
-    tokens = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.array_join(F.slice(tokens, F.lit(1), F.lit(n) if isinstance(n, int) else n), " ")
+    """The first n white-space tokens with the white space before each of them, as it stands."""
+    tokens = F.regexp_extract_all(text, F.lit(r"\s*\S+"), F.lit(0))
+    return F.array_join(F.slice(tokens, F.lit(1), F.lit(n) if isinstance(n, int) else n), "")
+
+
+def is_special_token(token: Column) -> Column:
+    return token.isin(SPECIAL_TOKENS)
+
+
+def first_subwords(tokens: Column, n: int, keep_special: bool = False) -> Column:
+    """The first n of given subword tokens, joined by a space; markers of sequence models don't count unless kept."""
+    some = tokens if keep_special else F.filter(tokens, lambda t: ~is_special_token(t))
+    return F.array_join(F.slice(some, 1, n), " ")
 
 
 def token_budget(base: Column, fraction: float) -> Column:
@@ -170,9 +227,31 @@ def parse_count(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "").cast("int")
 
 
-def fold_greek(text: Column) -> Column:
-    """Composed form with accented Greek vowels of every kind on their plain accented form."""
-    return F.translate(text, "ὰὲὴὶὸὺὼἀἁἐἑἠἡἰἱὀὁὐὑὠὡ", "άέήίόύώααεεηηιιοουυωω")
+#: Combining marks: grave, acute and circumflex accents become the acute one; breathings and the iota below go.
+_ACCENTS, _DROPPED = "\u0300\u0301\u0342", "\u0313\u0314\u0345"
+
+
+def _plain_greek(letter: str) -> str:
+    parts = unicodedata.normalize("NFD", letter)
+    accent = "\u0301" if any(m in _ACCENTS for m in parts) else ""
+    rest = "".join(m for m in parts if m not in _ACCENTS + _DROPPED)
+    return unicodedata.normalize("NFC", rest + accent)
+
+
+#: Small letters of the block of accented Greek, by rule.
+_GREEK = {k: _plain_greek(chr(k)) for k in range(0x1F00, 0x2000) if unicodedata.category(chr(k)) == "Ll"}
+
+
+@F.pandas_udf(StringType())
+def fold_greek(text: pd.Series) -> pd.Series:
+    """Compatibility-composed form, with small Greek vowels under any accents on their plain form or that with an acute."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).translate(_GREEK))
+
+
+@F.pandas_udf(StringType())
+def strip_acute(text: pd.Series) -> pd.Series:
+    """Decomposed form without the acute accent."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFD", t).replace("\u0301", ""))
 
 
 def escape_html(text: Column) -> Column:

@@ -1,6 +1,7 @@
 """Centrality of sentences.
 
-Undamped scores have a closed form: the chain of a symmetric graph is reversible, so a sentence's share is its row sum.
+Undamped scores have a closed form: the chain of a symmetric graph is reversible, so within a connected component a
+sentence's share is its row sum.
 A row sum of cosines needs no pairs at all: sum over its terms of its own weight times the document's total weight of the
 term. Damped and biased scores are power iterations, one NumPy kernel per document over Arrow batches.
 """
@@ -23,13 +24,45 @@ def row_sums(unit: DataFrame, sents: DataFrame) -> DataFrame:
 
 
 def undamped(unit: DataFrame, sents: DataFrame) -> DataFrame:
-    """(doc_id, sent_ix, score): row sums scaled to the number of sentences of the document.
+    """(doc_id, sent_ix, score): row sums scaled, within each component of a document, to the component's size.
 
-    Exact inside one connected component; components of a document are not scaled apart (`undamped_by_component` does)."""
-    rows = row_sums(unit, sents)
-    of_doc = Window.partitionBy("doc_id")
-    share = F.col("total") * F.count("*").over(of_doc) / F.sum("total").over(of_doc)
-    return rows.select("doc_id", "sent_ix", share.alias("score"))
+    Two sentences with a weighted term in common are joined; a sentence without weights is a component of its own, with
+    score 1. One kernel call for each document is linear in its terms: no pair of sentences is made."""
+    ship(sents.sparkSession)
+    grouped = unit.groupBy("doc_id").agg(F.collect_list(F.struct("sent_ix", F.xxhash64("term").alias("t"), "x")).alias("e"))
+    key = unit.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                inner = batch.column(1)[k].values
+                at, row = np.unique(inner.field("sent_ix").to_numpy(), return_inverse=True)
+                _, term = np.unique(inner.field("t").to_numpy(), return_inverse=True)
+                score = component_scores(row, term, inner.field("x").to_numpy())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(at), dtype=np.int64))), pa.array(at, type=pa.int32()), pa.array(score)], names=["doc_id", "sent_ix", "score"]
+                )
+
+    scores = grouped.mapInArrow(run, f"doc_id {key}, sent_ix int, score double")
+    return sents.select("doc_id", "sent_ix").join(scores, ["doc_id", "sent_ix"], "left").select("doc_id", "sent_ix", F.coalesce("score", F.lit(1.0)).alias("score"))
+
+
+def component_scores(row: np.ndarray, term: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Scores of rows 0 to n-1 from the entries (row, term, x) of a matrix of unit rows."""
+    n = int(row.max(initial=-1)) + 1
+    total = np.bincount(row, x * np.bincount(term, x)[term], minlength=n) if n else np.zeros(0)
+    label = np.arange(n)
+    while True:  # the smallest row that terms lead to, with its own label at the next turn
+        low = np.full(int(term.max(initial=-1)) + 1, n)
+        np.minimum.at(low, term, label[row])
+        new = label.copy()
+        np.minimum.at(new, row, low[term])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    size, mass = np.bincount(label, minlength=n), np.bincount(label, total, minlength=n)
+    return total * size[label] / mass[label]
 
 
 def power_iteration(p: np.ndarray, teleport: np.ndarray, damping: float = 0.85, steps: int = 50, tolerance: float = 0.0) -> np.ndarray:
@@ -141,3 +174,15 @@ def bias_shares(tf: DataFrame, sents: DataFrame, bias_words: DataFrame) -> DataF
     return sents.select("doc_id", "sent_ix").join(sizes, ["doc_id", "sent_ix"], "left").join(hits, ["doc_id", "sent_ix"], "left").select(
         "doc_id", "sent_ix", F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0)).alias("share")
     )
+
+
+def bias_by_vectors(vectors: DataFrame, bias: DataFrame) -> DataFrame:
+    """(doc_id, sent_ix, share): cosine of each sentence's vector with the mean of the bias vectors, none below 0.
+    vectors (doc_id, sent_ix, embedding); bias (embedding), of which one row, the mean, is broadcast."""
+    parts = bias.select(F.posexplode("embedding").alias("k", "e")).groupBy("k").agg(F.avg(F.col("e").cast("double")).alias("e"))
+    mean = parts.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "e"))), lambda y: y["e"]).alias("b"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    v, b = F.col("embedding"), F.col("b")
+    norm = F.sqrt(dot(v, v) * dot(b, b))
+    share = F.when(norm > 0, F.greatest(dot(v, b) / norm, F.lit(0.0))).otherwise(0.0)
+    return vectors.crossJoin(F.broadcast(mean)).select("doc_id", "sent_ix", share.alias("share"))

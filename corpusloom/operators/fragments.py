@@ -10,6 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.runtime import ship
 
 
+def fragment_tokens(text: Column, tokenize: bool = True, case: bool = False) -> Column:
+    """Tokens to match: words, or what white space parts; lower-cased unless case counts."""
+    text = text if case else F.lower(text)
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]" if tokenize else r"\S+"), F.lit(0))
+
+
 def greedy_fragments(summary: list[str], text: list[str]) -> list[tuple[int, int, int]]:
     """(place in summary, place in text, length), left to right; the first of the longest runs wins. In the text, a try
     jumps past the run it found. Start places come from an index of the text's tokens."""

@@ -33,15 +33,38 @@ def candidates(rows: DataFrame, category: str, order: str, text: str = "text", r
 
 
 def near_duplicates(rows: DataFrame, category: str, order: str, text: str = "text", above: int = 92, skip_last: bool = False) -> DataFrame:
-    """(category, ix, jx, ratio) of the neighbours above the threshold; the later row is the duplicate."""
+    """(category, ix, jx, ratio) of the neighbours above the threshold; the earlier row is the one to remove.
+
+    Compared is the part of both texts from 40 to 50 % of the shorter one's length, which lies in a text's first half: only
+    that half and the length are copied to the offsets."""
     ship(rows.sparkSession)
-    pairs = candidates(rows, category, order, text, skip_last=skip_last)
-    size = F.least(F.char_length("a"), F.char_length("b"))
+    n = F.char_length(text)
+    short = F.struct(n.alias("n"), F.substring(F.col(text), F.lit(1), F.ceil(n / 2).cast("int") + 1).alias("half"))
+    pairs = candidates(rows.select(category, order, short.alias("_t")), category, order, "_t", skip_last=skip_last)
+    size = F.least("a.n", "b.n")
     low, high = F.bround(size * 0.4).cast("int"), F.bround(size * 0.5).cast("int")
-    part = lambda c: F.substring(F.col(c), low + 1, high - low)
+    part = lambda c: F.substring(F.col(f"{c}.half"), low + 1, high - low)
 
     @F.pandas_udf("int")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([fuzzy_ratio(x, y) for x, y in zip(a, b)], dtype="int32")
 
     return pairs.select("category", "ix", "jx", ratio(part("a"), part("b")).alias("ratio")).filter(F.col("ratio") > above)
+
+
+def remove_near_duplicates(rows: DataFrame, category: str, order: str, text: str = "text", above: int = 92, skip_last: bool = False) -> DataFrame:
+    """The rows without those that one of their next neighbours is alike to; a row of the category's end stays."""
+    from pyspark.sql import Window
+
+    own = "_ix" if "_ix" not in rows.columns else "_ix_" + "_".join(rows.columns)
+    numbered = rows.withColumn(own, F.row_number().over(Window.partitionBy(category).orderBy(order)) - 1)
+    gone = near_duplicates(rows, category, order, text, above, skip_last).select(F.col("category").alias("_c"), F.col("ix").alias("_i")).distinct()
+    return numbered.join(gone, (F.col(category).eqNullSafe(F.col("_c"))) & (F.col(own) == F.col("_i")), "left_anti").drop(own)
+
+
+def kept_shares(rows: DataFrame, category: str, order: str, text: str = "text", above: int = 92, skip_last: bool = False) -> DataFrame:
+    """(category, n, removed, kept_share to four digits)."""
+    counts = rows.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("n"))
+    gone = near_duplicates(rows, category, order, text, above, skip_last).select("category", "ix").distinct().groupBy("category").agg(F.count("*").alias("removed"))
+    removed = F.coalesce("removed", F.lit(0)).cast("long")
+    return counts.join(gone, "category", "left").select("category", "n", removed.alias("removed"), F.round((F.col("n") - removed) / F.col("n"), 4).alias("kept_share"))

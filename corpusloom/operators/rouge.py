@@ -25,6 +25,8 @@ class Options:
     char_units: bool = False
     #: Exponent 1/weight for longest common subsequences too, positions instead of tokens when clipping.
     compat: bool = False
+    #: Stem words (the published Porter algorithm) before they are compared.
+    stemming: bool = False
 
     def __post_init__(self):
         if self.weight <= 0:
@@ -74,9 +76,11 @@ def f_measure(p: Column, r: Column, alpha: float = 0.5) -> Column:
     return F.when((p > 0) & (r > 0), p * r / ((1 - alpha) * p + alpha * r)).otherwise(0.0)
 
 
-def with_scores(counts: DataFrame, alpha: float = 0.5, exponent: float = 1.0) -> DataFrame:
+def with_scores(counts: DataFrame, alpha: float = 0.5, exponent: float | Column = 1.0) -> DataFrame:
     """Add p, r, f from overlap, evaluated and reference; 0 where a denominator is 0."""
-    ratio = lambda d: F.when(F.col(d) > 0, F.pow(F.col("overlap") / F.col(d), F.lit(exponent)) if exponent != 1 else F.col("overlap") / F.col(d)).otherwise(0.0)
+    plain = isinstance(exponent, float) and exponent == 1
+    power = exponent if isinstance(exponent, Column) else F.lit(exponent)
+    ratio = lambda d: F.when(F.col(d) > 0, F.col("overlap") / F.col(d) if plain else F.pow(F.col("overlap") / F.col(d), power)).otherwise(0.0)
     return counts.withColumns({"p": ratio("evaluated"), "r": ratio("reference")}).withColumn("f", f_measure(F.col("p"), F.col("r"), alpha))
 
 
@@ -100,9 +104,10 @@ def rouge_n(pairs: DataFrame, n: int, options: Options = Options()) -> DataFrame
 
 
 def average(scored: DataFrame, options: Options = Options()) -> DataFrame:
-    """(pair_id, metric, p, r, f): counts summed over references, then scored."""
+    """(pair_id, metric, p, r, f): counts summed over references, then scored, those of rouge-w with its exponent."""
     sums = scored.groupBy("pair_id", "metric").agg(*[F.sum(c).alias(c) for c in ("overlap", "evaluated", "reference")])
-    return with_scores(sums, options.alpha)
+    weighted = (F.col("metric") == "rouge-w") | ((F.col("metric") == "rouge-l") & F.lit(options.compat))
+    return with_scores(sums, options.alpha, F.when(weighted, F.lit(1 / options.weight)).otherwise(F.lit(1.0)))
 
 
 def best(scored: DataFrame) -> DataFrame:
@@ -174,6 +179,14 @@ def lcs_hits(x: list, y: list, weight: float | None = None) -> np.ndarray:
     return hit
 
 
+def _weighted_runs(marked: np.ndarray, used: np.ndarray, power: float) -> float:
+    """The sum of runs to the power: used words add up until one that ends its stretch of marked words; a stretch whose last
+    word isn't used hands its words on to the next one, and the last such words of a sentence count nothing."""
+    ends = marked & ~np.append(marked[1:], False) & used
+    sizes = np.diff(np.concatenate([[0], np.cumsum(used)[ends]]))
+    return float((sizes.astype(float) ** power).sum())
+
+
 def lcs_counts(hyp: list[list[str]], ref: list[list[str]], weight: float | None = None, compat: bool = False) -> tuple[float, float, float]:
     """(overlap, evaluated, reference) of union common subsequences, with each candidate word used once."""
     power = weight or 1.0
@@ -192,18 +205,14 @@ def lcs_counts(hyp: list[list[str]], ref: list[list[str]], weight: float | None
         marked = np.zeros(len(s), dtype=bool)
         for h in hyp:
             marked |= lcs_hits(s, h, weight)
-        run = 0
-        for k, w in enumerate(s):
-            if not marked[k]:
-                continue
+        used = np.zeros(len(s), dtype=bool)  # marked words that the candidate has left
+        for k in np.flatnonzero(marked).tolist():
+            w = s[k]
             if left.get(w, 0) > 0 and (compat or there.get(w, 0) > 0):
                 left[w] -= 1
-                if not compat:
-                    there[w] -= 1
-                run += 1
-                if k + 1 == len(s) or not marked[k + 1]:
-                    overlap += run**power
-                    run = 0
+                there[w] -= not compat
+                used[k] = True
+        overlap += int(used.sum()) if weight is None else _weighted_runs(marked, used, power)
     return overlap, float(words) ** power, size**power
 
 
@@ -223,3 +232,31 @@ def rouge_lcs(pairs: DataFrame, weighted: bool = False, options: Options = Optio
     exponent = 1 / options.weight if weighted or options.compat else 1.0
     out = pairs.select("pair_id", "ref_id", "hyp_sents", "ref_sents").mapInArrow(counted, ", ".join([*keys, "overlap double, evaluated double, reference double"]))
     return with_scores(out, options.alpha, exponent).withColumn("metric", F.lit("rouge-w" if weighted else "rouge-l"))
+
+
+def rouge_lsum(pairs: DataFrame, options: Options = Options()) -> DataFrame:
+    """Union common subsequences with candidate and reference exchanged, under a name of its own."""
+    turned = pairs.select("pair_id", "ref_id", F.col("ref_sents").alias("hyp_sents"), F.col("hyp_sents").alias("ref_sents"))
+    return rouge_lcs(turned, False, options).withColumn("metric", F.lit("rouge-lsum"))
+
+
+def normalised_tokens(tokens: Column, stopwords: tuple[str, ...] = (), options: Options = Options()) -> Column:
+    """Score tokens of given tokens (surface forms or lemmas): lower case, stripped, without stop words."""
+    plain = F.transform(tokens, lambda t: F.trim(F.lower(t), F.lit(T.ENDS)))
+    if stopwords:
+        plain = F.filter(plain, lambda t: ~t.isin(list(stopwords)))
+    return score_tokens(F.array_join(plain, " "), options)
+
+
+def in_metric_order(scored: DataFrame) -> DataFrame:
+    """rouge-1, rouge-2, ..., rouge-l, rouge-w within each pair and reference."""
+    return scored.orderBy(*[c for c in ("pair_id", "ref_id") if c in scored.columns], "metric")
+
+
+def result_line(scored: DataFrame) -> DataFrame:
+    """Add line: scores in percent with two digits, or mean and deviation as they are for `corpus_stats`."""
+    if "mean_p" in scored.columns:
+        parts = [F.concat(F.lit(f" {n}: "), F.col(f"mean_{c}").cast("string"), F.lit("+/-"), F.col(f"std_{c}").cast("string")) for n, c in (("P", "p"), ("R", "r"), ("F1", "f"))]
+        return scored.withColumn("line", F.concat(F.lit("\t"), "metric", F.lit("\t"), F.concat_ws("\t", *parts)))
+    parts = [F.format_string(f"{n}: %5.2f", F.col(c) * 100.0) for n, c in (("P", "p"), ("R", "r"), ("F1", "f"))]
+    return scored.withColumn("line", F.concat(F.lit("\t"), "metric", F.lit(":\t"), F.concat_ws("\t", *parts)))

@@ -103,9 +103,17 @@ def stem_terms(terms: DataFrame, exceptions: dict[str, str] | None = None) -> Da
     return terms.select("term", run("term").alias("stem"))
 
 
-def stem_columns(rows: DataFrame, columns: list[str], exceptions: dict[str, str] | None = None) -> DataFrame:
-    """Stem arrays of tokens, each distinct token of a batch once."""
+def stem_columns(rows: DataFrame, columns: list[str], exceptions: dict[str, str] | DataFrame | None = None, nested: bool = False) -> DataFrame:
+    """Stem arrays of tokens (nested: of sentences of tokens), each distinct token of a batch once. Exceptions are a
+    dictionary or a table (word, stem), whose rows come to the driver."""
     ship(rows.sparkSession)
+    if isinstance(exceptions, DataFrame):
+        exceptions = {r["word"]: r["stem"] for r in exceptions.collect()}
+
+    @F.pandas_udf("array<array<string>>")
+    def run_nested(s: pd.Series) -> pd.Series:
+        known = {w: stem_token(w, exceptions) for w in {w for x in s for y in x for w in y}}
+        return s.map(lambda x: [[known[w] for w in y] for y in x])
 
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
@@ -113,5 +121,5 @@ def stem_columns(rows: DataFrame, columns: list[str], exceptions: dict[str, str]
         return s.map(lambda x: [known[w] for w in x])
 
     for c in columns:
-        rows = rows.withColumn(c, run(c))
+        rows = rows.withColumn(c, run_nested(c) if nested else run(c))
     return rows

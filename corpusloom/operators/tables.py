@@ -110,6 +110,20 @@ def duplicate_links(links: DataFrame, seen: DataFrame | None = None, column: str
     return twice if seen is None else twice.union(links.join(seen, column, "left_semi").select(column)).distinct()
 
 
+def union_stopwords(first: DataFrame, second: DataFrame, column: str = "word") -> DataFrame:
+    """The words of both lists once; those of the first with plain accents."""
+    return first.select(T.fold_greek(F.col(column)).alias(column)).union(second.select(column)).distinct()
+
+
+def histogram_2d(rows: DataFrame, x: str, y: str, x_range: tuple[float, float], y_range: tuple[float, float], bins: int = 50) -> DataFrame:
+    """(x_bin, y_bin, n) of the rows inside both ranges, the upper ends included: the data of a density plot."""
+    def at(c: str, lo: float, hi: float) -> Column:
+        return F.least(F.floor((F.col(c) - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+
+    inside = F.col(x).between(*x_range) & F.col(y).between(*y_range)
+    return rows.filter(inside).groupBy(at(x, *x_range).alias("x_bin"), at(y, *y_range).alias("y_bin")).agg(F.count("*").alias("n"))
+
+
 def zip_equal(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Zip parallel arrays to rows; arrays of unequal length are an error."""
     same = F.lit(True)

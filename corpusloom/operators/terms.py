@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusloom.functions import text as T
 
 
-def sentence_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, sent_ix from 0, sent)."""
-    return docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_ix", "sent"))
+def sentence_rows(docs: DataFrame, abbreviations: bool = False) -> DataFrame:
+    """(doc_id, sent_ix from 0, sent); with `abbreviations` their full stops don't end a sentence."""
+    cut = T.whole_sentences if abbreviations else T.sentences
+    return docs.select("doc_id", F.posexplode(cut(F.col("text"))).alias("sent_ix", "sent"))
 
 
 def term_frequency(sents: DataFrame, tokens: Column | None = None, stopwords: Iterable[str] = ()) -> DataFrame:

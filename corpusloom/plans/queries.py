@@ -38,7 +38,11 @@ _MATRIX = _EDGES + """, m AS MATERIALIZED (SELECT doc_id, i, j, sim FROM edges U
 _TOTAL = _UNIT + """, byterm AS (SELECT doc_id, term, sum(x) AS s FROM unit GROUP BY ALL),
 total AS (SELECT s.doc_id, s.sent_ix, coalesce(t.t, 1.0::DOUBLE) AS total FROM sents s LEFT JOIN
   (SELECT doc_id, sent_ix, sum(x * s) AS t FROM unit JOIN byterm USING (doc_id, term) GROUP BY ALL) t USING (doc_id, sent_ix)),
-score AS (SELECT doc_id, sent_ix, round(total * count(*) OVER (PARTITION BY doc_id) / sum(total) OVER (PARTITION BY doc_id), 6) AS score FROM total),
+lab AS (SELECT 0 AS step, doc_id, sent_ix, sent_ix AS label FROM sents UNION ALL
+  SELECT step + 1, doc_id, sent_ix, min(m) FROM (SELECT l.step, l.doc_id, l.sent_ix, least(l.label, min(l.label) OVER (PARTITION BY l.doc_id, coalesce(u.term, 'none ' || l.sent_ix))) AS m
+    FROM lab l LEFT JOIN unit u USING (doc_id, sent_ix) WHERE l.step < 12) GROUP BY step, doc_id, sent_ix),
+score AS MATERIALIZED (SELECT doc_id, sent_ix, round(total * count(*) OVER c / sum(total) OVER c, 6) AS score
+  FROM total JOIN (SELECT doc_id, sent_ix, label FROM lab WHERE step = 12) USING (doc_id, sent_ix) WINDOW c AS (PARTITION BY doc_id, label)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sent_ix DESC) AS rn FROM score)"""
 
 
@@ -61,9 +65,15 @@ def scan_documents(spark, d):
     return docs(spark, d).select("doc_id", "text", "lang", "source", "n_chars")
 
 
-@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND source IS NOT NULL")
+#: The tables hold no null text, sentinel or repeated url; queries about them put some in, by id, on both sides.
+_HOLES = "SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN NULL ELSE text END AS text, CASE WHEN doc_id % 11 = 5 THEN NULL ELSE source END AS source FROM documents"
+
+
+@query(f"SELECT doc_id, text FROM ({_HOLES}) WHERE text IS NOT NULL AND source IS NOT NULL")
 def drop_nulls(spark, d):
-    return tables.drop_nulls(docs(spark, d), ["text", "source"]).select("doc_id", "text")
+    null = lambda k, r, c: F.when(F.col("doc_id") % k != r, F.col(c)).alias(c)
+    rows = docs(spark, d).select("doc_id", null(7, 3, "text"), null(11, 5, "source"))
+    return tables.drop_nulls(rows, ["text", "source"]).select("doc_id", "text")
 
 
 @query("SELECT doc_id, lang FROM documents")
@@ -71,9 +81,10 @@ def select_cols(spark, d):
     return docs(spark, d).select("doc_id", "lang")
 
 
-@query("SELECT doc_id, text FROM documents WHERE text IS DISTINCT FROM 'Document is empty!'")
+@query("SELECT doc_id, text FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'Document is empty!' WHEN doc_id % 7 <> 4 THEN text END AS text FROM documents) WHERE text IS DISTINCT FROM 'Document is empty!'")
 def drop_sentinel(spark, d):
-    return tables.drop_sentinel(docs(spark, d)).select("doc_id", "text")
+    text = F.when(F.col("doc_id") % 7 == 3, F.lit(tables.EMPTY_DOCUMENT)).when(F.col("doc_id") % 7 != 4, F.col("text"))
+    return tables.drop_sentinel(docs(spark, d).select("doc_id", text.alias("text")))
 
 
 @query("SELECT doc_id, source FROM documents WHERE source IS DISTINCT FROM 'src0' AND source IS DISTINCT FROM 'src1'")
@@ -128,9 +139,7 @@ def cut_after_marker(spark, d):
     f"SELECT doc_id, {_cut_sql('text', 'en', 'after')} AS text FROM b"
 )
 def clean_fold(spark, d):
-    rows = docs(spark, d).select("doc_id", T.cut_before_marker(F.col("text"), " de ").alias("text"))
-    rows = rows.select("doc_id", T.cut_before_marker(F.col("text"), " la ").alias("text"))
-    return rows.select("doc_id", T.cut_after_marker(F.col("text"), "en").alias("text"))
+    return docs(spark, d).select("doc_id", T.clean_judgement(F.col("text"), [" de ", " la "], ["en"]).alias("text"))
 
 
 @query(
@@ -181,14 +190,15 @@ def tokenize_rules(spark, d):
 
 
 _WS = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')"
+_SPACED = "regexp_extract_all(text, '\\s*\\S+')"
 
 
-@query(f"SELECT doc_id, array_to_string({_WS.format('text')}[1:20], ' ') AS text FROM documents")
+@query(f"SELECT doc_id, array_to_string({_SPACED}[1:20], '') AS text FROM documents")
 def token_truncate(spark, d):
     return docs(spark, d).select("doc_id", T.first_tokens(F.col("text"), 20).alias("text"))
 
 
-@query(f"SELECT doc_id, array_to_string({_WS.format('text')}[1:CAST(floor(len({_WS.format('text')}) * 0.1::DOUBLE) AS INT)], ' ') AS text FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, array_to_string({_SPACED}[1:CAST(floor(len({_WS.format('text')}) * 0.1::DOUBLE) AS INT)], '') AS text FROM documents WHERE text IS NOT NULL")
 def budget_truncate(spark, d):
     rows = docs(spark, d).filter("text is not null")
     return rows.select("doc_id", T.first_tokens(F.col("text"), T.token_budget(F.col("text"), 0.1)).alias("text"))
@@ -299,19 +309,19 @@ def _undamped(spark, d):
     return sents, select.rank_sentences(centrality.undamped(unit, sents))
 
 
-@query(f"WITH {_TOTAL} SELECT doc_id, sent_ix, score FROM score")
+@query(f"WITH RECURSIVE {_TOTAL} SELECT doc_id, sent_ix, score FROM score")
 def lexrank_undamped(spark, d):
     return _undamped(spark, d)[1].select("doc_id", "sent_ix", "score")
 
 
-@query(f"WITH {_TOTAL} SELECT doc_id, rn, sent_ix, sent, score FROM ranked JOIN sents USING (doc_id, sent_ix) WHERE rn <= 3")
+@query(f"WITH RECURSIVE {_TOTAL} SELECT doc_id, rn, sent_ix, sent, score FROM ranked JOIN sents USING (doc_id, sent_ix) WHERE rn <= 3")
 def lexrank_topk(spark, d):
     sents, ranked = _undamped(spark, d)
     return ranked.filter("rn <= 3").join(sents, ["doc_id", "sent_ix"]).select("doc_id", "rn", "sent_ix", "sent", "score")
 
 
 @query(
-    f"WITH {_TOTAL}, size AS (SELECT doc_id, count(*) AS n FROM sents GROUP BY 1) "
+    f"WITH RECURSIVE {_TOTAL}, size AS (SELECT doc_id, count(*) AS n FROM sents GROUP BY 1) "
     "SELECT doc_id, string_agg(CASE WHEN rn <= floor(size.n * 0.5::DOUBLE) THEN sent ELSE '' END, ' ' ORDER BY sent_ix) AS summary "
     "FROM ranked JOIN sents USING (doc_id, sent_ix) JOIN size USING (doc_id) GROUP BY doc_id"
 )
@@ -385,8 +395,10 @@ def seeded_split(spark, d):
 
 _TOK = f"regexp_extract_all(lower(text), '{rouge.TOKEN}')"
 _PAIRS = (
-    f"t AS (SELECT doc_id, {_TOK} AS t FROM documents), pairs AS MATERIALIZED (SELECT doc_id AS pair_id, 0 AS ref_id, t[1:100] AS hyp, t[101:200] AS ref FROM t "
-    "UNION ALL SELECT doc_id, 1, t[1:100], t[201:300] FROM t)"
+    "l AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+'), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL), "
+    + "t AS (SELECT doc_id, "
+    + ", ".join(f"regexp_extract_all(lower(array_to_string(s{part}, chr(10))), '{rouge.TOKEN}') AS {name}" for part, name in (("[1:3]", "hyp"), ("[4:]", "rest"), ("", "whole")))
+    + " FROM l), pairs AS MATERIALIZED (SELECT doc_id AS pair_id, 0 AS ref_id, hyp, rest AS ref FROM t UNION ALL SELECT doc_id, 1, hyp, whole FROM t)"
 )
 
 
@@ -407,11 +419,23 @@ def _prf_sql(source: str, keys: str, digits: int = 6) -> str:
     )
 
 
+_WHOLE = rouge.Options(word_limit=0)
+
+
+def _lcs_pairs(spark, d):
+    """The lead against the rest of the document (reference 0) and against all of it (reference 1), all sentences of both."""
+    s = rouge.sentence_tokens(F.col("text"), _WHOLE)
+    lead = T.sentences(F.col("text"))
+    hyp = rouge.sentence_tokens(F.array_join(F.slice(lead, 1, 3), ".\n"), _WHOLE)
+    rest = rouge.sentence_tokens(F.array_join(F.slice(lead, F.lit(4), F.greatest(F.size(lead) - 3, F.lit(0))), ".\n"), _WHOLE)
+    refs = F.array(*[F.struct(F.lit(k).alias("ref_id"), c.alias("ref")) for k, c in enumerate((rest, s))])
+    t = docs(spark, d).filter("text IS NOT NULL").select(F.col("doc_id").alias("pair_id"), hyp.alias("hyp_sents"), F.explode(refs).alias("x"))
+    return t.select("pair_id", "x.ref_id", "hyp_sents", F.col("x.ref").alias("ref_sents"))
+
+
 def _pairs(spark, d):
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit(rouge.TOKEN), F.lit(0))
-    t = docs(spark, d).select(F.col("doc_id").alias("pair_id"), tokens.alias("t"))
-    refs = F.array(*[F.struct(F.lit(k).alias("ref_id"), F.slice("t", 101 + 100 * k, 100).alias("ref")) for k in (0, 1)])
-    return t.select("pair_id", F.slice("t", 1, 100).alias("hyp"), F.explode(refs).alias("x")).select("pair_id", "x.ref_id", "hyp", "x.ref")
+    """The same pairs as token arrays."""
+    return _lcs_pairs(spark, d).select("pair_id", "ref_id", F.flatten("hyp_sents").alias("hyp"), F.flatten("ref_sents").alias("ref"))
 
 
 def _rounded(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -455,50 +479,6 @@ def rouge_corpus_stats(spark, d):
     return out.select("metric", *[F.round(c, 7).alias(c) for c in out.columns if c != "metric"])
 
 
-_WHOLE = rouge.Options(word_limit=0)
-
-
-def _lcs_pairs(spark, d):
-    """The lead against the rest of the document (reference 0) and against all of it (reference 1), all sentences of both."""
-    s = rouge.sentence_tokens(F.col("text"), _WHOLE)
-    lead = T.sentences(F.col("text"))
-    hyp = rouge.sentence_tokens(F.array_join(F.slice(lead, 1, 3), ".\n"), _WHOLE)
-    rest = rouge.sentence_tokens(F.array_join(F.slice(lead, F.lit(4), F.greatest(F.size(lead) - 3, F.lit(0))), ".\n"), _WHOLE)
-    refs = F.array(*[F.struct(F.lit(k).alias("ref_id"), c.alias("ref")) for k, c in enumerate((rest, s))])
-    t = docs(spark, d).filter("text IS NOT NULL").select(F.col("doc_id").alias("pair_id"), hyp.alias("hyp_sents"), F.explode(refs).alias("x"))
-    return t.select("pair_id", "x.ref_id", "hyp_sents", F.col("x.ref").alias("ref_sents"))
-
-
-def _whole_pairs(spark, d):
-    """The same pairs as token arrays."""
-    return _lcs_pairs(spark, d).select("pair_id", "ref_id", F.flatten("hyp_sents").alias("hyp"), F.flatten("ref_sents").alias("ref"))
-
-
-for _n in (1, 2, 3):
-    query(name=f"rouge_{_n}_whole")(lambda spark, d, n=_n: _rounded(rouge.rouge_n(_whole_pairs(spark, d), n), ["pair_id", "ref_id"]))
-
-
-@query()
-def ngram_counts_whole(spark, d):
-    return rouge.ngram_counts(_whole_pairs(spark, d), ["pair_id", "ref_id"], "ref", 2)
-
-
-@query()
-def rouge_avg_whole(spark, d):
-    return _rounded(rouge.average(rouge.rouge_n(_whole_pairs(spark, d), 1)), ["pair_id"])
-
-
-@query()
-def rouge_best_whole(spark, d):
-    return _rounded(rouge.best(rouge.rouge_n(_whole_pairs(spark, d), 1)), ["pair_id", "ref_id"])
-
-
-@query()
-def rouge_corpus_stats_whole(spark, d):
-    pairs = _whole_pairs(spark, d)
-    return rouge.corpus_stats(rouge.rouge_n(pairs, 1).unionByName(rouge.rouge_n(pairs, 2)))
-
-
 @query()
 def rouge_l(spark, d):
     return rouge.rouge_lcs(_lcs_pairs(spark, d))
@@ -553,7 +533,7 @@ def cluster_vocabulary(spark, d):
 
 @query()
 def rouge_1_stemmed(spark, d):
-    pairs = _whole_pairs(spark, d)
+    pairs = _pairs(spark, d)
     return _rounded(rouge.rouge_n(stem.stem_columns(pairs, ["hyp", "ref"]), 1), ["pair_id", "ref_id"])
 
 
@@ -587,6 +567,11 @@ def near_duplicates(spark, d):
     return neighbours.near_duplicates(docs(spark, d), "source", "doc_id")
 
 
+@query()
+def near_duplicates_removed(spark, d):
+    return neighbours.kept_shares(docs(spark, d), "source", "doc_id")
+
+
 @query(
     "WITH d AS (SELECT source AS category, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ix FROM documents) "
     "SELECT a.category, a.ix, b.ix AS jx FROM d a JOIN d b ON a.category = b.category AND b.ix BETWEEN a.ix + 1 AND a.ix + 9"
@@ -618,9 +603,10 @@ def page_text_parsed(spark, d):
     return pages.page_text(table(spark, d, "pages")).select("page_id", "body")
 
 
-@query("SELECT url FROM pages GROUP BY url HAVING count(*) > 1")
+@query("SELECT url FROM (SELECT url FROM pages UNION ALL SELECT url FROM pages WHERE page_id % 9 = 2) GROUP BY url HAVING count(*) > 1")
 def duplicate_links(spark, d):
-    return tables.duplicate_links(table(spark, d, "pages"))
+    links = table(spark, d, "pages").select("page_id", "url")
+    return tables.duplicate_links(links.unionByName(links.filter("page_id % 9 = 2")))
 
 
 @query("SELECT y AS year, i AS id FROM range(1980, 2023) a(y), range(1, 3001) b(i)")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from corpusloom.functions import text as T
-from corpusloom.operators import centrality, rouge, select, similarity, tables, terms
+from corpusloom.operators import centrality, rouge, select, similarity, stem, tables, terms
 from corpusloom.runtime import settle
 
 
@@ -25,6 +27,8 @@ class SummaryOptions:
     threshold: float | None = None
     limit_fraction: float | None = None
     seed: int = 1
+    #: Full stops of known abbreviations and of initials don't end a sentence.
+    abbreviations: bool = True
 
 
 def weights(docs: DataFrame, stopwords: tuple[str, ...] = (), idf: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -33,10 +37,10 @@ def weights(docs: DataFrame, stopwords: tuple[str, ...] = (), idf: DataFrame | N
     return sents, tf, terms.unit_vectors(weighted)
 
 
-def _weighted(docs: DataFrame, stopwords: tuple[str, ...], idf: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _weighted(docs: DataFrame, stopwords: tuple[str, ...], idf: DataFrame | None, abbreviations: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sentence rows, term frequencies, weights). Texts are tokenised once: the term table is written to the shared
     folder and read by all that follows. The IDF table is broadcast up to BROADCAST_TERMS terms and else joined by term."""
-    sents = terms.sentence_rows(docs)
+    sents = terms.sentence_rows(docs, abbreviations)
     tf = settle(terms.term_frequency(sents, stopwords=stopwords), "term-table")
     idf = settle(terms.idf_of_documents(docs, stopwords), "idf-table") if idf is None else idf
     idf = F.broadcast(idf) if idf.count() <= BROADCAST_TERMS else idf
@@ -68,10 +72,10 @@ def summarize(docs: DataFrame, options: SummaryOptions = SummaryOptions(), idf:
         raise ValueError("the threshold is in [0, 1)")
     size = options.size if options.size is not None else select.DEFAULT_SIZES.get(options.method.replace("_undamped", ""))
     if options.method == "random_sentence":
-        sents = terms.sentence_rows(docs)
+        sents = terms.sentence_rows(docs, options.abbreviations)
         ranked = select.random_sentences(sents, int(size), options.seed).select("doc_id", "sent_ix", F.lit(0.0).alias("score"), "rn")
     else:
-        sents, tf, weighted = _weighted(docs, options.stopwords, idf)
+        sents, tf, weighted = _weighted(docs, options.stopwords, idf, options.abbreviations)
         cosine = options.similarity == "idf_mod_cosine"
         graph = terms.unit_vectors(weighted) if cosine else _edges(options.similarity, tf, weighted, vectors)
         score = centrality.per_document if cosine else centrality.per_document_edges
@@ -90,24 +94,45 @@ def summarize(docs: DataFrame, options: SummaryOptions = SummaryOptions(), idf:
             raise ValueError(f"unknown method {options.method}")
         ranked = select.rank_sentences(scores)
     out = select.summaries(ranked, sents, size)
+    # a document without sentences has an empty summary
+    out = docs.select("doc_id").join(out, "doc_id", "left").select("doc_id", F.coalesce("summary", F.lit("")).alias("summary"))
     if options.limit_fraction is not None:
         out = out.join(docs.select("doc_id", "text"), "doc_id")
         out = out.select("doc_id", T.first_tokens(F.col("summary"), T.token_budget(F.col("text"), options.limit_fraction)).alias("summary"))
     return out
 
 
-def evaluate(pairs: DataFrame, generated: Column, reference: Column, options: rouge.Options = rouge.Options(), lcs: bool = True) -> DataFrame:
-    """(pair_id, ref_id, metric, p, r, f) of all metrics for pairs (pair_id, ...)."""
-    base = pairs.select("pair_id", F.lit(0).alias("ref_id"), rouge.score_tokens(generated, options).alias("hyp"), rouge.score_tokens(reference, options).alias("ref"))
-    keep = ["pair_id", "ref_id", "metric", "p", "r", "f"]
-    parts = [rouge.rouge_n(base, n, options).select(keep) for n in range(1, options.max_n + 1)]
-    if lcs:
-        sents = pairs.select("pair_id", F.lit(0).alias("ref_id"), *[rouge.sentence_tokens(c, options).alias(n) for c, n in ((generated, "hyp_sents"), (reference, "ref_sents"))])
-        parts += [rouge.rouge_lcs(sents, w, options).select(keep) for w in (False, True)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def evaluate(
+    pairs: DataFrame, generated: Column, reference: Column, options: rouge.Options = rouge.Options(), lcs: bool = True, mode: str = "individual", metrics: tuple[str, ...] | None = None
+) -> DataFrame:
+    """(pair_id, ref_id, metric, p, r, f) for pairs (pair_id, ...); a reference may be a text or an array of texts.
+    mode: individual (a row for each reference), average or best (one for each pair). metrics: rouge-1, ..., rouge-l, rouge-w;
+    None: all up to max_n, and the last two if lcs. Texts are cut to the byte limit (in characters, by sentences), then to the
+    word limit, then stemmed."""
+    if mode not in ("individual", "average", "best"):
+        raise ValueError(f"mode is individual, average or best, not {mode!r}")
+    metrics = metrics or (*[f"rouge-{n}" for n in range(1, options.max_n + 1)], *(("rouge-l", "rouge-w") if lcs else ()))
+    base = pairs.select("pair_id", generated.alias("g"), reference.alias("r"))
+    if isinstance(base.schema["r"].dataType, ArrayType):
+        base = base.select("pair_id", "g", F.posexplode("r").alias("ref_id", "r"))
+    else:
+        base = base.withColumn("ref_id", F.lit(0))
+    cut = lambda c: F.array_join(rouge.truncate_chars(T.sentences(F.col(c)), options.byte_limit), ".\n") if options.byte_limit else F.col(c)
+    base = base.select("pair_id", "ref_id", cut("g").alias("g"), cut("r").alias("r"))
+    parts = []
+    if counts := [int(m[6:]) for m in metrics if m[6:].isdigit()]:
+        tokens = base.select("pair_id", "ref_id", rouge.score_tokens(F.col("g"), options).alias("hyp"), rouge.score_tokens(F.col("r"), options).alias("ref"))
+        tokens = stem.stem_columns(tokens, ["hyp", "ref"]) if options.stemming else tokens
+        parts += [rouge.rouge_n(tokens, n, options) for n in counts]
+    if weighted := [m == "rouge-w" for m in metrics if not m[6:].isdigit()]:
+        sents = base.select("pair_id", "ref_id", *[rouge.sentence_tokens(F.col(c), options).alias(n) for c, n in (("g", "hyp_sents"), ("r", "ref_sents"))])
+        sents = stem.stem_columns(sents, ["hyp_sents", "ref_sents"], nested=True) if options.stemming else sents
+        parts += [rouge.rouge_lcs(sents, w, options) for w in weighted]
+    scored = reduce(DataFrame.unionByName, [p.select("pair_id", "ref_id", "metric", *[F.col(c).cast("double").alias(c) for c in ("overlap", "evaluated", "reference")], "p", "r", "f") for p in parts])
+    if mode == "individual":
+        return scored.select("pair_id", "ref_id", "metric", "p", "r", "f")
+    out = rouge.average(scored, options).withColumn("ref_id", F.lit(None).cast("int")) if mode == "average" else rouge.best(scored)
+    return out.select("pair_id", "ref_id", "metric", "p", "r", "f")
 
 
 def preprocess(rows: DataFrame, kind: str, starts=(), ends=(), noise: str | None = None, newlines: bool = False, skip: int = 250) -> DataFrame:

@@ -70,7 +70,7 @@ def test_programs_run_whole(spark, tmp_path):
     docs = spark.createDataFrame([(1, "The cat sat. A cat ran. Dogs bark. Birds sing loud", "cat,dogs"), (2, None, None), (3, "", "x")], "doc_id long, text string, tags string")
     for method in ("lexrank", "lexrank_undamped", "biased_lexrank", "random_sentence"):
         out = programs.summarize(docs, programs.SummaryOptions(method=method, size=2)).collect()
-        assert [r.doc_id for r in out] == [1] and out[0].summary
+        assert {r.doc_id: bool(r.summary) for r in out} == {1: True, 2: False, 3: False}
     with pytest.raises(ValueError):
         programs.summarize(docs, programs.SummaryOptions(method="other", size=2))
     raw = spark.createDataFrame([(k, f"HEAD body {k}\n", "s", f"01/02/{2000 + k}", "c") for k in range(3)], "row_ix int, text string, summary string, date string, case_category string")

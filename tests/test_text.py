@@ -55,7 +55,7 @@ def test_sentences_and_abbreviations(spark):
 
 def test_budget_and_truncation(spark):
     assert one(spark, lambda c: T.token_budget(c, 0.5), "a b c d e", None) == [2, 1]
-    assert one(spark, lambda c: T.first_tokens(c, 2), "a  b\nc") == ["a b"]
+    assert one(spark, lambda c: T.first_tokens(c, 2), "a  b\nc", " a", "") == ["a  b", " a", ""]
 
 
 def test_file_numbers(spark):
