@@ -22,8 +22,16 @@ def _own_folder() -> str:
     return path
 
 
+#: Rows of an Arrow batch where the session keeps Spark's default, which suits numbers and not whole texts.
+BATCH_ROWS = 1_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that Arrow functions can be imported there."""
+    """Send this package to the executors, once per application, so that Arrow functions can be imported there; and keep
+    Arrow batches of texts small, as both sides of a worker's pipe hold some."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
