@@ -13,8 +13,8 @@ above any score, with a bound for chance, is the prior. The same scores give the
 against negatives flagged (`false_alarm` times). The model is the mean of the three, moved so that the cut lies at the
 threshold.
 
-The model is fitted on at most `Options.positives` and `Options.unlabelled` texts, chosen by a hash of the id; of those
-only the chosen features (`max_features` at most) come to the driver. Every whole text is scored.
+The model is fitted on at most `Options.positives` and `Options.unlabelled` ids, chosen by a hash (repeated rows of one count as
+often as they occur); of those only the chosen features (`max_features` at most) come to the driver. Every whole text is scored.
 
 Defined results: null and empty texts have no features and get the score of the bias alone; rows with a null id are
 scored and never learned from; ties and repeated rows are scored alike; without positives, or where no feature is common
@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.kernels import _BASE, _BYTE, _power_tables, Slice, mix, slices
@@ -111,19 +112,46 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
+@dataclass
+class Sets:
+    """Texts as sets of features, one after the other: small numbers in one array."""
+
+    flat: np.ndarray  # int32
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> Sets:
+        flat = np.concatenate(sets).astype(np.int32) if sets else np.zeros(0, dtype=np.int32)
+        return cls(flat, np.array([len(x) for x in sets], dtype=np.int64))
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def pick(self, on: np.ndarray) -> Sets:
+        return Sets(self.flat[np.repeat(on, self.sizes)], self.sizes[on])
+
+    def columns(self, index: np.ndarray) -> Sets:
+        """Features renumbered, those of number -1 left out."""
+        new = index[self.flat]
+        kept = new >= 0
+        before = np.concatenate([[0], np.cumsum(kept)])
+        ends = np.cumsum(self.sizes)
+        return Sets(new[kept], before[ends] - before[ends - self.sizes])
+
+
 class Rows:
     """Texts as rows of a sparse matrix of ones."""
 
-    def __init__(self, sets: list[np.ndarray], columns: int):
-        sizes = np.array([len(x) for x in sets], dtype=np.int64)
-        self.n, self.columns = len(sets), columns
-        self.c = np.concatenate(sets).astype(np.int64) if len(sets) else np.zeros(0, dtype=np.int64)
-        row = np.repeat(np.arange(len(sets)), sizes)
-        self.full = np.flatnonzero(sizes)
-        self.starts = (np.cumsum(sizes) - sizes)[self.full]
+    def __init__(self, sets: Sets | list[np.ndarray], columns: int):
+        sets = sets if isinstance(sets, Sets) else Sets.of(sets)
+        self.n, self.columns, self.c = len(sets), columns, sets.flat
+        self.full = np.flatnonzero(sets.sizes)
+        self.starts = (np.cumsum(sets.sizes) - sets.sizes)[self.full]
         order = np.argsort(self.c, kind="stable")
-        self.by_column = row[order]
-        self.used, self.column_starts = np.unique(self.c[order], return_index=True)
+        self.by_column = np.repeat(np.arange(self.n, dtype=np.int32), sets.sizes)[order]
+        counts = np.bincount(self.c, minlength=columns)
+        self.used = np.flatnonzero(counts)
+        self.column_starts = (np.cumsum(counts) - counts)[self.used]
 
     def times(self, w: np.ndarray) -> np.ndarray:
         out = np.zeros(self.n)
@@ -192,28 +220,30 @@ def best_cut(zp: np.ndarray, zu: np.ndarray, prior: float, false_alarm: float) -
     return float((cut + below) / 2)
 
 
-def common_buckets(positive: list[np.ndarray], unlabelled: list[np.ndarray], options: Options) -> np.ndarray:
+def common_buckets(positive: Sets, unlabelled: Sets, options: Options) -> np.ndarray:
     """The features: buckets by frequency."""
-    in_p, in_u = (np.bincount(np.concatenate(s), minlength=options.buckets) for s in (positive, unlabelled))
+    in_p, in_u = (np.bincount(s.flat, minlength=options.buckets) for s in (positive, unlabelled))
     able = np.flatnonzero((in_p >= options.min_count) & (in_u <= options.max_share * len(unlabelled)))
     frequency = in_p[able] / len(positive) + in_u[able] / len(unlabelled)
     return able[np.argsort(-frequency, kind="stable")][: options.max_features]
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], options: Options = Options(), chosen_buckets: np.ndarray | None = None, corrected: bool = True) -> Model:
+def fit(
+    positive: Sets | list[np.ndarray], unlabelled: Sets | list[np.ndarray], options: Options = Options(), chosen_buckets: np.ndarray | None = None, corrected: bool = True
+) -> Model:
     """From sets of buckets; texts are dealt out to the folds in the given order."""
+    positive, unlabelled = (s if isinstance(s, Sets) else Sets.of(s) for s in (positive, unlabelled))
     empty = Model(options, np.zeros(options.buckets), -30.0)
-    if not positive or not unlabelled:
+    if not len(positive) or not len(unlabelled):
         warnings.warn("no positive or no unlabelled texts: no text will score as toxic", stacklevel=2)
         return empty
     able = common_buckets(positive, unlabelled, options) if chosen_buckets is None else chosen_buckets
     if not len(able):
         warnings.warn("no word is common enough among the positives: no text will score as toxic", stacklevel=2)
         return empty
-    index = np.full(options.buckets, -1)
+    index = np.full(options.buckets, -1, dtype=np.int32)
     index[able] = np.arange(len(able))
-    columns = lambda sets: [c[c >= 0] for c in (index[s] for s in sets)]
-    positive, unlabelled = columns(positive), columns(unlabelled)
+    positive, unlabelled = positive.columns(index), unlabelled.columns(index)
     rows = lambda sets: Rows(sets, len(able))
     prior = options.start_prior if options.prior is None else options.prior
     shift = 0.0
@@ -222,9 +252,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], options: Optio
         """The mean of the folds' models, and scores of all texts by the model that didn't learn from them."""
         models, zp, zu = [], np.zeros(len(positive)), np.zeros(len(unlabelled))
         for k in range(options.folds):
-            rest = lambda sets: rows([s for j, s in enumerate(sets) if j % options.folds != k])  # noqa: B023, E731
-            w, bias = descend(rest(positive), rest(unlabelled), prior, options, corrected)
-            zp[k :: options.folds], zu[k :: options.folds] = (rows(s[k :: options.folds]).times(w) + bias for s in (positive, unlabelled))
+            own = lambda sets: np.arange(len(sets)) % options.folds == k  # noqa: B023, E731
+            w, bias = descend(*(rows(s.pick(~own(s))) for s in (positive, unlabelled)), prior, options, corrected)
+            for s, z in ((positive, zp), (unlabelled, zu)):
+                z[own(s)] = rows(s.pick(own(s))).times(w) + bias
             models.append((w, bias))
         return np.mean([w for w, _ in models], axis=0), float(np.mean([b for _, b in models])), zp, zu
 
@@ -273,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", options: Op
     ids = docs.select("doc_id").schema
     side = lambda found, name: F.broadcast(spark.createDataFrame([(i,) for i in found], ids)).withColumn(name, F.lit(1))
     sample = settle(_sample_sets(docs, list(dict.fromkeys([*positive, *others])), options), "toxicity-sample")
-    sample = sample.dropDuplicates(["doc_id"]).join(side(positive, "p"), "doc_id", "left").join(side(others, "u"), "doc_id", "left").fillna(0, ["p", "u"])
+    sample = sample.join(side(positive, "p"), "doc_id", "left").join(side(others, "u"), "doc_id", "left").fillna(0, ["p", "u"])
     n_p, n_u = sample.agg(F.sum("p"), F.sum("u")).first()
     if not n_p or not n_u:
         return fit([], [], options)
@@ -291,12 +322,16 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", options: Op
 
     key = docs.schema["doc_id"].dataType.simpleString()
     rows = sample.select("doc_id", "p", "u", "x").mapInArrow(only_chosen, f"doc_id {key}, p int, u int, x array<int>").toArrow()
-    # the order of the sample, by a hash, deals texts out to the thirds
-    order = rows.append_column("h", pa.array([hashlib.blake2b(repr(i).encode(), digest_size=8).hexdigest() for i in rows["doc_id"].to_pylist()])).sort_by("h")
-    sets = [np.asarray(s.values, dtype=np.int64) for s in order["x"]]
-    is_p, is_u = (order[c].to_numpy() == 1 for c in ("p", "u"))
-    pick = lambda on: [s for s, k in zip(sets, on) if k]
-    return fit(pick(is_p), pick(is_u), options, buckets, corrected)
+    # the order of the sample, by a hash, deals texts out to the folds
+    order = np.argsort([hashlib.blake2b(repr(i).encode(), digest_size=8).hexdigest() for i in rows["doc_id"].to_pylist()])
+    rows = rows.take(pa.array(order)).combine_chunks()
+    x = rows["x"].combine_chunks()
+    sets = Sets(x.flatten().to_numpy(), np.asarray(pc.list_value_length(x)).astype(np.int64))
+    p, u = (sets.pick(rows[c].to_numpy() == 1) for c in ("p", "u"))
+    del rows, x, sets
+    model = fit(p, u, options, buckets, corrected)
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
