@@ -48,6 +48,8 @@ from corpusloom.llm.kernels import mix, shingle_sets
 from corpusloom.runtime import drop, settle, ship, table
 
 BITMAP_LONGS = 32
+#: Keys that a task packs at a time, and sets that it remembers.
+HELD_KEYS, SEEN_SETS = 500_000, 200_000
 #: One class of so many gives its list keys to measure the lists' length.
 SAMPLED = 64
 
@@ -186,14 +188,14 @@ def _packed_keys(docs: DataFrame, light_up_to: int, buckets: int, options: Optio
                 own = _signature(s)[0]
                 if own in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > SEEN_SETS:
                     seen.clear()
                 seen.add(own)
                 found = keys_of(s, light_up_to, options)
                 keys.append(found)
                 owners.append(np.full(len(found), own, dtype=np.int64))
                 held += len(found)
-                if held > 2_000_000:
+                if held > HELD_KEYS:
                     yield flush()
                     keys, owners, held = [], [], 0
             if held:
