@@ -440,7 +440,7 @@ def link(docs: DataFrame, options: Options = Options(), partitions: int | None =
     rest = by_key(named, settle(mixed, "mixed-lists"), hot, "key").join(sets.select("rep", "bits"), "rep")
     more = _near_pairs(rest, n_parts, options).distinct()
     more = more.join(pairs, ["a", "b"], "left_anti")
-    edges = edges.union(settle(_verified(settle(more, "more-pairs"), sets, options), "more-edges"))
+    edges = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(settle(_verified(settle(more, "more-pairs"), sets, options), "more-edges"))
     comp = settle(components(edges), "components")
     of_class = classes.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     of_class = settle(of_class, "class-components")
