@@ -15,8 +15,8 @@ def brute(a, b):
             steps = [(i + 1, j, 1), (i, j + 1, 1)]
             if i < len(a) and j < len(b):
                 steps.append((i + 1, j + 1, a[i] != b[j]))
-                # exchange: a[i] meets a later letter of b, b[j] a later letter of a, all between is taken out or put in
-                steps += [(x + 1, y + 1, (x - i - 1) + 1 + (y - j - 1)) for x in range(i + 1, len(a)) for y in range(j + 1, len(b)) if a[i] == b[y] and a[x] == b[j]]
+                # exchange: a[i] meets a later letter of b, b[j] a later letter of a, all between is taken out or put in (six at most)
+                steps += [(x + 1, y + 1, (x - i - 1) + 1 + (y - j - 1)) for x in range(i + 1, min(len(a), i + 7)) for y in range(j + 1, min(len(b), j + 7)) if a[i] == b[y] and a[x] == b[j]]
             for x, y, c in steps:
                 if (x, y) in cost:
                     cost[x, y] = min(cost[x, y], cost[i, j] + c)
