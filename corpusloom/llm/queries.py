@@ -16,6 +16,7 @@ _MODULES = {
     "op8_packing": "packing",
     "op9_bpe": "bpe",
     "op10_chat_formatting": "chat_formatting",
+    "op11_secret_scan": "secret_scan",
     "op12_ranked_search": "ranked_search",
     "op13_name_join": "name_join",
 }
