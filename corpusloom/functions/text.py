@@ -15,8 +15,37 @@ from pyspark.sql.types import StringType
 ENDS = " \t\n\r\x0b\x0c"
 SENTENCE = r"[^.!?\n]+"
 WORD = r"[\p{L}]+"
-#: Abbreviations after which a full stop doesn't end a sentence (Greek judgements).
-ABBREVIATIONS = ["παρ.", "αρ.", "αρθρ.", "Αρ.", "Αρθρ.", "κεφ.", "Κεφ.", "στοιχ.", "ν.", "Ν.", "εδ.", "περ.", "υποπερ.", "Ολ.", "Π.Κ.", "ΑΠ.", "αριθ.", "κατ."]
+#: Abbreviations whose full stops don't end a sentence (Greek judgements), and dots in the place of names.
+ABBREVIATIONS = [
+    "παρ.",
+    "Π.Κ.",
+    "Κ.Ποιν.Δ.",
+    "Κ.Π.Δ.",
+    "ΚΠΔ.",
+    "ΚΠοινΔ.",
+    "ΠΚ.",
+    "αρ.",
+    "αρθρ.",
+    "Αρ.",
+    "Αρθρ.",
+    "κεφ.",
+    "Κεφ.",
+    "στοιχ.",
+    "ν.",
+    "Ν.",
+    "εδ.",
+    "αριθ. κατ.",
+    "Μον. Πλημ.",
+    "περ.",
+    "υποπερ.",
+    "Ολ.",
+    "Ολ.ΑΠ",
+    "αριθ. πρωτ.",
+    "Ο.Α.Ε.Δ",
+    "...",
+]
+#: Further ones, of this library: the first halves of those above by themselves, and the court's initials.
+MORE_ABBREVIATIONS = ["ΑΠ.", "αριθ.", "κατ."]
 EMAIL = r"[\p{L}\d][\p{L}\d_.+\-]*[\p{L}\d_+\-]@[\p{L}\d][\p{L}\d.\-]*\.\p{L}+"
 URL = r"(?:https?://|www\.)\S+|\b[A-Za-z0-9\-]+\.(?:com|org|net|edu|gov|gr|eu|io|info)\b\S*"
 #: Signs that the tokenizer sets apart; others, such as the apostrophe, go without a trace.
@@ -47,8 +76,9 @@ STATE_COUNCIL_ENDS = [
     "Εκρίθη και απεφασίσθη εν Αθήναις",
     "και η απόφαση δημοσιεύθηκε σε δημόσια",
 ]
-#: Fixed value: a case number of the state council, or a line end with a carriage return.
-STATE_COUNCIL_NOISE = r"(?:Αριθμός *\d+/\d+ -\d-)|(?:\r*\n)"
+#: Fixed value: what becomes a space in decisions of the state council: a case number with a one-digit number between
+#: hyphens, and a carriage return with its line feed. A line feed alone stays.
+STATE_COUNCIL_NOISE = r"Αριθμός *\p{Nd}+/\p{Nd}+ -\p{Nd}-|\r\n"
 
 
 def strip(text: Column) -> Column:
@@ -89,17 +119,23 @@ def cut(text: Column, markers: Iterable[str], mode: str) -> Column:
 
 
 def clean_judgement(text: Column, starts: Iterable[str], ends: Iterable[str], noise: str | None = None) -> Column:
-    """Start markers, then end markers, then a noise pattern that becomes one space."""
-    text = cut(cut(text, starts, "before"), ends, "after")
-    return F.regexp_replace(text, noise, " ") if noise else text
+    """A noise pattern becomes one space, then start markers, then end markers cut: markers meet a text without noise."""
+    text = F.regexp_replace(text, noise, " ") if noise else text
+    return cut(cut(text, starts, "before"), ends, "after")
+
+
+def clean_raw(text: Column, starts: Iterable[str], ends: Iterable[str], noise: str | None = None, newlines: bool = False) -> Column:
+    """The whole cleaning of a raw text: line feeds go first if `newlines` (so that a marker with a line feed isn't met any
+    more), then `clean_judgement`, and runs of white space collapse last."""
+    return collapse_whitespace(clean_judgement(remove_newlines(text) if newlines else text, starts, ends, noise))
 
 
 def clean_supreme_court(text: Column) -> Column:
-    return clean_judgement(text, SUPREME_COURT_STARTS, SUPREME_COURT_ENDS)
+    return clean_raw(text, SUPREME_COURT_STARTS, SUPREME_COURT_ENDS)
 
 
 def clean_state_council(text: Column) -> Column:
-    return clean_judgement(text, STATE_COUNCIL_STARTS, STATE_COUNCIL_ENDS, STATE_COUNCIL_NOISE)
+    return clean_raw(text, STATE_COUNCIL_STARTS, STATE_COUNCIL_ENDS, STATE_COUNCIL_NOISE)
 
 
 def remove_newlines(text: Column) -> Column:
@@ -125,8 +161,9 @@ def whole_sentences(text: Column) -> Column:
 
 
 def protect_abbreviations(text: Column, keep: str = "․") -> Column:
-    """Full stops of abbreviations and of initials become another sign, for `sentences`; `restore` puts them back."""
-    for a in ABBREVIATIONS:
+    """Full stops of abbreviations and of initials become another sign, for `sentences`; `restore` puts them back. Longer
+    abbreviations come first; none begins inside a word or after a full stop."""
+    for a in sorted([*ABBREVIATIONS, *MORE_ABBREVIATIONS], key=lambda x: -len(x)):
         text = F.regexp_replace(text, r"(?<![\p{L}.])\Q" + a + r"\E", a.replace(".", keep))
     return F.regexp_replace(text, r"(?<!\p{L})(\p{Lu})\.", "$1" + keep)
 

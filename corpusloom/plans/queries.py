@@ -5,6 +5,8 @@ run over whole tables."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import text as T
@@ -142,6 +144,34 @@ def clean_fold(spark, d):
     return docs(spark, d).select("doc_id", T.clean_judgement(F.col("text"), [" de ", " la "], ["en"]).alias("text"))
 
 
+#: Judgements of the state council made of documents: an opening, a start marker, the text with both kinds of line ends, a
+#: case number, and an end marker that the noise pattern must not have left in pieces.
+_COURT_HEAD, _COURT_TAIL = "άνοιγμα\n\n", "και τέλος"
+
+
+def _court_sql() -> str:
+    chars = lambda t: "'" + t.replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+    starts, ends = T.STATE_COUNCIL_STARTS, T.STATE_COUNCIL_ENDS
+    pick = lambda xs: "CASE " + " ".join(f"WHEN doc_id % {len(xs) + 1} = {k} THEN {chars(x)}" for k, x in enumerate(xs)) + " ELSE '' END"
+    steps = [("p", f"SELECT doc_id, {chars(_COURT_HEAD)} || {pick(starts)} || chr(13) || chr(10) || replace(text, '. ', '.' || chr(10) || '  ') || ' Αριθμός  12/2001 -3- ' || {pick(ends)} || {chars(_COURT_TAIL)} AS text FROM documents")]
+    steps.append(("s0", "SELECT doc_id, regexp_replace(text, 'Αριθμός *\\p{Nd}+/\\p{Nd}+ -\\p{Nd}-|\\r\\n', ' ', 'g') AS text FROM p"))
+    for k, (marker, mode) in enumerate([(m, "before") for m in starts] + [(m, "after") for m in ends]):
+        pieces = f"string_split(text, {chars(marker)})"
+        some = f"{pieces}[2:]" if mode == "before" else f"{pieces}[:-2]"
+        ends_ = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+        steps.append((f"s{k + 1}", f"SELECT doc_id, CASE WHEN len({pieces}) > 1 THEN trim(array_to_string({some}, ''), {ends_}) ELSE text END AS text FROM s{k}"))
+    last = "regexp_replace(regexp_replace(regexp_replace(text, ' +', ' ', 'g'), '\\n+', chr(10), 'g'), '\\t+', chr(9), 'g')"
+    return "WITH " + ", ".join(f"{name} AS ({sql})" for name, sql in steps) + f" SELECT doc_id, {last} AS text FROM {steps[-1][0]}"
+
+
+@query(_court_sql())
+def clean_court(spark, d):
+    pick = lambda xs: reduce(lambda c, kx: c.when(F.col("doc_id") % (len(xs) + 1) == kx[0], F.lit(kx[1])), enumerate(xs), F.when(F.lit(False), F.lit(""))).otherwise("")
+    body = F.replace(F.col("text"), F.lit(". "), F.lit(".\n  "))
+    raw = F.concat(F.lit(_COURT_HEAD), pick(T.STATE_COUNCIL_STARTS), F.lit("\r\n"), body, F.lit(" Αριθμός  12/2001 -3- "), pick(T.STATE_COUNCIL_ENDS), F.lit(_COURT_TAIL))
+    return docs(spark, d).select("doc_id", T.clean_state_council(raw).alias("text"))
+
+
 @query(
     "WITH p AS (SELECT doc_id, text, string_split(text, ' and ') AS p FROM documents) SELECT doc_id, "
     "CASE WHEN len(p) > 1 THEN ' and ' || ' ' || p[len(p)] || ' ' || array_to_string(p[1:len(p) - 1], ' ') ELSE text END AS text FROM p"

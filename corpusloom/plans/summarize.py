@@ -135,16 +135,25 @@ def evaluate(
     return out.select("pair_id", "ref_id", "metric", "p", "r", "f")
 
 
+#: Start markers, end markers and noise by kind of corpus.
+CLEANING = {
+    "AreiosPagos": (T.SUPREME_COURT_STARTS, T.SUPREME_COURT_ENDS, None),
+    "STE": (T.STATE_COUNCIL_STARTS, T.STATE_COUNCIL_ENDS, T.STATE_COUNCIL_NOISE),
+}
+
+
 def preprocess(rows: DataFrame, kind: str, starts=(), ends=(), noise: str | None = None, newlines: bool = False, skip: int = 250) -> DataFrame:
-    """Clean a raw corpus: kind AreiosPagos needs text and summary, STE needs text and sorts by year."""
+    """Clean a raw corpus: kind AreiosPagos needs text and summary, STE needs text and sorts by year. Without markers and
+    noise the kind's own ones are taken."""
+    if not starts and not ends and noise is None:
+        starts, ends, noise = CLEANING.get(kind, ((), (), None))
     if kind == "AreiosPagos":
         rows = tables.drop_nulls(rows, ["text", "summary"])
     elif kind == "STE":
         rows = tables.drop_sentinel(tables.drop_nulls(rows, ["text"]))
     else:
         raise ValueError("kind is AreiosPagos or STE")
-    text = T.clean_judgement(F.col("text"), starts, ends, noise)
-    rows = rows.withColumn("text", T.remove_newlines(text) if newlines else text)
+    rows = rows.withColumn("text", T.clean_raw(F.col("text"), starts, ends, noise, newlines))
     return tables.sort_by_year(rows, "date", "row_ix", skip) if kind == "STE" else rows
 
 
