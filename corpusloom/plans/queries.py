@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import centrality, fragments, neighbours, pages, rouge, select, similarity, stem, tables, terms
+from corpusloom.operators import centrality, fragments, neighbours, page_tree, pages, rouge, select, similarity, stem, tables, terms
 from corpusloom.plans import summarize as programs
 from corpusloom.runtime import table
 
@@ -617,7 +617,7 @@ def page_title(spark, d):
 
 @query("SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS links FROM pages".replace("AS links", "AS l").join(["SELECT page_id, array_to_string(l, ' ') AS links FROM (", ")"]))
 def page_links(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1)).alias("l"))
+    rows = table(spark, d, "pages").select("page_id", pages.links(F.col("html")).alias("l"))
     return rows.select("page_id", F.array_join("l", " ").alias("links"))
 
 
@@ -633,6 +633,52 @@ def page_text_parsed(spark, d):
     return pages.page_text(table(spark, d, "pages")).select("page_id", "body")
 
 
+def _fields_sql() -> str:
+    """The same fields from tag events: elements that occur once by their first end tag, paragraphs up to the next block."""
+    quoted = page_tree.EVENT.replace("'", "''")
+    blocks = ", ".join(f"'{b}'" for b in page_tree.BLOCKS)
+
+    def plain(text: str) -> str:
+        for name, sign in page_tree.ENTITIES.items():
+            text = "replace({}, '&{};', '{}')".format(text, name, sign.replace("'", "''"))
+        return text
+
+    slice_ = plain("replace(substring(t.text, s.pos + 1, s.until - s.pos), chr(1), '')")
+    one = lambda column, name, extra="": f"(SELECT string_agg({slice_}, chr(10) ORDER BY s.k) FROM spans s WHERE s.page_id = t.page_id AND s.name = '{name}'{extra}) AS {column}"
+    within = lambda outer: f" AND EXISTS (SELECT 1 FROM spans o WHERE o.page_id = s.page_id AND o.name = '{outer}' AND o.k < s.k AND s.k < o.last)"
+    href = plain("regexp_extract(s.source, 'href=\"([^\"]*)\"', 1)")
+    return f"""
+WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '{quoted}')) AS source, generate_subscripts(regexp_extract_all(html, '{quoted}'), 1) - 1 AS k FROM pages),
+n AS (SELECT *, CASE WHEN source LIKE '<%' AND source <> '<' THEN lower(regexp_extract(source, '^</?([A-Za-z][A-Za-z0-9:-]*)', 1)) END AS name FROM e),
+a AS MATERIALIZED (SELECT page_id, k, source, name, coalesce(sum(CASE WHEN name IS NULL THEN length(source) + 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM n),
+t AS MATERIALIZED (SELECT page_id, coalesce(string_agg(source || chr(1), '' ORDER BY k) FILTER (name IS NULL), '') AS text FROM a GROUP BY page_id),
+starts AS (SELECT * FROM a WHERE name IN ('title', 'h1', 'div', 'nav', 'a', 'article', 'p', 'footer') AND source NOT LIKE '</%'),
+ends AS (SELECT page_id, k, pos, name, source LIKE '</%' AS closing, name IN ({blocks}) AS block FROM a WHERE name IS NOT NULL),
+spans AS MATERIALIZED (SELECT s.page_id, s.k, s.name, s.source, s.pos, x.k AS last, x.pos AS until FROM starts s JOIN LATERAL (
+  SELECT k, pos FROM ends x WHERE x.page_id = s.page_id AND x.k > s.k AND CASE WHEN s.name = 'p' THEN x.block ELSE x.closing AND x.name = s.name END ORDER BY k LIMIT 1) x ON true)
+SELECT t.page_id, {one('title', 'title')}, {one('heading', 'h1')}, {one('ad', 'div', " AND s.source LIKE '%class=\"ad\"%'")}, {one('links', 'a', within('nav'))},
+  (SELECT string_agg({href}, chr(10) ORDER BY s.k) FROM spans s WHERE s.page_id = t.page_id AND s.name = 'a') AS hrefs,
+  (SELECT count(*)::BIGINT FROM spans s WHERE s.page_id = t.page_id AND s.name = 'p'{within('article')}) AS n_paragraphs, {one('body', 'p', within('article'))}, {one('footer', 'footer')} FROM t
+"""
+
+
+@query(_fields_sql())
+def page_fields(spark, d):
+    step, field = page_tree.Step, page_tree.Field
+    fields = {
+        "title": field((step("title"),)),
+        "heading": field((step("article"), step("h1", child=True))),
+        "ad": field((step("div", cls="ad"),)),
+        "links": field((step("nav"), step("a"))),
+        "hrefs": field((step("a", attrs=(("href", None),)),), attribute="href"),
+        "body": field((step("article"), step("p"))),
+        "footer": field((step("footer", child=False, place=1),)),
+    }
+    rows = page_tree.select_fields(table(spark, d, "pages"), fields)
+    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, "\n")).alias(c)
+    return rows.select("page_id", *[joined(c) for c in fields], F.size("body").cast("long").alias("n_paragraphs"))
+
+
 @query("SELECT url FROM (SELECT url FROM pages UNION ALL SELECT url FROM pages WHERE page_id % 9 = 2) GROUP BY url HAVING count(*) > 1")
 def duplicate_links(spark, d):
     links = table(spark, d, "pages").select("page_id", "url")
