@@ -5,6 +5,7 @@ run over whole tables."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import centrality, fragments, neighbours, page_tree, pages, rouge, select, similarity, stem, tables, terms
 from corpusloom.plans import summarize as programs
-from corpusloom.runtime import table
+from corpusloom.runtime import scratch, table
+from corpusloom.streaming import frontier
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -679,6 +681,31 @@ def page_fields(spark, d):
     return rows.select("page_id", *[joined(c) for c in fields], F.size("body").cast("long").alias("n_paragraphs"))
 
 
+def _frontier_sql() -> str:
+    plain = "href"
+    for name, sign in page_tree.ENTITIES.items():
+        plain = "replace({}, '&{};', '{}')".format(plain, name, sign.replace("'", "''"))
+    return rf"""
+WITH h AS (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, '(?i)\bhref\s*=\s*("[^"]*"|\x27[^\x27]*\x27|[^\s"\x27>]+)', 1))) AS q FROM pages WHERE url IS NOT NULL),
+u AS (SELECT page_id, regexp_extract(url, '(?i)^https?://[^/?#]*') AS origin, trim(regexp_replace(q, '^["\x27]|["\x27]$', '', 'g'), ' ' || chr(9) || chr(13) || chr(10)) AS href FROM h),
+a AS (SELECT DISTINCT page_id, page_id % 3 AS batch, regexp_replace(CASE WHEN regexp_matches(href, '(?i)^https?://') THEN {plain} WHEN href LIKE '/%' THEN origin || {plain} END, '(?s)#.*$', '') AS link FROM u WHERE origin <> ''),
+v AS (SELECT regexp_replace(url, '(?s)#.*$', '') AS link, min(page_id % 3) AS batch FROM pages WHERE url IS NOT NULL GROUP BY 1),
+f AS (SELECT link, batch, min(page_id) AS first_page, count(*) AS n_pages, min(batch) OVER (PARTITION BY link) AS first_batch FROM a WHERE link IS NOT NULL GROUP BY link, batch)
+SELECT f.link, first_page, n_pages, f.batch FROM f LEFT JOIN v ON v.link = f.link AND v.batch <= f.batch WHERE v.link IS NULL AND f.batch = first_batch
+"""
+
+
+@query(_frontier_sql())
+def crawl_frontier(spark, d):
+    """The pages come in three micro-batches, by id, each in a start of the stream of its own."""
+    store = f"{scratch(spark)}/frontier-{uuid.uuid4().hex}"
+    rows = table(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    for k in range(3):
+        rows.filter(F.col("page_id") % 3 == k).write.mode("append").parquet(f"{store}/in")
+        frontier.start(spark.readStream.schema(frontier.PAGE).parquet(f"{store}/in"), f"{store}/out", f"{store}/checkpoint").awaitTermination()
+    return frontier.requests(spark, f"{store}/out")
+
+
 @query("SELECT url FROM (SELECT url FROM pages UNION ALL SELECT url FROM pages WHERE page_id % 9 = 2) GROUP BY url HAVING count(*) > 1")
 def duplicate_links(spark, d):
     links = table(spark, d, "pages").select("page_id", "url")
