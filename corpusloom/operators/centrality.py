@@ -3,7 +3,9 @@
 Undamped scores have a closed form: the chain of a symmetric graph is reversible, so within a connected component a
 sentence's share is its row sum.
 A row sum of cosines needs no pairs at all: sum over its terms of its own weight times the document's total weight of the
-term. Damped and biased scores are power iterations, one NumPy kernel per document over Arrow batches.
+term. Damped and biased scores are power iterations, one NumPy kernel per document over Arrow batches; without a threshold
+a step goes through the terms (to the terms and back), so no matrix of sentences is made and a step is linear in a
+document's terms. With one, the sentences above it are found in blocks of rows. Chains of other tables: see `chains`.
 """
 
 from __future__ import annotations
@@ -47,10 +49,11 @@ def undamped(unit: DataFrame, sents: DataFrame) -> DataFrame:
     return sents.select("doc_id", "sent_ix").join(scores, ["doc_id", "sent_ix"], "left").select("doc_id", "sent_ix", F.coalesce("score", F.lit(1.0)).alias("score"))
 
 
-def component_scores(row: np.ndarray, term: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Scores of rows 0 to n-1 from the entries (row, term, x) of a matrix of unit rows."""
+def component_scores(row: np.ndarray, term: np.ndarray, x: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """Scores of rows 0 to n-1 from the entries (row, term, x) of a matrix of unit rows, or of rows with the given sums."""
     n = int(row.max(initial=-1)) + 1
-    total = np.bincount(row, x * np.bincount(term, x)[term], minlength=n) if n else np.zeros(0)
+    if total is None:
+        total = np.bincount(row, x * np.bincount(term, x)[term], minlength=n) if n else np.zeros(0)
     label = np.arange(n)
     while True:  # the smallest row that terms lead to, with its own label at the next turn
         low = np.full(int(term.max(initial=-1)) + 1, n)
@@ -62,16 +65,15 @@ def component_scores(row: np.ndarray, term: np.ndarray, x: np.ndarray) -> np.nda
             break
         label = new
     size, mass = np.bincount(label, minlength=n), np.bincount(label, total, minlength=n)
-    return total * size[label] / mass[label]
+    return total * size[label] / np.where(mass[label] > 0, mass[label], 1.0)
 
 
-def power_iteration(p: np.ndarray, teleport: np.ndarray, damping: float = 0.85, steps: int = 50, tolerance: float = 0.0) -> np.ndarray:
-    """Shares that sum to 1, from a uniform start; rows of p that are all zero follow the teleport vector."""
-    n = len(p)
-    v = np.full(n, 1.0 / n)
-    lost = p.sum(1) == 0
+def iterate(step, n: int, teleport: np.ndarray, lost: np.ndarray, damping: float = 0.85, steps: int = 50, tolerance: float = 0.0) -> np.ndarray:
+    """Shares that sum to 1, from a uniform start. step: shares to shares, along the chain; what is at `lost` nodes, which
+    lead nowhere, follows the teleport vector."""
+    v = np.full(n, 1.0 / max(n, 1))
     for _ in range(steps):
-        new = damping * (v @ p + v[lost].sum() * teleport) + (1 - damping) * teleport
+        new = damping * (step(v) + v[lost].sum() * teleport) + (1 - damping) * teleport
         done = np.abs(new - v).sum() < tolerance * n
         v = new
         if done:
@@ -79,6 +81,69 @@ def power_iteration(p: np.ndarray, teleport: np.ndarray, damping: float = 0.85,
     return v
 
 
+def power_iteration(p: np.ndarray, teleport: np.ndarray, damping: float = 0.85, steps: int = 50, tolerance: float = 0.0) -> np.ndarray:
+    """`iterate` along a matrix; rows that are all zero lead nowhere."""
+    return iterate(lambda v: v @ p, len(p), teleport, p.sum(1) == 0, damping, steps, tolerance)
+
+
+#: Cells of a block of rows against all rows that are held at a time.
+BLOCK_CELLS = 4_000_000
+
+
+def pairs_above(row: np.ndarray, term: np.ndarray, x: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), both ways and with i = j, of rows whose product is above the threshold; a row's product with itself is 1."""
+    by_term = np.argsort(term, kind="stable")
+    rows_of, x_of, sizes = row[by_term], x[by_term], np.bincount(term, minlength=int(term.max(initial=-1)) + 1)
+    starts = np.cumsum(sizes) - sizes
+    by_row = np.argsort(row, kind="stable")
+    cuts = np.searchsorted(row[by_row], np.arange(n + 1))
+    found = []
+    size = max(1, BLOCK_CELLS // max(n, 1))
+    for low in range(0, n, size):
+        high = min(n, low + size)
+        own = by_row[cuts[low] : cuts[high]]
+        block = np.zeros((high - low) * n)
+        # the rows of each term are met a bounded number at a time
+        many = np.cumsum(sizes[term[own]])
+        for part in np.split(own, np.flatnonzero(np.diff(many // BLOCK_CELLS)) + 1) if len(own) else ():
+            lengths = sizes[term[part]]
+            at = np.repeat(starts[term[part]] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            cell = np.repeat((row[part] - low) * n, lengths) + rows_of[at]
+            block += np.bincount(cell, np.repeat(x[part], lengths) * x_of[at], minlength=len(block))
+        block[(np.arange(low, high) - low) * n + np.arange(low, high)] = 1.0
+        i, j = np.divmod(np.flatnonzero(block > threshold), n)
+        found.append((i + low, j))
+    return tuple(np.concatenate(p) for p in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+
+
+def sparse_scores(
+    row: np.ndarray, term: np.ndarray, x: np.ndarray, n: int, method: str = "damped", bias: np.ndarray | None = None, damping=0.85, steps=50, threshold: float | None = None, tolerance=0.0
+) -> np.ndarray:
+    """Scores of n unit rows given by entries (row, term, x); method: damped or undamped (by component, sum n)."""
+    i, j = pairs_above(row, term, x, n, threshold) if threshold is not None else (None, None)
+    if method == "undamped":
+        if threshold is None:
+            score = np.ones(n)
+            known = component_scores(row, term, x)
+            score[np.unique(row)] = known[np.unique(row)]
+            return score
+        # an edge is a term that two rows have
+        ends, edges = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+        return component_scores(ends, edges, np.ones(len(ends)), np.bincount(i, minlength=n).astype(float))
+    teleport = np.full(n, 1.0 / max(n, 1)) if bias is None or bias.sum() == 0 else bias / bias.sum()
+    if threshold is None:
+        own = np.bincount(row, x * x, minlength=n)
+        terms = int(term.max(initial=-1)) + 1
+        # the matrix has 1 on its diagonal, whatever a row's own product
+        times = lambda y: np.bincount(row, x * np.bincount(term, x * y[row], minlength=terms)[term], minlength=n) + (1 - own) * y
+    else:
+        times = lambda y: np.bincount(i, y[j], minlength=n).astype(float)
+    total = times(np.ones(n))
+    lost = total == 0
+    share = np.where(lost, 1.0, total)
+    return iterate(lambda v: times(np.where(lost, 0.0, v / share)), n, teleport, lost, damping, steps, tolerance)
+
+
 def component_labels(joined: np.ndarray) -> np.ndarray:
     """The smallest member of each row's component, by spreading minima over a boolean matrix."""
     label = np.arange(len(joined))
@@ -90,7 +155,7 @@ def component_labels(joined: np.ndarray) -> np.ndarray:
         label = low
 
 
-def scores_of(matrix: np.ndarray, method: str, bias: np.ndarray | None = None, damping=0.85, steps=50, threshold: float | None = None) -> np.ndarray:
+def scores_of(matrix: np.ndarray, method: str, bias: np.ndarray | None = None, damping=0.85, steps=50, threshold: float | None = None, tolerance=0.0) -> np.ndarray:
     """Scores of one document's similarity matrix; method: damped or undamped (by component, sum n)."""
     m = matrix if threshold is None else (matrix > threshold).astype(float)
     total = m.sum(1)
@@ -101,7 +166,7 @@ def scores_of(matrix: np.ndarray, method: str, bias: np.ndarray | None = None, d
     p = m / np.where(total == 0, 1.0, total)[:, None]
     n = len(m)
     teleport = np.full(n, 1.0 / n) if bias is None or bias.sum() == 0 else bias / bias.sum()
-    return power_iteration(p, teleport, damping, steps)
+    return power_iteration(p, teleport, damping, steps, tolerance)
 
 
 def per_document(unit: DataFrame, sents: DataFrame, method: str = "damped", bias: DataFrame | None = None, **options) -> DataFrame:
@@ -124,12 +189,8 @@ def per_document(unit: DataFrame, sents: DataFrame, method: str = "damped", bias
                 flat = lists.flatten()
                 row = np.repeat(np.arange(n), np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], dtype=np.int64))
                 terms, column = np.unique(flat.field("t").to_numpy(), return_inverse=True) if len(flat) else (np.zeros(0), np.zeros(0, dtype=int))
-                x = np.zeros((n, len(terms)))
-                if len(flat):
-                    x[row, column] = flat.field("x").to_numpy()
-                m = x @ x.T
-                np.fill_diagonal(m, 1.0)
-                score = scores_of(m, method, share if biased else None, **options)
+                x = flat.field("x").to_numpy() if len(flat) else np.zeros(0)
+                score = sparse_scores(row, column, x, n, method, share if biased else None, **options)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(k, 1).take(pa.array(np.zeros(n, dtype=np.int64))), inner.field("sent_ix"), pa.array(score)], names=["doc_id", "sent_ix", "score"]
                 )

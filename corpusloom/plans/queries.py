@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import centrality, fragments, neighbours, page_tree, pages, rouge, select, similarity, stem, tables, terms
+from corpusloom.operators import centrality, chains, fragments, neighbours, page_tree, pages, rouge, select, similarity, stem, tables, terms
 from corpusloom.plans import summarize as programs
 from corpusloom.runtime import scratch, table
 from corpusloom.streaming import frontier
@@ -392,7 +392,7 @@ def lexrank_biased(spark, d):
     return centrality.per_document(unit, sents, bias=bias, steps=STEPS).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(SQL["lexrank_undamped"])
 def lexrank_components(spark, d):
     sents, _, unit = programs.weights(docs(spark, d))
     return centrality.per_document(unit, sents, method="undamped").withColumn("score", F.round("score", 6))
@@ -706,6 +706,43 @@ def crawl_frontier(spark, d):
     return frontier.requests(spark, f"{store}/out")
 
 
+_BIGRAMS = """w AS (SELECT doc_id, s.i AS i, unnest(list_zip(s.w[:-2], s.w[2:])) AS z FROM (
+  SELECT doc_id, unnest(list_transform(regexp_extract_all(lower(text), '[^.!?\\n]+'), lambda x, i: {'i': i, 'w': regexp_extract_all(x, '[\\p{L}]+')})) AS s FROM documents) WHERE len(s.w) > 1),
+e AS MATERIALIZED (SELECT z[1] AS i, z[2] AS j, count(*) AS w FROM w GROUP BY ALL),
+p AS MATERIALIZED (SELECT i, j, w::DOUBLE / sum(w) OVER (PARTITION BY i) AS p FROM e),
+n AS MATERIALIZED (SELECT node, count(*) OVER () AS n, node NOT IN (SELECT i FROM e) AS dead FROM (SELECT i AS node FROM e UNION SELECT j FROM e))"""
+
+
+def _follow(spark: SparkSession, d: str) -> DataFrame:
+    """(i, j, w): how often word j follows word i in a sentence, over all documents."""
+    words = F.regexp_extract_all(F.col("s"), F.lit(T.WORD), F.lit(0))
+    rows = docs(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(T.SENTENCE), F.lit(0))).alias("s")).select(words.alias("w")).filter(F.size("w") > 1)
+    pairs = F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("i"), F.slice("w", F.lit(2), F.size("w") - 1).alias("j"))
+    return rows.select(F.inline(pairs)).groupBy("i", "j").agg(F.count("*").alias("w"))
+
+
+@query(
+    f"""WITH RECURSIVE {_BIGRAMS},
+v AS (SELECT 0 AS step, node, n, dead, 1.0::DOUBLE AS x FROM n UNION ALL
+  SELECT t.step + 1, t.node, t.n, t.dead, 0.85 * (coalesce(u.came, 0) + coalesce(l.lost, 0) / t.n) + 0.15 FROM v t
+  LEFT JOIN (SELECT p.j, sum(p.p * v.x) AS came FROM p JOIN v ON v.node = p.i GROUP BY p.j) u ON u.j = t.node CROSS JOIN (SELECT sum(x) FILTER (dead) AS lost FROM v) l WHERE t.step < 12)
+SELECT node, round(x, 4) AS score FROM v WHERE step = 12"""
+)
+def word_chain(spark, d):
+    """Words by where a walk along the corpus ends up, jumping now and then: 12 steps."""
+    options = chains.Options(damping=0.85, lost="jump", steps=12, rtol=0.0, atol=0.0)
+    return chains.stationary(_follow(spark, d), options, normalized=False).select("node", F.round("share", 4).alias("score"))
+
+
+_CLIENTS = "e AS (SELECT client_id AS a, master_id AS b FROM clients WHERE master_id IS NOT NULL UNION SELECT master_id, client_id FROM clients WHERE master_id IS NOT NULL)"
+
+
+@query(f"WITH RECURSIVE {_CLIENTS}, r AS (SELECT a, b FROM e UNION SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS node, min(b) AS component FROM r GROUP BY a")
+def client_components(spark, d):
+    """Clients that are one by their master rows, however long the way."""
+    return chains.components(table(spark, d, "clients"), "client_id", "master_id")
+
+
 @query("SELECT url FROM (SELECT url FROM pages UNION ALL SELECT url FROM pages WHERE page_id % 9 = 2) GROUP BY url HAVING count(*) > 1")
 def duplicate_links(spark, d):
     links = table(spark, d, "pages").select("page_id", "url")

@@ -17,6 +17,10 @@ from corpusloom.runtime import settle
 BROADCAST_TERMS = 1_000_000
 
 
+#: Damped scores are iterated until a step changes a share by less than this on average.
+CONVERGED = {"steps": 1_000, "tolerance": 1e-12}
+
+
 @dataclass(frozen=True)
 class SummaryOptions:
     method: str = "lexrank"  # lexrank, lexrank_undamped, biased_lexrank, random_sentence
@@ -87,9 +91,9 @@ def summarize(docs: DataFrame, options: SummaryOptions = SummaryOptions(), idf:
                 words = docs.select("doc_id", F.explode(F.split(F.lower("tags"), ",")).alias("term"))
             else:
                 words = docs.sparkSession.createDataFrame([(w,) for w in options.bias_words], "term string")
-            scores = score(graph, sents, bias=centrality.bias_shares(tf, sents, words), threshold=options.threshold)
+            scores = score(graph, sents, bias=centrality.bias_shares(tf, sents, words), threshold=options.threshold, **CONVERGED)
         elif options.method == "lexrank":
-            scores = score(graph, sents, threshold=options.threshold)
+            scores = score(graph, sents, threshold=options.threshold, **CONVERGED)
         else:
             raise ValueError(f"unknown method {options.method}")
         ranked = select.rank_sentences(scores)
