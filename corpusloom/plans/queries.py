@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import centrality, chains, fragments, neighbours, page_tree, pages, rouge, select, similarity, stem, tables, terms
+from corpusloom.operators import boundaries, centrality, chains, fragments, neighbours, page_tree, pages, rouge, select, similarity, stem, tables, terms
 from corpusloom.plans import summarize as programs
 from corpusloom.runtime import scratch, table
 from corpusloom.streaming import frontier
@@ -743,6 +743,36 @@ def client_components(spark, d):
     return chains.components(table(spark, d, "clients"), "client_id", "master_id")
 
 
+#: The invented prose has no abbreviations; one is put before a frequent word of each language.
+_SHORTENED = "replace(replace(text, ' the ', ' cf. the '), ' de ', ' u.a. de ')"
+
+
+def _shortened(spark: SparkSession, d: str) -> DataFrame:
+    text = F.replace(F.replace(F.col("text"), F.lit(" the "), F.lit(" cf. the ")), F.lit(" de "), F.lit(" u.a. de "))
+    return docs(spark, d).select("doc_id", text.alias("text"))
+
+
+@query(
+    rf"""WITH t AS (SELECT unnest(regexp_extract_all({_SHORTENED}, '[^ \t-\r]+')) AS t FROM documents),
+c AS (SELECT regexp_replace(regexp_replace(t, '^[("\x27«“\[¿¡]+', ''), '[)"\x27»”\],;:]+$', '') AS c FROM t),
+f AS (SELECT regexp_replace(lower(c), '[.!?]+$', '') AS w, regexp_matches(c, '[^.]\.$') AS stop FROM c),
+n AS MATERIALIZED (SELECT CASE WHEN regexp_matches(w, '^[0-9]+([.,][0-9]+)*$') THEN '##' ELSE w END AS word, count(*) AS n, count(*) FILTER (stop) AS stops FROM f GROUP BY 1),
+a AS (SELECT sum(stops)::DOUBLE / sum(n) AS p FROM n),
+s AS (SELECT word, n, stops, length(replace(word, '.', '')) AS l, length(word) - length(replace(word, '.', '')) AS d,
+  -2 * (stops * ln(p) + (n - stops) * ln(1 - p) - stops * ln(0.99::DOUBLE) - (n - stops) * ln((1 - 0.99)::DOUBLE)) AS raw FROM n, a WHERE stops > 0 AND regexp_matches(word, '\p{{L}}'))
+SELECT word, n, stops, round(raw * exp(-l) * (d + 1) * pow(l::DOUBLE, -(n - stops)), 6) + 0.0 AS score FROM s"""
+)
+def abbreviation_scores(spark, d):
+    words = boundaries.word_counts(boundaries.token_pairs(_shortened(spark, d)))
+    return boundaries.abbreviation_scores(words).withColumn("score", F.round("score", 6) + F.lit(0.0))  # no negative zero
+
+
+@query()
+def sentence_split_learned(spark, d):
+    rows = _shortened(spark, d)
+    return boundaries.split(rows, boundaries.learn(rows)).select("doc_id", F.posexplode("sentences").alias("sent_ix", "sent"))
+
+
 @query("SELECT url FROM (SELECT url FROM pages UNION ALL SELECT url FROM pages WHERE page_id % 9 = 2) GROUP BY url HAVING count(*) > 1")
 def duplicate_links(spark, d):
     links = table(spark, d, "pages").select("page_id", "url")
