@@ -9,11 +9,11 @@ at every size. Vectors of one bucket whose codes differ in few bits are candidat
 in double precision.
 
 Equal vectors form a class and are indexed once. Large buckets are cut into blocks; each two blocks meet in a cell, where
-links are counted and only the sums and one edge per vector leave, never the pairs. A pair that meets in several
-tables counts in the first one.
+links are counted and only the sums and one edge per vector leave, never the pairs. A cell of many rows is compared by one
+matrix product. A pair that meets in several tables counts in the first one. A bucket that holds a large part of all rows
+is dealt out to its blocks by a broadcast of its size, not by a shuffle on its key.
 
-Vectors of each dimension are linked among themselves; a dimension of few vectors is one bucket, all of whose pairs are
-compared.
+Vectors of each dimension are linked among themselves, through tables at every size: few vectors have short substrings.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing; ties and repeated rows link as equal vectors do; an empty table gives an empty result;
 other columns are ignored.
@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.components import components
+from corpusloom.llm.joins import by_key, hot_keys
 from corpusloom.runtime import settle, ship, table
 
 
@@ -45,9 +46,13 @@ class Options:
     length: int | None = None
     bits: int = 64
     turns: int = 30
-    #: Largest share of differing bits of a candidate; 0.144 is expected at a cosine of 0.9.
-    max_bits_apart: float = 0.22
+    #: Standard deviations of the number of differing bits, above what the cosine makes expect, up to which a pair is a candidate;
+    #: a given share of differing bits takes its place.
+    spread: float = 5.0
+    max_bits_apart: float | None = None
     block: int = 512
+    #: Rows of a cell from which on it is compared by a matrix product.
+    product: int = 48
 
 
 def tables_needed(length: int, cosine: float, recall: float) -> int:
@@ -114,8 +119,8 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
 
 def _cells(keys: DataFrame, partitions: int, options: Options) -> DataFrame:
     """Rows with a column key, copied to the cells of their bucket's blocks (lo, hi; own block i), sorted by cell."""
-    counts = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    rows = keys.join(counts, "key").withColumn("g", F.ceil(F.col("m") / options.block).cast("int"))
+    counts = settle(keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
+    rows = by_key(keys, counts, hot_keys(counts, "key"), "key").withColumn("g", F.ceil(F.col("m") / options.block).cast("int"))
     rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")}).drop("m", "g", "j")
     order = ["key", "lo", "hi"]
@@ -151,6 +156,27 @@ def _whole_cells(batches):
         yield held.combine_chunks()
 
 
+def _large_cells(key, lo, hi, least: int):
+    """(first, end) of the cells of at least so many rows, and the rows of all other cells."""
+    new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))) if len(key) else np.zeros(0, dtype=int)
+    sizes = np.diff(np.append(new, len(key)))
+    large = sizes >= least
+    return list(zip(new[large].tolist(), (new + sizes)[large].tolist())), np.flatnonzero(np.repeat(~large, sizes))
+
+
+def _first_met(codes: np.ndarray, masks: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each pair of rows meets in no table before the given one."""
+    alive = np.arange(len(a))
+    for k in range(int(table.max(initial=0))):
+        turn, mask = divmod(k, len(masks))
+        x, y = a[alive], b[alive]
+        met = ((codes[x, turn] ^ codes[y, turn]) & masks[mask] == 0) & (k < table[alive])
+        alive = alive[~met]
+    out = np.zeros(len(a), dtype=bool)
+    out[alive] = True
+    return out
+
+
 def _near(codes: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return np.bitwise_count(codes[a] ^ codes[b]).sum(1, dtype=np.int64) <= most
 
@@ -160,15 +186,13 @@ def _link_classes(classes: DataFrame, n: int, kind: str, n_parts: int, options:
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(options.sample).select("embedding").toArrow()
     x = _matrix(sample["embedding"], np.float64)
     bits = min(options.bits, x.shape[1])
-    alone = n <= options.block and options.length is None
-    length = min(bits, 48, options.length or max(8, math.ceil(math.log2((n + 1) / options.bucket))))
+    length = max(1, min(bits // 2, 48, options.length or math.ceil(math.log2((n + 1) / options.bucket))))
     masks = substring_masks(bits, length)
-    wanted = math.ceil(tables_needed(length, options.cosine, options.recall) / len(masks))
-    rotations = learn_rotations(x, replace(options, rotations=1 if alone else max(options.rotations, wanted)))
     judges = options.rotations  # the codes that candidates are judged by
-    most = 64 * judges if alone else int(options.max_bits_apart * bits * judges)
-    if alone:
-        masks = np.zeros(1, dtype=np.uint64)
+    in_tables = max(2, math.ceil(tables_needed(length, options.cosine, options.recall) / len(masks)))
+    rotations = learn_rotations(x, replace(options, rotations=max(judges, in_tables)))
+    apart, all_bits = math.acos(options.cosine) / math.pi, bits * judges
+    most = int(all_bits * (options.max_bits_apart or apart) + (0 if options.max_bits_apart else 1 + options.spread * math.sqrt(all_bits * apart * (1 - apart))))
 
     def encode(batches):
         for batch in batches:
@@ -184,8 +208,8 @@ def _link_classes(classes: DataFrame, n: int, kind: str, n_parts: int, options:
         for batch in batches:
             codes = _matrix(batch.column(1), np.int64).view(np.uint64)
             few = pa.array(list(codes[:, :judges].view(np.int64)), type=pa.list_(pa.int64()))
-            for k in range(codes.shape[1]):
-                keys = np.zeros((len(codes), 1), dtype=np.int64) if alone else substrings(codes[:, k : k + 1], bits, length)
+            for k in range(in_tables):
+                keys = substrings(codes[:, k : k + 1], bits, length)
                 for j in range(keys.shape[1]):
                     key = keys[:, j] | np.int64(k * len(masks) + j) << 48
                     yield pa.RecordBatch.from_arrays([batch.column(0), few, pa.array(key)], names=["rep", "codes", "key"])
@@ -195,6 +219,8 @@ def _link_classes(classes: DataFrame, n: int, kind: str, n_parts: int, options:
             codes = _matrix(t["codes"], np.int64).view(np.uint64)
             on = np.zeros(t.num_rows, dtype=bool)
             for a, b in _meetings(*(t[c].to_numpy() for c in ("key", "lo", "hi", "i"))):
+                some = ~(on[a] & on[b])  # both are known to have a near one
+                a, b = a[some], b[some]
                 near = _near(codes, a, b, most)
                 on[a[near]] = True
                 on[b[near]] = True
@@ -210,14 +236,27 @@ def _link_classes(classes: DataFrame, n: int, kind: str, n_parts: int, options:
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             mult, rep = t["mult"].to_numpy(), t["rep"].to_numpy()
             key = t["key"].to_numpy()
+            lo, hi, i = (t[c].to_numpy() for c in ("lo", "hi", "i"))
             links, linked = np.zeros(t.num_rows, dtype=np.int64), []
-            for a, b in _meetings(key, *(t[c].to_numpy() for c in ("lo", "hi", "i"))):
-                near = _near(codes[:, :judges], a, b, most)
-                a, b = a[near], b[near]
-                good = np.einsum("ij,ij->i", x[a], x[b]) >= options.cosine
-                a, b = a[good], b[good]
-                met = ((codes[a] ^ codes[b])[:, :, None] & masks == 0).reshape(len(a), len(rotations) * len(masks))
-                first = np.argmax(met, axis=1) == key[a] >> 48
+            large, others = _large_cells(key, lo, hi, options.product)
+
+            def alike():
+                """Pairs of rows at the cosine, of large cells by a product, of others one by one."""
+                for first, end in large:
+                    at = np.arange(first, end)
+                    left, right = (at, at) if lo[first] == hi[first] else (at[i[at] == lo[first]], at[i[at] == hi[first]])
+                    near_a, near_b = np.nonzero(x[left] @ x[right].T >= options.cosine)
+                    a, b = left[near_a], right[near_b]
+                    yield (a[a < b], b[a < b]) if lo[first] == hi[first] else (a, b)
+                for a, b in _meetings(*(v[others] for v in (key, lo, hi, i))):
+                    a, b = others[a], others[b]
+                    near = _near(codes[:, :judges], a, b, most)
+                    a, b = a[near], b[near]
+                    good = np.einsum("ij,ij->i", x[a], x[b]) >= options.cosine
+                    yield a[good], b[good]
+
+            for a, b in alike():
+                first = _first_met(codes, masks, a, b, key[a] >> 48)
                 a, b = a[first], b[first]
                 links += np.bincount(a, mult[b], t.num_rows).astype(np.int64) + np.bincount(b, mult[a], t.num_rows).astype(np.int64)
                 if len(a):
@@ -281,6 +320,29 @@ def query(spark, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "embeddings"))
 
 
+#: Cosines of turned copies with their vectors; one of them is no link.
+TURNED = (0.905, 0.93, 0.95, 0.88)
+
+
+def turned_copies(vectors: DataFrame) -> DataFrame:
+    """Vectors (vec_id, embedding), numbered 8 by 8, with copies turned towards their own reverse by the angles of TURNED."""
+    e = F.col("e")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    d = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    d = d.withColumn("e", F.transform("e", lambda x: x / F.sqrt(dot(e, e))))
+    d = d.withColumn("w", F.zip_with(F.reverse("e"), "e", lambda r, x: r - x * dot(F.reverse(e), e)))
+    d = d.withColumn("w", F.transform("w", lambda x: x / F.sqrt(dot(F.col("w"), F.col("w")))))
+    turned = lambda c: F.zip_with("e", "w", lambda x, y: x * c + y * (1 - c * c) ** 0.5)
+    copies = [turned(c) for c in TURNED]
+    return d.select(F.col("vec_id"), F.posexplode(F.array("e", *copies)).alias("k", "embedding")).select((F.col("vec_id") * 8 + F.col("k")).alias("vec_id"), "embedding")
+
+
+def planted(spark, sf_dir: str) -> DataFrame:
+    """Links among `embeddings` and turned copies of them, which the table itself has none of. So many tables that a pair at the cosine is
+    missed once in a million."""
+    return link(turned_copies(table(spark, sf_dir, "embeddings")), Options(recall=1 - 1e-6))
+
+
 ORACLE_SQL = """
 WITH RECURSIVE v AS MATERIALIZED (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
@@ -290,3 +352,15 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM
 SELECT x.vec_id, (SELECT count(*) FROM l WHERE l.a = x.vec_id) AS n_links, c.component_id, x.vec_id = c.component_id AS kept
 FROM embeddings x JOIN (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1) c USING (vec_id)
 """
+
+
+PLANTED_SQL = f"""
+WITH RECURSIVE u AS MATERIALIZED (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+r AS (SELECT vec_id, e, list_transform(range(1, len(e) + 1), lambda i: list_reverse(e)[i] - e[i] * list_dot_product(list_reverse(e), e)) AS w FROM u),
+w AS MATERIALIZED (SELECT vec_id, e, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS w FROM r),
+v AS MATERIALIZED (SELECT vec_id * 8 AS vec_id, e FROM w {' '.join(f"UNION ALL SELECT vec_id * 8 + {k + 1}, list_transform(range(1, len(e) + 1), lambda i: e[i] * {c} + w[i] * {(1 - c * c) ** 0.5!r}) FROM w" for k, c in enumerate(TURNED))}),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.9),
+t AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN (SELECT a AS vec_id, min(b) AS component_id FROM t GROUP BY 1) c USING (vec_id)
+"""

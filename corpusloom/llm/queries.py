@@ -26,10 +26,16 @@ def _module(name: str):
     return importlib.import_module(f"corpusloom.llm.{name}")
 
 
+#: Further queries: the module, its function and the name of its SQL.
+_MORE = {"embedding_links_planted": ("embedding_dedup", "planted", "PLANTED_SQL")}
+
+
 def queries() -> dict:
-    return {name: (lambda spark, sf_dir, m=module: _module(m).query(spark, sf_dir)) for name, module in _MODULES.items()}
+    found = {name: (lambda spark, sf_dir, m=module: _module(m).query(spark, sf_dir)) for name, module in _MODULES.items()}
+    return found | {name: (lambda spark, sf_dir, m=m, f=f: getattr(_module(m), f)(spark, sf_dir)) for name, (m, f, _) in _MORE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: getattr(_module(module), "ORACLE_SQL", None) for name, module in _MODULES.items()}
+    found |= {name: getattr(_module(m), sql) for name, (m, _, sql) in _MORE.items()}
     return {name: sql for name, sql in found.items() if sql}

@@ -87,3 +87,38 @@ def test_each_dimension_links_its_own(spark):
     ids = list(range(len(x)))
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.link(frame(spark, ids, x), E.Options(), 3).collect())
     assert got == brute(ids, x)
+
+
+def test_few_vectors_go_through_tables(spark, monkeypatch):
+    """Without tables there is no link, at any size."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(20, 16))
+    x = np.concatenate([x, x * 1.5 + 0.01]).tolist()
+    ids = list(range(40))
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.link(frame(spark, ids, x), E.Options(), 2).collect())
+    assert got == brute(ids, np.array(x, dtype=np.float32).astype(float).tolist()) and sum(g[1] for g in got) >= 40
+    monkeypatch.setattr(E, "substrings", lambda codes, bits, length: np.arange(len(codes) * 2).reshape(-1, 2))
+    assert sum(r.n_links for r in E.link(frame(spark, ids, x), E.Options(), 2).coalesce(1).collect()) < 40
+
+
+def test_turned_copies_are_found(spark):
+    rng = np.random.default_rng(11)
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(rng.normal(size=(150, 64)).astype(np.float32).tolist())], "vec_id long, embedding array<float>")
+    d = E.turned_copies(rows)
+    found = {r.vec_id: r.n_links for r in E.link(d, E.Options(recall=1 - 1e-6), 2).collect()}
+    vectors = {r.vec_id: np.array(r.embedding) for r in d.collect()}
+    ids = sorted(vectors)
+    m = np.stack([vectors[i] / np.linalg.norm(vectors[i]) for i in ids])
+    want = (m @ m.T >= 0.9).sum(1) - 1
+    assert len(ids) == 750 and [found[i] for i in ids] == want.tolist() and want.min() >= 3
+
+
+def test_a_dense_hub_is_counted_once(spark):
+    rng = np.random.default_rng(12)
+    hub = rng.normal(size=64) + rng.normal(size=(700, 64)) * 0.12
+    x = np.concatenate([rng.normal(size=(600, 64)), hub]).astype(np.float32).astype(float)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.link(frame(spark, list(range(1300)), x.tolist()), E.Options(), 4).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    assert all(got[k][0] <= want[k] for k in got) and sum(g for g, _ in got.values()) >= 0.999 * want.sum() and want.sum() > 400_000
+    assert {c for k, (_, c) in got.items() if k >= 600} == {600}
