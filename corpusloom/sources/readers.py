@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from corpusloom.functions import text as X
 
@@ -52,6 +52,15 @@ def pair_by_index(generated: DataFrame, reference: DataFrame) -> tuple[DataFrame
     return a.join(b, "ix"), missing
 
 
+def pair_observed(generated: DataFrame, reference: DataFrame, name: str = "pairs") -> tuple[DataFrame, Observation]:
+    """As `pair_by_index`, with the counts taken in passing: `observation.get` has pairs, no_reference and no_generated
+    once an action has run over the pairs. One join and no second pass."""
+    a, b = generated.select("ix", F.col("text").alias("generated"), F.lit(True).alias("_a")), reference.select("ix", F.col("text").alias("reference"), F.lit(True).alias("_b"))
+    seen, left, right = Observation(name), F.col("_a").isNull(), F.col("_b").isNull()
+    both = a.join(b, "ix", "full").observe(seen, F.count_if(~left & ~right).alias("pairs"), F.count_if(right).alias("no_reference"), F.count_if(left).alias("no_generated"))
+    return both.filter(~left & ~right).select("ix", "generated", "reference"), seen
+
+
 def read_stopwords(spark: SparkSession, path: str, language: str) -> DataFrame:
     words = spark.read.text(path).select(F.lit(language).alias("lang"), F.trim(X.clean_text(F.col("value"))).alias("word"))
     return words.filter("word <> ''").distinct()
