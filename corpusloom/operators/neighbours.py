@@ -5,14 +5,25 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.runtime import ship
 
 
-def fuzzy_ratio(a: str, b: str) -> int:
-    """0 to 100, twice the matching characters over both lengths."""
-    return round(100 * SequenceMatcher(None, a, b, autojunk=False).ratio()) if a or b else 0
+def fuzzy_ratio(a: str, b: str, compat: bool = False) -> int:
+    """0 to 100, twice the matching characters over both lengths. compat: of texts of 200 characters and more, characters
+    that make up over a hundredth of the second one start no match (the standard library's default), as in scores that
+    were made that way; such scores are lower, often by far, for long texts that differ in few places."""
+    return round(100 * SequenceMatcher(None, a, b, autojunk=compat).ratio()) if a or b else 0
+
+
+def ratio_bound(a: Column, b: Column) -> Column:
+    """At least the fuzzy ratio, whatever the order of characters: twice what both hold of each character over both lengths.
+    Without characters in common there is no match, so pairs below a threshold needn't be matched."""
+    letters = F.array_union(F.array_distinct(F.split(a, "")), F.array_distinct(F.split(b, "")))
+    times = lambda text, c: F.char_length(text) - F.char_length(F.replace(text, c, F.lit("")))
+    shared = F.aggregate(F.filter(letters, lambda c: c != ""), F.lit(0), lambda s, c: s + F.least(times(a, c), times(b, c)))
+    return 200.0 * shared / F.greatest(F.char_length(a) + F.char_length(b), F.lit(1))
 
 
 def candidates(rows: DataFrame, category: str, order: str, text: str = "text", reach: int = 9, skip_last: bool = False) -> DataFrame:
@@ -32,8 +43,9 @@ def candidates(rows: DataFrame, category: str, order: str, text: str = "text", r
     return out.select("category", "ix", "jx", "a", "b")
 
 
-def near_duplicates(rows: DataFrame, category: str, order: str, text: str = "text", above: int = 92, skip_last: bool = False) -> DataFrame:
-    """(category, ix, jx, ratio) of the neighbours above the threshold; the earlier row is the one to remove.
+def near_duplicates(rows: DataFrame, category: str, order: str, text: str = "text", above: int = 92, skip_last: bool = False, compat: bool = False) -> DataFrame:
+    """(category, ix, jx, ratio) of the neighbours above the threshold; the earlier row is the one to remove. compat: see
+    `fuzzy_ratio`. Pairs whose characters alone rule the threshold out are dropped before any matching.
 
     Compared is the part of both texts from 40 to 50 % of the shorter one's length, which lies in a text's first half: only
     that half and the length are copied to the offsets."""
@@ -47,18 +59,20 @@ def near_duplicates(rows: DataFrame, category: str, order: str, text: str = "tex
 
     @F.pandas_udf("int")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([fuzzy_ratio(x, y) for x, y in zip(a, b)], dtype="int32")
+        return pd.Series([fuzzy_ratio(x, y, compat) for x, y in zip(a, b)], dtype="int32")
 
-    return pairs.select("category", "ix", "jx", ratio(part("a"), part("b")).alias("ratio")).filter(F.col("ratio") > above)
+    slices = pairs.select("category", "ix", "jx", part("a").alias("x"), part("b").alias("y"))
+    slices = slices.filter(ratio_bound(F.col("x"), F.col("y")) > above - 0.5)  # ratios are rounded
+    return slices.select("category", "ix", "jx", ratio("x", "y").alias("ratio")).filter(F.col("ratio") > above)
 
 
-def remove_near_duplicates(rows: DataFrame, category: str, order: str, text: str = "text", above: int = 92, skip_last: bool = False) -> DataFrame:
+def remove_near_duplicates(rows: DataFrame, category: str, order: str, text: str = "text", above: int = 92, skip_last: bool = False, compat: bool = False) -> DataFrame:
     """The rows without those that one of their next neighbours is alike to; a row of the category's end stays."""
     from pyspark.sql import Window
 
     own = "_ix" if "_ix" not in rows.columns else "_ix_" + "_".join(rows.columns)
     numbered = rows.withColumn(own, F.row_number().over(Window.partitionBy(category).orderBy(order)) - 1)
-    gone = near_duplicates(rows, category, order, text, above, skip_last).select(F.col("category").alias("_c"), F.col("ix").alias("_i")).distinct()
+    gone = near_duplicates(rows, category, order, text, above, skip_last, compat).select(F.col("category").alias("_c"), F.col("ix").alias("_i")).distinct()
     return numbered.join(gone, (F.col(category).eqNullSafe(F.col("_c"))) & (F.col(own) == F.col("_i")), "left_anti").drop(own)
 
 

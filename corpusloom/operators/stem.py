@@ -92,23 +92,37 @@ def stem_token(word: str, exceptions: dict[str, str] | None = None) -> str:
     return exceptions[word] if exceptions and word in exceptions else porter(word)
 
 
-def stem_terms(terms: DataFrame, exceptions: dict[str, str] | None = None) -> DataFrame:
-    """(term, stem) of distinct terms."""
+#: Rows of a table of exceptions that arrays of tokens can be stemmed with: about 30 MB on each executor.
+MOST_EXCEPTIONS = 200_000
+
+
+def stem_terms(terms: DataFrame, exceptions: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """(term, stem) of distinct terms. Exceptions are a dictionary or a table (word, stem) of any size, joined by word; words of
+    up to three characters stay either way."""
     ship(terms.sparkSession)
+    table = isinstance(exceptions, DataFrame)
+    known = None if table else exceptions
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda w: stem_token(w, exceptions))
+        return s.map(lambda w: stem_token(w, known))
 
-    return terms.select("term", run("term").alias("stem"))
+    out = terms.select("term", run("term").alias("stem"))
+    if not table:
+        return out
+    special = exceptions.select(F.col("word").alias("term"), F.col("stem").alias("special")).filter(F.char_length("term") > 3)
+    return out.join(special, "term", "left").select("term", F.coalesce("special", "stem").alias("stem"))
 
 
 def stem_columns(rows: DataFrame, columns: list[str], exceptions: dict[str, str] | DataFrame | None = None, nested: bool = False) -> DataFrame:
     """Stem arrays of tokens (nested: of sentences of tokens), each distinct token of a batch once. Exceptions are a
-    dictionary or a table (word, stem), whose rows come to the driver."""
+    dictionary or a table (word, stem) of at most MOST_EXCEPTIONS rows; a larger one is an error: stem distinct terms with `stem_terms`."""
     ship(rows.sparkSession)
     if isinstance(exceptions, DataFrame):
-        exceptions = {r["word"]: r["stem"] for r in exceptions.collect()}
+        found = exceptions.limit(MOST_EXCEPTIONS + 1).collect()
+        if len(found) > MOST_EXCEPTIONS:
+            raise ValueError(f"more than {MOST_EXCEPTIONS} exceptions")
+        exceptions = {r["word"]: r["stem"] for r in found}
 
     @F.pandas_udf("array<array<string>>")
     def run_nested(s: pd.Series) -> pd.Series:

@@ -65,9 +65,12 @@ def _edges(metric: str, tf: DataFrame, weighted: DataFrame, vectors: DataFrame |
     return edges.unionByName(own.select("doc_id", F.col("sent_ix").alias("i"), F.col("sent_ix").alias("j"), "sim"))
 
 
-def summarize(docs: DataFrame, options: SummaryOptions = SummaryOptions(), idf: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+def summarize(
+    docs: DataFrame, options: SummaryOptions = SummaryOptions(), idf: DataFrame | None = None, vectors: DataFrame | None = None, bias_vectors: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """(doc_id, summary) of docs (doc_id, text, and tags for a bias by tags). vectors: (term, embedding) for word2vec_sim,
-    (doc_id, sent_ix, embedding) for bert_sim."""
+    (doc_id, sent_ix, embedding) for bert_sim. bias_vectors: for biased_lexrank, vectors of sentences (doc_id, sent_ix, embedding)
+    and those (embedding) that sentences are drawn to, in place of words."""
     if options.similarity not in similarity.METRICS:
         raise ValueError(f"similarity is one of {similarity.METRICS}")
     if options.similarity in ("word2vec_sim", "bert_sim") and vectors is None and options.method != "random_sentence":
@@ -86,6 +89,8 @@ def summarize(docs: DataFrame, options: SummaryOptions = SummaryOptions(), idf:
         if options.method == "lexrank_undamped":
             plain = cosine and options.threshold is None
             scores = centrality.undamped(graph, sents) if plain else score(graph, sents, "undamped", threshold=options.threshold)
+        elif options.method == "biased_lexrank" and bias_vectors is not None:
+            scores = score(graph, sents, bias=centrality.bias_by_vectors(*bias_vectors), threshold=options.threshold, **CONVERGED)
         elif options.method == "biased_lexrank":
             if options.bias_words is None:
                 words = docs.select("doc_id", F.explode(F.split(F.lower("tags"), ",")).alias("term"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame, functions as F
 
+from corpusloom.sources import named_files
+
 
 def write_table(rows: DataFrame, path: str, kind: str = "csv", single: bool = False) -> None:
     rows = rows.coalesce(1) if single else rows
@@ -21,22 +20,13 @@ def write_summaries(rows: DataFrame, path: str, kind: str = "json") -> None:
 
 
 def write_file_per_row(rows: DataFrame, folder: str, index: str) -> None:
-    """{index + 1}.json for each row, in a folder that all executors share."""
-    columns = [c for c in rows.columns if c != index]
-
-    def run(part):
-        os.makedirs(folder, exist_ok=True)
-        for r in part:
-            with open(os.path.join(folder, f"{r[index] + 1}.json"), "w", encoding="utf-8") as f:
-                json.dump({c: r[c] for c in columns}, f, ensure_ascii=False)
-
-    rows.foreachPartition(run)
+    """{index + 1}.json for each row, whole or not at all: see `named_files`."""
+    named_files.write_records(rows.withColumn(index, F.col(index) + 1), folder, index)
 
 
 def write_case_dirs(rows: DataFrame, path: str, index: str = "row_ix") -> None:
     """caselaw/ holds the text, summary/ everything else."""
-    write_file_per_row(rows.select(index, "text"), f"{path}/caselaw", index)
-    write_file_per_row(rows.drop("text"), f"{path}/summary", index)
+    named_files.write_case_dirs(rows, path, index)
 
 
 def write_idf(idf: DataFrame, default: DataFrame, path: str) -> None:

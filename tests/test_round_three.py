@@ -47,3 +47,40 @@ def test_programs_take_the_kind_s_own_markers(spark):
     rows = spark.createDataFrame([(1, "x ΣΚΕΦΘΗΚΕ ΣΥΜΦΩΝΑ ΜΕ ΤΟ ΝΟΜΟ b  c", "s", "01/02/2003")], "row_ix int, text string, summary string, date string")
     assert programs.preprocess(rows, "AreiosPagos").first().text == "b c"
     assert programs.preprocess(rows, "STE").first().text.startswith("x ΣΚΕΦΘΗΚΕ")
+
+
+def test_fuzzy_ratio_in_both_forms(spark):
+    import random
+
+    from corpusloom.operators import neighbours
+
+    r = random.Random(1)
+    a = "".join(r.choice("abcdefgh ") for _ in range(600))
+    b = a[:100] + "X" + a[101:300] + "Y" + a[301:]
+    assert neighbours.fuzzy_ratio(a, b) >= 99 > neighbours.fuzzy_ratio(a, b, compat=True)
+    assert neighbours.fuzzy_ratio("abcd", "bcde") == neighbours.fuzzy_ratio("abcd", "bcde", compat=True) == 75
+    pairs = [("".join(r.choice("ab c") for _ in range(r.randint(0, 12))), "".join(r.choice("ab c") for _ in range(r.randint(0, 12)))) for _ in range(80)]
+    rows = spark.createDataFrame(pairs, "x string, y string").select("x", "y", neighbours.ratio_bound(F.col("x"), F.col("y")).alias("most")).collect()
+    assert all(x.most >= neighbours.fuzzy_ratio(x.x, x.y) - 0.5 for x in rows)
+    texts = spark.createDataFrame([(k, "c", t) for k, t in enumerate([a * 6, b * 6, "other " * 500])], "k int, category string, text string")
+    found = lambda compat: [(x.ix, x.jx) for x in neighbours.near_duplicates(texts, "category", "k", compat=compat).collect()]
+    assert found(False) == [(0, 1)] and found(True) == []
+
+
+def test_exceptions_by_join(spark):
+    from corpusloom.operators import stem
+
+    words = spark.createDataFrame([("geese",), ("running",), ("was",), ("houses",)], "term string")
+    table = spark.createDataFrame([("geese", "goose"), ("was", "be"), ("unmet", "x")], "word string, stem string")
+    want = {(w, stem.stem_token(w, {"geese": "goose", "was": "be"})) for w in ("geese", "running", "was", "houses")}
+    assert {tuple(r) for r in stem.stem_terms(words, table).collect()} == want and ("was", "was") in want
+
+
+def test_summaries_drawn_to_vectors(spark):
+    from corpusloom.plans import summarize as programs
+
+    docs = spark.createDataFrame([(1, "Cats sit here. Dogs run there. Birds sing loud")], "doc_id long, text string")
+    vectors = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (1, 2, [0.6, 0.8])], "doc_id long, sent_ix int, embedding array<double>")
+    to = spark.createDataFrame([([0.0, 2.0],)], "embedding array<double>")
+    out = programs.summarize(docs, programs.SummaryOptions(method="biased_lexrank", size=1), bias_vectors=(vectors, to)).first()
+    assert out.summary.startswith("Dogs run")
