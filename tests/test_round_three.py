@@ -84,3 +84,24 @@ def test_summaries_drawn_to_vectors(spark):
     to = spark.createDataFrame([([0.0, 2.0],)], "embedding array<double>")
     out = programs.summarize(docs, programs.SummaryOptions(method="biased_lexrank", size=1), bias_vectors=(vectors, to)).first()
     assert out.summary.startswith("Dogs run")
+
+
+def test_gram_overlaps_of_a_batch():
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from corpusloom.operators import rouge
+
+    r = random.Random(2)
+    one = lambda: None if r.random() < 0.1 else [r.choice(["a", "b", "c", "δ", ""]) for _ in range(r.randint(0, 12))]
+    hyp, ref = [one() for _ in range(200)], [one() for _ in range(200)]
+    for n in (1, 2, 3, 4):
+        count = lambda t: Counter(tuple(t[k : k + n]) for k in range(len(t) - n + 1)) if t else Counter()  # noqa: B023, E731
+        want = [(count(h) & count(x)).total() for h, x in zip(hyp, ref)]
+        kind = pa.list_(pa.string())
+        assert rouge.gram_overlaps(pa.array(hyp, kind), pa.array(ref, kind), n).tolist() == want
+        assert rouge.gram_overlaps(pa.array([], kind), pa.array([], kind), n).tolist() == []
+        # a batch that begins in the middle of its arrays
+        assert rouge.gram_overlaps(pa.array(hyp, kind)[7:90], pa.array(ref, kind)[7:90], n).tolist() == want[7:90]
