@@ -177,10 +177,54 @@ def lcs_table(x: list, y: list, weight: float | None = None) -> tuple[np.ndarray
     return score, move
 
 
+def places(y: list) -> dict:
+    """For each element of y an integer with a bit for each of its places."""
+    found: dict = {}
+    for j, b in enumerate(y):
+        found[b] = found.get(b, 0) | 1 << j
+    return found
+
+
+def plain_hits(x: list, y: list, at: dict) -> int:
+    """Which elements of x lie on the common subsequence that the moves of `lcs_table` give, as bits; `at`: places of y.
+
+    A row of the table is one integer, a zero where the length grows from one element of y to the next, so a row is made
+    by four operations whatever y's length, and by none for an element that y lacks. On the way back a row that equals the one
+    above, or a length that grew here, tells the move; else two counts of bits do."""
+    full = (1 << len(y)) - 1
+    row = full
+    rows = [row]
+    for a in x:
+        if m := at.get(a):
+            u = row & m
+            row = ((row + u) | (row - u)) & full
+        rows.append(row)
+    hit, i, j = 0, len(x), len(y)
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            i, j = i - 1, j - 1
+            hit |= 1 << i
+            continue
+        here, above = rows[i], rows[i - 1]
+        if here == above or not here >> (j - 1) & 1:
+            i -= 1
+        else:
+            low = (1 << j) - 1
+            if (here & low).bit_count() == (above & low).bit_count():
+                i -= 1
+            else:
+                j -= 1
+    return hit
+
+
 def lcs_hits(x: list, y: list, weight: float | None = None) -> np.ndarray:
-    """Which elements of x lie on the common subsequence. The scores and moves of `lcs_table`, of which two rows of scores and a
-    byte for each move are held, so whole texts without a full stop pass too."""
+    """Which elements of x lie on the common subsequence. The scores and moves of `lcs_table`: of weighted ones two rows of scores
+    and a byte for each move are held, so whole texts without a full stop pass too; plain ones go by `plain_hits`."""
     hit = np.zeros(len(x), dtype=bool)
+    if weight is None:
+        found = plain_hits(x, y, places(y))
+        hit[[k for k in range(len(x)) if found >> k & 1]] = True
+        return hit
     n = 0
     while n < min(len(x), len(y)) and x[-1 - n] == y[-1 - n]:  # the way back starts at the ends and takes every equal pair
         n += 1
@@ -188,7 +232,7 @@ def lcs_hits(x: list, y: list, weight: float | None = None) -> np.ndarray:
     x, y = x[: len(x) - n], y[: len(y) - n]
     if set(x).isdisjoint(y):
         return hit
-    gain = [1 if weight is None else (k + 1) ** weight - k**weight for k in range(min(len(x), len(y)))]
+    gain = [(k + 1) ** weight - k**weight for k in range(min(len(x), len(y)))]
     score, run, moves = [0] * (len(y) + 1), [0] * (len(y) + 1), []
     for a in x:
         row, runs, move, last = [0], [0] * (len(y) + 1), bytearray(len(y)), 0
@@ -239,10 +283,18 @@ def lcs_counts(hyp: list[list[str]], ref: list[list[str]], weight: float | None
         for w in s:
             there[w] = there.get(w, 0) + 1
     overlap = 0.0
+    sides = [(h, places(h)) for h in hyp]
     for s in ref:
+        able = [(h, at) for h, at in sides if not at.keys().isdisjoint(s)]
         marked = np.zeros(len(s), dtype=bool)
-        for h in hyp:
-            marked |= lcs_hits(s, h, weight)
+        if weight is None:
+            found = 0
+            for h, at in able:
+                found |= plain_hits(s, h, at)
+            marked[[k for k in range(len(s)) if found >> k & 1]] = True
+        else:
+            for h, _ in able:
+                marked |= lcs_hits(s, h, weight)
         used = np.zeros(len(s), dtype=bool)  # marked words that the candidate has left
         for k in np.flatnonzero(marked).tolist():
             w = s[k]

@@ -105,3 +105,24 @@ def test_gram_overlaps_of_a_batch():
         assert rouge.gram_overlaps(pa.array([], kind), pa.array([], kind), n).tolist() == []
         # a batch that begins in the middle of its arrays
         assert rouge.gram_overlaps(pa.array(hyp, kind)[7:90], pa.array(ref, kind)[7:90], n).tolist() == want[7:90]
+
+
+def test_bits_give_the_hits_of_the_table():
+    import random
+
+    import numpy as np
+
+    from corpusloom.operators import rouge
+
+    r = random.Random(3)
+    for _ in range(400):
+        x, y = ([r.choice("abcde"[: r.randint(1, 5)]) for _ in range(r.randint(0, 14))] for _ in range(2))
+        _, move = rouge.lcs_table(x, y)
+        want, i, j = np.zeros(len(x), dtype=bool), len(x), len(y)
+        while i and j:
+            m = move[i, j]
+            want[i - 1] |= m == 0
+            i, j = i - (m != 2), j - (m != 1)
+        assert rouge.lcs_hits(x, y).tolist() == want.tolist()
+    long = [r.choice("abcdefgh") for _ in range(3000)]
+    assert rouge.lcs_hits(long, long[1:]).sum() == 2999
