@@ -64,6 +64,19 @@ def truncate_chars(sents: Column, limit: int) -> Column:
     return F.aggregate(sents, start, step, lambda s: s["out"])
 
 
+def truncate_tokens(sents: Column, limit: int) -> Column:
+    """As `truncate_sentences` for an array of sentences: whole ones while the running number of white-space tokens stays
+    within the limit, then the first tokens of the next one."""
+    start = F.struct(F.lit(limit).alias("room"), F.array().cast("array<string>").alias("out"))
+
+    def step(s, x):
+        n = F.size(F.regexp_extract_all(x, F.lit(r"\S+"), F.lit(0)))
+        kept = F.when(n <= s["room"], x).otherwise(T.first_tokens(x, s["room"]))
+        return F.when(s["room"] > 0, F.struct((s["room"] - n).alias("room"), F.concat(s["out"], F.array(kept)).alias("out"))).otherwise(s)
+
+    return F.aggregate(sents, start, step, lambda s: s["out"])
+
+
 def truncate_sentences(rows: DataFrame, limit: int, tokens: str = "tokens") -> DataFrame:
     """Whole sentences while the running number of tokens stays within the limit, then the rest of the next one;
     rows (doc_id, sent_ix, tokens)."""

@@ -112,11 +112,11 @@ def summarize(
 
 
 def evaluate(
-    pairs: DataFrame, generated: Column, reference: Column, options: rouge.Options = rouge.Options(), lcs: bool = True, mode: str = "individual", metrics: tuple[str, ...] | None = None
+    pairs: DataFrame, generated: Column, reference: Column, options: rouge.Options = rouge.Options(), lcs: bool = True, mode: str = "individual", metrics: tuple[str, ...] | None = None, token_budget: int | None = None
 ) -> DataFrame:
     """(pair_id, ref_id, metric, p, r, f) for pairs (pair_id, ...); a reference may be a text or an array of texts.
     mode: individual (a row for each reference), average or best (one for each pair). metrics: rouge-1, ..., rouge-l, rouge-w;
-    None: all up to max_n, and the last two if lcs. Texts are cut to the byte limit (in characters, by sentences), then to the
+    None: all up to max_n, and the last two if lcs. Texts are cut to the token budget (by sentences, the crossing one cut), to the byte limit (in characters, by sentences), then to the
     word limit, then stemmed."""
     if mode not in ("individual", "average", "best"):
         raise ValueError(f"mode is individual, average or best, not {mode!r}")
@@ -126,7 +126,13 @@ def evaluate(
         base = base.select("pair_id", "g", F.posexplode("r").alias("ref_id", "r"))
     else:
         base = base.withColumn("ref_id", F.lit(0))
-    cut = lambda c: F.array_join(rouge.truncate_chars(T.sentences(F.col(c)), options.byte_limit), ".\n") if options.byte_limit else F.col(c)
+
+    def cut(c: str) -> Column:
+        if not options.byte_limit and not token_budget:
+            return F.col(c)
+        sents = rouge.truncate_tokens(T.sentences(F.col(c)), token_budget) if token_budget else T.sentences(F.col(c))
+        return F.array_join(rouge.truncate_chars(sents, options.byte_limit) if options.byte_limit else sents, ".\n")
+
     base = base.select("pair_id", "ref_id", cut("g").alias("g"), cut("r").alias("r"))
     parts = []
     if counts := [int(m[6:]) for m in metrics if m[6:].isdigit()]:

@@ -126,3 +126,15 @@ def test_bits_give_the_hits_of_the_table():
         assert rouge.lcs_hits(x, y).tolist() == want.tolist()
     long = [r.choice("abcdefgh") for _ in range(3000)]
     assert rouge.lcs_hits(long, long[1:]).sum() == 2999
+
+
+def test_token_budget_by_sentences(spark):
+    from corpusloom.operators import rouge
+    from corpusloom.plans import summarize as programs
+
+    cut = lambda n: lambda c: F.array_join(rouge.truncate_tokens(T.sentences(c), n), "|")
+    text = "one two. three four  five. six"
+    assert [one(spark, cut(n), text)[0] for n in (1, 2, 4, 5, 9)] == ["one", "one two", "one two|three four", "one two|three four  five", "one two|three four  five|six"]
+    rows = spark.createDataFrame([(1, "a b. c d", "a b. c d e")], "pair_id int, g string, r string")
+    score = lambda **how: programs.evaluate(rows, F.col("g"), F.col("r"), metrics=("rouge-1",), **how).first()
+    assert score().r < 1 and score(token_budget=3).r == score(token_budget=3).p == 1
