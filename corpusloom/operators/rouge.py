@@ -357,9 +357,9 @@ def in_metric_order(scored: DataFrame) -> DataFrame:
 
 
 def result_line(scored: DataFrame) -> DataFrame:
-    """Add line: scores in percent with two digits, or mean and deviation as they are for `corpus_stats`."""
+    """Add line: scores in percent with two digits, halves to even, or mean and deviation as they are for `corpus_stats`."""
     if "mean_p" in scored.columns:
         parts = [F.concat(F.lit(f" {n}: "), F.col(f"mean_{c}").cast("string"), F.lit("+/-"), F.col(f"std_{c}").cast("string")) for n, c in (("P", "p"), ("R", "r"), ("F1", "f"))]
         return scored.withColumn("line", F.concat(F.lit("\t"), "metric", F.lit("\t"), F.concat_ws("\t", *parts)))
-    parts = [F.format_string(f"{n}: %5.2f", F.col(c) * 100.0) for n, c in (("P", "p"), ("R", "r"), ("F1", "f"))]
+    parts = [F.format_string(f"{n}: %5.2f", F.bround(F.col(c) * 100.0, 2)) for n, c in (("P", "p"), ("R", "r"), ("F1", "f"))]
     return scored.withColumn("line", F.concat(F.lit("\t"), "metric", F.lit(":\t"), F.concat_ws("\t", *parts)))
