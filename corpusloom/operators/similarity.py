@@ -57,12 +57,25 @@ def markov(matrix: DataFrame, threshold: float | None = None) -> DataFrame:
     return m.join(total, ["doc_id", "i"]).select("doc_id", "i", "j", (F.col("sim") / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total"))).alias("p"))
 
 
+#: Components that are summed in one row of an aggregation.
+COMPONENTS = 64
+
+
 def sentence_vectors(weighted: DataFrame, vectors: DataFrame) -> DataFrame:
     """(doc_id, sent_ix, v): the sum of tf * idf * vector over a sentence's words; weighted (.., term, w), vectors (term,
-    embedding). Sums are taken per component before vectors are put together, so aggregation stays map-side."""
-    x = weighted.join(vectors, "term").select("doc_id", "sent_ix", "w", F.posexplode("embedding").alias("k", "e"))
-    sums = x.groupBy("doc_id", "sent_ix", "k").agg(F.sum(F.col("w") * F.col("e").cast("double")).alias("s"))
-    return sums.groupBy("doc_id", "sent_ix").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "s"))), lambda y: y["s"]).alias("v"))
+    embedding), all of one size. A word's vector is one row for each COMPONENTS components, each a sum of its own, so
+    aggregation stays map-side and words aren't multiplied by their vectors' size."""
+    size = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    parts = max(1, -(-size // COMPONENTS))
+    x = weighted.join(vectors, "term").select("doc_id", "sent_ix", "w", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "embedding")
+    component = lambda k: F.get("embedding", F.col("part") * COMPONENTS + k).cast("double")
+    names = [f"s{k}" for k in range(min(size, COMPONENTS))]
+    sums = x.groupBy("doc_id", "sent_ix", "part").agg(*[F.sum(F.col("w") * component(k)).alias(n) for k, n in enumerate(names)] or [F.count("*").alias("n")])
+    own = F.array(*names) if names else F.array().cast("array<double>")
+    if parts == 1:
+        return sums.select("doc_id", "sent_ix", own.alias("v"))
+    whole = sums.groupBy("doc_id", "sent_ix").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", own.alias("v")))), lambda y: y["v"])).alias("v"))
+    return whole.select("doc_id", "sent_ix", F.slice("v", 1, size).alias("v"))
 
 
 def word_vector_edges(weighted: DataFrame, vectors: DataFrame, at_least: float = 0.0) -> DataFrame:

@@ -146,3 +146,33 @@ def index_pairs(spark, d):
 def result_lines(spark, d):
     scored = rouge.rouge_n(_pairs(spark, d), 1)
     return rouge.result_line(scored.withColumns({c: F.round(c, 12) for c in "prf"})).select("pair_id", "ref_id", "line")
+
+
+#: Words of a run that an item and a document must share to be compared.
+RUN = 8
+
+
+def _runs(words):
+    at = F.sequence(F.lit(1), F.size(words) - RUN + 1)
+    return F.when(F.size(words) >= RUN, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, RUN), " "))))
+
+
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}]+')"
+
+
+@query(
+    f"WITH i AS MATERIALIZED (SELECT item_id, {_WORDS} AS hyp FROM benchmark), d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS ref FROM documents), "
+    f"a AS (SELECT DISTINCT item_id, array_to_string(hyp[k:k + {RUN - 1}], ' ') AS g FROM (SELECT item_id, hyp, unnest(range(1, len(hyp) - {RUN - 2})) AS k FROM i)), "
+    f"b AS (SELECT doc_id, array_to_string(ref[k:k + {RUN - 1}], ' ') AS g FROM (SELECT doc_id, ref, unnest(range(1, len(ref) - {RUN - 2})) AS k FROM d)), "
+    "pairs AS MATERIALIZED (SELECT item_id AS pair_id, doc_id AS ref_id, hyp, ref FROM (SELECT DISTINCT item_id, doc_id FROM a JOIN b USING (g)) JOIN i USING (item_id) JOIN d USING (doc_id)), "
+    f"{_gram_sql(1)} {_prf_sql('c1', 'pair_id, ref_id')}"
+)
+def benchmark_overlap(spark, d):
+    """Items of the benchmark against the documents that share a run of words with them: how much of an item a document holds."""
+    words = T.words(F.col("text"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("pair_id"), words.alias("hyp"))
+    texts = docs(spark, d).select(F.col("doc_id").alias("ref_id"), words.alias("ref"))
+    asked = items.select("pair_id", F.explode(_runs("hyp")).alias("run"))
+    held = texts.select("ref_id", F.explode(_runs("ref")).alias("run"))
+    pairs = held.join(asked, "run").select("pair_id", "ref_id").distinct()
+    return _rounded(rouge.rouge_n(pairs.join(items, "pair_id").join(texts, "ref_id"), 1), ["pair_id", "ref_id"])

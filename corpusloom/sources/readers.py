@@ -13,7 +13,11 @@ COLUMNS = {"AreiosPagos": ["summary", "text", "case_category"], "STE": ["case_nu
 
 def read_csv(spark: SparkSession, path: str, schema: str = CORPUS, limit: int | None = None) -> DataFrame:
     rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return rows.limit(limit) if limit else rows
+    if not limit:
+        return rows
+    # the first rows by file and place in it, whatever task comes first
+    place = rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    return place.orderBy("_path", "_block", "_row").limit(limit).drop("_path", "_block", "_row")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFrame:

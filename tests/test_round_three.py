@@ -138,3 +138,24 @@ def test_token_budget_by_sentences(spark):
     rows = spark.createDataFrame([(1, "a b. c d", "a b. c d e")], "pair_id int, g string, r string")
     score = lambda **how: programs.evaluate(rows, F.col("g"), F.col("r"), metrics=("rouge-1",), **how).first()
     assert score().r < 1 and score(token_budget=3).r == score(token_budget=3).p == 1
+
+
+def test_first_rows_of_a_csv_are_the_first(spark, tmp_path):
+    from corpusloom.sources import readers
+
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("row_ix,text\n" + "".join(f'{k * 10 + j},"a\nb"\n' for j in range(10)))
+    for n in (1, 10, 14, 99):
+        got = readers.read_csv(spark, str(tmp_path), "row_ix long, text string", n)
+        assert got.columns == ["row_ix", "text"] and [r.row_ix for r in got.collect()] == list(range(min(n, 30)))
+
+
+def test_sentence_vectors_of_any_size(spark):
+    from corpusloom.operators import similarity
+
+    for size in (3, 64, 130):
+        vectors = spark.createDataFrame([("a", [float(k) for k in range(size)]), ("b", [1.0] * size)], "term string, embedding array<float>")
+        weighted = spark.createDataFrame([(1, 0, "a", 2.0), (1, 0, "b", 3.0), (1, 1, "b", 0.5), (2, 0, "z", 1.0)], "doc_id int, sent_ix int, term string, w double")
+        got = {(r.doc_id, r.sent_ix): r.v for r in similarity.sentence_vectors(weighted, vectors).collect()}
+        assert got == {(1, 0): [2.0 * k + 3 for k in range(size)], (1, 1): [0.5] * size}
+    assert similarity.sentence_vectors(weighted, vectors.limit(0)).count() == 0
