@@ -9,9 +9,12 @@ term falls below zero its gradient is reversed, so that the model can't gain by
 
 The prior is estimated from positives and unlabelled texts, not from labels: three models, each fitted on two thirds of
 both, give scores to the third they have not seen, and the least ratio of the unlabelled share to the positive share
-above any score, with a bound for chance, is the prior. The same scores give the cut that best weighs positives caught
-against negatives flagged (`false_alarm` times). The model is the mean of the three, moved so that the cut lies at the
-threshold.
+above any score, with a bound for chance, is the prior. Where it differs from the one assumed, the three models are fitted
+anew with it. The same scores give the cut that best weighs positives caught against negatives flagged (`false_alarm` times). The model is the mean of the three, moved so that the cut lies at the threshold. Below
+`least_for_estimate` texts on either side there is one model, with the prior that was given, at its own cut.
+
+Each of the three models is fitted by a task of its own from the sampled sets of features, which are broadcast: numbers
+of two or four bytes each, no more than sampled texts times `max_features`. An unlabelled text may be one of the positives.
 
 The model is fitted on at most `Options.positives` and `Options.unlabelled` ids, chosen by a hash (repeated rows of one count as
 often as they occur); of those only the chosen features (`max_features` at most) come to the driver. Every whole text is scored.
@@ -144,11 +147,12 @@ class Rows:
 
     def __init__(self, sets: Sets | list[np.ndarray], columns: int):
         sets = sets if isinstance(sets, Sets) else Sets.of(sets)
-        self.n, self.columns, self.c = len(sets), columns, sets.flat
+        self.n, self.columns, self.c = len(sets), columns, sets.flat.astype(np.intp)
         self.full = np.flatnonzero(sets.sizes)
         self.starts = (np.cumsum(sets.sizes) - sets.sizes)[self.full]
-        order = np.argsort(self.c, kind="stable")
-        self.by_column = np.repeat(np.arange(self.n, dtype=np.int32), sets.sizes)[order]
+        order = np.argsort(sets.flat, kind="stable")
+        self.by_column = np.repeat(np.arange(self.n), sets.sizes)[order]
+        self.held = np.empty(len(self.c))
         counts = np.bincount(self.c, minlength=columns)
         self.used = np.flatnonzero(counts)
         self.column_starts = (np.cumsum(counts) - counts)[self.used]
@@ -156,13 +160,13 @@ class Rows:
     def times(self, w: np.ndarray) -> np.ndarray:
         out = np.zeros(self.n)
         if len(self.full):
-            out[self.full] = np.add.reduceat(w[self.c], self.starts)
+            out[self.full] = np.add.reduceat(np.take(w, self.c, out=self.held, mode="clip"), self.starts)
         return out
 
     def turned_times(self, a: np.ndarray) -> np.ndarray:
         out = np.zeros(self.columns)
         if len(self.used):
-            out[self.used] = np.add.reduceat(a[self.by_column], self.column_starts)
+            out[self.used] = np.add.reduceat(np.take(a, self.by_column, out=self.held, mode="clip"), self.column_starts)
         return out
 
 
@@ -228,10 +232,53 @@ def common_buckets(positive: Sets, unlabelled: Sets, options: Options) -> np.nda
     return able[np.argsort(-frequency, kind="stable")][: options.max_features]
 
 
+@dataclass
+class Training:
+    """What a fold's model is fitted from: both sides as sets of column numbers, and the fold of each text."""
+
+    positive: Sets
+    unlabelled: Sets
+    folds: tuple[np.ndarray, np.ndarray]
+    columns: int
+    options: Options
+    corrected: bool
+
+    def fold(self, k: int, prior: float) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+        """Weights and bias learned without the texts of fold k, and the scores of both sides' texts in it."""
+        sides = list(zip((self.positive, self.unlabelled), self.folds))
+        w, bias = descend(*(Rows(s.pick(f != k), self.columns) for s, f in sides), prior, self.options, self.corrected)
+        return w, bias, *(Rows(s.pick(f == k), self.columns).times(w) + bias for s, f in sides)
+
+
+def _each_here(training: Training, jobs: list[tuple]) -> list[tuple]:
+    return [training.fold(*job) for job in jobs]
+
+
+def _each_in_tasks(spark):
+    """Folds as tasks of one Spark job; weights and scores come back."""
+    held: list = []
+
+    def each(training: Training, jobs: list[tuple]) -> list[tuple]:
+        if not held:
+            held.append(spark.sparkContext.broadcast(training))
+        sent = held[0]
+
+        def run(batches):
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    w, bias, zp, zu = sent.value.fold(*jobs[k])
+                    yield pa.RecordBatch.from_pydict({"k": [k], "bias": [bias], "w": [w], "zp": [zp], "zu": [zu]})
+
+        found = spark.range(len(jobs), numPartitions=len(jobs)).mapInArrow(run, "k long, bias double, w array<double>, zp array<double>, zu array<double>").collect()
+        return [(np.array(r["w"]), r["bias"], np.array(r["zp"]), np.array(r["zu"])) for r in sorted(found, key=lambda r: r["k"])]
+
+    return each
+
+
 def fit(
-    positive: Sets | list[np.ndarray], unlabelled: Sets | list[np.ndarray], options: Options = Options(), chosen_buckets: np.ndarray | None = None, corrected: bool = True
+    positive: Sets | list[np.ndarray], unlabelled: Sets | list[np.ndarray], options: Options = Options(), chosen_buckets: np.ndarray | None = None, corrected: bool = True, each=_each_here
 ) -> Model:
-    """From sets of buckets; texts are dealt out to the folds in the given order."""
+    """From sets of buckets; texts are dealt out to the folds in the given order, and `each` fits the folds' models."""
     positive, unlabelled = (s if isinstance(s, Sets) else Sets.of(s) for s in (positive, unlabelled))
     empty = Model(options, np.zeros(options.buckets), -30.0)
     if not len(positive) or not len(unlabelled):
@@ -241,34 +288,25 @@ def fit(
     if not len(able):
         warnings.warn("no word is common enough among the positives: no text will score as toxic", stacklevel=2)
         return empty
-    index = np.full(options.buckets, -1, dtype=np.int32)
+    index = np.full(options.buckets, -1, dtype=np.int16 if len(able) < 1 << 15 else np.int32)
     index[able] = np.arange(len(able))
     positive, unlabelled = positive.columns(index), unlabelled.columns(index)
-    rows = lambda sets: Rows(sets, len(able))
     prior = options.start_prior if options.prior is None else options.prior
     shift = 0.0
-
-    def out_of_fold(prior: float):
-        """The mean of the folds' models, and scores of all texts by the model that didn't learn from them."""
-        models, zp, zu = [], np.zeros(len(positive)), np.zeros(len(unlabelled))
-        for k in range(options.folds):
-            own = lambda sets: np.arange(len(sets)) % options.folds == k  # noqa: B023, E731
-            w, bias = descend(*(rows(s.pick(~own(s))) for s in (positive, unlabelled)), prior, options, corrected)
-            for s, z in ((positive, zp), (unlabelled, zu)):
-                z[own(s)] = rows(s.pick(own(s))).times(w) + bias
-            models.append((w, bias))
-        return np.mean([w for w, _ in models], axis=0), float(np.mean([b for _, b in models])), zp, zu
-
     if len(positive) >= options.least_for_estimate and len(unlabelled) >= options.least_for_estimate:
-        w, bias, zp, zu = out_of_fold(prior)
+        folds = tuple(np.arange(len(s)) % options.folds for s in (positive, unlabelled))
+        training = Training(positive, unlabelled, folds, len(able), options, corrected)
+        models = each(training, [(k, prior) for k in range(options.folds)])
+        pooled = lambda i: np.concatenate([m[i] for m in models])
         if options.prior is None:
-            found = estimated_prior(zp, zu)
+            found = estimated_prior(pooled(2), pooled(3))
             if abs(found - prior) > 0.25 * prior:
-                w, bias, zp, zu = out_of_fold(found)
+                models = each(training, [(k, found) for k in range(options.folds)])
             prior = found
-        shift = float(np.log(options.threshold / (1 - options.threshold))) - best_cut(zp, zu, prior, options.false_alarm)
+        w, bias = np.mean([m[0] for m in models], axis=0), float(np.mean([m[1] for m in models]))
+        shift = float(np.log(options.threshold / (1 - options.threshold))) - best_cut(pooled(2), pooled(3), prior, options.false_alarm)
     else:
-        w, bias = descend(rows(positive), rows(unlabelled), prior, options, corrected)
+        w, bias = descend(Rows(positive, len(able)), Rows(unlabelled, len(able)), prior, options, corrected)
     bias += shift
     weights = np.zeros(options.buckets)
     weights[able] = w
@@ -312,13 +350,19 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", options: Op
     able = counts.filter((F.col("p") >= options.min_count) & (F.col("u") <= options.max_share * n_u))
     able = able.orderBy(F.desc(F.col("p") / n_p + F.col("u") / n_u), "b").limit(options.max_features)
     buckets = np.array([r["b"] for r in able.select("b").collect()], dtype=np.int64)
-    sent = spark.sparkContext.broadcast(np.sort(buckets))
+    wanted = np.zeros(options.buckets, dtype=bool)
+    wanted[buckets] = True
+    sent = spark.sparkContext.broadcast(np.packbits(wanted))
 
     def only_chosen(batches):
+        able = np.unpackbits(sent.value).astype(bool)
         for batch in batches:
             x = batch.column(3)
-            kept = [v[np.isin(v, sent.value)] for v in (np.asarray(s.values) if s.values is not None else np.zeros(0, dtype=np.int32) for s in x)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(kept, type=pa.list_(pa.int32()))], names=["doc_id", "p", "u", "x"])
+            flat, ends = x.flatten().to_numpy(), np.cumsum(np.asarray(pc.list_value_length(x)))
+            on = able[flat]
+            offsets = np.concatenate([[0], np.cumsum(on)])[np.concatenate([[0], ends])].astype(np.int32)
+            kept = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[on], type=pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], kept], names=["doc_id", "p", "u", "x"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     rows = sample.select("doc_id", "p", "u", "x").mapInArrow(only_chosen, f"doc_id {key}, p int, u int, x array<int>").toArrow()
@@ -327,9 +371,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", options: Op
     rows = rows.take(pa.array(order)).combine_chunks()
     x = rows["x"].combine_chunks()
     sets = Sets(x.flatten().to_numpy(), np.asarray(pc.list_value_length(x)).astype(np.int64))
-    p, u = (sets.pick(rows[c].to_numpy() == 1) for c in ("p", "u"))
+    sides = [sets.pick(rows[c].to_numpy() == 1) for c in ("p", "u")]
     del rows, x, sets
-    model = fit(p, u, options, buckets, corrected)
+    model = fit(*sides, options, buckets, corrected, _each_in_tasks(spark))
     pa.default_memory_pool().release_unused()
     return model
 
