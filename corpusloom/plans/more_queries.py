@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators import pages, rouge, tables
+from corpusloom.operators import meteor, pages, rouge, tables
 from corpusloom.plans.queries import _PAIRS, _gram_sql, _pairs, _prf_sql, _rounded, docs, query
 from corpusloom.runtime import scratch, table
 from corpusloom.sources import named_files, readers, writers
@@ -176,3 +176,24 @@ def benchmark_overlap(spark, d):
     held = texts.select("ref_id", F.explode(_runs("ref")).alias("run"))
     pairs = held.join(asked, "run").select("pair_id", "ref_id").distinct()
     return _rounded(rouge.rouge_n(pairs.join(items, "pair_id").join(texts, "ref_id"), 1), ["pair_id", "ref_id"])
+
+
+_OCCURRENCE = "SELECT pair_id, ref_id, p, w, row_number() OVER (PARTITION BY pair_id, ref_id, w ORDER BY p DESC) AS k FROM (SELECT pair_id, ref_id, unnest(range(1, len({c}) + 1)) AS p, unnest({c}) AS w FROM pairs)"
+
+
+@query(
+    f"WITH {_PAIRS}, h AS ({_OCCURRENCE.format(c='hyp')}), g AS ({_OCCURRENCE.format(c='ref')}), "
+    "m AS (SELECT pair_id, ref_id, h.p AS i, g.p AS j FROM h JOIN g USING (pair_id, ref_id, w, k)), "
+    "s AS (SELECT *, CASE WHEN lag(i) OVER o = i - 1 AND lag(j) OVER o = j - 1 THEN 0 ELSE 1 END AS fresh FROM m WINDOW o AS (PARTITION BY pair_id, ref_id ORDER BY i)), "
+    "n AS (SELECT pair_id, ref_id, count(*) AS m, sum(fresh) AS c FROM s GROUP BY ALL), "
+    "x AS (SELECT pair_id, ref_id, coalesce(m, 0)::BIGINT AS matches, coalesce(c, 0)::BIGINT AS chunks, m::DOUBLE / len(hyp) AS p, m::DOUBLE / len(ref) AS r FROM pairs LEFT JOIN n USING (pair_id, ref_id)) "
+    "SELECT pair_id, ref_id, matches, chunks, round(CASE WHEN matches > 0 THEN p * r / (0.9 * p + (1 - 0.9) * r) * (1 - 0.5 * pow(chunks / matches, 3)) ELSE 0 END, 6) AS score FROM x"
+)
+def meteor_exact(spark, d):
+    scored = meteor.meteor(_pairs(spark, d), meteor.Options(stemmed=False))
+    return scored.select("pair_id", "ref_id", "matches", "chunks", F.round("score", 6).alias("score"))
+
+
+@query()
+def meteor_stemmed(spark, d):
+    return meteor.meteor(_pairs(spark, d)).select("pair_id", "ref_id", "matches", "chunks", F.round("score", 6).alias("score"))
