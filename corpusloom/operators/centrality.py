@@ -30,23 +30,62 @@ def undamped(unit: DataFrame, sents: DataFrame) -> DataFrame:
 
     Two sentences with a weighted term in common are joined; a sentence without weights is a component of its own, with
     score 1. One kernel call for each document is linear in its terms: no pair of sentences is made."""
+    return _each_document(unit, sents, lambda row, term, x, n, share: [sparse_scores(row, term, x, n, "undamped")], "score double")
+
+
+def weighed(unit: DataFrame) -> DataFrame:
+    """Entries of a table of unit vectors (.., x), or of weights (.., w) that aren't divided by their norm yet: (doc_id, sent_ix, t, w)."""
+    w = "x" if "x" in unit.columns else "w"
+    return unit.filter(F.col(w) > 0).select("doc_id", "sent_ix", F.xxhash64("term").alias("t"), F.col(w).alias("w"))
+
+
+#: Rows of a batch that kernels give back.
+OUT_ROWS = 100_000
+
+
+def _documents(unit: DataFrame, sents: DataFrame, bias: DataFrame | None = None) -> DataFrame:
+    """(doc_id, e): all entries of a document's sentences in one row, and an entry without a term for each sentence. Lists are
+    begun before the one shuffle, and words are hashes in it."""
+    rows = weighed(unit).withColumn("share", F.lit(None).cast("double"))
+    none = lambda share: [F.lit(None).cast("long").alias("t"), F.lit(None).cast("double").alias("w"), share.alias("share")]
+    rows = rows.unionByName(sents.select("doc_id", "sent_ix", *none(F.lit(None).cast("double"))))
+    if bias is not None:
+        rows = rows.unionByName(bias.select("doc_id", "sent_ix", *none(F.col("share"))))
+    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("sent_ix", "t", "w", "share")).alias("e"))
+
+
+def _entries(inner: pa.StructArray, normal: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sentences in order, row, term, x, share) of a document's entries, ordered by row and term, so that sums don't depend on
+    the order in which entries came."""
+    at, row = np.unique(inner.field("sent_ix").to_numpy(), return_inverse=True)
+    real = np.asarray(inner.field("t").is_valid())
+    share = np.zeros(len(at))
+    if inner.field("share").null_count < len(inner):
+        given = np.asarray(inner.field("share").is_valid())
+        share[row[given]] = inner.field("share").fill_null(0.0).to_numpy()[given]
+    row, t, w = row[real], inner.field("t").fill_null(0).to_numpy()[real], inner.field("w").fill_null(0.0).to_numpy()[real]
+    order = np.lexsort((t, row))
+    row, t, w = row[order], t[order], w[order]
+    _, term = np.unique(t, return_inverse=True)
+    if not normal:
+        w = w / np.sqrt(np.bincount(row, w * w, minlength=len(at)))[row]
+    return at, row, term, w, share
+
+
+def _each_document(unit: DataFrame, sents: DataFrame, kernel, schema: str, bias: DataFrame | None = None) -> DataFrame:
+    """(doc_id, sent_ix, what the kernel gives for each sentence), one call for each document."""
     ship(sents.sparkSession)
-    grouped = unit.groupBy("doc_id").agg(F.collect_list(F.struct("sent_ix", F.xxhash64("term").alias("t"), "x")).alias("e"))
-    key = unit.schema["doc_id"].dataType.simpleString()
+    key, normal = sents.schema["doc_id"].dataType.simpleString(), "x" in unit.columns
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                inner = batch.column(1)[k].values
-                at, row = np.unique(inner.field("sent_ix").to_numpy(), return_inverse=True)
-                _, term = np.unique(inner.field("t").to_numpy(), return_inverse=True)
-                score = component_scores(row, term, inner.field("x").to_numpy())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(at), dtype=np.int64))), pa.array(at, type=pa.int32()), pa.array(score)], names=["doc_id", "sent_ix", "score"]
-                )
+                at, row, term, x, share = _entries(batch.column(1)[k].values, normal)
+                found = kernel(row, term, x, len(at), share)
+                ids = batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(at), dtype=np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(at, type=pa.int32()), *[pa.array(f) for f in found]], names=["doc_id", "sent_ix", *[c.split()[0] for c in schema.split(", ")]])
 
-    scores = grouped.mapInArrow(run, f"doc_id {key}, sent_ix int, score double")
-    return sents.select("doc_id", "sent_ix").join(scores, ["doc_id", "sent_ix"], "left").select("doc_id", "sent_ix", F.coalesce("score", F.lit(1.0)).alias("score"))
+    return _documents(unit, sents, bias).mapInArrow(run, f"doc_id {key}, sent_ix int, {schema}")
 
 
 def component_scores(row: np.ndarray, term: np.ndarray, x: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
@@ -90,14 +129,15 @@ def power_iteration(p: np.ndarray, teleport: np.ndarray, damping: float = 0.85,
 BLOCK_CELLS = 4_000_000
 
 
-def pairs_above(row: np.ndarray, term: np.ndarray, x: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j), both ways and with i = j, of rows whose product is above the threshold; a row's product with itself is 1."""
+def product_blocks(row: np.ndarray, term: np.ndarray, x: np.ndarray, n: int, y: np.ndarray | None = None):
+    """(low, block): the products of rows from `low` on with all n rows, a block of rows at a time; y: entries of the second
+    side where they differ, of the same terms."""
+    y = x if y is None else y
     by_term = np.argsort(term, kind="stable")
-    rows_of, x_of, sizes = row[by_term], x[by_term], np.bincount(term, minlength=int(term.max(initial=-1)) + 1)
+    rows_of, y_of, sizes = row[by_term], y[by_term], np.bincount(term, minlength=int(term.max(initial=-1)) + 1)
     starts = np.cumsum(sizes) - sizes
     by_row = np.argsort(row, kind="stable")
     cuts = np.searchsorted(row[by_row], np.arange(n + 1))
-    found = []
     size = max(1, BLOCK_CELLS // max(n, 1))
     for low in range(0, n, size):
         high = min(n, low + size)
@@ -109,13 +149,39 @@ def pairs_above(row: np.ndarray, term: np.ndarray, x: np.ndarray, n: int, thresh
             lengths = sizes[term[part]]
             at = np.repeat(starts[term[part]] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
             cell = np.repeat((row[part] - low) * n, lengths) + rows_of[at]
-            block += np.bincount(cell, np.repeat(x[part], lengths) * x_of[at], minlength=len(block))
-        block[(np.arange(low, high) - low) * n + np.arange(low, high)] = 1.0
-        i, j = np.divmod(np.flatnonzero(block > threshold), n)
+            block += np.bincount(cell, np.repeat(x[part], lengths) * y_of[at], minlength=len(block))
+        yield low, block.reshape(high - low, n)
+
+
+def pairs_above(row: np.ndarray, term: np.ndarray, x: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), both ways and with i = j, of rows whose product is above the threshold; a row's product with itself is 1."""
+    found = []
+    for low, block in product_blocks(row, term, x, n):
+        block[np.arange(len(block)), low + np.arange(len(block))] = 1.0
+        i, j = np.nonzero(block > threshold)
         found.append((i + low, j))
     return tuple(np.concatenate(p) for p in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
 
 
+def each_pair(unit: DataFrame, sents: DataFrame, kernel, value: str) -> DataFrame:
+    """(doc_id, i, j, value) of pairs of sentences of a document, without a shuffle of pairs: kernel(row, term, x, n) gives
+    (i, j, value) by blocks of rows, and its pairs leave in batches of OUT_ROWS."""
+    ship(sents.sparkSession)
+    key, normal = sents.schema["doc_id"].dataType.simpleString(), "x" in unit.columns
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at, row, term, x, _ = _entries(batch.column(1)[k].values, normal)
+                for i, j, v in kernel(row, term, x, len(at)):
+                    for low in range(0, len(i), OUT_ROWS):
+                        a, b, c = (z[low : low + OUT_ROWS] for z in (i, j, v))
+                        ids = batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(a), dtype=np.int64)))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(at[a], type=pa.int32()), pa.array(at[b], type=pa.int32()), pa.array(c)], names=["doc_id", "i", "j", value])
+
+    return _documents(unit, sents).mapInArrow(run, f"doc_id {key}, i int, j int, {value} double")
+
+
 def sparse_scores(
     row: np.ndarray, term: np.ndarray, x: np.ndarray, n: int, method: str = "damped", bias: np.ndarray | None = None, damping=0.85, steps=50, threshold: float | None = None, tolerance=0.0
 ) -> np.ndarray:
@@ -171,31 +237,8 @@ def scores_of(matrix: np.ndarray, method: str, bias: np.ndarray | None = None, d
 
 def per_document(unit: DataFrame, sents: DataFrame, method: str = "damped", bias: DataFrame | None = None, **options) -> DataFrame:
     """(doc_id, sent_ix, score) with one kernel call for each document; bias: (doc_id, sent_ix, share)."""
-    ship(sents.sparkSession)
-    entries = unit.groupBy("doc_id", "sent_ix").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "x")).alias("terms"))
-    rows = sents.select("doc_id", "sent_ix").join(entries, ["doc_id", "sent_ix"], "left")
-    rows = rows.join(bias, ["doc_id", "sent_ix"], "left") if bias is not None else rows.withColumn("share", F.lit(0.0))
-    grouped = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sent_ix", F.coalesce("share", F.lit(0.0)).alias("share"), "terms"))).alias("s"))
-    key = sents.schema["doc_id"].dataType.simpleString()
     biased = bias is not None
-
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                inner = batch.column(1)[k].values
-                n = len(inner)
-                share = inner.field("share").to_numpy()
-                lists = inner.field("terms")
-                flat = lists.flatten()
-                row = np.repeat(np.arange(n), np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], dtype=np.int64))
-                terms, column = np.unique(flat.field("t").to_numpy(), return_inverse=True) if len(flat) else (np.zeros(0), np.zeros(0, dtype=int))
-                x = flat.field("x").to_numpy() if len(flat) else np.zeros(0)
-                score = sparse_scores(row, column, x, n, method, share if biased else None, **options)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(k, 1).take(pa.array(np.zeros(n, dtype=np.int64))), inner.field("sent_ix"), pa.array(score)], names=["doc_id", "sent_ix", "score"]
-                )
-
-    return grouped.mapInArrow(run, f"doc_id {key}, sent_ix int, score double")
+    return _each_document(unit, sents, lambda row, term, x, n, share: [sparse_scores(row, term, x, n, method, share if biased else None, **options)], "score double", bias)
 
 
 def per_document_edges(edges: DataFrame, sents: DataFrame, method: str = "damped", bias: DataFrame | None = None, **options) -> DataFrame:

@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from corpusloom.operators.centrality import each_pair, product_blocks
+from corpusloom.runtime import ship
+
+#: Rows of a block of vectors, and products of a cell that are held at a time.
+BLOCK_ROWS, CELL = 8_192, 4_000_000
+#: Components of word vectors up to which they are broadcast, a quarter of a GB.
+BROADCAST_COMPONENTS = 64_000_000
+
 METRICS = ("idf_mod_cosine", "common_words", "word2vec_sim", "bert_sim")
 
 
@@ -18,27 +28,96 @@ def cosine_edges(unit: DataFrame) -> DataFrame:
     return _pairs(unit).groupBy(*keys).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("sim"))
 
 
+def document_edges(unit: DataFrame, sents: DataFrame) -> DataFrame:
+    """`cosine_edges`, each document by itself: its entries are shuffled, its pairs aren't. unit: unit vectors (.., x) or weights
+    (.., w); sents: at least the sentences (doc_id, sent_ix) that have any."""
+
+    def kernel(row, term, x, n):
+        for low, block in product_blocks(row, term, x, n):
+            i, j = np.nonzero(block)
+            i, j = i[later := j > i + low], j[later]
+            yield i + low, j, block[i, j]
+
+    return each_pair(unit, sents, kernel, "sim")
+
+
+def document_markov(unit: DataFrame, sents: DataFrame, threshold: float | None = None, digits: int = 9) -> DataFrame:
+    """`markov` of all sentences' cosines and their edges of 1 to themselves, each document by itself. A row lies in
+    one block, and so does its sum; above a threshold, cosines have so many digits."""
+    if threshold is not None and not 0 <= threshold < 1:
+        raise ValueError("the threshold is in [0, 1)")
+
+    def kernel(row, term, x, n):
+        for low, block in product_blocks(row, term, x, n):
+            block[np.arange(len(block)), low + np.arange(len(block))] = 1.0
+            if threshold is not None:
+                block = (np.round(block, digits) > threshold).astype(float)
+            total = block.sum(1)
+            i, j = np.nonzero(block)
+            yield i + low, j, block[i, j] / total[i]
+
+    return each_pair(unit, sents, kernel, "p")
+
+
 def common_word_edges(tf: DataFrame) -> DataFrame:
     """(doc_id, i, j, sim), i < j: counts of shared words over the logarithms of both lengths; 1 for two equal sentences
     of one word, 0 (no edge) for unequal ones."""
-    sizes = tf.groupBy("doc_id", "sent_ix").agg(F.sum("tf").alias("n"))
-    x = tf.join(sizes, ["doc_id", "sent_ix"])
-    keys = [F.col("a.doc_id").alias("doc_id"), F.col("a.sent_ix").alias("i"), F.col("b.sent_ix").alias("j")]
-    shared = _pairs(x).groupBy(*keys, F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.sum(F.col("a.tf") + F.col("b.tf")).alias("s"))
-    norm = F.log10("n") + F.log10("m")
-    return shared.select("doc_id", "i", "j", F.when(norm == 0, F.lit(1.0)).otherwise(F.col("s") / norm).alias("sim"))
+
+    def kernel(row, term, x, n):
+        size = np.bincount(row, x, minlength=n)
+        log = np.log10(np.where(size > 0, size, 1.0))
+        one = np.ones(len(x))
+        for (low, a), (_, b) in zip(product_blocks(row, term, x, n, one), product_blocks(row, term, one, n, x)):
+            shared = a + b
+            i, j = np.nonzero(shared)
+            i, j = i[later := j > i + low], j[later]
+            norm = log[i + low] + log[j]
+            yield i + low, j, np.where(norm == 0, 1.0, shared[i, j] / np.where(norm == 0, 1.0, norm))
+
+    # counts take the place of unit vectors: they aren't divided by a norm
+    counts = tf.select("doc_id", "sent_ix", "term", F.col("tf").cast("double").alias("x"))
+    return each_pair(counts, counts.select("doc_id", "sent_ix").limit(0), kernel, "sim")
 
 
 def vector_edges(vectors: DataFrame, group: str, id_: str, vector: str, at_least: float) -> DataFrame:
     """(group, i, j, sim), i < j: cosine of given vectors within a group (word or sentence embeddings)."""
+    ship(vectors.sparkSession)
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    unit = vectors.select(F.col(group).alias("g"), F.col(id_).alias("id"), v.alias("v"))
-    unit = unit.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).filter("norm > 0")
-    a, b = unit.alias("a"), unit.alias("b")
-    dot = F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    joined = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id")))
-    out = joined.select(F.col("a.g").alias(group), F.col("a.id").alias("i"), F.col("b.id").alias("j"), (dot / (F.col("a.norm") * F.col("b.norm"))).alias("sim"))
-    return out.filter(F.col("sim") >= at_least)
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = vectors.select(F.col(group).alias("g"), F.col(id_).alias("id"), F.col(vector).alias("v"), norm.alias("norm")).filter("norm > 0 AND g IS NOT NULL AND id IS NOT NULL")
+    # a group is dealt to blocks by id; each two of its blocks meet in a cell, and pairs leave it only above the threshold
+    sizes = unit.groupBy("g").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).filter("blocks > 1")  # few groups
+    dealt = unit.join(F.broadcast(sizes), "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("g", "id", "v", "norm", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    names = [group, "i", "j", "sim"]
+    kind = lambda c: unit.schema[c].dataType.simpleString()
+
+    def cell(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        lists, own = rows.column("v").combine_chunks(), rows.column("own").to_numpy()
+        p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
+        length, norm, ids = np.asarray(lists.value_lengths()), rows.column("norm").to_numpy(), rows.column("id").to_numpy()
+        left, right = [], []
+        for size in np.unique(length):
+            a, b = (np.flatnonzero((length == size) & (own == k)) for k in (p, q))
+            x, y = (lists.take(pa.array(k)).flatten().to_numpy().astype(float).reshape(len(k), size) for k in (a, b))
+            step = max(1, CELL // max(len(b), 1))
+            for low in range(0, len(a), step):
+                some = a[low : low + step]
+                sim = x[low : low + step] @ y.T / (norm[some][:, None] * norm[b])
+                i, j = np.nonzero(~(sim < at_least))
+                ordered = ids[some[i]] < ids[b[j]] if p == q else ids[some[i]] != ids[b[j]]
+                i, j = i[ordered], j[ordered]
+                left.append((some[i], b[j]))
+                right.append(sim[i, j])
+        i, j = (np.concatenate([pair[k] for pair in left]) for k in (0, 1))
+        turned = ids[i] > ids[j]
+        i, j = np.where(turned, j, i), np.where(turned, i, j)
+        take = lambda c, k: rows.column(c).take(pa.array(k))
+        return pa.table([take("g", i), take("id", i), take("id", j), pa.array(np.concatenate(right))], names=names)
+
+    return dealt.groupBy("g", "p", "q").applyInArrow(cell, f"{group} {kind('g')}, i {kind('id')}, j {kind('id')}, sim double")
 
 
 def both_ways(edges: DataFrame, sents: DataFrame) -> DataFrame:
@@ -67,6 +146,8 @@ def sentence_vectors(weighted: DataFrame, vectors: DataFrame) -> DataFrame:
     aggregation stays map-side and words aren't multiplied by their vectors' size."""
     size = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
     parts = max(1, -(-size // COMPONENTS))
+    if vectors.count() * size <= BROADCAST_COMPONENTS:  # rows of a document are dealt out once, without vectors, and summed where they lie
+        weighted, vectors = weighted.select("doc_id", "sent_ix", "term", "w").repartition("doc_id"), F.broadcast(vectors)
     x = weighted.join(vectors, "term").select("doc_id", "sent_ix", "w", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "embedding")
     component = lambda k: F.get("embedding", F.col("part") * COMPONENTS + k).cast("double")
     names = [f"s{k}" for k in range(min(size, COMPONENTS))]

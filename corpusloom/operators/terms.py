@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.runtime import ship
 
 
 def sentence_rows(docs: DataFrame, abbreviations: bool = False) -> DataFrame:
@@ -29,6 +32,56 @@ def term_frequency(sents: DataFrame, tokens: Column | None = None, stopwords: It
     return rows.select("doc_id", "sent_ix", F.get("w", F.col("x.b")).alias("term"), (F.col("x.e") - F.col("x.b")).cast("long").alias("tf"))
 
 
+def document_terms(docs: DataFrame, stopwords: Iterable[str] = (), abbreviations: bool = False) -> DataFrame:
+    """(doc_id, sent_ix, term, tf, seen) of each document's sentences: a row without term and tf for each sentence, and one for
+    each of its words. seen is 2 in a document's first row with a word, 1 where a word is met first in it, else 0, so that
+    document frequencies are counts of rows. Documents are counted in batches where they lie; nothing is shuffled."""
+    ship(docs.sparkSession)
+    stop = list(stopwords)
+    cut = T.whole_sentences if abbreviations else T.sentences
+    each = (lambda s: F.filter(T.words(s), lambda w: ~w.isin(stop))) if stop else T.words
+    key = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            n_sents = np.asarray(lists.value_lengths().fill_null(0))
+            of = np.repeat(np.arange(len(lists)), n_sents)  # each sentence's document
+            place = np.arange(len(of)) - np.repeat(np.cumsum(n_sents) - n_sents, n_sents)
+            sents = lists.flatten()
+            words = sents.flatten().dictionary_encode()
+            size = max(len(words.dictionary), 1)
+            code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            found, tf = np.unique(np.repeat(np.arange(len(of)), np.asarray(sents.value_lengths().fill_null(0))) * size + code, return_counts=True)
+            sent, term = np.divmod(found, size)
+            seen = np.zeros(len(found), dtype=np.int32)
+            seen[np.unique(of[sent] * size + term, return_index=True)[1]] = 1
+            seen[np.unique(of[sent], return_index=True)[1]] = 2
+            bare = np.zeros(len(of), dtype=np.int64)
+            whole = np.concatenate([bare.astype(bool) | True, np.zeros(len(found), dtype=bool)])
+            row = np.concatenate([np.arange(len(of)), sent])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(of[row])),
+                    pa.array(place[row], type=pa.int32()),
+                    words.dictionary.take(pa.array(np.concatenate([bare, term]), mask=whole)).cast(pa.string()),
+                    pa.array(np.concatenate([bare, tf]), mask=whole),
+                    pa.array(np.concatenate([bare.astype(np.int32), seen])),
+                ],
+                names=["doc_id", "sent_ix", "term", "tf", "seen"],
+            )
+
+    rows = docs.select("doc_id", F.transform(cut(F.col("text")), each).alias("w"))
+    return rows.mapInArrow(run, f"doc_id {key}, sent_ix int, term string, tf long, seen int")
+
+
+def idf_of_terms(found: DataFrame) -> DataFrame:
+    """(term, df, idf) of `document_terms`, equal to `idf_table`: only partial counts are shuffled."""
+    n = found.agg(F.count_if(F.col("seen") == 2).alias("n"))
+    counts = found.filter("seen > 0").groupBy("term").agg(F.count("*").alias("df"))
+    return counts.crossJoin(F.broadcast(n)).select("term", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
+
+
 def idf_of_documents(docs: DataFrame, stopwords: Iterable[str] = ()) -> DataFrame:
     """(term, df, idf) straight from (doc_id, text), equal to `idf_table` of their sentences. Each document gives its
     distinct words once, and an empty word that counts documents with any; only partial counts are shuffled."""

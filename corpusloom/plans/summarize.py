@@ -42,13 +42,20 @@ def weights(docs: DataFrame, stopwords: tuple[str, ...] = (), idf: DataFrame | N
 
 
 def _weighted(docs: DataFrame, stopwords: tuple[str, ...], idf: DataFrame | None, abbreviations: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sentence rows, term frequencies, weights). Texts are tokenised once: the term table is written to the shared
-    folder and read by all that follows. The IDF table is broadcast up to BROADCAST_TERMS terms and else joined by term."""
-    sents = terms.sentence_rows(docs, abbreviations)
-    tf = settle(terms.term_frequency(sents, stopwords=stopwords), "term-table")
-    idf = settle(terms.idf_of_documents(docs, stopwords), "idf-table") if idf is None else idf
+    """(sentence rows, term frequencies, weights)."""
+    _, tf, weighted = keyed_weights(docs, stopwords, idf, abbreviations)
+    return terms.sentence_rows(docs, abbreviations), tf, weighted
+
+
+def keyed_weights(docs: DataFrame, stopwords: tuple[str, ...] = (), idf: DataFrame | None = None, abbreviations: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sentence keys, term frequencies, weights). Texts are tokenised once: the term table, with the keys of all sentences, is
+    written to the shared folder and read by all that follows. The IDF table is broadcast up to BROADCAST_TERMS terms and else
+    joined by term."""
+    found = settle(terms.document_terms(docs, stopwords, abbreviations), "term-table")
+    tf = found.filter("term IS NOT NULL").select("doc_id", "sent_ix", "term", "tf")
+    idf = settle(terms.idf_of_terms(found), "idf-table") if idf is None else idf
     idf = F.broadcast(idf) if idf.count() <= BROADCAST_TERMS else idf
-    return sents, tf, terms.with_idf(tf, idf)
+    return found.filter("term IS NULL").select("doc_id", "sent_ix"), tf, terms.with_idf(tf, idf)
 
 
 def _edges(metric: str, tf: DataFrame, weighted: DataFrame, vectors: DataFrame | None) -> DataFrame:
