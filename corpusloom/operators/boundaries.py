@@ -49,12 +49,20 @@ def core(token: Column) -> Column:
 
 
 def has_stop(token: Column) -> Column:
-    return core(token).rlike(r"[^.]\.$")
+    return _stopped(core(token))
+
+
+def _stopped(bare: Column) -> Column:
+    return bare.rlike(r"[^.]\.$")
 
 
 def form(token: Column) -> Column:
     """What is counted: the lower-cased token without signs around it and without its full stop; numbers are one word."""
-    word = F.regexp_replace(F.lower(core(token)), r"[.!?]+$", "")
+    return _form(core(token))
+
+
+def _form(bare: Column) -> Column:
+    word = F.regexp_replace(F.lower(bare), r"[.!?]+$", "")
     return F.when(word.rlike(r"^[0-9]+([.,][0-9]+)*$"), "##").otherwise(word)
 
 
@@ -66,6 +74,29 @@ def token_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.select(form(F.col("a")).alias("word"), has_stop(F.col("a")).alias("stop"), core(F.col("a")).rlike("[!?]$").alias("ends"), form(F.col("b")).alias("next"))
 
 
+#: Without such an end a token has no full stop and isn't ended by ! or ?.
+_SIGNED = r"""[.!?][)"'»”\],;:]*$"""
+
+
+def signed_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`token_pairs` of the tokens with a full stop or ended by ! or ?, counted (c). Equal pairs of tokens are counted before they
+    are looked at, and other tokens never leave their document."""
+    tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
+    rows = docs.select(tokens.alias("t")).filter(F.size("t") > 0)
+    rows = rows.select(F.inline(F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.size("t")).alias("b"))))
+    counted = rows.filter(F.col("a").rlike(_SIGNED)).groupBy("a", "b").agg(F.count("*").alias("c"))
+    found = counted.select(form(F.col("a")).alias("word"), has_stop(F.col("a")).alias("stop"), core(F.col("a")).rlike("[!?]$").alias("ends"), form(F.col("b")).alias("next"), "c")
+    return found.filter("stop OR ends").groupBy("word", "stop", "ends", "next").agg(F.sum("c").alias("c"))
+
+
+def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`word_counts` of all tokens. Equal tokens are counted before they are looked at, so each is cut to its form once a task."""
+    tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
+    counted = docs.select(F.explode(tokens).alias("t")).groupBy("t").agg(F.count("*").alias("c"))
+    found = counted.select(form(F.col("t")).alias("word"), has_stop(F.col("t")).alias("stop"), "c")
+    return found.groupBy("word").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("stop"), F.col("c")).otherwise(0)).alias("stops"))
+
+
 def _log(x: Column) -> Column:
     return F.ln(F.greatest(x, F.lit(1e-300)))
 
@@ -101,10 +132,8 @@ def _best(scores: DataFrame, least: float, most: int, *columns: str) -> list[str
 
 def learn(docs: DataFrame, options: Options = Options(), text: str = "text") -> Model:
     """A model from all documents."""
-    pairs = token_pairs(docs, text)
-    counted = pairs.groupBy("word", "stop", "ends", "next").agg(F.count("*").alias("c"))
-    counted = settle(counted, "token-pairs")
-    words = settle(counted.groupBy("word").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("stop"), F.col("c")).otherwise(0)).alias("stops")), "words")
+    counted = settle(signed_pairs(docs, text), "token-pairs")
+    words = settle(token_counts(docs, text), "words")
     short = _best(abbreviation_scores(words, options), options.abbreviation, options.most, "word")
     total = words.agg(F.sum("n")).first()[0] or 0
     initial = F.col("word").rlike(r"^\p{L}$")
@@ -134,17 +163,18 @@ def load(spark, path: str) -> Model:
     return Model(*[sorted(r.entry for r in rows if r.kind == kind) for kind in ("abbreviations", "starters", "collocations")])
 
 
-def _ends(token: Column, after: Column, model: Model) -> Column:
-    """Whether a token ends a sentence when `after` (null at the end) comes next."""
+def _ends(bare: Column, after: Column, model: Model) -> Column:
+    """Whether a token ends a sentence when `after` (null at the end) comes next, both without signs around them."""
     known = lambda x, entries: x.isin(entries) if entries else F.lit(False)
-    word, bare = form(token), core(token)
-    starts = F.coalesce(known(form(after), model.starters) & core(after).rlike(r"^\p{Lu}"), F.lit(False))
-    low = F.coalesce(core(after).rlike(r"^\p{Ll}"), F.lit(False))
-    tied = F.coalesce(known(F.concat_ws(" ", word, form(after)), model.collocations), F.lit(False))
+    word = _form(bare)
+    starts = F.coalesce(known(_form(after), model.starters) & after.rlike(r"^\p{Lu}"), F.lit(False))
+    low = F.coalesce(after.rlike(r"^\p{Ll}"), F.lit(False))
+    tied = F.coalesce(known(F.concat_ws(" ", word, _form(after)), model.collocations), F.lit(False))
     return (
-        F.when(bare.rlike(r"[!?]$"), True)
+        F.when(~bare.rlike(r"[.!?]"), False)
+        .when(bare.rlike(r"[!?]$"), True)
         .when(bare.rlike(r"\.\.$"), ~low)
-        .when(~has_stop(token), False)
+        .when(~_stopped(bare), False)
         .when(tied, False)
         .when(known(word, model.abbreviations) | bare.rlike(r"^\p{Lu}\.$"), starts)
         .when((word == "##") & low, False)
@@ -153,9 +183,9 @@ def _ends(token: Column, after: Column, model: Model) -> Column:
 
 
 def split(docs: DataFrame, model: Model, text: str = "text", name: str = "sentences") -> DataFrame:
-    """Add the sentences of each text, with their signs, without white space around them."""
+    """Add the sentences of each text, with their signs, without white space around them. Signs around a token are taken off once."""
     d = docs.withColumn("_tokens", F.regexp_extract_all(F.col(text), F.lit(SPACED), F.lit(0)))
-    d = d.withColumn("_bare", F.transform("_tokens", lambda t: F.regexp_replace(t, r"^[ \t-\r]+", "")))
+    d = d.withColumn("_bare", F.transform(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)), core))
     after = F.concat(F.slice("_bare", F.lit(2), F.size("_bare")), F.array(F.lit(None).cast("string")))
     ends = F.zip_with("_bare", after, lambda t, a: a.isNull() | _ends(t, a, model))
     d = d.withColumn("_ends", F.filter(F.transform(ends, lambda e, i: F.when(e, i + 1)), lambda i: i.isNotNull()))
