@@ -8,10 +8,12 @@ often, so the number of rotations follows the length: a pair at the wanted cosin
 at every size. Vectors of one bucket whose codes differ in few bits are candidates, and candidates are reranked by cosine
 in double precision.
 
-Equal vectors form a class and are indexed once. Large buckets are cut into blocks; each two blocks meet in a cell, where
-links are counted and only the sums and one edge per vector leave, never the pairs. A cell of many rows is compared by one
-matrix product. A pair that meets in several tables counts in the first one. A bucket that holds a large part of all rows
-is dealt out to its blocks by a broadcast of its size, not by a shuffle on its key.
+Equal vectors form a class and are indexed once. Keys are shuffled once, with two codes and without vectors. The candidates of
+a bucket with few of them for its rows leave it as pairs, and each pair is reranked once. Other buckets are dense: their
+vectors come to them, large ones are cut into blocks, and each two blocks meet in a cell, where links are counted and only
+the sums and one edge per vector leave, never the pairs. A cell of many rows is compared by one matrix product. A pair that
+meets in several tables counts in the first one. A bucket that holds a large part of all rows is dealt out to its blocks by a
+broadcast of its size, not by a shuffle on its key.
 
 Vectors of each dimension are linked among themselves, through tables at every size: few vectors have short substrings.
 
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.components import components
 from corpusloom.llm.joins import by_key, hot_keys
-from corpusloom.runtime import settle, ship, table
+from corpusloom.runtime import drop, settle, ship, table
 
 
 @dataclass(frozen=True)
@@ -53,6 +55,10 @@ class Options:
     block: int = 512
     #: Rows of a cell from which on it is compared by a matrix product.
     product: int = 48
+    #: Codes that candidates in the tables are judged by.
+    judges: int = 2
+    #: Candidates for each row of a bucket above which it is dense.
+    dense: int = 16
 
 
 def tables_needed(length: int, cosine: float, recall: float) -> int:
@@ -127,6 +133,22 @@ def _cells(keys: DataFrame, partitions: int, options: Options) -> DataFrame:
     return rows.repartition(partitions, *order).sortWithinPartitions(*order)
 
 
+#: Keys of one vector of so many tell which buckets are larger than a block.
+LAID_OUT_BY = 16
+
+
+def _first_cells(keys: DataFrame, some: DataFrame, partitions: int, options: Options) -> DataFrame:
+    """The same in one shuffle, with g, the number of a bucket's blocks: the layout comes from the keys of `some` rows, one in
+    LAID_OUT_BY; it sets the cells' sizes and not what meets."""
+    sizes = some.groupBy("key").agg((F.count("*") * LAID_OUT_BY).alias("m")).filter(F.col("m") > options.block)
+    sizes = settle(sizes.select("key", F.ceil(F.col("m") / options.block).cast("int").alias("g")), "large-buckets")
+    rows = keys.join(F.broadcast(sizes), "key", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    rows = rows.withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")}).drop("j")
+    order = ["key", "lo", "hi"]
+    return rows.repartition(partitions, *order).sortWithinPartitions(*order)
+
+
 def _meetings(key, lo, hi, i):
     """All pairs of rows of one cell, as index arrays, shift by shift; in a cell of two blocks, pairs across them."""
     at = np.arange(len(key))
@@ -188,10 +210,11 @@ def _link_classes(classes: DataFrame, n: int, kind: str, n_parts: int, options:
     bits = min(options.bits, x.shape[1])
     length = max(1, min(bits // 2, 48, options.length or math.ceil(math.log2((n + 1) / options.bucket))))
     masks = substring_masks(bits, length)
-    judges = options.rotations  # the codes that candidates are judged by
     in_tables = max(2, math.ceil(tables_needed(length, options.cosine, options.recall) / len(masks)))
-    rotations = learn_rotations(x, replace(options, rotations=max(judges, in_tables)))
-    apart, all_bits = math.acos(options.cosine) / math.pi, bits * judges
+    rotations = learn_rotations(x, replace(options, rotations=max(options.rotations, in_tables)))
+    judges = min(options.judges, len(rotations))
+    apart = math.acos(options.cosine) / math.pi
+    all_bits = bits * judges
     most = int(all_bits * (options.max_bits_apart or apart) + (0 if options.max_bits_apart else 1 + options.spread * math.sqrt(all_bits * apart * (1 - apart))))
 
     def encode(batches):
@@ -203,31 +226,72 @@ def _link_classes(classes: DataFrame, n: int, kind: str, n_parts: int, options:
 
     coded = classes.select("embedding", "rep", "mult").mapInArrow(encode, f"rep {kind}, mult bigint, embedding array<double>, codes array<bigint>")
     coded = settle(coded, "coded")
+    few = [f"c{k}" for k in range(judges)]
 
     def keyed(batches):
         for batch in batches:
             codes = _matrix(batch.column(1), np.int64).view(np.uint64)
-            few = pa.array(list(codes[:, :judges].view(np.int64)), type=pa.list_(pa.int64()))
+            judged = [pa.array(codes[:, k].view(np.int64)) for k in range(judges)]
             for k in range(in_tables):
                 keys = substrings(codes[:, k : k + 1], bits, length)
                 for j in range(keys.shape[1]):
                     key = keys[:, j] | np.int64(k * len(masks) + j) << 48
-                    yield pa.RecordBatch.from_arrays([batch.column(0), few, pa.array(key)], names=["rep", "codes", "key"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *judged, pa.array(key)], names=["rep", *few, "key"])
 
-    def any_near(batches):
+    def candidates(batches):
+        """(rep, other, key): candidate pairs of buckets with few of them; without another, a row of a dense bucket that has a candidate."""
         for t in _whole_cells(batches):
-            codes = _matrix(t["codes"], np.int64).view(np.uint64)
-            on = np.zeros(t.num_rows, dtype=bool)
-            for a, b in _meetings(*(t[c].to_numpy() for c in ("key", "lo", "hi", "i"))):
-                some = ~(on[a] & on[b])  # both are known to have a near one
+            codes = np.stack([t[c].to_numpy() for c in few], axis=1).view(np.uint64)
+            key, lo, hi, i, g = (t[c].to_numpy() for c in ("key", "lo", "hi", "i", "g"))
+            cell = np.cumsum(np.append(False, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+            n_cells = int(cell[-1]) + 1
+            size, near_ones = np.bincount(cell), np.zeros(n_cells, dtype=np.int64)
+            dense = np.zeros(n_cells, dtype=bool)
+            dense[cell[g > 1]] = True  # a bucket is dense in all its blocks or in none
+            on, kept = np.zeros(t.num_rows, dtype=bool), []
+            for a, b in _meetings(key, lo, hi, i):
+                some = ~(dense[cell[a]] & on[a] & on[b])  # both are known to have a near one
                 a, b = a[some], b[some]
                 near = _near(codes, a, b, most)
-                on[a[near]] = True
-                on[b[near]] = True
-            yield pa.RecordBatch.from_arrays([t[c].combine_chunks().filter(pa.array(on)) for c in ("rep", "key")], names=["rep", "key"])
-
-    keys = coded.select("rep", "codes").mapInArrow(keyed, f"rep {kind}, codes array<bigint>, key bigint")
-    active = settle(_cells(keys, n_parts, options).mapInArrow(any_near, f"rep {kind}, key bigint").distinct(), "active")
+                a, b = a[near], b[near]
+                on[a] = on[b] = True
+                near_ones += np.bincount(cell[a], minlength=n_cells)
+                dense |= near_ones > options.dense * size
+                alone = ~dense[cell[a]]
+                kept.append((a[alone], b[alone]))
+            a, b = (np.concatenate(p) for p in zip(*kept)) if kept else (np.zeros(0, dtype=int), np.zeros(0, dtype=int))
+            alone = ~dense[cell[a]]
+            a, b = a[alone], b[alone]
+            first = _first_met(codes, masks, a, b, np.minimum(key[a] >> 48, judges * len(masks)))
+            a, b = a[first], b[first]
+            rep, rows = t["rep"].combine_chunks(), np.flatnonzero(on & dense[cell])
+            yield pa.RecordBatch.from_arrays([rep.take(pa.array(a)), rep.take(pa.array(b)), pa.array(key[a])], names=["rep", "other", "key"])
+            yield pa.RecordBatch.from_arrays([rep.take(pa.array(rows)), pa.nulls(len(rows), rep.type), pa.array(key[rows])], names=["rep", "other", "key"])
+
+    codes_of_rows = f"rep {kind}, {', '.join(c + ' bigint' for c in few)}, key bigint"
+    keys = coded.select("rep", "codes").mapInArrow(keyed, codes_of_rows)
+    some = coded.filter(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(LAID_OUT_BY)) == 0).select("rep", "codes").mapInArrow(keyed, codes_of_rows).select("key")
+    met = settle(_first_cells(keys, some, n_parts, options).mapInArrow(candidates, f"rep {kind}, other {kind}, key bigint"), "candidates")
+    pairs = met.filter("other IS NOT NULL").groupBy(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+    pairs = pairs.agg(F.min(F.shiftright("key", 48)).alias("first"))
+    active = settle(met.filter("other IS NULL").select("rep", "key").distinct(), "active")
+
+    def rerank(batches):
+        """(rep, links, root), two rows for each pair at the cosine that meets in no table before the first one with few candidates."""
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 2_000):
+                part = batch.slice(begin, 2_000)
+                n = part.num_rows
+                x, y = (_matrix(part.column(c), np.float64) for c in ("x", "y"))
+                good = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) >= options.cosine
+                codes = np.concatenate([_matrix(part.column(c), np.int64) for c in ("u", "v")]).view(np.uint64)
+                good = pa.array(good & _first_met(codes, masks, np.arange(n), np.arange(n) + n, part.column("first").to_numpy()))
+                a, b, m, k = (part.column(c).filter(good) for c in ("a", "b", "m", "k"))
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]), pa.concat_arrays([k, m]), pa.concat_arrays([a, a])], names=["rep", "links", "root"])
+
+    left = coded.select(F.col("rep").alias("a"), F.col("mult").alias("m"), F.col("embedding").alias("x"), F.col("codes").alias("u"))
+    right = coded.select(F.col("rep").alias("b"), F.col("mult").alias("k"), F.col("embedding").alias("y"), F.col("codes").alias("v"))
+    apart_found = pairs.join(left, "a").join(right, "b").mapInArrow(rerank, f"rep {kind}, links bigint, root {kind}")
 
     def count_links(batches):
         for t in _whole_cells(batches):
@@ -279,7 +343,10 @@ def _link_classes(classes: DataFrame, n: int, kind: str, n_parts: int, options:
             on = links > 0
             yield pa.RecordBatch.from_arrays([pa.array(rep[on], type=t["rep"].type), pa.array(links[on]), pa.array(rep[root][on], type=t["rep"].type)], names=["rep", "links", "root"])
 
-    found = settle(_cells(coded.join(active, "rep"), n_parts, options).mapInArrow(count_links, f"rep {kind}, links bigint, root {kind}"), "links")
+    if not active.isEmpty():
+        apart_found = apart_found.unionByName(_cells(coded.join(active, "rep"), n_parts, options).mapInArrow(count_links, f"rep {kind}, links bigint, root {kind}"))
+    found = settle(apart_found, "links")
+    drop(met)
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of_class = coded.select("rep", "mult", "embedding").join(totals, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
@@ -340,7 +407,7 @@ def turned_copies(vectors: DataFrame) -> DataFrame:
 def planted(spark, sf_dir: str) -> DataFrame:
     """Links among `embeddings` and turned copies of them, which the table itself has none of. So many tables that a pair at the cosine is
     missed once in a million."""
-    return link(turned_copies(table(spark, sf_dir, "embeddings")), Options(recall=1 - 1e-6))
+    return link(turned_copies(table(spark, sf_dir, "embeddings")), Options(recall=1 - 1e-6, bucket=64))
 
 
 ORACLE_SQL = """

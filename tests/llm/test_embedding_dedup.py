@@ -122,3 +122,15 @@ def test_a_dense_hub_is_counted_once(spark):
     want = (u @ u.T >= 0.9).sum(1) - 1
     assert all(got[k][0] <= want[k] for k in got) and sum(g for g, _ in got.values()) >= 0.999 * want.sum() and want.sum() > 400_000
     assert {c for k, (_, c) in got.items() if k >= 600} == {600}
+
+
+def test_few_candidates_leave_their_bucket_as_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    base = rng.normal(size=(150, 64))
+    x = np.concatenate([base, base[:60] + rng.normal(size=(60, 64)) * 0.1, base[0] + rng.normal(size=(40, 64)) * 0.1]).astype(np.float32).astype(float).tolist()
+    d = frame(spark, list(range(250)), x)
+    got = lambda **o: sorted((r.vec_id, r.n_links, r.component_id) for r in E.link(d, E.Options(recall=1 - 1e-6, **o), 2).collect())
+    want = brute(list(range(250)), x)
+    assert got(dense=0) == want and got(dense=3) == want and got(dense=3, block=8) == want
+    monkeypatch.setattr(E, "_cells", None)  # vectors are sent to dense buckets alone
+    assert got(dense=1_000) == want
