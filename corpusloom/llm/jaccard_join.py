@@ -387,6 +387,13 @@ def _near_pairs(rows: DataFrame, partitions: int, options: Options) -> DataFrame
     return cells.repartition(partitions, *order).sortWithinPartitions(*order, "side").mapInArrow(run, f"a {key}, b {key}")
 
 
+def _keys_of_classes(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(rep, n, keys) with the common keys of a class, rarest first: keys are dealt to their owner once, and what a class adds
+    is one row for each owner."""
+    keys = found.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
+    return keys.join(classes.select(F.col("s1").alias("owner"), "rep", "n"), "owner").select("rep", "n", "keys")
+
+
 def link(docs: DataFrame, options: Options = Options(), partitions: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -404,12 +411,11 @@ def link(docs: DataFrame, options: Options = Options(), partitions: int | None =
     packed = settle(_packed_keys(docs, light_up_to, buckets, options), "packed-keys")
     found = settle(_common_keys(packed, parts, options), "common-keys")
     drop(packed)
-    common = found.join(classes.select(F.col("s1").alias("owner"), "rep", "n"), "owner").select("key", "rep", "n", "df")
     # step 2: enough common keys, then the rarest of them (a light set needs one subset alone)
     need = F.when(F.col("n") <= light_up_to, F.lit(1)).otherwise(
         F.floor(F.ceil(F.ceil(F.col("n") * percent / 100) * percent / 100) / 4) + 1
     )
-    grouped = common.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
+    grouped = _keys_of_classes(found, classes)
     grouped = grouped.withColumn("need", need).filter(F.size("keys") >= F.col("need"))
     held = grouped.select("rep", "n", F.explode(F.slice("keys", F.lit(1), (F.size("keys") - F.col("need") + 1).cast("int"))["key"]).alias("key"))
     held = settle(held, "held")

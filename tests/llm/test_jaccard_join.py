@@ -115,3 +115,18 @@ def test_ids_that_are_text(make_docs):
     docs = make_docs(*corpus(2, 40)).selectExpr("lpad(cast(doc_id as string), 4, '0') as doc_id", "text")
     got = sorted((int(r.doc_id), r.n_shingles, int(r.component_id)) for r in J.link(docs, J.Options(block=3)).collect())
     assert got == brute(corpus(2, 40))
+
+
+def test_common_keys_are_dealt_out_once(spark):
+    found = spark.createDataFrame([(5, 1, 2), (6, 1, 3), (5, 2, 2)], "key long, owner long, df long")
+    classes = spark.createDataFrame([(1, 9, 10, 4), (2, 9, 11, 4)], "s1 long, s2 long, rep long, n long")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        rows = J._keys_of_classes(found, classes)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(owner") + plan.count("Exchange hashpartitioning(s1") <= 2 and plan.count("Exchange") == 2
+        assert sorted((r.rep, r.n, [(k.df, k.key) for k in r["keys"]]) for r in rows.collect()) == [(10, 4, [(2, 5), (3, 6)]), (11, 4, [(2, 5)])]
+    finally:
+        spark.conf.set(limit, before)
