@@ -2,7 +2,8 @@
 
 A chain is a table of edges (i, j, w), a walker at i going to j in proportion to w; edges of the same ends add up. Each step is one join of
 the edges with the present shares and one sum by target, which is pre-aggregated, so a node that a third of all edges lead
-to is summed up before it is shuffled; edges of a hot source meet one row, and Spark splits such a join. Steps are written to
+to is summed up before it is shuffled. Up to BROADCAST_NODES nodes the shares are broadcast and edges aren't shuffled in a step; above,
+edges of a hot source meet one row, and Spark splits such a join. Steps are written to
 the shared folder, a few at a time, so lineage stays short and a lost executor costs few steps.
 
 Defined results: edges with a null end, and of null, zero or negative weight are left out; nodes without edges exist where a table of nodes names
@@ -79,9 +80,13 @@ def components(edges: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
     return nodes.join(names, "root").select("node", "component")
 
 
+#: Nodes up to which the shares of a step are broadcast to the edges, which then stay where they lie: about 50 MB.
+BROADCAST_NODES = 500_000
+
+
 def transitions(edges: DataFrame) -> DataFrame:
     """(i, j, p): the chance of each step; those of a node sum to 1."""
-    e = _clean(edges).groupBy("i", "j").agg(F.sum("w").alias("w"))
+    e = settle(_clean(edges).groupBy("i", "j").agg(F.sum("w").alias("w")), "chain-edges")
     return e.join(e.groupBy("i").agg(F.sum("w").alias("total")), "i").select("i", "j", (F.col("w") / F.col("total")).alias("p"))
 
 
@@ -104,7 +109,9 @@ def stationary(edges: DataFrame, options: Options = Options(), nodes: DataFrame
     if options.lost == "stay":
         out = p.select("i").distinct()
         p = p.unionByName(names.join(out, names["node"] == out["i"], "left_anti").select(F.col("node").alias("i"), F.col("node").alias("j"), F.lit(1.0).alias("p")))
-    p = settle(p, "chain")
+    few = n <= BROADCAST_NODES
+    # edges are dealt out by target once: with shares broadcast to them, a step shuffles about one partial sum for each node
+    p = settle(p.repartition("j") if few else p, "chain")
     base = names.withColumns({"x": F.lit(1.0), "jump": F.lit(1.0), "dead": F.lit(False)})
     if options.damping is not None:
         dead = names.join(p.select(F.col("i").alias("node")).distinct(), "node", "left_anti").withColumn("d", F.lit(True))
@@ -118,7 +125,8 @@ def stationary(edges: DataFrame, options: Options = Options(), nodes: DataFrame
 
     def step(v: DataFrame, lost: float) -> DataFrame:
         """x of the next turn; `old` is what it was."""
-        came = p.join(v.select(F.col("node").alias("i"), "x"), "i").groupBy("j").agg(F.sum(F.col("p") * F.col("x")).alias("came"))
+        now = v.select(F.col("node").alias("i"), "x")
+        came = p.join(F.broadcast(now) if few else now, "i").groupBy("j").agg(F.sum(F.col("p") * F.col("x")).alias("came"))
         new = F.coalesce("came", F.lit(0.0))
         if options.damping is not None:
             new = options.damping * (new + F.lit(lost) / max(n, 1) * F.col("jump")) + (1 - options.damping) * F.col("jump")

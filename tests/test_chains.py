@@ -81,6 +81,15 @@ def test_damped_against_algebra(spark, biased):
     assert np.allclose(got, want / want.sum(), atol=1e-7)
 
 
+def test_many_nodes_go_as_few_do(spark, monkeypatch):
+    m = np.random.default_rng(5).random([12, 12]) ** 4
+    m[3] = 0
+    run = lambda: shares(C.stationary(edges(spark, m), C.Options(damping=0.85, lost="jump", steps=3, rtol=0.0, atol=0.0)))
+    few = run()
+    monkeypatch.setattr(C, "BROADCAST_NODES", 0)
+    assert np.allclose(few, run(), rtol=0, atol=1e-12)
+
+
 def test_edges_that_are_none(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (1, 2, 1.0), (2, 1, 3.0), (None, 1, 1.0), (1, None, 1.0), (1, 3, 0.0), (1, 3, None), (3, 1, -1.0), (2, 2, 1.0)], "i int, j int, w double")
     assert np.allclose(shares(C.stationary(e, C.Options(rtol=1e-9))), [3 / 7, 4 / 7], atol=1e-6)
