@@ -52,6 +52,8 @@ BITMAP_LONGS = 32
 HELD_KEYS, SEEN_SETS = 500_000, 200_000
 #: One class of so many gives its list keys to measure the lists' length.
 SAMPLED = 64
+#: Ids up to which a table of ids is broadcast to the texts or sets that it picks, which then stay where they lie: about 50 MB.
+BROADCAST_IDS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -293,11 +295,17 @@ def _with_sets(docs: DataFrame, options: Options) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"rep {key}, elements binary, bits array<bigint>")
 
 
+def _picked(rows: DataFrame, id_: str, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose id is in a settled table of ids; they aren't shuffled up to BROADCAST_IDS ids."""
+    ids = ids.select(F.col(column).alias(id_))
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_, "left_semi")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, options: Options) -> DataFrame:
-    """The pairs (a, b) whose sets link, by exact comparison."""
+    """The pairs (a, b) of a settled table whose sets link, by exact comparison."""
     key = pairs.schema["a"].dataType.simpleString()
-    left = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("elements").alias("y"))
+    left = _picked(sets, "rep", pairs, "a").select(F.col("rep").alias("a"), F.col("elements").alias("x"))
+    right = _picked(sets, "rep", pairs, "b").select(F.col("rep").alias("b"), F.col("elements").alias("y"))
 
     def run(batches):
         for batch in batches:
@@ -431,8 +439,8 @@ def link(docs: DataFrame, options: Options = Options(), partitions: int | None =
     votes = by_key(lists, first, hot, "key").filter("a < rep").groupBy("rep", "a").agg(F.count("*").alias("v"))
     pairs = votes.groupBy("rep").agg(F.max_by("a", F.struct("v", F.expr("-a") if _numeric(docs) else F.col("a"))).alias("a")).select("a", F.col("rep").alias("b"))
     pairs = settle(pairs, "pairs")
-    wanted = lists.select("rep").distinct()
-    source = docs.select("doc_id", "text").join(wanted, docs["doc_id"] == wanted["rep"], "left_semi")
+    wanted = settle(lists.select("rep").distinct(), "wanted")
+    source = _picked(docs.select("doc_id", "text"), "doc_id", wanted, "rep")
     sets = settle(_with_sets(source, options).dropDuplicates(["rep"]), "sets")
     edges = settle(_verified(pairs, sets, options), "edges")
     comp = settle(components(edges), "components")

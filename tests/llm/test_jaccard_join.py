@@ -130,3 +130,20 @@ def test_common_keys_are_dealt_out_once(spark):
         assert sorted((r.rep, r.n, [(k.df, k.key) for k in r["keys"]]) for r in rows.collect()) == [(10, 4, [(2, 5), (3, 6)]), (11, 4, [(2, 5)])]
     finally:
         spark.conf.set(limit, before)
+
+
+def test_texts_are_picked_where_they_lie(make_docs, monkeypatch):
+    docs = make_docs(*corpus(5, 40)).select("doc_id", "text")
+    wanted = docs.sparkSession.createDataFrame([(3,), (7,), (99,)], "rep long")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = docs.sparkSession.conf.get(limit)
+    docs.sparkSession.conf.set(limit, "-1")
+    try:
+        rows = J._picked(docs, "doc_id", wanted, "rep")
+        assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in rows.collect()) == [3, 7]
+        monkeypatch.setattr(J, "BROADCAST_IDS", 2)
+        assert sorted(r.doc_id for r in J._picked(docs, "doc_id", wanted, "rep").collect()) == [3, 7]
+        check(make_docs(*corpus(5, 40)))
+    finally:
+        docs.sparkSession.conf.set(limit, before)
