@@ -14,9 +14,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.runtime import drop, settle
+from corpusloom.runtime import drop, settle, ship
 
 
 @dataclass(frozen=True)
@@ -46,19 +47,52 @@ def _clean(edges: DataFrame) -> DataFrame:
     return edges.select("i", "j", F.col("w").cast("double").alias("w")).filter("i IS NOT NULL AND j IS NOT NULL AND w > 0")
 
 
+#: Edges up to which what is left of a graph is joined up in one go: a few MB.
+REST_EDGES = 100_000
+
+
+def _roots(rest: DataFrame) -> DataFrame:
+    """(from, to): each end of at most REST_EDGES edges (u, v) with the first end of its component."""
+    kind = rest.schema["u"].dataType.simpleString()
+
+    def run(batches):
+        up: dict = {}
+        names = None
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for batch in batches:
+            names = batch.column(0).type
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                u, v = root(u), root(v)
+                up[max(u, v)] = min(u, v)
+        if up:
+            yield pa.RecordBatch.from_arrays([pa.array(list(up), type=names), pa.array([root(x) for x in list(up)], type=names)], names=["from", "to"])
+
+    return rest.coalesce(1).mapInArrow(run, f"`from` {kind}, `to` {kind}")
+
+
 def components(edges: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
     """(node, component) of every end of the edges, directions aside; a component is named by its smallest node.
 
     Rounds of contraction: by a hash that changes with the round, a node that comes before all its neighbours is a centre, and each
     other node joins the first centre among its neighbours; edges are then drawn between what is left. A constant share of
-    the nodes goes in a round, on paths and stars alike, so rounds grow with the logarithm of the nodes."""
+    the nodes goes in a round, on paths and stars alike, so rounds grow with the logarithm of the nodes. Once at most REST_EDGES
+    edges are left, one round joins them all up."""
+    ship(edges.sparkSession)
     ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
     order = lambda c, turn: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("x"))
     ordered = lambda d: d.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct()
     e = settle(ordered(ends), "contract")
     nodes = ends.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node"))
     turn, moves = 0, []
-    while not e.isEmpty():
+    while left := e.count():
+        if left <= REST_EDGES:
+            nodes = nodes.join(settle(_roots(e), "moves"), F.col("root") == F.col("from"), "left").select("node", F.coalesce("to", "root").alias("root"))
+            break
         turn += 1
         both = e.union(e.select("v", "u"))
         first = both.groupBy("u").agg(F.min(order("v", turn)).alias("v"))
