@@ -235,8 +235,87 @@ def scores_of(matrix: np.ndarray, method: str, bias: np.ndarray | None = None, d
     return power_iteration(p, teleport, damping, steps, tolerance)
 
 
+#: Entries of documents whose shares are iterated together.
+TOGETHER = 200_000
+
+
+def damped_scores(found: list[tuple], biased: bool = False, damping=0.85, steps=50, tolerance=0.0) -> np.ndarray:
+    """`sparse_scores`, damped and without a threshold, of several documents at once, one after the other: found has (row, term,
+    x, n, share) of each. A step is a few array operations for all of them, and a document that has settled takes no
+    more steps, so small documents cost what their entries cost and not a call each a step."""
+    n = np.array([f[3] for f in found], dtype=np.int64)
+    first = np.cumsum(n) - n
+    terms = np.array([int(f[1].max(initial=-1)) + 1 for f in found], dtype=np.int64)
+    row = np.concatenate([f[0] + k for f, k in zip(found, first)]).astype(np.int64)
+    term = np.concatenate([f[1] + k for f, k in zip(found, np.cumsum(terms) - terms)]).astype(np.int64)
+    x = np.concatenate([f[2] for f in found])
+    doc = np.repeat(np.arange(len(found)), n)
+    teleport = 1.0 / np.maximum(n, 1)[doc]
+    if biased:
+        share = np.concatenate([f[4] for f in found])
+        sums = np.bincount(doc, share, minlength=len(found))[doc]
+        teleport = np.where(sums == 0, teleport, share / np.where(sums == 0, 1.0, sums))
+    rest = 1 - np.bincount(row, x * x, minlength=len(doc))
+    times = lambda y: np.bincount(row, x * np.bincount(term, x * y[row])[term], minlength=len(y)) + rest * y
+    total = times(np.ones(len(doc)))
+    v = 1.0 / np.maximum(n, 1)[doc]
+    scores, at, alive = np.zeros(len(doc)), np.arange(len(doc)), np.ones(len(found), dtype=bool)
+    for _ in range(steps):
+        lost = total == 0
+        gone = np.bincount(doc, np.where(lost, v, 0.0), minlength=len(found))[doc]
+        new = damping * (times(np.where(lost, 0.0, v / np.where(lost, 1.0, total))) + gone * teleport) + (1 - damping) * teleport
+        still = ~(np.bincount(doc, np.abs(new - v), minlength=len(found)) < tolerance * n)
+        v = new
+        if not still[alive].all():
+            ended = (alive & ~still)[doc]
+            scores[at[ended]] = v[ended]
+            alive &= still
+            if not alive.any():
+                return scores
+            if 2 * alive[doc].sum() < len(doc):  # what has settled is taken out
+                keep, of_entry = alive[doc], alive[doc][row]
+                number = np.cumsum(keep) - 1
+                row, x = number[row[of_entry]], x[of_entry]
+                _, term = np.unique(term[of_entry], return_inverse=True)
+                doc, teleport, rest, total, v, at = doc[keep], teleport[keep], rest[keep], total[keep], v[keep], at[keep]
+    keep = alive[doc]
+    scores[at[keep]] = v[keep]
+    return scores
+
+
+def _together(unit: DataFrame, sents: DataFrame, bias: DataFrame | None, options: dict) -> DataFrame:
+    """(doc_id, sent_ix, score): `damped_scores` of documents, up to TOGETHER entries at a time."""
+    ship(sents.sparkSession)
+    key, normal, biased = sents.schema["doc_id"].dataType.simpleString(), "x" in unit.columns, bias is not None
+
+    def run(batches):
+        for batch in batches:
+            held, ids, size = [], [], 0
+
+            def flush():
+                score = damped_scores([f[1:] for f in held], biased, **options)
+                names = batch.column(0).take(pa.array(np.repeat(ids, [len(f[0]) for f in held])))
+                return pa.RecordBatch.from_arrays([names, pa.array(np.concatenate([f[0] for f in held]), type=pa.int32()), pa.array(score)], names=["doc_id", "sent_ix", "score"])
+
+            for k in range(batch.num_rows):
+                at, row, term, x, share = _entries(batch.column(1)[k].values, normal)
+                held.append((at, row, term, x, len(at), share))
+                ids.append(k)
+                size += len(x) + len(at)
+                if size > TOGETHER:
+                    yield flush()
+                    held, ids, size = [], [], 0
+            if held:
+                yield flush()
+
+    return _documents(unit, sents, bias).mapInArrow(run, f"doc_id {key}, sent_ix int, score double")
+
+
 def per_document(unit: DataFrame, sents: DataFrame, method: str = "damped", bias: DataFrame | None = None, **options) -> DataFrame:
-    """(doc_id, sent_ix, score) with one kernel call for each document; bias: (doc_id, sent_ix, share)."""
+    """(doc_id, sent_ix, score) with one kernel call for each document, or for many where no threshold makes pairs; bias: (doc_id,
+    sent_ix, share)."""
+    if method == "damped" and options.get("threshold") is None:
+        return _together(unit, sents, bias, {k: v for k, v in options.items() if k != "threshold"})
     biased = bias is not None
     return _each_document(unit, sents, lambda row, term, x, n, share: [sparse_scores(row, term, x, n, method, share if biased else None, **options)], "score double", bias)
 

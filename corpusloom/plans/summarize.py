@@ -89,23 +89,24 @@ def summarize(
         sents = terms.sentence_rows(docs, options.abbreviations)
         ranked = select.random_sentences(sents, int(size), options.seed).select("doc_id", "sent_ix", F.lit(0.0).alias("score"), "rn")
     else:
-        sents, tf, weighted = _weighted(docs, options.stopwords, idf, options.abbreviations)
+        sents = terms.sentence_rows(docs, options.abbreviations)
+        keys, tf, weighted = keyed_weights(docs, options.stopwords, idf, options.abbreviations)
         cosine = options.similarity == "idf_mod_cosine"
-        graph = terms.unit_vectors(weighted) if cosine else _edges(options.similarity, tf, weighted, vectors)
+        graph = weighted if cosine else _edges(options.similarity, tf, weighted, vectors)
         score = centrality.per_document if cosine else centrality.per_document_edges
         if options.method == "lexrank_undamped":
             plain = cosine and options.threshold is None
-            scores = centrality.undamped(graph, sents) if plain else score(graph, sents, "undamped", threshold=options.threshold)
+            scores = centrality.undamped(graph, keys) if plain else score(graph, keys, "undamped", threshold=options.threshold)
         elif options.method == "biased_lexrank" and bias_vectors is not None:
-            scores = score(graph, sents, bias=centrality.bias_by_vectors(*bias_vectors), threshold=options.threshold, **CONVERGED)
+            scores = score(graph, keys, bias=centrality.bias_by_vectors(*bias_vectors), threshold=options.threshold, **CONVERGED)
         elif options.method == "biased_lexrank":
             if options.bias_words is None:
                 words = docs.select("doc_id", F.explode(F.split(F.lower("tags"), ",")).alias("term"))
             else:
                 words = docs.sparkSession.createDataFrame([(w,) for w in options.bias_words], "term string")
-            scores = score(graph, sents, bias=centrality.bias_shares(tf, sents, words), threshold=options.threshold, **CONVERGED)
+            scores = score(graph, keys, bias=centrality.bias_shares(tf, keys, words), threshold=options.threshold, **CONVERGED)
         elif options.method == "lexrank":
-            scores = score(graph, sents, threshold=options.threshold, **CONVERGED)
+            scores = score(graph, keys, threshold=options.threshold, **CONVERGED)
         else:
             raise ValueError(f"unknown method {options.method}")
         ranked = select.rank_sentences(scores)
