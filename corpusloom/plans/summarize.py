@@ -146,7 +146,7 @@ def evaluate(
     if counts := [int(m[6:]) for m in metrics if m[6:].isdigit()]:
         tokens = base.select("pair_id", "ref_id", rouge.score_tokens(F.col("g"), options).alias("hyp"), rouge.score_tokens(F.col("r"), options).alias("ref"))
         tokens = stem.stem_columns(tokens, ["hyp", "ref"]) if options.stemming else tokens
-        parts += [rouge.rouge_n(tokens, n, options) for n in counts]
+        parts.append(rouge.rouge_ns(tokens, tuple(counts), options))
     if weighted := [m == "rouge-w" for m in metrics if not m[6:].isdigit()]:
         sents = base.select("pair_id", "ref_id", *[rouge.sentence_tokens(F.col(c), options).alias(n) for c, n in (("g", "hyp_sents"), ("r", "ref_sents"))])
         sents = stem.stem_columns(sents, ["hyp_sents", "ref_sents"], nested=True) if options.stemming else sents
