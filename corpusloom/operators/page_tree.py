@@ -2,7 +2,8 @@
 
 A page becomes a stream of events (start tag, end tag, text) by one regular expression; scripts, styles, comments and
 declarations go. Every text event has a place in the page's text by a running sum, so the text of an element is a slice
-of it, whatever lies inside. Start tags meet their end tags by windows, not by a stack:
+of it, whatever lies inside. A page's events lie in its row, so its start tags meet their end tags there, a batch of pages at
+a time and without a shuffle:
 
 - an element of most kinds ends at the end tag of its name on its own level (running sum of its name's tags);
 - a paragraph ends at its end tag or at the next tag of a block, a list item at the next item or the end of its list, as
@@ -11,8 +12,8 @@ of it, whatever lies inside. Start tags meet their end tags by windows, not by a
 - an end tag without a start tag goes.
 
 A field is a list of steps. A step finds elements below those of the step before, at any depth or as direct children,
-by name, class, attribute, place among them or the text of a child that marks it. All is windows and joins on the page, so a page's
-events meet in one task and nothing else does.
+by name, class, attribute, place among them or the text of a child that marks it. Steps are filters, windows and joins of
+elements on the page; only elements that a step asks for are shuffled, and texts once.
 
 Defined results: null and empty pages have no elements and their fields are empty arrays; names are compared in lower
 case; attribute values may stand in double, single or no quotes; the first of repeated attributes counts; a page key that is
@@ -20,12 +21,14 @@ null or repeated is an error of the caller (keys name pages)."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.runtime import settle
+from corpusloom.runtime import settle, ship
 
 #: One event each: a comment, a script, a style, a declaration, a tag, or text.
 EVENT = (
@@ -78,6 +81,7 @@ def attribute(tag: Column, name: str) -> Column:
 
 def unescape(text: Column) -> Column:
     """Named characters of ENTITIES, and numbers of code points, decimal or with x."""
+    given = text
     for name, sign in ENTITIES.items():
         if name != "amp":
             text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
@@ -86,13 +90,16 @@ def unescape(text: Column) -> Column:
     code = lambda x: F.when(x.rlike("^&#[xX]"), F.conv(digits(x), 16, 10)).otherwise(digits(x)).cast("int")
     sign = lambda x: F.when(code(x).between(1, 0xD7FF) | code(x).between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code(x)), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
     parts = F.zip_with(F.split(text, number, -1), F.regexp_extract_all(text, F.lit(number), F.lit(0)), lambda a, b: F.when(b.isNull(), a).otherwise(F.concat(a, sign(b))))
-    return F.replace(F.when(text.rlike(number), F.array_join(parts, "")).otherwise(text), F.lit("&amp;"), F.lit("&"))
+    return F.when(F.contains(given, F.lit("&")), F.replace(F.when(text.rlike(number), F.array_join(parts, "")).otherwise(text), F.lit("&amp;"), F.lit("&"))).otherwise(given)
+
+
+def _sources(html: str) -> Column:
+    return F.regexp_extract_all(F.replace(F.col(html), F.lit(MARK), F.lit("")), F.lit(EVENT), F.lit(0))
 
 
 def events(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(page, k, kind, name, source, size, at): kind is start, end, void or text; at: characters of text before the event."""
-    source = F.regexp_extract_all(F.replace(F.col(html), F.lit(MARK), F.lit("")), F.lit(EVENT), F.lit(0))
-    rows = pages.select(F.col(key).alias("page"), F.posexplode(source).alias("k", "source"))
+    rows = pages.select(F.col(key).alias("page"), F.posexplode(_sources(html)).alias("k", "source"))
     name = F.lower(F.regexp_extract("source", "^</?([A-Za-z][A-Za-z0-9:-]*)", 1))
     s = F.col("source")
     rows = rows.withColumn("name", F.when(s.startswith("<") & (s != "<"), name))
@@ -117,46 +124,107 @@ def texts(found: DataFrame) -> DataFrame:
 def elements(found: DataFrame) -> DataFrame:
     """(page, k, last, name, source, at, until, depth, parent): an element holds the events between k and last, and the
     text from at to until; parent is the k of the element it lies in, -1 at the top."""
-    here, tag = F.struct("k", "at"), F.col("kind").isin("start", "end")
-    back = Window.partitionBy("page").orderBy(F.desc("k"))
-    later = back.rowsBetween(Window.unboundedPreceding, -1)
-    d = found.withColumn("page_end", F.max(F.struct((F.col("k") + 1).alias("k"), (F.col("at") + F.col("size")).alias("at"))).over(Window.partitionBy("page")))
-    block = F.col("name").isin(BLOCKS) & (F.col("kind") != "text")
-    d = d.withColumn("next_block", F.min(F.when(block, here)).over(later)).filter("kind <> 'text'")
-    # items are ended by the next tag of an item on their list's level, or by the list's end
-    opens = F.when(F.col("name").isin("ul", "ol") & tag, F.when(F.col("kind") == "start", 1).otherwise(-1)).otherwise(0)
-    level = F.sum(opens).over(Window.partitionBy("page").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumn("list", level + F.when(F.col("name").isin("ul", "ol") & (F.col("kind") == "end"), 1).otherwise(0))
-    ends_item = tag & ((F.col("name") == "li") | (F.col("name").isin("ul", "ol") & (F.col("kind") == "end")))
-    in_list = Window.partitionBy("page", "list").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("next_item", F.min(F.when(ends_item, here)).over(in_list))
-    # all others by the level of their name
-    up = F.when(F.col("kind") == "start", 1).when(F.col("kind") == "end", -1).otherwise(0)
-    d = d.withColumn("level", F.sum(up).over(Window.partitionBy("page", "name").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) + F.when(F.col("kind") == "end", 1).otherwise(0))
-    own = Window.partitionBy("page", "name", F.col("kind") == "void", "level").orderBy("k")
-    d = d.withColumn("match", F.when(F.lead("kind").over(own) == "end", F.lead(here).over(own)))
-    end = (
-        F.when(F.col("kind") == "void", here)
-        .when(F.col("name") == "p", F.coalesce("next_block", "page_end"))
-        .when(F.col("name") == "li", F.coalesce("next_item", "page_end"))
-        .when(F.col("name").isin("html", "body"), F.coalesce("match", "page_end"))
-        .otherwise(F.coalesce("match", here))
-    )
-    d = d.filter("kind IN ('start', 'void')").withColumn("end", end)
-    d = d.select("page", "k", F.col("end.k").alias("last"), "name", "source", "at", F.col("end.at").alias("until"))
-    # depth: elements begun and not yet ended; an end at k comes before a start at k
-    turns = d.select("page", "k", F.lit(1).alias("step"), F.struct("last", "name", "source", "at", "until").alias("e"))
-    turns = turns.unionByName(d.filter("last > k").select("page", F.col("last").alias("k"), F.lit(-1).alias("step"), F.lit(None).cast(turns.schema["e"].dataType).alias("e")))
-    holds = F.when((F.col("step") == 1) & (F.col("e.last") == F.col("k")), 0).otherwise(F.col("step"))
-    d = turns.withColumn("depth", F.sum(holds).over(Window.partitionBy("page").orderBy("k", "step").rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.filter("step = 1").select("page", "k", "e.*", (F.col("depth") + F.when(F.col("e.last") == F.col("k"), 1).otherwise(0)).alias("depth"))
-    # the parent is the last element one level up that began before
-    both = d.withColumns({"at_depth": F.col("depth") - 1, "asks": F.lit(True)}).unionByName(
-        d.filter("last > k").withColumns({"at_depth": F.col("depth"), "asks": F.lit(False)})
-    )
-    before = Window.partitionBy("page", "at_depth").orderBy("k", "asks").rowsBetween(Window.unboundedPreceding, -1)
-    both = both.withColumn("parent", F.coalesce(F.last(F.when(~F.col("asks"), F.col("k")), ignorenulls=True).over(before), F.lit(-1)))
-    return both.filter("asks").drop("asks", "at_depth")
+    pieces = F.array_sort(F.collect_list(F.struct("k", "source")))
+    trees = _trees(found.groupBy("page").agg(pieces.alias("e")).select("page", F.col("e.k").alias("ks"), F.col("e.source").alias("sources")))
+    return trees.select("page", F.inline("nodes"))
+
+
+_TAG = re.compile("</?([A-Za-z][A-Za-z0-9:-]*)")
+_NODE = {"k": "int", "last": "int", "name": "string", "source": "string", "at": "long", "until": "long", "depth": "int", "parent": "int"}
+
+
+def _tags(ks: list[int], sources: list[str]) -> tuple[list[tuple], tuple[int, int], str]:
+    """A page's tags as (k, kind, name, source, at), its end (k, at), and its text."""
+    tags, texts, at, end = [], [], 0, (0, 0)
+    for k, s in zip(ks, sources):
+        if s == "<" or s[0] != "<":
+            texts.append(s)
+            at += len(s) + len(MARK)
+        else:
+            name = found[1].lower() if (found := _TAG.match(s)) else ""
+            if name in ("", "script", "style"):
+                continue
+            tags.append((k, "end" if s[1] == "/" else "void" if name in _VOID or s.endswith("/>") else "start", name, s, at))
+        end = (k + 1, at)
+    return tags, end, "".join(x + MARK for x in texts)
+
+
+_VOID, _BLOCKS = frozenset(VOID), frozenset(BLOCKS)
+
+
+def _ends(tags: list[tuple], page_end: tuple[int, int]) -> list[tuple[int, int]]:
+    """Where the element that each tag begins ends, as (k, at)."""
+    match, waiting, levels, lists, depth = {}, {}, {}, [], 0
+    for i, (k, kind, name, _, at) in enumerate(tags):
+        up = {"start": 1, "end": -1, "void": 0}[kind]
+        ends_list = name in ("ul", "ol") and kind == "end"
+        depth += up if name in ("ul", "ol") else 0
+        lists.append(depth + ends_list)
+        if up:  # the next tag on the level of a name ends the element, if it is an end tag
+            levels[name] = levels.get(name, 0) + up
+            level = (name, levels[name] + (up < 0))
+            before = waiting.pop(level, None)
+            if up > 0:
+                waiting[level] = i
+            elif before is not None:
+                match[before] = (k, at)
+    found, next_block, next_item = [], page_end, {}
+    for i in range(len(tags) - 1, -1, -1):
+        k, kind, name, _, at = tags[i]
+        here = (k, at)
+        if kind == "void":
+            found.append(here)
+        elif name == "p":
+            found.append(next_block)
+        elif name == "li":  # ended by the next tag of an item on its list's level, or by the list's end
+            found.append(next_item.get(lists[i], page_end))
+        else:
+            found.append(match.get(i, page_end if name in ("html", "body") else here))
+        if name in _BLOCKS:
+            next_block = here
+        if kind != "void" and (name == "li" or name in ("ul", "ol") and kind == "end"):
+            next_item[lists[i]] = here
+    return found[::-1]
+
+
+def _nodes(ks: list[int], sources: list[str]) -> tuple[list[tuple], str]:
+    """A page's elements, with depth (elements begun and not yet ended) and parent (the last one a level up that began before), and its text."""
+    tags, page_end, text = _tags(ks, sources)
+    spans = [(k, end[0], name, s, at, end[1]) for (k, kind, name, s, at), end in zip(tags, _ends(tags, page_end)) if kind != "end"]
+    closing = sorted(x[1] for x in spans if x[1] > x[0])
+    out, begun, ended, above = [], 0, 0, {}
+    for x in spans:
+        while ended < len(closing) and closing[ended] <= x[0]:
+            ended += 1
+        begun += x[1] > x[0]
+        depth = begun - ended + (x[1] == x[0])
+        out.append((*x, depth, above.get(depth - 1, -1)))
+        if x[1] > x[0]:
+            above[depth] = x[0]
+    return out, text
+
+
+def _trees(rows: DataFrame) -> DataFrame:
+    """rows (page, ks: places of events or null for all, sources: of events) -> (page, text, nodes); null sources have no text and no nodes."""
+    ship(rows.sparkSession)
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    node = pa.struct([(c, kinds[t]) for c, t in _NODE.items()])
+
+    def run(batches):
+        for batch in batches:
+            texts, nodes, offsets = [], [], [0]
+            for ks, sources in zip(batch.column(1), batch.column(2)):
+                events = sources.as_py()
+                found, text = ([], None) if events is None else _nodes(ks.as_py() or range(len(events)), events)
+                texts.append(text)
+                nodes += found
+                offsets.append(len(nodes))
+            columns = [pa.array([x[i] for x in nodes], node.field(i).type) for i in range(len(_NODE))]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(node)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), lists], names=["page", "text", "nodes"])
+
+    fields = ", ".join(f"{c}: {t}" for c, t in _NODE.items()).replace("long", "bigint")
+    return rows.select("page", "ks", "sources").mapInArrow(run, f"page {rows.schema['page'].dataType.simpleString()}, text string, nodes array<struct<{fields}>>")
 
 
 def _fits(step: Step) -> Column:
@@ -202,21 +270,23 @@ def _slice(at: Column, until: Column, apart: bool) -> Column:
 
 def select_fields(pages: DataFrame, fields: dict[str, Field], key: str = "page_id", html: str = "html") -> DataFrame:
     """One row for each page: its key and an array of strings for each field, in the order of the page."""
-    found = settle(events(pages, key, html), "page-events")
-    page_texts = settle(texts(found), "page-texts")
-    nodes = settle(elements(found), "page-elements")
+    trees = settle(_trees(pages.select(F.col(key).alias("page"), F.lit(None).cast("array<int>").alias("ks"), _sources(html).alias("sources"))), "page-trees")
+    page_texts, nodes = trees.select("page", "text"), trees.select("page", F.inline("nodes"))
     parts = []
     for name, field in fields.items():
         at = reduce(lambda above, step: _below(nodes, above, step, page_texts), field.steps, None)
         value = attribute(F.col("source"), field.attribute) if field.attribute else F.lit(None).cast("string")
-        parts.append(at.select("page", "k", "at", "until", F.lit(name).alias("field"), F.lit(field.nodes).alias("apart"), F.lit(bool(field.attribute)).alias("is_attribute"), value.alias("value")))
-    hits = reduce(DataFrame.unionByName, parts).join(page_texts, "page")
-    pieces = F.transform(F.filter(F.split(_slice(F.col("at"), F.col("until"), True), MARK, -1), lambda x: x != ""), unescape)
-    whole = F.array(unescape(_slice(F.col("at"), F.col("until"), False)))
-    values = F.when(F.col("is_attribute"), F.array_compact(F.array("value"))).when(F.col("apart"), pieces).otherwise(whole)
-    hits = hits.select("page", "field", F.struct("k", values.alias("v")).alias("x"))
-    arrays = [F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == n, F.col("x")))), lambda x: x["v"])).alias(n) for n in fields]
-    out = hits.groupBy("page").agg(*arrays)
-    keys = pages.select(F.col(key).alias("page"))
+        parts.append(at.select("page", F.struct("k", F.lit(name).alias("field"), "at", "until", value.alias("value")).alias("x")))
+    hits = reduce(DataFrame.unionByName, parts).groupBy("page").agg(F.array_sort(F.collect_list("x")).alias("hits"))
+
+    def values(name: str, field: Field) -> Column:
+        own = F.filter("hits", lambda x: x["field"] == name)
+        if field.attribute:
+            return F.array_compact(F.transform(own, lambda x: x["value"]))
+        if field.nodes:
+            return F.flatten(F.transform(own, lambda x: F.transform(F.filter(F.split(_slice(x["at"], x["until"], True), MARK, -1), lambda t: t != ""), unescape)))
+        return F.transform(own, lambda x: unescape(_slice(x["at"], x["until"], False)))
+
     none = F.array().cast("array<string>")
-    return keys.join(out, "page", "left").select(F.col("page").alias(key), *[F.coalesce(n, none).alias(n) for n in fields])
+    out = page_texts.join(hits, "page", "left")
+    return out.select(F.col("page").alias(key), *[F.coalesce(values(n, f), none).alias(n) for n, f in fields.items()])
