@@ -122,7 +122,7 @@ def csv_round_trip(spark, d):
     path = f"{scratch(spark)}/csv-{uuid.uuid4().hex}"
     rows = docs(spark, d).select(F.col("doc_id").alias("row_ix"), "text", F.col("lang").alias("case_category"))
     writers.write_table(rows, path)
-    return readers.read_csv(spark, path, "row_ix long, text string, case_category string")
+    return readers.read_csv(spark, path, "row_ix long, text string, case_category string", keep_empty=True)
 
 
 @query("SELECT item_id + 1 AS ix, text, 'about ' || left(text, 40) AS summary FROM benchmark WHERE item_id >= 0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from corpusloom.functions import text as X
@@ -11,8 +13,14 @@ CORPUS = "row_ix long, text string, summary string, case_category string, case_t
 COLUMNS = {"AreiosPagos": ["summary", "text", "case_category"], "STE": ["case_num", "date", "metadata_url", "summary", "text"]}
 
 
-def read_csv(spark: SparkSession, path: str, schema: str = CORPUS, limit: int | None = None) -> DataFrame:
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str = CORPUS, limit: int | None = None, keep_empty: bool = False) -> DataFrame:
+    """keep_empty: a pair of quotes is an empty text, not null as a value that isn't there."""
+    options = {"header": True, "multiLine": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    if keep_empty:
+        options |= {"nullValue": "", "emptyValue": f"empty-{uuid.uuid4().hex}"}  # no file holds this text
+    rows = spark.read.schema(schema).options(**options).csv(path)
+    if keep_empty:
+        rows = rows.withColumns({f.name: F.when(F.col(f"`{f.name}`") == options["emptyValue"], "").otherwise(F.col(f"`{f.name}`")) for f in rows.schema if isinstance(f.dataType, T.StringType)})
     if not limit:
         return rows
     # the first rows by file and place in it, whatever task comes first

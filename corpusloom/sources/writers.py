@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from corpusloom.sources import named_files
 
 
+#: White space at a value's ends belongs to it; a null is nothing and an empty text a pair of quotes.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "", "emptyValue": '""'}
+
+
 def write_table(rows: DataFrame, path: str, kind: str = "csv", single: bool = False) -> None:
     rows = rows.coalesce(1) if single else rows
     w = rows.write.mode("overwrite")
-    w.option("header", True).option("escape", '"').csv(path) if kind == "csv" else w.json(path)
+    w.options(**CSV).csv(path) if kind == "csv" else w.json(path)
 
 
 def write_summaries(rows: DataFrame, path: str, kind: str = "json") -> None:
