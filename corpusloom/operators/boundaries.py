@@ -5,19 +5,26 @@ its full stop belongs to it more often than chance has it, by a log-likelihood r
 full stops and against occurrences without one. Words that follow a sure sentence end more often than chance are
 starters; an abbreviation, initial or number with the word that follows it more often than chance is a collocation.
 
-All counts are sums by word over all documents, pre-aggregated before they are shuffled. A model has `most` entries of a
-kind at most, those of the highest scores, and is applied as column expressions, without any join.
+All counts are sums by word over all documents, pre-aggregated before they are shuffled. A model has every entry that
+reaches its least score; entries are words and pairs of words, a small part of the vocabulary, and are broadcast. Sentences are
+cut where a text lies: only tokens that may end one are looked at, and equal ones with equal followers once a worker.
 
 Defined results: null texts have no sentence, null or blank ones an empty list; equal scores go by the word; an empty
 corpus gives an empty model, with which every full stop ends a sentence."""
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from unicodedata import category
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.runtime import settle
+from corpusloom.runtime import settle, ship
 
 TOKEN = r"[^ \t-\r]+"
 SPACED = r"[ \t-\r]*[^ \t-\r]+"
@@ -26,13 +33,12 @@ _OPEN, _CLOSE = r"""^[("'«“\[¿¡]+""", r"""[)"'»”\],;:]+$"""
 
 @dataclass(frozen=True)
 class Options:
-    """The least scores of the paper. smooth: the chance of a full stop behind an abbreviation. most: entries of a kind."""
+    """The least scores of the paper. smooth: the chance of a full stop behind an abbreviation."""
 
     abbreviation: float = 0.3
     collocation: float = 7.88
     starter: float = 30.0
     smooth: float = 0.99
-    most: int = 10_000
 
 
 @dataclass(frozen=True)
@@ -76,25 +82,105 @@ def token_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
 
 #: Without such an end a token has no full stop and isn't ended by ! or ?.
 _SIGNED = r"""[.!?][)"'»”\],;:]*$"""
+_WHITE = " \t\n\v\f\r"
+#: Where Java's $ stands: at the end, or before a last line terminator that isn't white space of tokens.
+_LAST = "(?=[\u0085\u2028\u2029]?\\Z)"
+_ONLY_OPEN, _ONLY_CLOSE = re.compile(_OPEN), re.compile(_CLOSE[:-1] + _LAST)
+_MARKS, _NUMBER = re.compile("[.!?]+" + _LAST), re.compile(f"[0-9]+([.,][0-9]+)*{_LAST}")
+_SURE, _DOTS, _STOP, _INITIAL = (re.compile(x + _LAST) for x in ("[!?]", r"\.\.", r"[^.]\.", r"(?s:.)\."))
+#: What a token ends in that may end a sentence, where all white space is blanks; and the token after it.
+_CANDIDATE, _NEXT = re.compile(_SIGNED.replace("[)", "[\u0085\u2028\u2029)")[:-1] + "(?= |\\Z)"), re.compile(" *([^ ]+)")
+#: Different tokens and pairs that a task counts before it gives counts back.
+_HELD = 300_000
+
+
+def _bared(token: str) -> str:
+    """`core` of one token."""
+    return _ONLY_CLOSE.sub("", _ONLY_OPEN.sub("", token))
+
+
+def _formed(bare: str) -> str:
+    """`form` of a token without signs around it."""
+    word = _MARKS.sub("", bare.lower())
+    return "##" if _NUMBER.match(word) else word
+
+
+def _blanked(text: str) -> str:
+    for c in _WHITE[1:]:
+        text = text.replace(c, " ")
+    return text
+
+
+def _signed(plain: str) -> Iterator[tuple[int, str, str | None]]:
+    """(end, token, the next one) of each token that may have a full stop or be ended by ! or ?."""
+    for m in _CANDIDATE.finditer(plain):
+        after = _NEXT.match(plain, m.end())
+        yield m.end(), plain[plain.rfind(" ", 0, m.start()) + 1 : m.end()], after and after[1]
+
+
+def _count_rows(tokens: Counter, pairs: Counter) -> pa.RecordBatch:
+    """Rows of `_counts`; all tokens of pairs are among the tokens, and each is looked at once."""
+    words: dict[str, list[int]] = {}
+    known = {}
+    for token, c in tokens.items():
+        bare = _bared(token)
+        word, stop = _formed(bare), bool(_STOP.search(bare))
+        known[token] = word, stop, bare
+        held = words.setdefault(word, [0, 0])
+        held[0] += c
+        held[1] += c if stop else 0
+    found: Counter = Counter()
+    for (token, after), c in pairs.items():
+        word, stop, bare = known[token]
+        ends = not stop and bool(_SURE.search(bare))
+        if stop or ends:
+            found[word, None if after is None else known[after][0], stop, ends] += c
+    none = [None] * len(words)
+    columns = [[*words, *(k[0] for k in found)], *(none + [k[i] for k in found] for i in (1, 2, 3)), [w[0] for w in words.values()] + list(found.values()), [w[1] for w in words.values()] + [0] * len(found)]
+    kinds = [pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["word", "next", "stop", "ends", "c", "stops"])
+
+
+def _counts(docs: DataFrame, text: str) -> DataFrame:
+    """(word, next, stop, ends, c, stops): `token_counts`, as rows with null stop, and `signed_pairs`, from one pass over the texts."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, pairs = Counter(), Counter()
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                if x is None:
+                    continue
+                plain = _blanked(x)
+                tokens.update(plain.split(" "))
+                pairs.update((token, after) for _, token, after in _signed(plain))
+                if len(tokens) + len(pairs) > _HELD:
+                    tokens.pop("", None)
+                    yield _count_rows(tokens, pairs)
+                    tokens, pairs = Counter(), Counter()
+        tokens.pop("", None)
+        yield _count_rows(tokens, pairs)
+
+    rows = docs.select(F.col(text)).mapInArrow(run, "word string, next string, stop boolean, ends boolean, c long, stops long")
+    return rows.groupBy("word", "next", "stop", "ends").agg(F.sum("c").alias("c"), F.sum("stops").alias("stops"))
 
 
 def signed_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`token_pairs` of the tokens with a full stop or ended by ! or ?, counted (c). Equal pairs of tokens are counted before they
-    are looked at, and other tokens never leave their document."""
-    tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
-    rows = docs.select(tokens.alias("t")).filter(F.size("t") > 0)
-    rows = rows.select(F.inline(F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.size("t")).alias("b"))))
-    counted = rows.filter(F.col("a").rlike(_SIGNED)).groupBy("a", "b").agg(F.count("*").alias("c"))
-    found = counted.select(form(F.col("a")).alias("word"), has_stop(F.col("a")).alias("stop"), core(F.col("a")).rlike("[!?]$").alias("ends"), form(F.col("b")).alias("next"), "c")
-    return found.filter("stop OR ends").groupBy("word", "stop", "ends", "next").agg(F.sum("c").alias("c"))
+    """`token_pairs` of the tokens with a full stop or ended by ! or ?, counted (c). Other tokens never leave their document."""
+    return _pair_rows(_counts(docs, text))
 
 
 def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """`word_counts` of all tokens. Equal tokens are counted before they are looked at, so each is cut to its form once a task."""
-    tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
-    counted = docs.select(F.explode(tokens).alias("t")).groupBy("t").agg(F.count("*").alias("c"))
-    found = counted.select(form(F.col("t")).alias("word"), has_stop(F.col("t")).alias("stop"), "c")
-    return found.groupBy("word").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("stop"), F.col("c")).otherwise(0)).alias("stops"))
+    return _word_rows(_counts(docs, text))
+
+
+def _pair_rows(counted: DataFrame) -> DataFrame:
+    return counted.filter("stop IS NOT NULL").select("word", "stop", "ends", "next", "c")
+
+
+def _word_rows(counted: DataFrame) -> DataFrame:
+    return counted.filter("stop IS NULL").select("word", F.col("c").alias("n"), "stops")
 
 
 def _log(x: Column) -> Column:
@@ -125,19 +211,21 @@ def abbreviation_scores(words: DataFrame, options: Options = Options()) -> DataF
     return d.select("word", "n", "stops", (raw * F.exp(-letters) * (stops_inside + 1) * F.pow(letters.cast("double"), -rest)).alias("score"))
 
 
-def _best(scores: DataFrame, least: float, most: int, *columns: str) -> list[str]:
-    rows = scores.filter(F.col("score") >= least).orderBy(F.desc("score"), *columns).limit(most).select(F.concat_ws(" ", *columns)).collect()
-    return [r[0] for r in rows]
+def _entries(scores: DataFrame, least: float, *columns: str) -> list[str]:
+    """All that reach the least score, in order."""
+    found = scores.filter(F.col("score") >= least).select(F.concat_ws(" ", *columns).alias("entry")).toArrow()
+    return sorted(found.column("entry").to_pylist())
 
 
 def learn(docs: DataFrame, options: Options = Options(), text: str = "text") -> Model:
     """A model from all documents."""
-    counted = settle(signed_pairs(docs, text), "token-pairs")
-    words = settle(token_counts(docs, text), "words")
-    short = _best(abbreviation_scores(words, options), options.abbreviation, options.most, "word")
+    found = settle(_counts(docs, text), "token-counts")
+    counted, words = _pair_rows(found), _word_rows(found)
+    short = settle(abbreviation_scores(words, options).filter(F.col("score") >= options.abbreviation).select("word", "score"), "abbreviations")
     total = words.agg(F.sum("n")).first()[0] or 0
     initial = F.col("word").rlike(r"^\p{L}$")
-    kept = F.col("word").isin(short) if short else F.lit(False)
+    kept = F.col("kept").isNotNull()
+    counted = settle(counted.join(short.select("word", F.lit(True).alias("kept")), "word", "left"), "kept-pairs")
     sure = F.col("ends") | (F.col("stop") & ~kept & ~initial & (F.col("word") != "##"))
     letters = F.col("next").rlike(r"^\p{L}")
     after = counted.filter(sure & letters).groupBy(F.col("next").alias("word")).agg(F.sum("c").alias("both"))
@@ -146,11 +234,11 @@ def learn(docs: DataFrame, options: Options = Options(), text: str = "text") ->
     at = after.join(words.select("word", "n"), "word")
     often = F.col("both") / F.lit(float(max(breaks, 1))) > F.col("n") / n
     starters = at.filter(often).select("word", ratio(F.lit(float(max(breaks, 1))), F.col("n"), F.col("both"), n).alias("score"))
-    starters = _best(starters, options.starter, options.most, "word")
+    starters = _entries(starters, options.starter, "word")
     firsts = counted.filter(F.col("stop") & (kept | initial | (F.col("word") == "##")) & letters).groupBy("word", "next").agg(F.sum("c").alias("both")).filter("both > 1")
     firsts = firsts.join(words.select("word", F.col("n").alias("a")), "word").join(words.select(F.col("word").alias("next"), F.col("n").alias("b")), "next")
     tied = firsts.filter(n / F.col("a") > F.col("b") / F.col("both")).select("word", "next", ratio(F.col("a"), F.col("b"), F.col("both"), n).alias("score"))
-    return Model(sorted(short), sorted(starters), sorted(_best(tied, options.collocation, options.most, "word", "next")))
+    return Model(_entries(short, options.abbreviation, "word"), starters, _entries(tied, options.collocation, "word", "next"))
 
 
 def save(model: Model, spark, path: str) -> None:
@@ -159,37 +247,80 @@ def save(model: Model, spark, path: str) -> None:
 
 
 def load(spark, path: str) -> Model:
-    rows = spark.read.schema("kind string, entry string").parquet(path).collect()  # `most` of each kind
+    rows = spark.read.schema("kind string, entry string").parquet(path).collect()  # a model's entries fit the driver
     return Model(*[sorted(r.entry for r in rows if r.kind == kind) for kind in ("abbreviations", "starters", "collocations")])
 
 
-def _ends(bare: Column, after: Column, model: Model) -> Column:
-    """Whether a token ends a sentence when `after` (null at the end) comes next, both without signs around them."""
-    known = lambda x, entries: x.isin(entries) if entries else F.lit(False)
-    word = _form(bare)
-    starts = F.coalesce(known(_form(after), model.starters) & after.rlike(r"^\p{Lu}"), F.lit(False))
-    low = F.coalesce(after.rlike(r"^\p{Ll}"), F.lit(False))
-    tied = F.coalesce(known(F.concat_ws(" ", word, _form(after)), model.collocations), F.lit(False))
-    return (
-        F.when(~bare.rlike(r"[.!?]"), False)
-        .when(bare.rlike(r"[!?]$"), True)
-        .when(bare.rlike(r"\.\.$"), ~low)
-        .when(~_stopped(bare), False)
-        .when(tied, False)
-        .when(known(word, model.abbreviations) | bare.rlike(r"^\p{Lu}\.$"), starts)
-        .when((word == "##") & low, False)
-        .otherwise(True)
-    )
+#: Tokens that a worker remembers, before and behind the end of a sentence.
+_KNOWN = 100_000
+
+
+def cutter(abbreviations: Iterable[str], starters: Iterable[str], collocations: Iterable[str]) -> Callable[[str], list[str]]:
+    """What cuts a text into sentences by a model, with the words of `core` and `form`."""
+    abbreviations, starters, collocations = (frozenset(x) for x in (abbreviations, starters, collocations))
+    heads: dict[str, tuple[str, str, bool]] = {}
+    tails: dict[str, tuple[str, str]] = {}
+
+    def head(token: str) -> tuple[str, str, bool]:
+        """(sure, dots, stop or nothing; the word; whether it is an abbreviation or initial)."""
+        bare = _bared(token)
+        kind = "sure" if _SURE.search(bare) else "dots" if _DOTS.search(bare) else "stop" if _STOP.search(bare) else ""
+        word = _formed(bare)
+        if len(heads) >= _KNOWN:
+            heads.clear()
+        heads[token] = found = kind, word, word in abbreviations or bool(_INITIAL.match(bare) and category(bare[0]) == "Lu")
+        return found
+
+    def tail(token: str) -> tuple[str, str]:
+        """(category of the first letter, the word)."""
+        bare = _bared(token)
+        if len(tails) >= _KNOWN:
+            tails.clear()
+        tails[token] = found = category(bare[0]) if bare else "", _formed(bare)
+        return found
+
+    def ends(token: str, after: str) -> bool:
+        kind, word, short = heads.get(token) or head(token)
+        if kind == "sure" or not kind:
+            return kind == "sure"
+        first, follower = tails.get(after) or tail(after)
+        if kind == "dots":
+            return first != "Ll"
+        if f"{word} {follower}" in collocations:
+            return False
+        if short:
+            return first == "Lu" and follower in starters
+        return not (word == "##" and first == "Ll")
+
+    def cut(text: str) -> list[str]:
+        found, start = [], 0
+        for end, token, after in _signed(_blanked(text)):
+            if after is None:
+                break
+            if ends(token, after):
+                found.append(text[start:end].lstrip(_WHITE))
+                start = end
+        if rest := text[start:].strip(_WHITE):
+            found.append(rest)
+        return found
+
+    return cut
 
 
 def split(docs: DataFrame, model: Model, text: str = "text", name: str = "sentences") -> DataFrame:
-    """Add the sentences of each text, with their signs, without white space around them. Signs around a token are taken off once."""
-    d = docs.withColumn("_tokens", F.regexp_extract_all(F.col(text), F.lit(SPACED), F.lit(0)))
-    d = d.withColumn("_bare", F.transform(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)), core))
-    after = F.concat(F.slice("_bare", F.lit(2), F.size("_bare")), F.array(F.lit(None).cast("string")))
-    ends = F.zip_with("_bare", after, lambda t, a: a.isNull() | _ends(t, a, model))
-    d = d.withColumn("_ends", F.filter(F.transform(ends, lambda e, i: F.when(e, i + 1)), lambda i: i.isNotNull()))
-    starts = F.concat(F.array(F.lit(0)), F.slice("_ends", F.lit(1), F.greatest(F.size("_ends") - 1, F.lit(0))))
-    cut = F.zip_with(starts, "_ends", lambda a, b: F.regexp_replace(F.array_join(F.slice("_tokens", a + 1, b - a), ""), r"^[ \t-\r]+", ""))
-    out = F.when(F.size("_tokens") > 0, cut).otherwise(F.when(F.col(text).isNotNull(), F.array().cast("array<string>")))
-    return d.withColumn(name, out).drop("_tokens", "_bare", "_ends")
+    """Add the sentences of each text, with their signs, without white space around them. The model is broadcast."""
+    ship(docs.sparkSession)
+    number, held = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((model.abbreviations, model.starters, model.collocations))
+
+    @F.arrow_udf("array<string>")
+    def sentences(texts: pa.Array) -> pa.Array:
+        if not (cut := _CUTTERS.get(number)):
+            _CUTTERS.clear()
+            cut = _CUTTERS[number] = cutter(*held.value)
+        return pa.array([None if t is None else cut(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return docs.withColumn(name, sentences(F.col(text)))
+
+
+#: The cutter of a worker's last model.
+_CUTTERS: dict[str, Callable[[str], list[str]]] = {}
