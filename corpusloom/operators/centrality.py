@@ -10,9 +10,14 @@ document's terms. With one, the sentences above it are found in blocks of rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pandas.util import hash_array
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.runtime import ship
 
@@ -72,20 +77,118 @@ def _entries(inner: pa.StructArray, normal: bool) -> tuple[np.ndarray, np.ndarra
     return at, row, term, w, share
 
 
+def _shuffled(batch: pa.RecordBatch, normal: bool) -> Iterator[tuple]:
+    """(place in the batch, `_entries`) of each row of `_documents`."""
+    for k in range(batch.num_rows):
+        yield k, *_entries(batch.column(1)[k].values, normal)
+
+
+@dataclass(frozen=True)
+class Placed:
+    """Documents with the words of their sentences (doc_id, w), whose entries are made where they lie, by a broadcast IDF table: (hashes
+    of terms in order, their idf, the idf of all others). It takes the place of a table of weights; nothing is shuffled or written."""
+
+    rows: DataFrame
+    idf: Broadcast
+    columns: tuple[str, ...] = ("w",)
+
+
+#: Words of documents that are counted together.
+PLACED_WORDS = 1_000_000
+
+
+def hashed(terms: pa.Array) -> np.ndarray:
+    """A number of 64 bits for each term, the same in every process."""
+    return hash_array(np.asarray(terms.to_pylist(), dtype=object), categorize=False).view(np.int64)
+
+
+def placed_entries(lists: pa.Array, idf: tuple[np.ndarray, np.ndarray, float]) -> Iterator[tuple]:
+    """As `_shuffled`, of the lists of words of each document's sentences; documents without sentences are left out."""
+    hashes, weights, rest = idf
+    sizes = np.asarray(lists.value_lengths().fill_null(0))
+    in_sents = np.concatenate([[0], np.cumsum(np.asarray(lists.flatten().value_lengths().fill_null(0)))])
+    words_to = in_sents[np.cumsum(sizes)] if len(sizes) else np.zeros(0, dtype=np.int64)
+    begins = np.flatnonzero(np.diff(words_to // PLACED_WORDS, prepend=-1))
+    for low, high in zip(begins, [*begins[1:], len(lists)]):
+        n = sizes[low:high]
+        first = np.concatenate([[0], np.cumsum(n)])
+        sents = lists.slice(low, high - low).flatten()
+        words = sents.flatten().dictionary_encode()
+        size = max(len(words.dictionary), 1)
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        found, tf = np.unique(np.repeat(np.arange(len(sents)), np.asarray(sents.value_lengths().fill_null(0))) * size + code, return_counts=True)
+        sent, term = np.divmod(found, size)
+        own = hashed(words.dictionary)
+        at = np.searchsorted(hashes, own)
+        held = np.append(hashes, 0)[at] == own
+        held &= at < len(hashes)
+        w = tf * np.where(held, np.append(weights, rest)[at], rest)[term]
+        keep = w > 0
+        sent, t, w = sent[keep], own[term[keep]], w[keep]
+        order = np.lexsort((t, sent))
+        sent, t, w = sent[order], t[order], w[order]
+        cuts = np.searchsorted(sent, first)
+        for k in np.flatnonzero(n):
+            own = slice(cuts[k], cuts[k + 1])
+            row, x = sent[own] - first[k], w[own]
+            x = x / np.sqrt(np.bincount(row, x * x, minlength=n[k]))[row]
+            yield int(low + k), np.arange(n[k]), row, np.unique(t[own], return_inverse=True)[1], x, np.zeros(n[k])
+
+
+def _mapped(unit: DataFrame | Placed, sents: DataFrame, bias: DataFrame | None, run, schema: str) -> DataFrame:
+    """What run(batches, read) gives over all documents, where read(batch) gives (place in the batch, `_entries`)."""
+    if isinstance(unit, Placed):
+        held = unit.idf
+        return unit.rows.mapInArrow(lambda batches: run(batches, lambda batch: placed_entries(batch.column(1), held.value)), schema)
+    normal = "x" in unit.columns
+    return _documents(unit, sents, bias).mapInArrow(lambda batches: run(batches, lambda batch: _shuffled(batch, normal)), schema)
+
+
+def placed_scores(placed: Placed, words: Column, method: str = "damped", **options) -> Column:
+    """The scores of each document's sentences as a column of lists, of the column that has their words; a document without
+    sentences has none."""
+    held, plain = placed.idf, method == "damped" and options.get("threshold") is None
+
+    @F.arrow_udf("array<double>")
+    def scores(lists: pa.Array) -> pa.Array:
+        found: list = [None] * len(lists)
+        held_docs, size = [], 0
+
+        def flush():
+            if plain:
+                every = damped_scores([f[2:] for f in held_docs], **{k: v for k, v in options.items() if k != "threshold"})
+                parts = np.split(every, np.cumsum([len(f[1]) for f in held_docs])[:-1])
+            else:
+                parts = [sparse_scores(row, term, x, n, method, **options) for _, _, row, term, x, n, _ in held_docs]
+            for f, part in zip(held_docs, parts):
+                found[f[0]] = part
+
+        for k, at, row, term, x, share in placed_entries(lists, held.value):
+            held_docs.append((k, at, row, term, x, len(at), share))
+            size += len(x) + len(at)
+            if size > TOGETHER:
+                flush()
+                held_docs, size = [], 0
+        if held_docs:
+            flush()
+        return pa.array(found, pa.list_(pa.float64()))
+
+    return scores(words)
+
+
 def _each_document(unit: DataFrame, sents: DataFrame, kernel, schema: str, bias: DataFrame | None = None) -> DataFrame:
     """(doc_id, sent_ix, what the kernel gives for each sentence), one call for each document."""
     ship(sents.sparkSession)
-    key, normal = sents.schema["doc_id"].dataType.simpleString(), "x" in unit.columns
+    key = sents.schema["doc_id"].dataType.simpleString()
 
-    def run(batches):
+    def run(batches, read):
         for batch in batches:
-            for k in range(batch.num_rows):
-                at, row, term, x, share = _entries(batch.column(1)[k].values, normal)
+            for k, at, row, term, x, share in read(batch):
                 found = kernel(row, term, x, len(at), share)
                 ids = batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(at), dtype=np.int64)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(at, type=pa.int32()), *[pa.array(f) for f in found]], names=["doc_id", "sent_ix", *[c.split()[0] for c in schema.split(", ")]])
 
-    return _documents(unit, sents, bias).mapInArrow(run, f"doc_id {key}, sent_ix int, {schema}")
+    return _mapped(unit, sents, bias, run, f"doc_id {key}, sent_ix int, {schema}")
 
 
 def component_scores(row: np.ndarray, term: np.ndarray, x: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
@@ -167,19 +270,18 @@ def each_pair(unit: DataFrame, sents: DataFrame, kernel, value: str) -> DataFram
     """(doc_id, i, j, value) of pairs of sentences of a document, without a shuffle of pairs: kernel(row, term, x, n) gives
     (i, j, value) by blocks of rows, and its pairs leave in batches of OUT_ROWS."""
     ship(sents.sparkSession)
-    key, normal = sents.schema["doc_id"].dataType.simpleString(), "x" in unit.columns
+    key = sents.schema["doc_id"].dataType.simpleString()
 
-    def run(batches):
+    def run(batches, read):
         for batch in batches:
-            for k in range(batch.num_rows):
-                at, row, term, x, _ = _entries(batch.column(1)[k].values, normal)
+            for k, at, row, term, x, _ in read(batch):
                 for i, j, v in kernel(row, term, x, len(at)):
                     for low in range(0, len(i), OUT_ROWS):
                         a, b, c = (z[low : low + OUT_ROWS] for z in (i, j, v))
                         ids = batch.column(0).slice(k, 1).take(pa.array(np.zeros(len(a), dtype=np.int64)))
                         yield pa.RecordBatch.from_arrays([ids, pa.array(at[a], type=pa.int32()), pa.array(at[b], type=pa.int32()), pa.array(c)], names=["doc_id", "i", "j", value])
 
-    return _documents(unit, sents).mapInArrow(run, f"doc_id {key}, i int, j int, {value} double")
+    return _mapped(unit, sents, None, run, f"doc_id {key}, i int, j int, {value} double")
 
 
 def sparse_scores(
@@ -286,9 +388,9 @@ def damped_scores(found: list[tuple], biased: bool = False, damping=0.85, steps=
 def _together(unit: DataFrame, sents: DataFrame, bias: DataFrame | None, options: dict) -> DataFrame:
     """(doc_id, sent_ix, score): `damped_scores` of documents, up to TOGETHER entries at a time."""
     ship(sents.sparkSession)
-    key, normal, biased = sents.schema["doc_id"].dataType.simpleString(), "x" in unit.columns, bias is not None
+    key, biased = sents.schema["doc_id"].dataType.simpleString(), bias is not None
 
-    def run(batches):
+    def run(batches, read):
         for batch in batches:
             held, ids, size = [], [], 0
 
@@ -297,8 +399,7 @@ def _together(unit: DataFrame, sents: DataFrame, bias: DataFrame | None, options
                 names = batch.column(0).take(pa.array(np.repeat(ids, [len(f[0]) for f in held])))
                 return pa.RecordBatch.from_arrays([names, pa.array(np.concatenate([f[0] for f in held]), type=pa.int32()), pa.array(score)], names=["doc_id", "sent_ix", "score"])
 
-            for k in range(batch.num_rows):
-                at, row, term, x, share = _entries(batch.column(1)[k].values, normal)
+            for k, at, row, term, x, share in read(batch):
                 held.append((at, row, term, x, len(at), share))
                 ids.append(k)
                 size += len(x) + len(at)
@@ -308,7 +409,7 @@ def _together(unit: DataFrame, sents: DataFrame, bias: DataFrame | None, options
             if held:
                 yield flush()
 
-    return _documents(unit, sents, bias).mapInArrow(run, f"doc_id {key}, sent_ix int, score double")
+    return _mapped(unit, sents, bias, run, f"doc_id {key}, sent_ix int, score double")
 
 
 def per_document(unit: DataFrame, sents: DataFrame, method: str = "damped", bias: DataFrame | None = None, **options) -> DataFrame:

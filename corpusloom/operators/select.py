@@ -31,6 +31,19 @@ def summaries(ranked: DataFrame, sents: DataFrame, size: int | float | None = No
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["s"]), " ").alias("summary"))
 
 
+def summary_of(scores: Column, sents: Column, size: int | float | None = None, digits: int = 6) -> Column:
+    """`summaries` of `rank_sentences` in one row, of the lists of a document's scores and sentences; null where there is none."""
+    if size is not None and (isinstance(size, bool) or not isinstance(size, (int, float))):
+        raise TypeError("size is an integer, a fraction or None")
+    ranked = F.sort_array(F.transform(scores, lambda s, i: F.struct(F.round(s, digits).alias("s"), i.alias("i"))), asc=False)
+    at = F.transform(ranked, lambda x: x["i"])
+    if isinstance(size, float):
+        kept = F.slice(at, F.lit(1), F.floor(F.size(at) * F.lit(size)).cast("int"))
+        return F.array_join(F.transform(sents, lambda s, i: F.when(F.array_contains(kept, i), s).otherwise("")), " ")
+    at = F.slice(at, 1, max(size, 0)) if size is not None else at
+    return F.array_join(F.transform(at, lambda i: F.get(sents, i)), " ")
+
+
 def arithmetic_hash(*columns: Column, seed: int = 1) -> Column:
     """A hash by plain arithmetic, the same in any engine."""
     h = F.lit(seed).cast("long")

@@ -37,9 +37,6 @@ def document_terms(docs: DataFrame, stopwords: Iterable[str] = (), abbreviations
     each of its words. seen is 2 in a document's first row with a word, 1 where a word is met first in it, else 0, so that
     document frequencies are counts of rows. Documents are counted in batches where they lie; nothing is shuffled."""
     ship(docs.sparkSession)
-    stop = list(stopwords)
-    cut = T.whole_sentences if abbreviations else T.sentences
-    each = (lambda s: F.filter(T.words(s), lambda w: ~w.isin(stop))) if stop else T.words
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -71,10 +68,21 @@ def document_terms(docs: DataFrame, stopwords: Iterable[str] = (), abbreviations
                 names=["doc_id", "sent_ix", "term", "tf", "seen"],
             )
 
-    rows = docs.select("doc_id", F.transform(cut(F.col("text")), each).alias("w"))
+    rows = docs.select("doc_id", sentence_words(F.col("text"), stopwords, abbreviations).alias("w"))
     return rows.mapInArrow(run, f"doc_id {key}, sent_ix int, term string, tf long, seen int")
 
 
+def words_of(sents: Column, stopwords: Iterable[str] = ()) -> Column:
+    """The words of each of a list of sentences, as lists."""
+    stop = list(stopwords)
+    return F.transform(sents, (lambda s: F.filter(T.words(s), lambda w: ~w.isin(stop))) if stop else T.words)
+
+
+def sentence_words(text: Column, stopwords: Iterable[str] = (), abbreviations: bool = False) -> Column:
+    """`words_of` a text's sentences."""
+    return words_of((T.whole_sentences if abbreviations else T.sentences)(text), stopwords)
+
+
 def idf_of_terms(found: DataFrame) -> DataFrame:
     """(term, df, idf) of `document_terms`, equal to `idf_table`: only partial counts are shuffled."""
     n = found.agg(F.count_if(F.col("seen") == 2).alias("n"))

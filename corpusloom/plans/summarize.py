@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType
 
 from corpusloom.functions import text as T
 from corpusloom.operators import centrality, rouge, select, similarity, stem, tables, terms
-from corpusloom.runtime import settle
+from corpusloom.runtime import settle, ship
 
 
 #: About 100 MB of terms and weights at most.
@@ -58,6 +60,41 @@ def keyed_weights(docs: DataFrame, stopwords: tuple[str, ...] = (), idf: DataFra
     return found.filter("term IS NULL").select("doc_id", "sent_ix"), tf, terms.with_idf(tf, idf)
 
 
+#: Terms of more than one document whose hashes and IDF are broadcast to kernels, 16 bytes each.
+PLACED_TERMS = 8_000_000
+
+
+def placed(docs: DataFrame, stopwords: tuple[str, ...] = (), abbreviations: bool = False) -> centrality.Placed | None:
+    """Documents whose weights are made where they lie, with a broadcast IDF table of the terms that more than one of them has; None
+    where those are more than PLACED_TERMS, or ids are null or repeated, so that rows have to be brought together by id."""
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count():
+        return None
+    idf = settle(terms.idf_of_documents(docs, stopwords), "idf-table")
+    shared = idf.filter("df > 1")
+    if shared.count() > PLACED_TERMS:
+        return None
+    ship(docs.sparkSession)
+    once = idf.filter("df = 1").select("idf").first()  # equal for all of them
+
+    def number(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(centrality.hashed(batch.column(0))), batch.column(1)], names=["t", "idf"])
+
+    found = shared.select("term", "idf").mapInArrow(number, "t long, idf double").toArrow()
+    t, weight = (found.column(c).to_numpy() for c in ("t", "idf"))
+    order = np.argsort(t)
+    held = docs.sparkSession.sparkContext.broadcast((t[order], weight[order], once[0] if once else 0.0))
+    return centrality.Placed(docs.select("doc_id", terms.sentence_words(F.col("text"), stopwords, abbreviations).alias("w")), held)
+
+
+def document_weights(docs: DataFrame) -> tuple[DataFrame | centrality.Placed, DataFrame]:
+    """(weights, sentence keys) for kernels of whole documents: placed where that can be, else a table of entries."""
+    if (found := placed(docs)) is not None:
+        return found, found.rows
+    sents, _, weighted = keyed_weights(docs)
+    return weighted, sents
+
+
 def _edges(metric: str, tf: DataFrame, weighted: DataFrame, vectors: DataFrame | None) -> DataFrame:
     """(doc_id, i, j, sim), i <= j, of a metric other than idf cosine; negative cosines stay."""
     if metric == "common_words":
@@ -72,6 +109,20 @@ def _edges(metric: str, tf: DataFrame, weighted: DataFrame, vectors: DataFrame |
     return edges.unionByName(own.select("doc_id", F.col("sent_ix").alias("i"), F.col("sent_ix").alias("j"), "sim"))
 
 
+def _summaries_in_place(docs: DataFrame, found: centrality.Placed, options: SummaryOptions, size: int | float | None) -> DataFrame:
+    """`summarize` by plain centrality in each document's own row: neither sentences nor texts are shuffled."""
+    how = {"method": "damped", **CONVERGED} if options.method == "lexrank" else {"method": "undamped"}
+    cut = T.whole_sentences if options.abbreviations else T.sentences
+    rows = docs.select("doc_id", "text", cut(F.col("text")).alias("sents"))
+    words = terms.words_of(F.col("sents"), options.stopwords)
+    rows = rows.select("doc_id", "text", "sents", centrality.placed_scores(found, words, threshold=options.threshold, **how).alias("scores"))
+    chosen = select.summary_of(F.col("scores"), F.col("sents"), size)
+    out = rows.select("doc_id", "text", F.coalesce(chosen, F.lit("")).alias("summary"))
+    if options.limit_fraction is None:
+        return out.select("doc_id", "summary")
+    return out.select("doc_id", T.first_tokens(F.col("summary"), T.token_budget(F.col("text"), options.limit_fraction)).alias("summary"))
+
+
 def summarize(
     docs: DataFrame, options: SummaryOptions = SummaryOptions(), idf: DataFrame | None = None, vectors: DataFrame | None = None, bias_vectors: tuple[DataFrame, DataFrame] | None = None
 ) -> DataFrame:
@@ -85,6 +136,9 @@ def summarize(
     if options.threshold is not None and not 0 <= options.threshold < 1:
         raise ValueError("the threshold is in [0, 1)")
     size = options.size if options.size is not None else select.DEFAULT_SIZES.get(options.method.replace("_undamped", ""))
+    if idf is None and options.similarity == "idf_mod_cosine" and options.method in ("lexrank", "lexrank_undamped"):
+        if (found := placed(docs, options.stopwords, options.abbreviations)) is not None:
+            return _summaries_in_place(docs, found, options, size)
     if options.method == "random_sentence":
         sents = terms.sentence_rows(docs, options.abbreviations)
         ranked = select.random_sentences(sents, int(size), options.seed).select("doc_id", "sent_ix", F.lit(0.0).alias("score"), "rn")

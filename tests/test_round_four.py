@@ -64,3 +64,45 @@ def test_counts_of_odd_tokens(spark):
     want = pairs.filter("stop OR ends").groupBy("word", "stop", "ends", "next").agg(F.count("*").alias("c"))
     key = lambda x: (x.word, x.stop, x.ends, x.next or "", x.next is None, x.c)
     assert sorted(map(key, B.signed_pairs(rows).collect())) == sorted(map(key, want.collect()))
+
+
+def _some_documents(spark, n=60):
+    import random
+
+    r = random.Random(7)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    texts = ["".join(" ".join(r.choice(words) for _ in range(r.randint(1, 9))) + r.choice([". ", "! ", "\n"]) for _ in range(r.randint(1, 20))) for _ in range(n)]
+    texts += [None, "", " . ", "same same. same", "lonely" * 3, "Dr. who. Dr. who"]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_graphs_and_summaries_of_placed_documents(spark, monkeypatch):
+    from corpusloom.operators import centrality, similarity
+    from corpusloom.plans import summarize as programs
+
+    docs = _some_documents(spark)
+    monkeypatch.setattr(centrality, "PLACED_WORDS", 50)
+    placed, rows = programs.document_weights(docs)
+    assert isinstance(placed, centrality.Placed)
+    # nothing but partial counts of the IDF table is shuffled: the plan of the matrix has no exchange
+    markov = similarity.document_markov(placed, rows)
+    assert "Exchange" not in markov._jdf.queryExecution().executedPlan().toString()
+    sents, _, weighted = programs.keyed_weights(docs)
+    key = lambda p: sorted((r.doc_id, r.i, r.j, round(r.p, 9)) for r in p.collect())
+    assert key(markov) == key(similarity.document_markov(weighted, sents))
+    options = [programs.SummaryOptions(**how) for how in ({"size": 4, "limit_fraction": 0.5}, {"size": 0.5}, {"method": "lexrank_undamped"}, {"size": 2, "threshold": 0.1, "stopwords": ("wab", "wcd")})]
+    mine = [{r.doc_id: r.summary for r in programs.summarize(docs, o).collect()} for o in options]
+    assert "Exchange" not in programs.summarize(docs, options[0])._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(programs, "PLACED_TERMS", -1)  # rows are brought together by id
+    assert not isinstance(programs.document_weights(docs)[0], centrality.Placed)
+    assert mine == [{r.doc_id: r.summary for r in programs.summarize(docs, o).collect()} for o in options]
+
+
+def test_repeated_ids_are_brought_together(spark):
+    from corpusloom.operators import centrality, similarity
+    from corpusloom.plans import summarize as programs
+
+    docs = spark.createDataFrame([(1, "a b. c d"), (1, "a c. b d"), (2, "a x")], "doc_id long, text string")
+    found, rows = programs.document_weights(docs)
+    assert not isinstance(found, centrality.Placed) and similarity.document_markov(found, rows).count() > 0
+    assert programs.document_weights(docs.limit(0))[0].rows.count() == 0
